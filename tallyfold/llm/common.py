@@ -130,3 +130,31 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def map_texts(rows: DataFrame, text_col: str, keep: dict[str, str], schema: str, make) -> DataFrame:
+    """One pass over whole texts in Arrow batches: no shuffle, nulls count as empty texts.
+
+    keep: output column -> SQL expression of what is passed through untouched. make() is called
+    once in each worker and gives a function from a list of texts to the added columns. A batch
+    is handed over in pieces of a few MB, so that long texts don't add up.
+    """
+    import pyarrow as pa
+
+    given = rows.selectExpr(*(f"{e} AS `{c}`" for c, e in keep.items()), f"`{text_col}` AS _text")
+    columns = ", ".join(f"`{c}` {t}" for c, t in given.dtypes if c in keep) + ", " + schema
+    kept = list(keep)
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            n = batch.num_rows
+            texts = batch.column(batch.schema.get_field_index("_text"))
+            step = max(1, int(n * (4 << 20) / max(1, texts.nbytes)))
+            for at in range(0, n, step):
+                part = batch.slice(at, step)
+                added = work(["" if t is None else t for t in texts.slice(at, step).to_pylist()])
+                out = {c: part.column(part.schema.get_field_index(c)) for c in kept}
+                yield pa.RecordBatch.from_pydict(out | {c: v if isinstance(v, pa.Array) else pa.array(v) for c, v in added.items()})
+
+    return given.mapInArrow(run, columns)

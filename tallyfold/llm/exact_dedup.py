@@ -11,10 +11,14 @@ winner and each counts in group_size); an empty table gives no rows; other colum
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import ascii_lower, table
+from tallyfold.llm.common import map_texts, table
 
 #: Salts over which one group of copies is spread before its winners meet.
 SALTS = 32
@@ -27,14 +31,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tasks as one row per map task, and last as `salts` rows in one. Content leaves the first stage
     once; the second exchange carries one row per distinct text and salt.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"))
-    keyed = rows.select(
-        "doc_id",
-        "_text",
-        F.sha2("_text", 256).alias("text_sha256"),
-        F.length("_text").alias("_len"),
-        F.xxhash64("_text").alias("_xx"),
-    )
+    def make():
+        def work(texts: list[str]) -> dict:
+            data = [t.encode().lower() for t in texts]  # lower() of bytes changes A-Z only
+            return {
+                "_text": pa.array(data, pa.binary()),
+                "text_sha256": [hashlib.sha256(d).hexdigest() for d in data],
+                "_len": [len(d) for d in data],
+                "_xx": pa.array([xxhash.xxh3_64_intdigest(d) - (1 << 63) for d in data], pa.int64()),
+            }
+
+        return work
+
+    keyed = map_texts(docs, text_col, {"doc_id": f"`{id_col}`"}, "_text binary, text_sha256 string, _len long, _xx long", make)
     content = ["text_sha256", "_len", "_xx", "_text"]
     salted = (
         keyed.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))

@@ -15,19 +15,17 @@ texts of any length are taken whole; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfold.llm.common import clean, table
+from tallyfold.llm.common import map_texts, table
 
 SPACE = "▁"
-OUT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+OUT = "n_bytes long, n_tokens long, over_limit boolean"
 LIMIT = 4096
 #: Segments of up to this many characters are remembered, so many at a time.
-SHORT, REMEMBERED = 48, 300_000
+SHORT, REMEMBERED = 48, 600_000
 
 
 def default_model() -> str:
@@ -64,7 +62,7 @@ class Counter:
         """Initial symbols minus merges for one segment."""
         ranks, n = self.ranks, len(text)
         if n == 1:
-            return 1 if text in ranks else len(text.encode("utf-8", "surrogatepass"))
+            return 1 if text in ranks else len(text.encode("utf-8"))
         part = list(text)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         right[-1] = -1
@@ -87,7 +85,7 @@ class Counter:
                     heappush(heap, (r, i, len(a) + len(part[k])))
             if (k := left[i]) >= 0 and (r := ranks.get(part[k] + a)) is not None:
                 heappush(heap, (r, k, len(part[k]) + len(a)))
-        unknown = sum(len(p.encode("utf-8", "surrogatepass")) - 1 for p in part if len(p) == 1 and p not in ranks)
+        unknown = sum(len(p.encode("utf-8")) - 1 for p in part if len(p) == 1 and p not in ranks)
         return n + unknown - merges
 
     def count(self, text: str) -> int:
@@ -115,22 +113,22 @@ def counter(model: str) -> Counter:
     return _counters[model]
 
 
-def _mapper(model: str, limit: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _worker(model: str, limit: int):
+    def make():
         count = counter(model).count
-        for batch in batches:
-            texts = [clean(t) for t in batch["text"]]
+
+        def work(texts: list[str]) -> dict:
             n = [count(t) for t in texts]
-            yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
-            )
+            return {"n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
+
+        return work
 
-    return run
+    return make
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row; one pass, no shuffle."""
-    return docs.selectExpr(f"CAST(`{id_col}` AS LONG) AS doc_id", f"`{text_col}` AS text").mapInPandas(_mapper(model or default_model(), limit), OUT)
+    return map_texts(docs, text_col, {"doc_id": f"`{id_col}`"}, OUT, _worker(model or default_model(), limit))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

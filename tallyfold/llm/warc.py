@@ -87,7 +87,7 @@ class _Roller:
         if self.out is None:
             self.name = f"part-{self.shard:06d}-{self.index:05d}.warc.gz"
             self.temp = f"{self.root}/_tmp-{self.attempt}-{self.name}"
-            self.out, self.sha, self.n, self.size, self.first = self.fs.open_output_stream(self.temp), hashlib.sha256(), 0, 0, page_id
+            self.out, self.sha, self.n, self.size, self.first = self.fs.open_output_stream(self.temp, compression=None), hashlib.sha256(), 0, 0, page_id
         z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
         member = z.compress(raw) + z.flush()
         self.out.write(member)
