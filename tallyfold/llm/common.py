@@ -158,3 +158,30 @@ def map_texts(rows: DataFrame, text_col: str, keep: dict[str, str], schema: str,
                 yield pa.RecordBatch.from_pydict(out | {c: v if isinstance(v, pa.Array) else pa.array(v) for c, v in added.items()})
 
     return given.mapInArrow(run, columns)
+
+
+def map_texts_many(rows: DataFrame, text_col: str, keep: dict[str, str], schema: str, make) -> DataFrame:
+    """As map_texts, but work() gives any number of rows for a text: their counts, and flat columns.
+
+    work gets the texts and the batch (for kept columns that it needs).
+    """
+    import pyarrow as pa
+
+    given = rows.selectExpr(*(f"{e} AS `{c}`" for c, e in keep.items()), f"`{text_col}` AS _text")
+    kept = [c for c in keep if not c.startswith("_in_")]
+    columns = ", ".join([f"`{c}` {t}" for c, t in given.dtypes if c in kept] + [schema])
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            n = batch.num_rows
+            texts = batch.column(batch.schema.get_field_index("_text"))
+            step = max(1, int(n * (4 << 20) / max(1, texts.nbytes)))
+            for at in range(0, n, step):
+                part = batch.slice(at, step)
+                counts, added = work(["" if t is None else t for t in texts.slice(at, step).to_pylist()], part)
+                index = pa.array(np.repeat(np.arange(part.num_rows), counts))
+                out = {c: part.column(part.schema.get_field_index(c)).take(index) for c in kept}
+                yield pa.RecordBatch.from_pydict(out | {c: v if isinstance(v, pa.Array) else pa.array(v) for c, v in added.items()})
+
+    return given.mapInArrow(run, columns)

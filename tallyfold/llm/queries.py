@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfold.llm import bpe, decontaminate, exact_dedup, html_text, near_dedup, quality, token_count, warc
+from tallyfold.llm import bpe, decontaminate, exact_dedup, html_text, near_dedup, quality, substring_dedup, token_count, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.query,
     "op2_token_count": token_count.query,
     "op3_byte_bpe": bpe.query,
+    "op4_substring_dedup": substring_dedup.query,
     "op5_quality": quality.query,
     "op6_decontaminate": decontaminate.query,
     "op7_near_dedup": near_dedup.query,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_warc": warc.SQL,
+    "op4_substring_dedup": substring_dedup.SQL,
     "op6_decontaminate": decontaminate.SQL,
     "op7_near_dedup": near_dedup.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
