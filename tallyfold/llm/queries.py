@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfold.llm import bpe, decontaminate, exact_dedup, html_text, near_dedup, quality, substring_dedup, token_count, warc
+import corpus_pipeline
+from tallyfold.llm import bpe, decontaminate, exact_dedup, html_text, line_dedup, near_dedup, quality, substring_dedup, token_count, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.query,
@@ -17,7 +18,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": decontaminate.query,
     "op7_near_dedup": near_dedup.query,
     "op8_exact_dedup": exact_dedup.query,
+    "op9_line_dedup": line_dedup.query,
     "op10_html_text": html_text.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
@@ -27,3 +30,5 @@ SQL: dict[str, str] = {
     "op7_near_dedup": near_dedup.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
