@@ -1 +1,48 @@
+"""Column functions over text and time."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+TOKEN = "[A-Za-z0-9_-]{3,}"
+#: Words that say nothing in a question; a parameter of the functions below.
+STOPWORDS = ("the", "and", "that", "this", "with", "for", "from", "what", "who", "when", "was", "are", "did", "does", "about")
+
+
+def format_timestamp(sec: Column) -> Column:
+    """Null gives ?:??; M:SS below an hour, else H:MM:SS; truncated."""
+    s = F.floor(sec)
+    h, m, r = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
+    return F.when(sec.isNull(), "?:??").when(s < 3600, F.format_string("%d:%02d", m, r)).otherwise(F.format_string("%d:%02d:%02d", h, m, r))
+
+
+def slugify(text: Column) -> Column:
+    t = F.regexp_replace(F.lower(F.trim(text)), r"[^a-z0-9_\s-]", "")
+    return F.regexp_replace(F.regexp_replace(t, r"[\s_-]+", "-"), "^-+|-+$", "")
+
+
+def keywords(text: Column) -> Column:
+    """Tokens of three characters or more, lower-cased, without stop words; duplicates stay."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower)
+    return F.filter(found, lambda x: ~x.isin(*STOPWORDS))
+
+
+def occurrences(text: Column, word: Column) -> Column:
+    """Non-overlapping occurrences of a word (lower case) as a substring."""
+    low = F.lower(text)
+    return ((F.length(low) - F.length(F.replace(low, word, F.lit("")))) / F.length(word)).cast("long")
+
+
+def section(doc: Column, heading: str) -> Column:
+    """The body below the first heading of that title, up to the next heading."""
+    return F.regexp_extract(doc, rf"(?smi)^\#{{1,6}}[ \t]+{heading}[ \t]*\n(.*?)(?=^\#{{1,6}}[ \t]|\z)", 1)
+
+
+def due_date(text: Column) -> Column:
+    """The first ISO date in a text; null where there is none or it isn't a date."""
+    return F.try_to_date(F.nullif(F.regexp_extract(text, r"\d{4}-\d{2}-\d{2}", 0), F.lit("")), "yyyy-MM-dd")
+
+
+def document_id(text: Column) -> Column:
+    return F.concat(F.lit("doc-"), F.md5(F.trim(text)))

@@ -1 +1,149 @@
+"""DataFrame-to-DataFrame operators of the archive: registers, tables as values, turns, vectors."""
 
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+# Tables as values: every write is a function from the old table and a delta to the new table.
+
+
+def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """One row per key, the first in the given total order."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of new win over rows of old with the same keys."""
+    return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def insert_or_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Rows of old win; of new rows with equal keys the first in order."""
+    return old.unionByName(latest(new, keys, order).join(old.select(*keys).distinct(), list(keys), "left_anti"))
+
+
+def replace_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """All rows of old under the keys that new touches go."""
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def sparse_upsert(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Only supplied (non-null) columns are overwritten; unknown keys are inserted."""
+    n = new.select(key, *(F.col(c).alias(f"_n_{c}") for c in columns))
+    return old.join(n, key, "full").select(key, *(F.coalesce(f"_n_{c}", c).alias(c) for c in columns))
+
+
+# As-of and top-k
+
+
+def preceding_k(df: DataFrame, partition: Sequence[str], order: Sequence[Column], value: Column, k: int) -> Column:
+    """The k rows before each row in one pass, newest last."""
+    return F.collect_list(value).over(Window.partitionBy(*partition).orderBy(*order).rowsBetween(-k, -1))
+
+
+def top_k(df: DataFrame, partition: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
+    w = Window.partitionBy(*partition).orderBy(*order)
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+# Turns
+
+
+def merge_turns(df: DataFrame, session: str, order: str, speaker: str, text: str) -> DataFrame:
+    """Consecutive rows of one speaker become one turn (gaps and islands)."""
+    w = Window.partitionBy(session).orderBy(order)
+    marked = df.withColumn("_new", (~F.col(speaker).eqNullSafe(F.lag(speaker).over(w)) | F.lag(order).over(w).isNull()).cast("long"))
+    runs = marked.withColumn("_run", F.sum("_new").over(w))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), " ")
+    return runs.groupBy(session, F.col("_run").alias("turn_no"), speaker).agg(F.min(order).alias("first_turn"), F.count(F.lit(1)).alias("merged"), joined.alias("text"))
+
+
+def pack_windows(lengths: Column, budget: int) -> Column:
+    """Greedy packing of an array of lengths: the window number of each, never splitting one."""
+    zero = F.struct(F.array().cast("array<int>").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("used"))
+
+    def step(acc: Column, x: Column) -> Column:
+        full = (acc["used"] > 0) & (acc["used"] + x + 1 > budget)
+        n = F.when(full, acc["n"] + 1).otherwise(acc["n"])
+        used = F.when(full, x + 1).otherwise(acc["used"] + x + 1)
+        return F.struct(F.concat(acc["w"], F.array(n)).alias("w"), n.cast("int").alias("n"), used.cast("int").alias("used"))
+
+    return F.aggregate(lengths, zero, step, lambda acc: acc["w"])
+
+
+# Vectors: profiles, matches, bands
+
+
+def normalised(v: Column) -> Column:
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return F.transform(v, lambda x: F.when(norm == 0, x.cast("double")).otherwise(x.cast("double") / norm))
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def profiles(samples: DataFrame) -> DataFrame:
+    """person, profile: normalised mean of normalised samples, weighted by speech (at least 0.1)."""
+    weight = F.greatest("speech_sec", F.lit(0.1))
+    cells = samples.select("person", weight.alias("w"), F.posexplode(normalised(F.col("embedding"))).alias("pos", "x"))
+    means = cells.groupBy("person", "pos").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
+    arrays = means.groupBy("person").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v"))
+    return arrays.select("person", normalised(F.col("v")).alias("profile"))
+
+
+#: Profiles are broadcast up to this count, which is checked; beyond it they are joined in blocks.
+BROADCAST_PROFILES = 10_000
+
+
+def match_top2(pending: DataFrame, prints: DataFrame) -> DataFrame:
+    """best and next profile of every pending vector; ties go to the smaller name.
+
+    Profiles form one array of bounded size that each pending row is scored against in place, so
+    no pair is shuffled. Above the bound the profiles go by blocks of that size.
+    """
+    n = prints.count()
+    blocks = max(1, -(-n // BROADCAST_PROFILES))
+    packed = prints.withColumn("_b", F.pmod(F.xxhash64("person"), F.lit(blocks))).groupBy("_b").agg(F.collect_list(F.struct("person", "profile")).alias("ps"))
+    scored = pending.select("vec_id", "speech_sec", normalised(F.col("embedding")).alias("v")).join(F.broadcast(packed))
+    ranked = F.array_sort(F.transform("ps", lambda p: F.struct((-F.round(dot(p["profile"], F.col("v")), 6)).alias("s"), p["person"].alias("person"))))
+    best = scored.select("vec_id", "speech_sec", F.slice(ranked, 1, 2).alias("r"))
+    if blocks > 1:
+        best = best.groupBy("vec_id", "speech_sec").agg(F.slice(F.array_sort(F.flatten(F.collect_list("r"))), 1, 2).alias("r"))
+    at = lambda i, f: F.get(F.col("r"), i)[f]
+    return best.select("vec_id", "speech_sec", at(0, "person").alias("best"), (-at(0, "s") + 0.0).alias("best_score"), at(1, "person").alias("next"), F.coalesce(-at(1, "s"), F.lit(0.0)).alias("next_score"))
+
+
+def band(best: Column, nxt: Column, speech: Column, meetings: Column, auto=0.62, review=0.38, margin=0.12, least_speech=30.0, least_meetings=2) -> Column:
+    """auto, review or new; no best score counts as new."""
+    return (
+        F.when(best.isNull() | (best < review), "new")
+        .when((speech < least_speech) | (meetings < least_meetings) | (best < auto) | (best - nxt < margin), "review")
+        .otherwise("auto")
+    )
+
+
+# Graph
+
+
+def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """node, hops: nodes within `depth` undirected steps of the seeds (node)."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    seen = seeds.select("node", F.lit(0).alias("hops"))
+    front = seen
+    for h in range(1, depth + 1):
+        reached = front.join(both, front["node"] == both["src"]).select(F.col("dst").alias("node")).distinct()
+        front = reached.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(h))
+        seen = seen.unionByName(front)
+    return seen
+
+
+def canonical(df: DataFrame, column: str, aliases: DataFrame, out: str) -> DataFrame:
+    """The canonical name by lower-cased, trimmed alias; unknown names stay, trimmed."""
+    a = aliases.select(F.col("alias").alias("_alias"), F.col("canonical").alias("_canonical"))
+    return df.join(a, F.lower(F.trim(column)) == F.col("_alias"), "left").withColumn(out, F.coalesce("_canonical", F.trim(column))).drop("_alias", "_canonical")

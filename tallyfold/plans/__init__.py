@@ -4,4 +4,12 @@ from __future__ import annotations
 
 
 def registry() -> dict:
-    return {}
+    from tallyfold.plans import identity, registers, retrieval, tables, texts, turns
+
+    out: dict = {}
+    for module in (registers, tables, texts, turns, identity, retrieval):
+        for name, pair in module.QUERIES.items():
+            if name in out:
+                raise ValueError(f"two queries are named {name}")
+            out[name] = pair
+    return out
