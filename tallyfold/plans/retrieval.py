@@ -30,7 +30,7 @@ def label_match(spark, d):
 
 def timeline(spark, d):
     m = S.meetings(spark, d).where("status = 'indexed'").select(F.col("id").alias("meeting_id"), "meeting_date")
-    first = O.top_k(S.commitments(spark, d), ["meeting_id"], [F.col("seq")], 3)
+    first = O.top_k(S.commitments(spark, d), ["meeting_id"], [F.col("seq"), F.col("owner")], 3)
     texts = first.groupBy("meeting_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("owner", F.lit("?")).alias("o")))), lambda x: x["o"]), "; ").alias("decisions"))
     return m.join(texts, "meeting_id")
 
@@ -39,5 +39,5 @@ OCC = [f"(length(lower(text)) - length(replace(lower(text), '{w}', ''))) // {len
 QUERIES = {
     "register_context": (register_context, f"SELECT source, doc_id, total, rank FROM (SELECT source, doc_id, total, row_number() OVER (PARTITION BY source ORDER BY total DESC, doc_id) AS rank FROM (SELECT source, doc_id, {' + '.join(OCC)} AS total FROM documents WHERE {' AND '.join(f'{o} > 0' for o in OCC)})) WHERE rank <= 6"),
     "label_match": (label_match, "SELECT label, exact, partial FROM (SELECT label, CAST(len(list_intersect(string_split_regex(lower(label), '[ -]+'), ['economy', 'brushed'])) AS BIGINT) AS exact, CAST(contains(lower(label), 'economy') AS BIGINT) + CAST(contains(lower(label), 'brushed') AS BIGINT) AS partial FROM (SELECT DISTINCT p_type AS label FROM part)) ORDER BY exact DESC, partial DESC, length(label), label LIMIT 4"),
-    "timeline_events": (timeline, f"WITH {S.MEETINGS}, {S.COMMITMENTS}, f AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY seq) AS n FROM commitments) SELECT meeting_id, meeting_date, string_agg(coalesce(owner, '?'), '; ' ORDER BY seq) AS decisions FROM f JOIN meetings ON id = meeting_id WHERE status = 'indexed' AND n <= 3 GROUP BY 1, 2"),
+    "timeline_events": (timeline, f"WITH {S.MEETINGS}, {S.COMMITMENTS}, f AS (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY seq, owner) AS n FROM commitments) SELECT meeting_id, meeting_date, string_agg(coalesce(owner, '?'), '; ' ORDER BY seq, owner) AS decisions FROM f JOIN meetings ON id = meeting_id WHERE status = 'indexed' AND n <= 3 GROUP BY 1, 2"),
 }

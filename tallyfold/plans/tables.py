@@ -26,7 +26,8 @@ def sparse_upsert(spark, d):
 
 def insert_or_ignore(spark, d):
     line = S.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("m"), F.col("l_returnflag").alias("t"), F.col("l_linenumber").alias("pos"))
-    return O.insert_or_ignore(line.where("pos = 1"), line.where("pos > 1"), ["m", "t"], [F.col("pos")])
+    old = O.latest(line.where("pos = 1"), ["m", "t"], [F.col("pos")])
+    return O.insert_or_ignore(old, line.where("pos > 1"), ["m", "t"], [F.col("pos")])
 
 
 def replace_by_key(spark, d):

@@ -112,7 +112,7 @@ def entities(spark, d):
 
 def relations(spark, d):
     lines = _graph_notes(spark, d).select("l_orderkey", F.explode_outer(F.split(X.section(F.col("doc"), "Relations"), "\n")).alias("line"))
-    parts = F.transform(F.split(F.regexp_replace("line", r"^\s*[-*]\s*", ""), r"\s*(?:->|→|\|)\s*"), F.trim)
+    parts = F.transform(F.split(F.regexp_replace("line", r"^\s*[-*]\s*", ""), r"\s*(?:->|→|\|)\s*"), lambda x: F.trim(x))
     return lines.withColumn("p", parts).where(F.size("p") == 3).select("l_orderkey", F.col("p")[0].alias("subject"), F.col("p")[1].alias("predicate"), F.col("p")[2].alias("object")).distinct()
 
 
@@ -132,7 +132,7 @@ def addressed(spark, d):
     return S.turns(spark, d).select("session_id", "turn", F.array_join(names, " ").alias("names"))
 
 
-W = "len(list_filter(string_split_regex(text, '[ \\t\\n]+'), x -> x <> ''))"
+W = "len(list_filter(string_split_regex(text, '[ \\t\\n]+'), lambda x: x <> ''))"
 OCC = [f"(length(lower(text)) - length(replace(lower(text), '{w}', ''))) // {len(w)}" for w in WORDS]
 QUERIES = {
     "token_estimate": (token_estimate, f"SELECT doc_id, length(text) // 4 AS tokens, {W} AS words FROM documents"),
@@ -142,11 +142,11 @@ QUERIES = {
     "doc_id_md5": (doc_ids, "SELECT doc_id, 'doc-' || md5(trim(text, ' ')) AS document FROM documents"),
     "excerpt": (excerpts, r"SELECT doc_id, CASE WHEN length(t) > 220 THEN substring(t, 1, 220) || '...' ELSE t END AS excerpt FROM (SELECT doc_id, trim(regexp_replace(text, '[ \t\n]+', ' ', 'g'), ' ') AS t FROM documents)"),
     "junk_gate": (junk_gate, f"SELECT doc_id FROM documents WHERE n_chars < 120 OR {W} < 150"),
-    "question_keywords": (keywords, f"SELECT conv_id AS session_id, turn, array_to_string(list_filter(list_transform(regexp_extract_all(text, '{X.TOKEN}'), x -> lower(x)), x -> x NOT IN ({STOP})), ' ') AS words FROM conversations WHERE role = 'user'"),
+    "question_keywords": (keywords, f"SELECT conv_id AS session_id, turn, array_to_string(list_filter(list_transform(regexp_extract_all(text, '{X.TOKEN}'), lambda x: lower(x)), lambda x: x NOT IN ({STOP})), ' ') AS words FROM conversations WHERE role = 'user'"),
     "salient_terms": (salient_terms, f"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9-]{{2,}}')) AS term FROM documents WHERE lang = 'en'), w AS (SELECT doc_id, term, CAST(sum(CASE WHEN regexp_matches(term, '^[A-Z]') OR contains(term, '-') THEN 3 ELSE 1 END) AS BIGINT) AS weight FROM t WHERE lower(term) NOT IN ({STOP}) GROUP BY 1, 2) SELECT doc_id, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS n FROM w) WHERE n <= 12"),
     "keyword_score_topk": (keyword_score_topk, f"SELECT doc_id, {' + '.join(f'CAST({o} > 0 AS BIGINT)' for o in OCC)} AS hit_words, {' + '.join(OCC)} AS total FROM documents WHERE {' + '.join(OCC)} > 0 ORDER BY hit_words DESC, total DESC, doc_id LIMIT 5"),
     "parse_action_items": (action_items, "SELECT l_orderkey, s_name AS owner, 'ship ' || l_partkey || '.' AS text, CAST(l_shipdate AS DATE) AS due_iso, '[0:0' || l_linenumber || ']' AS cite, CASE l_linestatus WHEN 'F' THEN 'done' ELSE 'open' END AS state FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"),
-    "parse_entities": (entities, "SELECT l_orderkey, p_brand AS name, lower(p_type) AS kind FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, lower(p_brand) ORDER BY l_linenumber) AS n FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE n = 1"),
+    "parse_entities": (entities, "SELECT l_orderkey, p_brand AS name, lower(p_type) AS kind FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, lower(p_brand) ORDER BY l_linenumber, upper(p_type)) AS n FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE n = 1"),
     "parse_relations": (relations, "SELECT DISTINCT l_orderkey, p_brand AS subject, l_returnflag AS predicate, p_type AS object FROM lineitem JOIN part ON l_partkey = p_partkey"),
     "due_date_iso": (due_dates, "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) END AS due FROM orders"),
     "category_classify": (categories, r"SELECT CASE WHEN contains(t, 'license') THEN 'legal' WHEN regexp_matches(t, '[0-9]{4}') AND contains(t, '@') THEN 'personal' WHEN regexp_matches(t, '\bration') THEN 'review' ELSE 'other' END AS kind, lang, count(*) AS n FROM (SELECT lower(text) AS t, lang FROM documents) GROUP BY 1, 2"),
