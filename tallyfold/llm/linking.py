@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm.common import Scratch
 
-#: Buckets of at most so many members have their pairs listed (each member meets at most so many).
-SMALL = 8
-#: Leaders that a larger bucket gets in a round after the first.
-LEADERS = 8
+#: So many members of a bucket's largest component are compared with those outside it, before the
+#: rest of them are compared with the whole bucket.
+PIVOTS = 6
+#: So many members outside the largest component are compared with the whole bucket in one round:
+#: each member meets at most so many others.
+LEADERS = 64
 
 
 def components(scratch: Scratch, links: DataFrame, name: str = "cc") -> DataFrame:
@@ -22,8 +24,8 @@ def components(scratch: Scratch, links: DataFrame, name: str = "cc") -> DataFram
     stars around the smallest id; a hub's rows can be split by AQE, nothing meets in one task.
     """
     edges = scratch.keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}0")
-    before, k = None, 0
-    while True:
+    k = 0
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: the larger neighbours of u go to the smallest of u and its neighbours
@@ -31,53 +33,74 @@ def components(scratch: Scratch, links: DataFrame, name: str = "cc") -> DataFram
         # small star: u and its smaller neighbours go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = scratch.keep(small, f"{name}{k + 1}")
-        state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        edges = scratch.keep(small, f"{name}{k + 1}")
         scratch.drop(f"{name}{k}")
-        edges, k = after, k + 1
-        if state == before:
-            break
-        before = state
-    return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(
-        edges.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
-    )
-
-
-def link_buckets(scratch: Scratch, entries: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """id, component for the ids of entries (bucket, id) that confirm() links with another.
-
-    confirm gets candidate pairs (a, b), a < b, and returns those that are links. The first round
-    compares each member with the smallest of its bucket. Members that this leaves in different
-    components are compared in further rounds: in small buckets with each other, in large ones
-    with leaders, which then leave the bucket, until every pair of a bucket was compared or is in
-    one component. No link within a bucket is lost, and no bucket's pairs are all listed.
+        k += 1
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id")))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Every end has one centre and no centre is an end."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("n"), F.lit(0).alias("c")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("n"), F.lit(1).alias("c")))
+    return ends.groupBy("x").agg(F.sum("n").alias("n"), F.max("c").alias("c")).where("n > 1 OR n = 1 AND c = 1").isEmpty()
+
+
+def link_buckets(scratch: Scratch, entries: DataFrame, confirm: Callable[[DataFrame], DataFrame], reach: float, near: str = "true") -> DataFrame:
+    """id, component for the ids of entries (bucket, id, p) that confirm() links with another.
+
+    confirm gets candidate pairs (a, b), a < b, and returns a, b, d, ok: a distance that obeys the
+    triangle inequality and is at most `reach` for a link, and whether they are linked. `near` is a
+    SQL condition on the payloads p and q that every link meets.
+
+    The first round compares each member with the smallest of its bucket. Where that leaves a bucket
+    in several components, the members outside its largest one are compared with PIVOTS members of
+    it. Those still outside are then compared with all of the bucket, at most LEADERS in a round,
+    but for pairs that the distances to the smallest member rule out; they then leave the bucket,
+    and rounds go on until every pair of a bucket was compared, ruled out or is in one component.
+    No link within a bucket is lost, no bucket's pairs are all listed, and there is no cap.
     """
-    members = _several(entries.select("bucket", "id").distinct(), "id")
-    members = scratch.keep(members, "members0")
-    lead = members.groupBy("bucket").agg(F.min("id").alias("lead"))
-    pairs = members.join(lead, "bucket").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = scratch.keep(confirm(pairs), "links0")
-    members = members.join(lead, "bucket").where("id <> lead").drop("lead")
+    members = scratch.keep(_several(entries.select("bucket", "id", "p").dropDuplicates(["bucket", "id"]), "id"), "members0")
+    lead = members.groupBy("bucket").agg(F.min(F.struct("id", "p")).alias("l")).select("bucket", F.col("l.id").alias("lead"), F.col("l.p").alias("q"))
+    led = members.join(lead, "bucket").where("id <> lead")
+    scored = scratch.keep(confirm(led.where(near).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()), "scored")
+    found = components(scratch, scored.where("ok"), "cc0_")
+    first = scored.select(F.col("a").alias("lead"), F.col("b").alias("id"), "d")
+    members = scratch.keep(led.select("bucket", "id", "p", "lead").join(first, ["lead", "id"], "left").drop("lead"), "members1")
     k = 0
     while True:
         k += 1
-        found = scratch.keep(components(scratch, links, f"cc{k}_"), f"found{k}")
-        open_ = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
-        left = scratch.keep(_several(open_, "c"), f"members{k}")
-        scratch.drop(f"members{k - 1}")
+        named = members.join(found, "id", "left").select("bucket", "id", "p", "d", F.coalesce("component", "id").alias("c"))
+        left = scratch.keep(_several(named, "c"), f"left{k}")
         if left.isEmpty():
             return found
-        sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-        sized = left.join(sizes, "bucket")
-        few, many = sized.where(F.col("n") <= SMALL), sized.where(F.col("n") > SMALL)
-        near = few.alias("x").join(few.alias("y"), "bucket").where("x.id < y.id AND x.c <> y.c").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        # members of rare components first: the largest label of each of the salts
-        leaders = many.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(LEADERS)).alias("s")).agg(F.max(F.struct("c", "id")).alias("l")).select("bucket", "l.*")
-        leaders = leaders.select("bucket", F.col("id").alias("lead"), F.col("c").alias("lc"))
-        far = many.join(leaders, "bucket").where("id <> lead AND c <> lc").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
-        more = scratch.keep(confirm(near.unionByName(far).distinct()), f"links{k}")
-        links = links.unionByName(more)
-        members = many.select("bucket", "id").join(leaders.select("bucket", F.col("lead").alias("id")), ["bucket", "id"], "left_anti")
+        counts = left.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("n"))
+        sized = left.join(counts.select("bucket", F.col("top.c").alias("top"), F.expr("n - top.n").alias("rest")), "bucket")
+        if k == 1:
+            chosen, salts = sized.where("c = top"), F.pmod(F.xxhash64("id"), F.lit(PIVOTS))
+            others = sized.where("c <> top").drop("top", "rest")
+        else:
+            chosen, salts = sized.where("c <> top"), F.when(F.col("rest") <= LEADERS, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(LEADERS)))
+            others = left
+        leaders = chosen.groupBy("bucket", salts.alias("s")).agg(F.max(F.struct("c", "id", "p", "d")).alias("l"), F.max("rest").alias("rest"))
+        leaders = scratch.keep(leaders.select("bucket", F.col("l.id").alias("lead"), F.col("l.c").alias("lc"), F.col("l.p").alias("q"), F.col("l.d").alias("ld"), "rest"), f"leaders{k}")
+        pairs = others.join(leaders, "bucket").where(f"id <> lead AND c <> lc AND coalesce(abs(d - ld) <= {reach} + 1e-9, true) AND {near}")
+        pairs = pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+        links = scratch.keep(confirm(pairs).where("ok").select("a", "b"), f"links{k}")
+        if not links.isEmpty():
+            # the new links join components: a graph of components only
+            at = lambda side: found.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))  # noqa: E731, B023
+            joined = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+            over = scratch.keep(components(scratch, joined, f"cc{k}_"), f"over{k}")
+            up = over.select(F.col("id").alias("component"), F.col("component").alias("top"))
+            moved = found.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+            fresh = over.join(found.select("id"), "id", "left_anti")
+            found = scratch.keep(moved.unionByName(fresh), f"found{k}")
+        members = left.drop("c")
+        if k > 1:
+            open_ = leaders.where(F.col("rest") > LEADERS)
+            if open_.isEmpty():
+                return found
+            members = members.join(open_.select("bucket").distinct(), "bucket").join(open_.select("bucket", F.col("lead").alias("id")), ["bucket", "id"], "left_anti")
 
 
 def _several(members: DataFrame, what: str) -> DataFrame:

@@ -150,25 +150,21 @@ def near_dedup(
     reps = scratch.keep(
         named.join(classes.select("digest", F.col("rep").alias("doc_id")), ["doc_id", "digest"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands"), "reps"
     )
-    entries = reps.select("id", F.explode("bands").alias("bucket"))
+    entries = reps.select("id", F.col("n").alias("p"), F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
     entries = scratch.keep(entries.join(shared, "bucket"), "entries")
     # full sets only of texts that share a bucket with another text
     wanted = entries.select("id").distinct()
     sets = scratch.keep(shingle_sets(docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").dropDuplicates(["doc_id"]), "doc_id", "_text", size), "sets")
-    sizes = reps.select("id", "n")
+    apart = 1 - similarity / 100
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        close = (
-            pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a")
-            .join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-            .where(f"100 * least(na, nb) >= {similarity} * greatest(na, nb)")
-        )
-        both = close.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-        common = F.size(F.array_intersect("sa", "sb"))
-        return both.select("a", "b", (F.col("na") + F.col("nb")).alias("total"), common.alias("common")).where(f"100 * common >= {similarity} * (total - common)").select("a", "b")
-
-    groups = link_buckets(scratch, entries, confirm)
+        side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
+        common = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+        return common.select("a", "b", F.expr("1 - common / (total - common)").alias("d"), F.expr(f"100 * common >= {similarity} * (total - common)").alias("ok"))
+
+    # the payload is the size of the set
+    groups = link_buckets(scratch, entries, confirm, apart, f"100 * least(p, q) >= {similarity} * greatest(p, q)")
     # a class and its representative are linked as well: copies of one id may differ in text, so classes can share an id
     tied = by_class.where("doc_id <> rep").select("doc_id", "rep").distinct()
     final = (
