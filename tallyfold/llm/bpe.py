@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -109,11 +110,7 @@ class Codec:
                 lengths.setdefault(b[-4:], set()).add(len(b))
         self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}
         ids = max(self.tokens) + 1
-        size = np.zeros(ids, np.int64)
-        for r, b in self.tokens.items():
-            size[r] = len(b)
-        self.size, self.at = size, np.concatenate([[0], np.cumsum(size)[:-1]])
-        self.flat = np.frombuffer(b"".join(self.tokens.get(r, b"") for r in range(ids)), np.uint8)
+        self.flat = [self.tokens.get(r, b"") for r in range(ids)]
         self.decimal = [str(r) for r in range(ids)]
 
     def _merged(self, data: bytes) -> list[bytes]:
@@ -206,15 +203,9 @@ class Codec:
             out += ids
         return out
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of the tokens, gathered from one flat table."""
-        size = self.size[ids]
-        ends = np.cumsum(size)
-        if not len(ends):
-            return b""
-        where = np.repeat(self.at[ids] - (ends - size), size)
-        where += np.arange(ends[-1])
-        return self.flat[where].tobytes()
+    def decode(self, ids: Iterable[int]) -> bytes:
+        """The bytes of the tokens."""
+        return b"".join(map(self.flat.__getitem__, ids))
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -252,7 +243,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", ranks: str | None = None) -
             col = batch.column(batch.schema.get_field_index(ids_col))
             flat, ends = col.flatten().to_numpy(), np.cumsum([x or 0 for x in col.value_lengths().to_pylist()])
             parts = np.split(flat, ends[:-1]) if len(ends) else []
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.decode(x) for x in parts], pa.binary())], [*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.decode(x.tolist()) for x in parts], pa.binary())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes) + ", decoded binary")
 
@@ -270,7 +261,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ran
                 ids = c.encode(t)
                 n.append(len(ids))
                 a.append(hashlib.sha256(",".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest())
-                b.append(hashlib.sha256(c.decode(np.array(ids, np.int64))).hexdigest())
+                b.append(hashlib.sha256(c.decode(ids)).hexdigest())
             return {"n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
 
         return work

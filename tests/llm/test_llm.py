@@ -22,7 +22,7 @@ def test_bpe_is_tiktoken_and_round_trips(spark, odd, none):
     for _ in range(400):
         t = "".join(rng.choice("abcdeiou tñéthe日😀 \n.,1'") for _ in range(rng.randint(0, 80)))
         ids = codec.encode(t)
-        assert ids == enc.encode_ordinary(t) and codec.decode(np.array(ids, np.int64)) == t.encode()
+        assert ids == enc.encode_ordinary(t) and codec.decode(ids) == t.encode()
         data = t.encode()
         p = bpe.Prefixes(codec, data)
         cut = rng.randint(0, len(data))
