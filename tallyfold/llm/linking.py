@@ -14,7 +14,7 @@ from tallyfold.llm.common import Scratch
 PIVOTS = 6
 #: So many members outside the largest component are compared with the whole bucket in one round:
 #: each member meets at most so many others.
-LEADERS = 64
+LEADERS = 256
 
 
 def components(scratch: Scratch, links: DataFrame, name: str = "cc") -> DataFrame:
@@ -45,12 +45,14 @@ def _stars(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("n").alias("n"), F.max("c").alias("c")).where("n > 1 OR n = 1 AND c = 1").isEmpty()
 
 
-def link_buckets(scratch: Scratch, entries: DataFrame, confirm: Callable[[DataFrame], DataFrame], reach: float, near: str = "true") -> DataFrame:
+def link_buckets(scratch: Scratch, entries: DataFrame, confirm: Callable[[DataFrame], DataFrame], reach: float, near: str = "true", sketches: DataFrame | None = None, closer: str = "true") -> DataFrame:
     """id, component for the ids of entries (bucket, id, p) that confirm() links with another.
 
     confirm gets candidate pairs (a, b), a < b, and returns a, b, d, ok: a distance that obeys the
     triangle inequality and is at most `reach` for a link, and whether they are linked. `near` is a
-    SQL condition on the payloads p and q that every link meets.
+    SQL condition on the payloads p and q that every link meets. sketches (id, w), if given, are
+    wider payloads, which meet a member only once its bucket is in several components; `closer` is a
+    condition on the sketches w and v that every link meets.
 
     The first round compares each member with the smallest of its bucket. Where that leaves a bucket
     in several components, the members outside its largest one are compared with PIVOTS members of
@@ -62,15 +64,21 @@ def link_buckets(scratch: Scratch, entries: DataFrame, confirm: Callable[[DataFr
     members = scratch.keep(_several(entries.select("bucket", "id", "p").dropDuplicates(["bucket", "id"]), "id"), "members0")
     lead = members.groupBy("bucket").agg(F.min(F.struct("id", "p")).alias("l")).select("bucket", F.col("l.id").alias("lead"), F.col("l.p").alias("q"))
     led = members.join(lead, "bucket").where("id <> lead")
-    scored = scratch.keep(confirm(led.where(near).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()), "scored")
+    pairs = led.where(near).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    if sketches is not None:
+        pairs = pairs.join(sketches.withColumnRenamed("id", "b"), "b").join(sketches.select(F.col("id").alias("a"), F.col("w").alias("v")), "a").where(closer).select("a", "b")
+    scored = scratch.keep(confirm(pairs), "scored")
     found = components(scratch, scored.where("ok"), "cc0_")
     first = scored.select(F.col("a").alias("lead"), F.col("b").alias("id"), "d")
     members = scratch.keep(led.select("bucket", "id", "p", "lead").join(first, ["lead", "id"], "left").drop("lead"), "members1")
     k = 0
     while True:
         k += 1
-        named = members.join(found, "id", "left").select("bucket", "id", "p", "d", F.coalesce("component", "id").alias("c"))
-        left = scratch.keep(_several(named, "c"), f"left{k}")
+        named = members.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).select("bucket", "id", "p", "d", "c", *(["w"] if k > 1 else []))
+        left = _several(named, "c")
+        if k == 1:
+            left = left.withColumn("w", F.lit(True)) if sketches is None else left.join(sketches, "id")
+        left = scratch.keep(left, f"left{k}")
         if left.isEmpty():
             return found
         counts = left.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("n"))
@@ -81,9 +89,9 @@ def link_buckets(scratch: Scratch, entries: DataFrame, confirm: Callable[[DataFr
         else:
             chosen, salts = sized.where("c <> top"), F.when(F.col("rest") <= LEADERS, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(LEADERS)))
             others = left
-        leaders = chosen.groupBy("bucket", salts.alias("s")).agg(F.max(F.struct("c", "id", "p", "d")).alias("l"), F.max("rest").alias("rest"))
-        leaders = scratch.keep(leaders.select("bucket", F.col("l.id").alias("lead"), F.col("l.c").alias("lc"), F.col("l.p").alias("q"), F.col("l.d").alias("ld"), "rest"), f"leaders{k}")
-        pairs = others.join(leaders, "bucket").where(f"id <> lead AND c <> lc AND coalesce(abs(d - ld) <= {reach} + 1e-9, true) AND {near}")
+        leaders = chosen.groupBy("bucket", salts.alias("s")).agg(F.max(F.struct("c", "id", "p", "d", "w")).alias("l"), F.max("rest").alias("rest"))
+        leaders = scratch.keep(leaders.select("bucket", F.col("l.id").alias("lead"), F.col("l.c").alias("lc"), F.col("l.p").alias("q"), F.col("l.d").alias("ld"), F.col("l.w").alias("v"), "rest"), f"leaders{k}")
+        pairs = others.join(leaders, "bucket").where(f"id <> lead AND c <> lc AND coalesce(abs(d - ld) <= {reach} + 1e-9, true) AND {near} AND {closer}")
         pairs = pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
         links = scratch.keep(confirm(pairs).where("ok").select("a", "b"), f"links{k}")
         if not links.isEmpty():

@@ -13,11 +13,16 @@ Defined results: null texts and texts without words have an empty set and link w
 stay, as their own component); fewer words than a shingle are one shingle; a null id has a null
 component and stays; rows that share an id share their component, and all of them count as kept if
 the id is its component; an empty table gives no rows; other columns are ignored.
+
+Before full sets are compared, an odd sketch (bit i: the parity of the elements that fall on i)
+rules out pairs for certain: the bits in which two sketches differ are at most the elements in
+which the sets differ. No link is lost by it, whatever the sizes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +34,8 @@ from tallyfold.llm.linking import link_buckets
 
 BANDS, ROWS = 32, 5
 SHINGLE, SIMILARITY = 2, 80
+#: 64-bit words of an odd sketch.
+SKETCH = 16
 #: Elements that are worked on at a time; bounds the memory of the permutations.
 CHUNK = 20_000
 
@@ -100,8 +107,14 @@ def _bands(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+def odd_sketch(elements: np.ndarray) -> np.ndarray:
+    """SKETCH words: bit i is the parity of the number of elements that fall on i."""
+    bits = np.bincount((elements & np.uint64(SKETCH * 64 - 1)).astype(np.int64), minlength=SKETCH * 64).astype(np.uint8) & 1
+    return np.packbits(bits).view(np.int64)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, digest (null for an empty set), bands (array of bucket)."""
+    """doc_id, n_shingles, digest (null for an empty set), bands (array of bucket), o0 ... (odd sketch)."""
 
     def make():
         hashes = WordHashes()
@@ -109,15 +122,18 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, bands: in
         def work(texts: list[str]) -> dict:
             sets = [shingles(t, size, hashes) for t in texts]
             b = _bands(superminhash(sets, bands * rows), bands, rows)
+            odd = np.stack([odd_sketch(s) for s in sets]) if sets else np.zeros((0, SKETCH), np.int64)
             return {
                 "n_shingles": [len(s) for s in sets],
                 "digest": pa.array([hashlib.sha256(s.tobytes()).digest()[:16] if len(s) else None for s in sets], pa.binary()),
                 "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(b.ravel())),
+                **{f"o{i}": np.ascontiguousarray(odd[:, i]) for i in range(SKETCH)},
             }
 
         return work
 
-    return map_texts(docs, text_col, {"doc_id": f"`{id_col}`"}, "n_shingles long, digest binary, bands array<long>", make)
+    schema = "n_shingles long, digest binary, bands array<long>, " + ", ".join(f"o{i} long" for i in range(SKETCH))
+    return map_texts(docs, text_col, {"doc_id": f"`{id_col}`"}, schema, make)
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -144,27 +160,38 @@ def near_dedup(
     scratch = Scratch(spark, "near")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     sig = scratch.keep(signatures(docs, "doc_id", "_text", size, bands, rows), "signatures")
+    odd = [f"o{i}" for i in range(SKETCH)]
     named = sig.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     by_class = named.select("doc_id", "n_shingles", "digest").join(classes, "digest")
     reps = scratch.keep(
-        named.join(classes.select("digest", F.col("rep").alias("doc_id")), ["doc_id", "digest"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands"), "reps"
+        named.join(classes.select("digest", F.col("rep").alias("doc_id")), ["doc_id", "digest"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", F.struct("n_shingles", *odd).alias("w")), "reps"
     )
     entries = reps.select("id", F.col("n").alias("p"), F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
     entries = scratch.keep(entries.join(shared, "bucket"), "entries")
     # full sets only of texts that share a bucket with another text
-    wanted = entries.select("id").distinct()
-    sets = scratch.keep(shingle_sets(docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").dropDuplicates(["doc_id"]), "doc_id", "_text", size), "sets")
+    wanted = scratch.keep(entries.select("id").distinct(), "wanted")
+    sets = scratch.keep(shingle_sets(docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi"), "doc_id", "_text", size), "sets")
+    rounds = count()
     apart = 1 - similarity / 100
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
+        # pairs and their ids are written first: Spark then knows their size, and leaves the sets where they are if it is small
+        k = next(rounds)
+        pairs = scratch.keep(pairs, f"pairs{k}")
+        needed = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"needed{k}")
+        few = sets.join(needed, "id", "left_semi")
+        side = lambda x: few.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
         common = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-        return common.select("a", "b", F.expr("1 - common / (total - common)").alias("d"), F.expr(f"100 * common >= {similarity} * (total - common)").alias("ok"))
-
-    # the payload is the size of the set
-    groups = link_buckets(scratch, entries, confirm, apart, f"100 * least(p, q) >= {similarity} * greatest(p, q)")
+        told = common.select("a", "b", F.expr("1 - common / (total - common)").alias("d"), F.expr(f"100 * common >= {similarity} * (total - common)").alias("ok"))
+        # an id that several texts share has several sets: linked if any is, without a distance
+        return told.groupBy("a", "b").agg(F.expr("CASE WHEN min(d) = max(d) THEN min(d) END").alias("d"), F.max("ok").alias("ok"))
+
+    # the payload is the size of the set; J >= s/100 means a difference of at most (100 - s) / (100 + s) of both sizes
+    differ = " + ".join(f"bit_count(w.{c} ^ v.{c})" for c in odd)
+    closer = f"{100 + similarity} * ({differ}) <= {100 - similarity} * (w.n_shingles + v.n_shingles)"
+    groups = link_buckets(scratch, entries, confirm, apart, f"100 * least(p, q) >= {similarity} * greatest(p, q)", reps.select("id", "w"), closer)
     # a class and its representative are linked as well: copies of one id may differ in text, so classes can share an id
     tied = by_class.where("doc_id <> rep").select("doc_id", "rep").distinct()
     final = (
