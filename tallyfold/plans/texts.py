@@ -78,7 +78,7 @@ def _notes(spark, d):
 def parse_action_items(notes, key):
     """A row per checkbox line of the Action Items section: owner, text, due date, cite, state."""
     lines = notes.select(key, F.explode_outer(F.split(X.section(F.col("doc"), "Action Items"), "\n")).alias("line"))
-    pattern = r"^\s*[-*]\s*\[([ xX])\]\s*\*\*(.+?)\*\*\s*[-:]\s*(.*?)((?:\s*\[[^\]]*\])*)\s*$"
+    pattern = r"^\s*[-*]\s*\[([ xX])\]\s*\*\*(.+?)\*\*\s*[-:–—]\s*(.*?)((?:\s*\[[^\]]*\])*)\s*$"
     part = lambda k: F.regexp_extract("line", pattern, k)
     body = part(3)
     due = F.regexp_extract(body, r"(?i)\bDue:\s*(.*)$", 1)
@@ -91,6 +91,50 @@ def action_items(spark, d):
     return parse_action_items(_notes(spark, d), "l_orderkey")
 
 
+def parse_decisions(notes, key):
+    """A row per bullet of the Decisions section with a bold text: text, decided_by, rationale, cite.
+
+    The decider stands after "by" and before a full stop or comma, in front of the rationale; it is
+    null unless it starts with a capital letter. A rationale ends with its line.
+    """
+    lines = notes.select(key, F.explode_outer(F.split(X.section(F.col("doc"), "Decisions"), "\n")).alias("line"))
+    pattern = r"^\s*[-*]\s*\*\*(.+?)\*\*\s*(.*?)((?:\s*\[[^\]]*\])*)\s*$"
+    rest = F.regexp_extract("line", pattern, 2)
+    decider = F.regexp_extract(F.regexp_replace(rest, r"(?i)\bRationale:.*$", ""), r"\bby\s+([A-Z][^.,]*)", 1)
+    return lines.where(F.col("line").rlike(pattern)).select(
+        key, F.trim(F.regexp_extract("line", pattern, 1)).alias("text"), F.nullif(F.trim(decider), F.lit("")).alias("decided_by"), F.nullif(F.trim(F.regexp_extract(rest, r"(?i)\bRationale:\s*(.*)$", 1)), F.lit("")).alias("rationale"), F.trim(F.regexp_extract("line", pattern, 3)).alias("cite")
+    )
+
+
+def parse_questions(notes, key):
+    """A row per bullet of the Open Questions section: text, owner (who needs to resolve it, else null), cite."""
+    lines = notes.select(key, F.explode_outer(F.split(X.section(F.col("doc"), "Open Questions"), "\n")).alias("line"))
+    pattern = r"^\s*[-*]\s+(.+?)((?:\s*\[[^\]]*\])*)\s*$"
+    whole = F.regexp_extract("line", pattern, 1)
+    owner = F.regexp_extract(whole, r"([A-Z][\w ]*?)\s+needs?\s+to\s+resolve\s+(?:this|it|that)\b", 1)
+    return lines.where(F.col("line").rlike(pattern)).select(key, F.trim(whole).alias("text"), F.nullif(owner, F.lit("")).alias("owner"), F.trim(F.regexp_extract("line", pattern, 2)).alias("cite"))
+
+
+def _minutes(spark, d):
+    """A note per order: a decision and a question for each of its lines."""
+    line, sup = S.read(spark, d, "lineitem"), S.read(spark, d, "supplier")
+    rows = line.join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
+    n, part = F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")
+    said = F.when(F.col("l_returnflag") == "N", F.concat(F.lit("decided by "), "s_name", F.lit(". "))).otherwise("agreed. ")
+    decision = F.concat(F.lit("- **Ship "), part, F.lit("** - "), said, F.when(F.col("l_linestatus") == "F", "Rationale: it was late. ").otherwise(""), F.lit("[0:0"), n, F.lit("]"))
+    question = F.concat(F.lit("- Where is "), part, F.lit("? "), F.when(F.col("l_returnflag") == "R", F.concat(F.lit("Buyer "), n, F.lit(" needs to resolve this. "))).otherwise(""), F.lit("[0:0"), n, F.lit("]"))
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", c.alias("line")))), lambda x: x["line"]), "\n")
+    return rows.groupBy("l_orderkey").agg(F.concat(F.lit("# Notes\n\n## Decisions\n"), text(decision), F.lit("\n\n## Open Questions\n"), text(question), F.lit("\n\n## Risks\n- none\n")).alias("doc"))
+
+
+def decisions(spark, d):
+    return parse_decisions(_minutes(spark, d), "l_orderkey")
+
+
+def questions(spark, d):
+    return parse_questions(_minutes(spark, d), "l_orderkey")
+
+
 def _graph_notes(spark, d):
     line, part = S.read(spark, d, "lineitem"), S.read(spark, d, "part")
     rows = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_brand", "p_type", "l_returnflag")
@@ -102,7 +146,7 @@ def _graph_notes(spark, d):
 
 def entities(spark, d):
     lines = _graph_notes(spark, d).select("l_orderkey", F.posexplode_outer(F.split(X.section(F.col("doc"), "Entities"), "\n")).alias("pos", "line"))
-    pattern = r"^\s*(?:[-*]\s*)?(.+?)\s*[\(\[]([^\)\]]+)[\)\]]\s*[-:]?\s*(.*)$"
+    pattern = r"^\s*(?:[-*]\s*)?(.+?)\s*[\(\[]([^\)\]]+)[\)\]]\s*[-:–—]?\s*(.*)$"
     part = lambda k: F.regexp_extract("line", pattern, k)
     rows = lines.where(F.col("line").rlike(pattern)).select("l_orderkey", "pos", part(1).alias("name"), F.lower(part(2)).alias("kind"))
     from tallyfold.operators import latest
@@ -146,6 +190,8 @@ QUERIES = {
     "salient_terms": (salient_terms, f"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9-]{{2,}}')) AS term FROM documents WHERE lang = 'en'), w AS (SELECT doc_id, term, CAST(sum(CASE WHEN regexp_matches(term, '^[A-Z]') OR contains(term, '-') THEN 3 ELSE 1 END) AS BIGINT) AS weight FROM t WHERE lower(term) NOT IN ({STOP}) GROUP BY 1, 2) SELECT doc_id, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS n FROM w) WHERE n <= 12"),
     "keyword_score_topk": (keyword_score_topk, f"SELECT doc_id, {' + '.join(f'CAST({o} > 0 AS BIGINT)' for o in OCC)} AS hit_words, {' + '.join(OCC)} AS total FROM documents WHERE {' + '.join(OCC)} > 0 ORDER BY hit_words DESC, total DESC, doc_id LIMIT 5"),
     "parse_action_items": (action_items, "SELECT l_orderkey, s_name AS owner, 'ship ' || l_partkey || '.' AS text, CAST(l_shipdate AS DATE) AS due_iso, '[0:0' || l_linenumber || ']' AS cite, CASE l_linestatus WHEN 'F' THEN 'done' ELSE 'open' END AS state FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"),
+    "parse_decisions": (decisions, "SELECT l_orderkey, 'Ship ' || l_partkey AS text, CASE l_returnflag WHEN 'N' THEN s_name END AS decided_by, CASE l_linestatus WHEN 'F' THEN 'it was late.' END AS rationale, '[0:0' || l_linenumber || ']' AS cite FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"),
+    "parse_open_questions": (questions, "SELECT l_orderkey, 'Where is ' || l_partkey || '?' || CASE l_returnflag WHEN 'R' THEN ' Buyer ' || l_linenumber || ' needs to resolve this.' ELSE '' END AS text, CASE l_returnflag WHEN 'R' THEN 'Buyer ' || l_linenumber END AS owner, '[0:0' || l_linenumber || ']' AS cite FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"),
     "parse_entities": (entities, "SELECT l_orderkey, p_brand AS name, lower(p_type) AS kind FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, lower(p_brand) ORDER BY l_linenumber, upper(p_type)) AS n FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE n = 1"),
     "parse_relations": (relations, "SELECT DISTINCT l_orderkey, p_brand AS subject, l_returnflag AS predicate, p_type AS object FROM lineitem JOIN part ON l_partkey = p_partkey"),
     "due_date_iso": (due_dates, "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) END AS due FROM orders"),

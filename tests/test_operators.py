@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tallyfold import functions as X
 from tallyfold import operators as O
 from tallyfold.plans import registry
-from tallyfold.plans.texts import parse_action_items
+from tallyfold.plans.texts import parse_action_items, parse_decisions, parse_questions
 
 
 def rows(df):
@@ -17,11 +17,18 @@ def test_timestamp(spark):
 
 
 def test_action_items(spark):
-    doc = "# T\n\n## Action Items\n- [x] **Dana** - ship it. Due: before 2026-08-17. [0:01] [0:02]\n- [ ] **Kim** - think\nnot a line\n\n## Risks\n- [ ] **No** - one\n"
+    doc = "# T\n\n## Action Items\n- [x] **Dana** - ship it. Due: before 2026-08-17. [0:01] [0:02]\n- [ ] **Kim** — think\nnot a line\n\n## Risks\n- [ ] **No** - one\n"
     got = rows(parse_action_items(spark.createDataFrame([(1, doc)], "k int, doc string"), "k"))
     assert [(r[1], r[2], str(r[3]), r[4], r[5]) for r in got] == [("Dana", "ship it.", "2026-08-17", "[0:01] [0:02]", "done"), ("Kim", "think", "None", "", "open")]
 
 
+def test_decisions_and_questions(spark):
+    doc = "## Decisions\n- **Use A** - decided jointly by Dana Roe and Kim. Rationale: cheap. [1:02]\n- **Keep B** - agreed by all\nRationale: on a second line\n\n## Open Questions\n- Who pays? Ana needs to resolve this. [0:03]\n- Why? It needs to change.\n\n## Risks\n- none\n"
+    notes = spark.createDataFrame([(1, doc), (2, ""), (3, None)], "k int, doc string")
+    assert sorted(map(str, parse_decisions(notes, "k").drop("k").collect())) == ["Row(text='Keep B', decided_by=None, rationale=None, cite='')", "Row(text='Use A', decided_by='Dana Roe and Kim', rationale='cheap.', cite='[1:02]')"]
+    assert sorted(map(str, parse_questions(notes, "k").drop("k").collect())) == ["Row(text='Who pays? Ana needs to resolve this.', owner='Ana', cite='[0:03]')", "Row(text='Why? It needs to change.', owner=None, cite='')"]
+
+
 def test_replace_twice_is_once(spark):
     old = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "m int, t string")
     new = spark.createDataFrame([(1, "z")], "m int, t string")
