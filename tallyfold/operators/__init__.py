@@ -119,6 +119,27 @@ def match_top2(pending: DataFrame, prints: DataFrame) -> DataFrame:
     return best.select("vec_id", "speech_sec", at(0, "person").alias("best"), (-at(0, "s") + 0.0).alias("best_score"), at(1, "person").alias("next"), F.coalesce(-at(1, "s"), F.lit(0.0)).alias("next_score"))
 
 
+def leave_one_out(samples: DataFrame) -> DataFrame:
+    """person, meeting_id, correct: whether a meeting's own samples find their person without them.
+
+    People with samples in two meetings or more are tested. A person's sums without a meeting are
+    the sums less that meeting's, so no profile is computed anew; other people keep all samples.
+    """
+    weight = F.greatest("speech_sec", F.lit(0.1))
+    cells = samples.select("person", "meeting_id", weight.alias("w"), F.posexplode(normalised(F.col("embedding"))).alias("pos", "x"))
+    held = cells.groupBy("person", "meeting_id", "pos").agg(F.sum(F.col("w") * F.col("x")).alias("h"))
+    whole = held.groupBy("person", "pos").agg(F.sum("h").alias("t"), F.count(F.lit(1)).alias("meetings")).where("meetings >= 2")
+    cell = F.struct("pos", "h", (F.col("t") - F.col("h")).alias("rest"))
+    pairs = held.join(whole, ["person", "pos"]).groupBy("person", "meeting_id").agg(F.array_sort(F.collect_list(cell)).alias("c"))
+    unit = lambda f: normalised(F.transform("c", lambda x: x[f]))
+    asked = pairs.select(F.struct("person", "meeting_id").alias("vec_id"), F.lit(0.0).alias("speech_sec"), unit("h").alias("embedding"), F.round(dot(unit("h"), unit("rest")), 6).alias("own"))
+    found = match_top2(asked, profiles(samples)).join(asked.select("vec_id", "own"), "vec_id")
+    mine = F.col("best") == F.col("vec_id.person")
+    other, score = F.when(mine, F.col("next")).otherwise(F.col("best")), F.when(mine, F.col("next_score")).otherwise(F.col("best_score"))
+    won = other.isNull() | (F.col("own") > score) | (F.col("own") == score) & (F.col("vec_id.person") < other)
+    return found.select("vec_id.person", "vec_id.meeting_id", won.alias("correct"))
+
+
 def band(best: Column, nxt: Column, speech: Column, meetings: Column, auto=0.62, review=0.38, margin=0.12, least_speech=30.0, least_meetings=2) -> Column:
     """auto, review or new; no best score counts as new."""
     return (

@@ -196,5 +196,5 @@ QUERIES = {
     "parse_relations": (relations, "SELECT DISTINCT l_orderkey, p_brand AS subject, l_returnflag AS predicate, p_type AS object FROM lineitem JOIN part ON l_partkey = p_partkey"),
     "due_date_iso": (due_dates, "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) END AS due FROM orders"),
     "category_classify": (categories, r"SELECT CASE WHEN contains(t, 'license') THEN 'legal' WHEN regexp_matches(t, '[0-9]{4}') AND contains(t, '@') THEN 'personal' WHEN regexp_matches(t, '\bration') THEN 'review' ELSE 'other' END AS kind, lang, count(*) AS n FROM (SELECT lower(text) AS t, lang FROM documents) GROUP BY 1, 2"),
-    "direct_address": (addressed, None),
+    "direct_address": (addressed, rf"WITH {S.TURNS}, a AS (SELECT session_id, turn, regexp_extract_all(text, '(?:^|[\n.] ?)([A-Z][a-z]+),', 1) AS l FROM turns) SELECT session_id, turn, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS names FROM a"),
 }

@@ -93,5 +93,5 @@ QUERIES = {
     "glossary_budget": (glossary_budget, f"WITH {RUN} SELECT session_id, turn, CAST(used AS BIGINT) AS used FROM b WHERE used <= 900"),
     "region_cap": (region_cap, f"WITH {RUN} SELECT session_id, turn, CAST(greatest(0, least(n, 700 - (used - n))) AS BIGINT) AS kept FROM b WHERE greatest(0, least(n, 700 - (used - n))) > 0"),
     "dialogue_sample": (dialogue_sample, f"WITH {RUN} SELECT session_id, turn FROM b WHERE c <= 4 OR i <= 2 OR i = c // 2 OR i > c - 1"),
-    "word_coverage": (word_coverage, None),
+    "word_coverage": (word_coverage, f"WITH {T}, w AS (SELECT session_id, length(text) / 15.0::DOUBLE AS n, sum(length(text) / 15.0::DOUBLE) OVER (PARTITION BY session_id ORDER BY turn) AS e FROM turns), s AS (SELECT session_id, e - n AS s, e - n / 2 AS e FROM w), p AS (SELECT *, unnest(range(CAST(floor(s / 6) AS BIGINT), CAST(floor(e / 6) AS BIGINT) + 1)) AS b FROM s) SELECT session_id, b, round(least(1.0::DOUBLE, sum(greatest(0.0::DOUBLE, least(e, (b + 1) * 6.0::DOUBLE) - greatest(s, b * 6.0::DOUBLE))) / 6), 3) + 0.0 AS coverage FROM p GROUP BY session_id, b"),
 }
