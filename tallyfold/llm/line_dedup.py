@@ -1,11 +1,17 @@
-"""Operator 9: fuzzy line dedup by SimHash, pigeonhole blocks and edit similarity.
+"""Operator 9: fuzzy line dedup by MinHash bands over words and edit similarity.
 
 Lines are normalised (lower case, digits as 0, white space as one space); of lines with MIN_WORDS
-words or more, those with equal normal forms are one class. A class has a 128-bit SimHash over its
-distinct words; two SimHashes that differ in at most MAX_BITS places agree in one of MAX_BITS + 1 blocks of
-32 bits, so classes are joined on (block number, block), pairs are confirmed by the bit distance
-and by edit similarity of the whole normal forms, and groups are the components of confirmed links.
-Of each group the first occurrence by (id, line number) stays.
+words or more, those with equal normal forms are one class. A class has BANDS keys, each of the
+ROWS smallest words under as many hash functions; its words are those of LONG bytes or more, as
+the common short ones are in most lines. Classes with fewer than FEW of these have BANDS more keys
+over all words. Classes that share a key are confirmed by edit similarity of the whole normal
+forms, and groups are the components of confirmed links. Of each group the first occurrence by
+(id, line number) stays.
+
+A SimHash within few bits, as was used before, finds next to no changed word: one changed word
+moves 8 to 23 of 128 bits, too many for blocks. Two lines that share a fraction j of their words
+have a key in common with probability 1 - (1 - j**ROWS)**BANDS: 0.996 for j = 2/3, which is one
+word in five replaced.
 
 Defined results: null and empty texts have no lines to remove; lines below MIN_WORDS words always
 stay; rows that repeat another's id and text are one occurrence (they keep and lose the same
@@ -14,24 +20,25 @@ lines); null ids sort first; an empty table gives no rows; other columns are kep
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import Scratch, WordHashes, map_texts_many, mix, table
+from tallyfold.llm.common import BASE, Scratch, WordHashes, map_texts_many, mix, table
 from tallyfold.llm.linking import link_buckets
 
-MIN_WORDS, MAX_BITS, SIMILARITY = 5, 3, 0.8
-BITS, BLOCKS = 128, MAX_BITS + 1
+MIN_WORDS, SIMILARITY = 5, 0.8
+BANDS, ROWS, LONG, FEW = 16, 3, 5, 4
 
 _ZERO = bytes.maketrans(b"0123456789", b"0000000000")
-#: Lines of more words than this are summed one by one.
-WIDE = 1000
-_SALT = np.uint64(0xD6E8FEB86659FD93)
+_SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_BASE = np.uint64(BASE)
 
 
 def normal_words(text: str) -> list[list[bytes]]:
@@ -39,51 +46,34 @@ def normal_words(text: str) -> list[list[bytes]]:
     return [line.split() for line in text.lower().encode().translate(_ZERO).split(b"\n")]
 
 
-class WordBits:
-    """SimHashes by 128 bits of each word, mixed from its 64-bit hash."""
+class BandKeys:
+    """Keys of sets of words, by 64-bit hashes of the words."""
 
     def __init__(self):
         self.hashes = WordHashes()
 
-    def simhash(self, lines: list[list[bytes]]) -> np.ndarray:
-        """(len(lines), 4) blocks of 32 bits; each distinct word of a line counts once.
-
-        A bit is set where more than half of the words have it. The counts of all bits are kept as
-        bit planes (plane p holds bit p of every count), for many lines at a time.
-        """
-        out = np.zeros((len(lines), 2), np.uint64)
+    def of(self, sets: list[set[bytes]], first: int = 0) -> np.ndarray:
+        """(len(sets), BANDS) keys of non-empty sets; bands are numbered from `first`."""
+        out = np.empty((len(sets), BANDS), np.uint64)
+        for at in range(0, len(sets), 1024):
+            part = sets[at : at + 1024]
+            h = self.hashes.of(list(chain.from_iterable(part)))
+            starts = np.concatenate([[0], np.cumsum([len(x) for x in part])[:-1]])
+            for i in range(BANDS):
+                key = np.full(len(part), first + i + 1, np.uint64)
+                for salt in _SALTS[i * ROWS : (i + 1) * ROWS]:
+                    key = mix(key * _BASE + np.minimum.reduceat(mix(h ^ salt), starts))
+                out[at : at + len(part), i] = key
+        return out
+
+    def entries(self, lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of lines, and a key for each."""
         words = [set(x) for x in lines]
-        size = np.array([len(x) for x in words])
-        order = np.argsort(-size, kind="stable")
-        for at in range(0, len(order), 4096):
-            part = order[at : at + 4096]
-            h = self.hashes.of(list(chain.from_iterable(words[i] for i in part)))
-            bits, n = np.stack([mix(h ^ _SALT), h], axis=1), size[part]
-            starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-            for k in np.flatnonzero(n > WIDE):
-                own = bits[starts[k] : starts[k] + n[k]].view(np.uint8)
-                out[part[k]] = np.packbits(np.unpackbits(own, axis=1).sum(0, dtype=np.int64) * 2 > n[k]).view(np.uint64)
-            short = int((n > WIDE).sum())
-            part, n, starts = part[short:], n[short:], starts[short:]
-            if not len(part):
-                continue
-            planes = [np.zeros((len(part), 2), np.uint64) for _ in range(int(n[0]).bit_length())]
-            for j in range(int(n[0])):
-                m = int(np.searchsorted(-n, -j, "left"))  # lines with more than j words
-                carry = bits[starts[:m] + j]
-                for p in range((j + 1).bit_length()):
-                    plane = planes[p][:m]
-                    over = plane & carry
-                    plane ^= carry
-                    carry = over
-            least = (n // 2 + 1).astype(np.uint64)
-            above, equal = np.zeros((len(part), 2), np.uint64), np.full((len(part), 2), ~np.uint64(0))
-            for p in reversed(range(len(planes))):
-                want = (np.uint64(0) - (least >> np.uint64(p) & np.uint64(1)))[:, None]
-                above |= equal & planes[p] & ~want
-                equal &= ~(planes[p] ^ want)
-            out[part] = above | equal
-        return out.view(np.int32).reshape(-1, BLOCKS)
+        long = [{w for w in x if len(w) >= LONG} for x in words]
+        out = []
+        for first, sets, which in ((0, long, [i for i, x in enumerate(long) if x]), (BANDS, words, [i for i, x in enumerate(long) if len(x) < FEW])):
+            out.append((np.repeat(np.array(which, np.int64), BANDS), self.of([sets[i] for i in which], first).ravel()))
+        return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -112,36 +102,48 @@ def edit_distance(a: str, b: str, most: int) -> int:
 
 
 def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
-    """_id, _t, lh (class), line (number), b0 ... b3, norm for the lines that count, of docs (_id, _t, _text)."""
+    """_id, _t, lh (class), line (number), norm for the lines that count, of docs (_id, _t, _text)."""
 
     def make():
-        bits = WordBits()
-
         def work(texts: list[str], _) -> tuple:
             counts, number, norms = [], [], []
             classes: dict[bytes, int] = {}
-            words: list[list[bytes]] = []
             for t in texts:
                 n = len(number)
                 for i, line in enumerate(normal_words(t)):
                     if len(line) >= min_words:
-                        norm = b" ".join(line)
-                        k = classes.setdefault(norm, len(classes))
-                        if k == len(words):
-                            words.append(line)
                         number.append(i)
-                        norms.append(k)
+                        norms.append(classes.setdefault(b" ".join(line), len(classes)))
                 counts.append(len(number) - n)
             index = np.array(norms, np.int64)
-            blocks = bits.simhash(words) if words else np.zeros((0, BLOCKS), np.int32)
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, classes), np.uint64, len(classes)).view(np.int64)
             flat = pa.array(list(classes), pa.binary()).take(pa.array(index)).cast(pa.string())
-            return counts, {"lh": hashes[index], "line": pa.array(number, pa.int32()), **{f"b{i}": np.ascontiguousarray(blocks[index, i]) for i in range(BLOCKS)}, "norm": flat}
+            return counts, {"lh": hashes[index], "line": pa.array(number, pa.int32()), "norm": flat}
 
         return work
 
-    schema = "lh long, line int, " + ", ".join(f"b{i} int" for i in range(BLOCKS)) + ", norm string"
-    return map_texts_many(docs, "_text", {"_id": "_id", "_t": "_t"}, schema, make)
+    return map_texts_many(docs, "_text", {"_id": "_id", "_t": "_t"}, "lh long, line int, norm string", make)
+
+
+def entries_of(lines: DataFrame) -> DataFrame:
+    """id (class), p (characters), bucket (key) of lines (lh, norm); classes may come more than once."""
+
+    def run(batches):
+        keys = BandKeys()
+        for batch in batches:
+            ids, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+            norms = batch.column(1).take(pa.array(first))
+            size = pc.utf8_length(norms).to_numpy()
+            at, bucket = keys.entries([x.split() for x in norms.cast(pa.binary()).to_pylist()])
+            yield pa.RecordBatch.from_pydict({"id": ids[at], "p": size[at], "bucket": bucket.view(np.int64)})
+
+    return lines.select("lh", "norm").mapInArrow(run, "id long, p int, bucket long")
+
+
+def may_be_similar(a: str, b: str, most: int) -> bool:
+    """False only for strings more than `most` edits apart: an edit takes away two bigrams at most."""
+    common = Counter(zip(a, a[1:], strict=False)) & Counter(zip(b, b[1:], strict=False))
+    return common.total() >= max(len(a), len(b)) - 1 - 2 * most
 
 
 def _similar(similarity: float):
@@ -152,8 +154,8 @@ def _similar(similarity: float):
             for s, t in zip(x, y, strict=True):
                 longest = max(len(s), len(t))
                 most = int((1 - similarity) * longest + 1e-9)
-                ok.append(edit_distance(s, t, most) <= most)
-            yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1), "d": batch.column(4), "ok": pa.array(ok, pa.bool_())})
+                ok.append(may_be_similar(s, t, most) and edit_distance(s, t, most) <= most)
+            yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1), "d": pa.nulls(len(ok), pa.float64()), "ok": pa.array(ok, pa.bool_())})
 
     return run
 
@@ -161,26 +163,24 @@ def _similar(similarity: float):
 def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """_id, _t, gone (array of line numbers) of docs (_id, _t, _text)."""
     scratch = Scratch(docs.sparkSession, "lines")
-    blocks = [f"b{i}" for i in range(BLOCKS)]
     lines = scratch.keep(lines_of(docs, min_words), "lines")
     place = F.struct("_id", "_t", "line")
-    classes = scratch.keep(lines.groupBy("lh").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), *(F.min(b).alias(b) for b in blocks)), "classes")
-    entries = classes.select(F.col("lh").alias("id"), F.struct(*blocks).alias("p"), F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(b).alias("b")) for i, b in enumerate(blocks)))).alias("bucket"))
-    entries = entries.select("id", "p", (F.col("bucket.i").cast("long") * (1 << 32) + F.col("bucket.b")).alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
-    entries = scratch.keep(entries.join(shared, "bucket"), "entries")
+    classes = scratch.keep(lines.groupBy("lh").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
+    # a window, so that the entries are shuffled once; copies of a class are one entry of a batch
+    bucket = Window.partitionBy("bucket")
+    shared = entries_of(lines).select("*", F.min("id").over(bucket).alias("lo"), F.max("id").over(bucket).alias("hi")).where("lo <> hi")
+    entries = scratch.keep(shared.select("bucket", "id", "p"), "entries")
     wanted = entries.select(F.col("id").alias("lh")).distinct()
-    norms = scratch.keep(lines.select("lh", "norm").join(wanted, "lh", "left_semi").groupBy("lh").agg(F.min("norm").alias("norm")).join(classes.select("lh", *blocks), "lh"), "norms")
+    norms = scratch.keep(lines.select("lh", "norm").join(wanted, "lh", "left_semi").groupBy("lh").agg(F.min("norm").alias("norm")), "norms")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        side = lambda s: norms.select(F.col("lh").alias(s), F.col("norm").alias(f"n{s}"), *(F.col(b).alias(f"{b}{s}") for b in blocks))
-        bits = " + ".join(f"bit_count({b}a ^ {b}b)" for b in blocks)
-        both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", F.expr(f"CAST({bits} AS double)").alias("d"))
+        side = lambda s: norms.select(F.col("lh").alias(s), F.col("norm").alias(f"n{s}"))
+        both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb")
         return both.mapInArrow(_similar(similarity), "a long, b long, d double, ok boolean")
 
-    # the payload is the SimHash
-    near = " + ".join(f"bit_count(p.{b} ^ q.{b})" for b in blocks)
-    groups = link_buckets(scratch, entries, confirm, MAX_BITS, f"{near} <= {MAX_BITS}")
+    # the payload is the length, which bounds the edit distance from below; no distance rules pairs out
+    near = f"abs(p - q) <= {1 - similarity} * greatest(p, q) + 1e-9"
+    groups = link_buckets(scratch, entries, confirm, 0, near)
     # every class with copies or in a group has a first occurrence; all others of it go
     named = classes.select("lh", "first", "n").join(groups.select(F.col("id").alias("lh"), "component"), "lh", "left")
     heads = named.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("head"))
