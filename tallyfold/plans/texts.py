@@ -47,7 +47,7 @@ def keywords(spark, d):
 
 
 def salient_terms(spark, d):
-    doc = S.read(spark, d, "documents").where("lang = 'en'")
+    doc = S.read(spark, d, "documents")
     terms = doc.select("doc_id", F.explode_outer(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9-]{2,}"), F.lit(0))).alias("term")).where("term IS NOT NULL")
     terms = terms.where(~F.lower("term").isin(*X.STOPWORDS)).withColumn("w", F.when(F.col("term").rlike("^[A-Z]") | F.col("term").contains("-"), 3).otherwise(1))
     weights = terms.groupBy("doc_id", "term").agg(F.sum("w").alias("weight"))
