@@ -31,3 +31,17 @@ def test_salient_terms_of_all_languages(spark):
     assert set(got) == want and len(got) == len(want)
     lang = dict(column("documents", "doc_id", "lang"))
     assert {lang[r[0]] for r in got} == set(lang.values()) != {"en"}
+
+
+def test_neighbourhood_over_all_edges(spark):
+    supplier, brand = dict(column("supplier", "s_suppkey", "s_name")), dict(column("part", "p_partkey", "p_brand"))
+    near = {}
+    for s, p in column("lineitem", "l_suppkey", "l_partkey"):
+        near.setdefault(supplier[s], set()).add(brand[p])
+        near.setdefault(brand[p], set()).add(supplier[s])
+    want = front = {"Brand#11": 0}
+    for h in (1, 2):
+        front = {y: h for x in front for y in near[x] if y not in want}
+        want = want | front
+    got = result(spark, "graph_neighbourhood2")
+    assert dict(got) == want and len(got) == len(want)
