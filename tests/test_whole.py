@@ -45,3 +45,17 @@ def test_neighbourhood_over_all_edges(spark):
         want = want | front
     got = result(spark, "graph_neighbourhood2")
     assert dict(got) == want and len(got) == len(want)
+
+
+def test_first_names_fold_to_all_known_names(spark):
+    part = column("part", "p_name", "p_type")
+    known = Counter(n for n, _ in part)
+    starts = lambda a, b: (a.lower() + " ").startswith(b.lower() + " ")
+    want = {}
+    for name in {n.split(" ")[0] for n, _ in part} | {f"{n} {t.lower()}" for n, t in part}:
+        longer = [k for k in known if starts(k, name)]
+        found = longer + [k for k in known if starts(name, k) and k not in longer]
+        one = all(starts(x, y) or starts(y, x) for x in longer for y in longer)
+        want[name] = min(found, key=lambda k: (-known[k], k)) if found and one else name
+    got = result(spark, "first_name_fold")
+    assert dict(got) == want and len(got) == len(want)
