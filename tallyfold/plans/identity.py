@@ -10,7 +10,7 @@ from tallyfold import sources as S
 
 def vector_normalize(spark, d):
     e = S.samples(spark, d).select("vec_id", F.posexplode(O.normalised(F.col("embedding"))).alias("pos", "x"))
-    return e.where("pos < 4").select("vec_id", F.col("pos").cast("long").alias("pos"), (F.round("x", 4) + 0.0).alias("x"))
+    return e.select("vec_id", F.col("pos").cast("long").alias("pos"), (F.round("x", 4) + 0.0).alias("x"))
 
 
 def voiceprint_weighted(spark, d):

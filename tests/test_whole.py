@@ -59,3 +59,10 @@ def test_first_names_fold_to_all_known_names(spark):
         want[name] = min(found, key=lambda k: (-known[k], k)) if found and one else name
     got = result(spark, "first_name_fold")
     assert dict(got) == want and len(got) == len(want)
+
+
+def test_normalised_vectors_are_whole(spark):
+    vectors = dict(column("embeddings", "vec_id", "embedding"))
+    got = {(i, p): x for i, p, x in result(spark, "vector_normalize")}
+    want = {(i, p): x / sum(y * y for y in v) ** 0.5 for i, v in vectors.items() for p, x in enumerate(v)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 6e-5 for k in want)
