@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
+import time
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,11 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, a laptop) a temporary folder is made and set; it goes when
-    the process ends.
+    Only where that is unset and the session runs in one process (tests, a laptop) a temporary
+    folder is made and set; it goes when the process ends. On a cluster it must be set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[[^-]|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tallyfold-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{base}")
@@ -38,10 +45,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """A folder of its own below the shared folder for the written tables of one run."""
+    """A folder of its own below the shared folder for the written tables of one run.
+
+    What a lazy result still reads stays until the driver ends, then the folder goes.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self._at(self.path, "deleteOnExit")
+
+    def _at(self, path: str, call: str, *args) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        getattr(where.getFileSystem(self.spark._jsc.hadoopConfiguration()), call)(where, *args)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Cuts the lineage: df is written as Parquet and read again."""
@@ -51,10 +66,30 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Removes tables that no later plan reads."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._at(f"{self.path}/{name}", "delete", True)
+
+    def release(self, *names: str) -> None:
+        """As drop, and lets go of the shuffle files of plans that are done.
+
+        They stay on the executors' disks until the driver's collector has found their plans.
+        """
+        self.drop(*names)
+        for _ in range(2):  # the first finds Python's handles of a plan, the second the plan
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.25)
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as keep it apart from the given columns."""
+    have, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
 def ascii_lower(text):
@@ -79,10 +114,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Memo:
+    """A bounded memory of two generations: once the young one holds `bytes_` it becomes the old one.
+
+    What is in use moves along, and the whole never takes more than about twice `bytes_`.
+    """
+
+    def __init__(self, bytes_: int = 12 << 20, each: int = 200):
+        self.young, self.old, self.most = {}, {}, max(1, bytes_ // each)
+
+    def get(self, key):
+        got = self.young.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.most:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, remembered up to a bound so that memory doesn't grow."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 150_000):
         self.bound = bound
 
     def __missing__(self, word: bytes) -> int:
@@ -129,7 +185,78 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(BASE))
 
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: What parts words: space, tab, line feed, vertical tab, form feed, carriage return.
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: The low n bytes of eight, by n.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Longer words are hashed one by one.
+_LONG = 64
+
+
+class Words:
+    """The words of several texts as arrays: no Python object is made for a word.
+
+    data: the texts' bytes with a line feed after each; offset: of each text; start, end: of each
+    word; at: the first word of each text, and one more; line: the line feeds before each word;
+    hash: 64 bits of each word's bytes.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        whole = b"\n".join([*texts, b""])
+        self.data = data = np.frombuffer(whole, np.uint8)
+        self.offset = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+        gaps = np.flatnonzero(_SPACE[data])
+        start = np.concatenate([[0], gaps[:-1] + 1]) if len(gaps) else gaps
+        solid = gaps > start
+        self.start, self.end = start[solid], gaps[solid]
+        feeds = data[gaps] == 10
+        self.breaks = gaps[feeds]
+        self.line = (np.cumsum(feeds) - feeds)[solid]
+        self.at = np.searchsorted(self.start, self.offset)
+        self.hash = self._hash(whole)
+
+    def _hash(self, whole: bytes) -> np.ndarray:
+        eight = np.ndarray((len(whole),), "<u8", whole + bytes(8), 0, (1,))  # the eight bytes from each place on
+        size = self.end - self.start
+        out = mix(size.astype(np.uint64) * np.uint64(BASE) + np.uint64(1))
+        at, left, which = self.start, np.where(size > _LONG, 0, size), slice(None)
+        for _ in range(_LONG // 8):
+            out[which] = mix(out[which] * np.uint64(BASE) ^ (eight[at] & _LOW[np.minimum(left, 8)]))
+            more = np.flatnonzero(left > 8)
+            if not len(more):
+                break
+            which = more if isinstance(which, slice) else which[more]
+            at, left = at[more] + 8, left[more] - 8
+        for i in np.flatnonzero(size > _LONG):
+            out[i] = xxhash.xxh3_64_intdigest(whole[self.start[i] : self.end[i]])
+        return out
+
+
+def pieces(col: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """(start, slice) of a column of texts in order, each of about `size` bytes or one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, done = 0, 0
+    while at < len(col):
+        to = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
+        yield at, col.slice(at, to - at)
+        at, done = to, int(ends[to - 1])
+
+
+def by_text(make, kind: str):
+    """A column function of a text column: make() gives, once in each task, list of texts -> Arrow array.
+
+    The text goes to Python once and only the result comes back; other columns stay where they are.
+    """
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        work = make()
+        for col in batches:
+            done = [work(["" if t is None else t for t in part.to_pylist()]) for _, part in pieces(col)]
+            yield pa.concat_arrays(done) if done else work([])
+
+    return run
 
 
 def map_texts(rows: DataFrame, text_col: str, keep: dict[str, str], schema: str, make) -> DataFrame:
@@ -139,8 +266,6 @@ def map_texts(rows: DataFrame, text_col: str, keep: dict[str, str], schema: str,
     once in each worker and gives a function from a list of texts to the added columns. A batch
     is handed over in pieces of a few MB, so that long texts don't add up.
     """
-    import pyarrow as pa
-
     given = rows.selectExpr(*(f"{e} AS `{c}`" for c, e in keep.items()), f"`{text_col}` AS _text")
     columns = ", ".join(f"`{c}` {t}" for c, t in given.dtypes if c in keep) + ", " + schema
     kept = list(keep)
@@ -165,8 +290,6 @@ def map_texts_many(rows: DataFrame, text_col: str, keep: dict[str, str], schema:
 
     work gets the texts and the batch (for kept columns that it needs).
     """
-    import pyarrow as pa
-
     given = rows.selectExpr(*(f"{e} AS `{c}`" for c, e in keep.items()), f"`{text_col}` AS _text")
     kept = [c for c in keep if not c.startswith("_in_")]
     columns = ", ".join([f"`{c}` {t}" for c, t in given.dtypes if c in kept] + [schema])

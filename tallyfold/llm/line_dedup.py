@@ -1,79 +1,147 @@
 """Operator 9: fuzzy line dedup by MinHash bands over words and edit similarity.
 
 Lines are normalised (lower case, digits as 0, white space as one space); of lines with MIN_WORDS
-words or more, those with equal normal forms are one class. A class has BANDS keys, each of the
-ROWS smallest words under as many hash functions; its words are those of LONG bytes or more, as
-the common short ones are in most lines. Classes with fewer than FEW of these have BANDS more keys
-over all words. Classes that share a key are confirmed by edit similarity of the whole normal
-forms, and groups are the components of confirmed links. Of each group the first occurrence by
-(id, line number) stays.
-
-A SimHash within few bits, as was used before, finds next to no changed word: one changed word
-moves 8 to 23 of 128 bits, too many for blocks. Two lines that share a fraction j of their words
-have a key in common with probability 1 - (1 - j**ROWS)**BANDS: 0.996 for j = 2/3, which is one
+words or more, those with equal normal forms (128 bits of them) are one class. A class has BANDS
+keys, each of the ROWS smallest words under as many hash functions, where long words weigh more, as
+the common short ones are in most lines. Classes that share a key, whose lengths allow it and which
+agree in a third of all smallest words are confirmed by edit similarity of the whole normal forms, and groups are the components of confirmed links. Of each group the first
+occurrence by (id, line number) stays. `exact` takes other candidates, which lose no link at all:
+two forms of a and b characters within k edits share max(a, b) - 1 - 2 k pairs of neighbouring
+characters at least, so they share one of the first few of their pairs in any fixed order. That is
+for small tables, since many lines have a pair in common.
+
+A SimHash within few bits is no signature for an edit similarity of 0.8: one changed word moves 8 to
+23 of 128 bits, too many for pigeonhole blocks. Two lines that share a fraction j of their words
+have a key in common with probability 1 - (1 - j**ROWS)**BANDS: 0.985 for j = 2/3, which is one
 word in five replaced.
 
+The texts are read twice (places and keys, then normal forms), as arrays over the bytes; what is
+shuffled is a few numbers for each line and key, the normal forms of lines that share a key, and,
+last, the texts once.
+
 Defined results: null and empty texts have no lines to remove; lines below MIN_WORDS words always
 stay; rows that repeat another's id and text are one occurrence (they keep and lose the same
-lines); null ids sort first; an empty table gives no rows; other columns are kept.
+lines); null ids sort first; an empty table gives no rows; other columns are kept, whatever they
+are called, but those of the names given as `added`, which are overwritten.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import BASE, Scratch, WordHashes, map_texts_many, mix, table
+from tallyfold.llm.common import BASE, Scratch, Words, mix, pieces, prefix_sums, span_hashes, table
 from tallyfold.llm.linking import link_buckets
 
 MIN_WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS, LONG, FEW = 16, 3, 5, 4
+BANDS, ROWS, LONG, RICH = 12, 3, 5, 6
+#: Of the BANDS * ROWS smallest words, of which a byte each is kept, two forms that share a key must
+#: agree in so many to be compared (a share of common words of a third).
+AGREE = 12
 
 _ZERO = bytes.maketrans(b"0123456789", b"0000000000")
-_SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-_BASE = np.uint64(BASE)
-
-
-def normal_words(text: str) -> list[list[bytes]]:
-    """The words of each line of a text in normal form."""
-    return [line.split() for line in text.lower().encode().translate(_ZERO).split(b"\n")]
-
-
-class BandKeys:
-    """Keys of sets of words, by 64-bit hashes of the words."""
-
-    def __init__(self):
-        self.hashes = WordHashes()
-
-    def of(self, sets: list[set[bytes]], first: int = 0) -> np.ndarray:
-        """(len(sets), BANDS) keys of non-empty sets; bands are numbered from `first`."""
-        out = np.empty((len(sets), BANDS), np.uint64)
-        for at in range(0, len(sets), 1024):
-            part = sets[at : at + 1024]
-            h = self.hashes.of(list(chain.from_iterable(part)))
-            starts = np.concatenate([[0], np.cumsum([len(x) for x in part])[:-1]])
-            for i in range(BANDS):
-                key = np.full(len(part), first + i + 1, np.uint64)
-                for salt in _SALTS[i * ROWS : (i + 1) * ROWS]:
-                    key = mix(key * _BASE + np.minimum.reduceat(mix(h ^ salt), starts))
-                out[at : at + len(part), i] = key
+_SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+#: Weights as powers of two, by a word's bytes.
+_SHIFT = np.array([0, 0, 0, 0, 1, 2, 3, 4], np.uint64)
+_SKETCH = -(-BANDS * ROWS // 8)
+_BASE, _OTHER = np.uint64(BASE), np.uint64(0xA0761D6478BD642F)
+
+
+class Lines:
+    """The lines that count of several texts, as arrays.
+
+    text, number: where a line stands; first, count: its words; lh, lg: 128 bits of its normal form.
+    """
+
+    def __init__(self, texts: list[str], min_words: int):
+        self.words = w = Words([t.lower().encode().translate(_ZERO) for t in texts])
+        first = np.flatnonzero(np.diff(w.line, prepend=-1))
+        count = np.diff(np.append(first, len(w.line)))
+        good = count >= min_words
+        self.first, self.count = first[good], count[good]
+        self.text = np.searchsorted(w.offset, w.start[self.first], "right") - 1
+        self.number = w.line[self.first] - np.searchsorted(w.breaks, w.offset[:-1])[self.text]
+        ends = self.first + self.count
+        self.lh = span_hashes(prefix_sums(w.hash), self.first, ends)
+        self.lg = span_hashes(prefix_sums(mix(w.hash ^ _OTHER)), self.first, ends)
+
+    def distinct(self) -> np.ndarray:
+        """One line of each class, in order."""
+        return np.sort(np.unique(self.lh, return_index=True)[1])
+
+    def chars(self) -> np.ndarray:
+        """The length of each normal form in characters."""
+        w = self.words
+        rest = np.flatnonzero((w.data & 0xC0) == 0x80)  # what is no first byte of a character
+        of = np.concatenate([[0], np.cumsum((w.end - w.start) - (np.searchsorted(rest, w.end) - np.searchsorted(rest, w.start)))])
+        return of[self.first + self.count] - of[self.first] + self.count - 1
+
+    def _inside(self, which: np.ndarray) -> np.ndarray:
+        """Which words are in the given lines."""
+        edge = np.zeros(len(self.words.hash) + 1, np.int8)
+        edge[self.first[which]] += 1
+        np.subtract.at(edge, self.first[which] + self.count[which], 1)
+        return np.cumsum(edge[:-1], dtype=np.int8) > 0
+
+    def minima(self, which: np.ndarray) -> np.ndarray:
+        """(len(which), BANDS * ROWS): the smallest hash of each line's words under as many functions.
+
+        A word counts the more the longer it is: its hashes are divided by its weight. Short words are
+        left out of lines with RICH long ones or more, where they are hardly ever the smallest.
+        """
+        w = self.words
+        size = w.end - w.start
+        long = size >= LONG
+        sums = np.concatenate([[0], np.cumsum(long)])
+        n_long = (sums[self.first + self.count] - sums[self.first])[which]
+        rich = n_long >= RICH
+        mine = self._inside(which[rich]) & long | self._inside(which[~rich])
+        hashes, shift = w.hash[mine], _SHIFT[np.minimum(size[mine], len(_SHIFT) - 1)]
+        counts = np.where(rich, n_long, self.count[which])
+        starts = np.cumsum(counts) - counts
+        out = np.empty((len(which), len(_SALTS)), np.uint64)
+        if len(which):
+            for i, salt in enumerate(_SALTS):
+                out[:, i] = np.minimum.reduceat(hashes * salt >> shift, starts)
         return out
 
-    def entries(self, lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of lines, and a key for each."""
-        words = [set(x) for x in lines]
-        long = [{w for w in x if len(w) >= LONG} for x in words]
-        out = []
-        for first, sets, which in ((0, long, [i for i, x in enumerate(long) if x]), (BANDS, words, [i for i, x in enumerate(long) if len(x) < FEW])):
-            out.append((np.repeat(np.array(which, np.int64), BANDS), self.of([sets[i] for i in which], first).ravel()))
-        return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+    def key_lists(self) -> pa.Array:
+        """The BANDS keys of the first line of each class, null for the others."""
+        at = self.distinct()
+        least = self.minima(at).reshape(-1, BANDS, ROWS)
+        keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(at), BANDS)).copy()
+        for r in range(ROWS):
+            keys = mix(keys * _BASE + least[:, :, r])
+        has = np.zeros(len(self.first), bool)
+        has[at] = True
+        ends = np.concatenate([[0], np.cumsum(has) * BANDS]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~has, False)), pa.array(_signed(keys).ravel()))
+
+    def sketches(self, which: np.ndarray) -> np.ndarray:
+        """_SKETCH longs of each line: a byte of each of its smallest words."""
+        out = np.zeros((len(which), 8 * _SKETCH), np.uint8)
+        out[:, : BANDS * ROWS] = mix(self.minima(which)) & np.uint64(255)
+        return out.view(np.int64)
+
+    def forms(self, which: np.ndarray) -> pa.Array:
+        """The normal forms of lines."""
+        w = self.words
+        mine = self._inside(which)
+        start, size = w.start[mine], (w.end - w.start)[mine] + 1  # the byte behind a word becomes the space
+        last = np.cumsum(self.count[which]) - 1
+        size[last] -= 1
+        to = np.cumsum(size)
+        total = int(to[-1]) if len(to) else 0
+        out = w.data[np.repeat(start - (to - size), size) + np.arange(total)]
+        spaces = np.ones(len(to), bool)
+        spaces[last] = False
+        out[to[spaces] - 1] = 32
+        ends = np.concatenate([[0], to[last]]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(last), [None, pa.py_buffer(ends), pa.py_buffer(out.tobytes())]).cast(pa.string())
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -101,77 +169,156 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return score
 
 
-def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
-    """_id, _t, lh (class), line (number), norm for the lines that count, of docs (_id, _t, _text)."""
+def _over(docs: DataFrame, schema: str, min_words: int, make) -> DataFrame:
+    """make(Lines, piece of the batch) -> columns, over docs (_id, _t, _text)."""
+
+    def run(batches):
+        for batch in batches:
+            for at, part in pieces(batch.column(batch.schema.get_field_index("_text"))):
+                texts = ["" if t is None else t for t in part.to_pylist()]
+                yield pa.RecordBatch.from_pydict(make(Lines(texts, min_words), batch.slice(at, len(part))))
+
+    return docs.mapInArrow(run, schema)
+
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x).view(np.int64)
+
+
+def places_of(docs: DataFrame, min_words: int) -> DataFrame:
+    """_id, _t, lh, lg (class), line (number), p (characters) of the lines that count, of docs (_id, _t, _text).
+
+    bands: the keys, at least once for each class, else null.
+    """
+    kinds = dict(docs.dtypes)
+
+    def make(lines: Lines, batch: pa.RecordBatch) -> dict:
+        at = pa.array(lines.text)
+        given = {c: batch.column(batch.schema.get_field_index(c)).take(at) for c in ("_id", "_t")}
+        return given | {"lh": _signed(lines.lh), "lg": _signed(lines.lg), "line": lines.number.astype(np.int32), "p": lines.chars().astype(np.int32), "bands": lines.key_lists()}
 
-    def make():
-        def work(texts: list[str], _) -> tuple:
-            counts, number, norms = [], [], []
-            classes: dict[bytes, int] = {}
-            for t in texts:
-                n = len(number)
-                for i, line in enumerate(normal_words(t)):
-                    if len(line) >= min_words:
-                        number.append(i)
-                        norms.append(classes.setdefault(b" ".join(line), len(classes)))
-                counts.append(len(number) - n)
-            index = np.array(norms, np.int64)
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, classes), np.uint64, len(classes)).view(np.int64)
-            flat = pa.array(list(classes), pa.binary()).take(pa.array(index)).cast(pa.string())
-            return counts, {"lh": hashes[index], "line": pa.array(number, pa.int32()), "norm": flat}
+    return _over(docs, f"_id {kinds['_id']}, _t long, lh long, lg long, line int, p int, bands array<long>", min_words, make)
 
-        return work
 
-    return map_texts_many(docs, "_text", {"_id": "_id", "_t": "_t"}, "lh long, line int, norm string", make)
+def forms_of(docs: DataFrame, min_words: int) -> DataFrame:
+    """lh, lg (class), norm, s0 ... (sketch); classes may come more than once."""
 
+    def make(lines: Lines, batch: pa.RecordBatch) -> dict:
+        which = lines.distinct()
+        sketch = lines.sketches(which)
+        return {"lh": _signed(lines.lh[which]), "lg": _signed(lines.lg[which]), "norm": lines.forms(which)} | {f"s{i}": np.ascontiguousarray(sketch[:, i]) for i in range(_SKETCH)}
 
-def entries_of(lines: DataFrame) -> DataFrame:
-    """id (class), p (characters), bucket (key) of lines (lh, norm); classes may come more than once."""
+    return _over(docs, "lh long, lg long, norm string, " + ", ".join(f"s{i} long" for i in range(_SKETCH)), min_words, make)
+
+
+def exact_entries(forms: DataFrame, similarity: float) -> DataFrame:
+    """bucket, id, p: keys of which two forms within the similarity share one, for certain."""
 
     def run(batches):
-        keys = BandKeys()
         for batch in batches:
-            ids, first = np.unique(batch.column(0).to_numpy(), return_index=True)
-            norms = batch.column(1).take(pa.array(first))
-            size = pc.utf8_length(norms).to_numpy()
-            at, bucket = keys.entries([x.split() for x in norms.cast(pa.binary()).to_pylist()])
-            yield pa.RecordBatch.from_pydict({"id": ids[at], "p": size[at], "bucket": bucket.view(np.int64)})
+            ids, size, bucket = [], [], []
+            for lh, norm in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                seen: Counter = Counter()
+                grams = []
+                for g in zip(norm, norm[1:], strict=False):
+                    seen[g] += 1
+                    grams.append((ord(g[0]) << 42) + (ord(g[1]) << 21) + seen[g])
+                # of n - 1 pairs, those of a form within k edits miss 2 k at most
+                n = len(norm)
+                first = min(len(grams), 2 * int((1 - similarity) / similarity * n + 1) + 1)
+                order = np.sort(mix(np.array(grams, np.uint64)))[:first] if grams else np.zeros(1, np.uint64)
+                ids += [lh] * len(order)
+                size += [n] * len(order)
+                bucket.append(order)
+            flat = np.concatenate(bucket) if bucket else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_pydict({"bucket": _signed(flat), "id": pa.array(ids, pa.int64()), "p": pa.array(size, pa.int32())})
+
+    return forms.select("lh", "lg", "norm").mapInArrow(run, "bucket long, id long, p int")
+
+
+_GRAM = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
+_BINS = 2048
 
-    return lines.select("lh", "norm").mapInArrow(run, "id long, p int, bucket long")
+
+def _grams(text: str) -> np.ndarray:
+    """How many of the text's runs of three characters fall on each of _BINS."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    h = c[:-2] * _GRAM[0] + c[1:-1] * _GRAM[1] + c[2:] * _GRAM[2]
+    return np.bincount(((h ^ (h >> np.uint32(15))) * _GRAM[1]) >> np.uint32(21), minlength=_BINS)
 
 
 def may_be_similar(a: str, b: str, most: int) -> bool:
-    """False only for strings more than `most` edits apart: an edit takes away two bigrams at most."""
-    common = Counter(zip(a, a[1:], strict=False)) & Counter(zip(b, b[1:], strict=False))
-    return common.total() >= max(len(a), len(b)) - 1 - 2 * most
+    """False only for strings more than `most` edits apart: an edit takes away three runs of three characters at most."""
+    n = max(len(a), len(b))
+    return min(len(a), len(b)) < 3 or n - 2 <= 3 * most or int(np.minimum(_grams(a), _grams(b)).sum()) >= n - 2 - 3 * most
+
+
+def is_similar(a: str, b: str, similarity: float) -> bool:
+    """Whether the edit distance is at most the share 1 - similarity of the longer string."""
+    longest = max(len(a), len(b))
+    most = int((1 - similarity) * longest + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = a.split(" "), b.split(" ")
+    # words replaced in place: an upper bound of the distance
+    if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y, strict=True) if v != w) <= most:
+        return True
+    if not may_be_similar(a, b, most):
+        return False
+    head = 0
+    while head < len(x) and head < len(y) and x[head] == y[head]:
+        head += 1
+    x, y = x[head:], y[head:]
+    while x and y and x[-1] == y[-1]:
+        x.pop()
+        y.pop()
+    return edit_distance(" ".join(x), " ".join(y), most) <= most
 
 
 def _similar(similarity: float):
     def run(batches):
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = []
-            for s, t in zip(x, y, strict=True):
-                longest = max(len(s), len(t))
-                most = int((1 - similarity) * longest + 1e-9)
-                ok.append(may_be_similar(s, t, most) and edit_distance(s, t, most) <= most)
+            ok = [is_similar(s, t, similarity) for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1), "d": pa.nulls(len(ok), pa.float64()), "ok": pa.array(ok, pa.bool_())})
 
     return run
 
 
-def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def _agreeing() -> str:
+    """SQL: w and v (structs of longs) agree in AGREE bytes or more."""
+    differ = []
+    for i in range(_SKETCH):
+        x = f"(w.s{i} ^ v.s{i})"
+        x = f"({x} | shiftrightunsigned({x}, 4))"
+        x = f"({x} | shiftrightunsigned({x}, 2))"
+        differ.append(f"bit_count(({x} | shiftrightunsigned({x}, 1)) & 72340172838076673)")
+    return f"{' + '.join(differ)} <= {BANDS * ROWS - AGREE}"
+
+
+def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, exact: bool = False) -> DataFrame:
     """_id, _t, gone (array of line numbers) of docs (_id, _t, _text)."""
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = scratch.keep(lines_of(docs, min_words), "lines")
+    lines = scratch.keep(places_of(docs, min_words), "lines")
     place = F.struct("_id", "_t", "line")
-    classes = scratch.keep(lines.groupBy("lh").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
-    # a window, so that the entries are shuffled once; copies of a class are one entry of a batch
-    bucket = Window.partitionBy("bucket")
-    shared = entries_of(lines).select("*", F.min("id").over(bucket).alias("lo"), F.max("id").over(bucket).alias("hi")).where("lo <> hi")
-    entries = scratch.keep(shared.select("bucket", "id", "p"), "entries")
-    wanted = entries.select(F.col("id").alias("lh")).distinct()
-    norms = scratch.keep(lines.select("lh", "norm").join(wanted, "lh", "left_semi").groupBy("lh").agg(F.min("norm").alias("norm")), "norms")
+    classes = scratch.keep(lines.groupBy("lh", "lg").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
+    scratch.release()
+    sketch = F.struct(*(f"s{i}" for i in range(_SKETCH))).alias("w")
+    once = lambda forms: forms.groupBy("lh").agg(F.min(F.struct("lg", "norm", sketch)).alias("f")).select("lh", "f.*")
+    if exact:
+        norms = scratch.keep(once(forms_of(docs, min_words)), "norms")
+        entries = scratch.keep(exact_entries(norms, similarity), "entries")
+    else:
+        entries = lines.where("bands IS NOT NULL").select(F.explode("bands").alias("bucket"), F.col("lh").alias("id"), "p")
+    # the smallest class of each key that several classes have; combined on the map side
+    leads = entries.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("hi")).where("lead <> hi")
+    leads = scratch.keep(leads.select("bucket", "lead"), "leads")
+    scratch.release()
+    members = scratch.keep(entries.join(leads.hint("shuffle_hash"), "bucket").withColumn("q", F.lit(None).cast("int")), "members")
+    scratch.release("leads")
+    if not exact:
+        wanted = scratch.keep(members.select(F.col("id").alias("lh")).distinct(), "wanted")
+        norms = scratch.keep(once(forms_of(docs, min_words).join(wanted, "lh", "left_semi")), "norms")
+        scratch.release("wanted")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         side = lambda s: norms.select(F.col("lh").alias(s), F.col("norm").alias(f"n{s}"))
@@ -179,31 +326,53 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
         return both.mapInArrow(_similar(similarity), "a long, b long, d double, ok boolean")
 
     # the payload is the length, which bounds the edit distance from below; no distance rules pairs out
-    near = f"abs(p - q) <= {1 - similarity} * greatest(p, q) + 1e-9"
-    groups = link_buckets(scratch, entries, confirm, 0, near)
-    # every class with copies or in a group has a first occurrence; all others of it go
-    named = classes.select("lh", "first", "n").join(groups.select(F.col("id").alias("lh"), "component"), "lh", "left")
+    sketches = None if exact else norms.select(F.col("lh").alias("id"), "w")
+    groups = link_buckets(scratch, members, confirm, 0, _near(similarity), sketches, "true" if exact else _agreeing(), best=True)
+    # a link holds for the class whose form was compared; every class with copies or in a group has a first occurrence, all others of it go
+    linked = groups.select(F.col("id").alias("lh"), "component").join(norms.select("lh", "lg"), "lh")
+    named = classes.join(linked, ["lh", "lg"], "left")
     heads = named.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("head"))
-    known = named.join(heads, "component", "left").where("n > 1 OR component IS NOT NULL").select("lh", F.coalesce("head", "first").alias("head"))
-    others = lines.select("lh", "_id", "_t", "line").join(known, "lh").where(~F.struct("_id", "_t", "line").eqNullSafe(F.col("head")))
+    known = scratch.keep(named.where("n > 1 OR component IS NOT NULL").join(heads, "component", "left").select("lh", "lg", F.coalesce("head", "first").alias("head")), "known")
+    others = lines.join(known, ["lh", "lg"]).where(~F.struct("_id", "_t", "line").eqNullSafe(F.col("head"))).select("_id", "_t", "line")
     # written, so that Spark knows its size when it joins the texts with it: they needn't be shuffled if it is small
-    return scratch.keep(others.groupBy("_id", "_t").agg(F.collect_set("line").alias("gone")), "gone")
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with the text without its repeated lines, and n_lines, n_removed_lines as added columns."""
-    rows = docs.withColumn("_line_t", F.xxhash64(F.col(text_col)))
-    gone = removals(rows.select(F.col(id_col).alias("_id"), F.col("_line_t").alias("_t"), F.col(text_col).alias("_text")), min_words, similarity)
-    gone = gone.select(F.col("_id").alias("_line_id"), F.col("_t").alias("_line_t2"), F.col("gone").alias("_line_gone"))
-    joined = rows.join(gone, F.col(id_col).eqNullSafe(F.col("_line_id")) & (F.col("_line_t") == F.col("_line_t2")), "left")
-    split = F.split(F.col(text_col), "\n")
-    text = F.when(F.col("_line_gone").isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_line_gone"), i)), "\n")
-    )
+    gone = scratch.keep(others.groupBy("_id", "_t").agg(F.collect_set("line").alias("gone")), "gone")
+    scratch.release("known", "lines", "classes", "norms", "members")
+    return gone
+
+
+def _near(similarity: float) -> str:
+    return f"abs(p - q) <= {1 - similarity} * greatest(p, q) + 1e-9"
+
+
+def without(text: pa.Array, gone: pa.Array) -> pa.Array:
+    """The texts without the lines of these numbers; as they are where there are none."""
+    out = []
+    for t, g in zip(text.to_pylist(), gone.to_pylist(), strict=True):
+        if t is not None and g:
+            drop = set(g)
+            t = "\n".join([x for i, x in enumerate(t.split("\n")) if i not in drop])
+        out.append(t)
+    return pa.array(out, pa.string())
+
+
+def n_lines(text: Column) -> Column:
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+
+
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, similarity: float = SIMILARITY, exact: bool = False, added: tuple[str, str] = ("n_lines", "n_removed_lines")
+) -> DataFrame:
+    """docs with the text without its repeated lines, and the two added columns."""
+    # the given row is one column, so that its names meet no inner one
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    id_, text = F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")
+    keyed = rows.withColumn("t", F.xxhash64(text))
+    gone = removals(keyed.select(id_.alias("_id"), F.col("t").alias("_t"), text.alias("_text")), min_words, similarity, exact)
+    joined = keyed.join(gone, id_.eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")), "left").select("row", "gone")
     return joined.select(
-        *(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns),
-        F.when(F.coalesce(F.length(text_col), F.lit(0)) == 0, 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_line_gone"), F.lit(0)).cast("long").alias("n_removed_lines"),
+        *(F.arrow_udf(without, "string")(text, F.col("gone")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in added),
+        n_lines(text).alias(added[0]),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(added[1]),
     )
 
 

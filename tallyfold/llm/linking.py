@@ -45,32 +45,43 @@ def _stars(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("n").alias("n"), F.max("c").alias("c")).where("n > 1 OR n = 1 AND c = 1").isEmpty()
 
 
-def link_buckets(scratch: Scratch, entries: DataFrame, confirm: Callable[[DataFrame], DataFrame], reach: float, near: str = "true", sketches: DataFrame | None = None, closer: str = "true") -> DataFrame:
-    """id, component for the ids of entries (bucket, id, p) that confirm() links with another.
+def link_buckets(scratch: Scratch, members: DataFrame, confirm: Callable[[DataFrame], DataFrame], reach: float, near: str = "true", sketches: DataFrame | None = None, closer: str = "true", best: bool = False) -> DataFrame:
+    """id, component for the ids of members (bucket, id, p, lead, q) that confirm() links with another.
 
-    confirm gets candidate pairs (a, b), a < b, and returns a, b, d, ok: a distance that obeys the
-    triangle inequality and is at most `reach` for a link, and whether they are linked. `near` is a
-    SQL condition on the payloads p and q that every link meets. sketches (id, w), if given, are
-    wider payloads, which meet a member only once its bucket is in several components; `closer` is a
-    condition on the sketches w and v that every link meets.
+    members holds the buckets of several ids, each with its smallest id (lead) and that one's payload
+    (q, or null: then the first pairs go to confirm unchecked); a member may come more than once. confirm gets candidate pairs (a, b), a < b, and returns a,
+    b, d, ok: a distance that obeys the triangle inequality and is at most `reach` for a link, and
+    whether they are linked. `near` is a SQL condition on the payloads p and q that every link meets.
+    sketches (id, w), if given, are wider payloads, which meet a member only once its bucket is in
+    several components; `closer` is a condition on the sketches w and v that every link meets.
 
     The first round compares each member with the smallest of its bucket. Where that leaves a bucket
-    in several components, the members outside its largest one are compared with PIVOTS members of
+    in several components (`best`: each id is first compared with the smallest of those buckets that it
+    shares most of, the others then only where components differ), the members outside its largest one are compared with PIVOTS members of
     it. Those still outside are then compared with all of the bucket, at most LEADERS in a round,
     but for pairs that the distances to the smallest member rule out; they then leave the bucket,
     and rounds go on until every pair of a bucket was compared, ruled out or is in one component.
     No link within a bucket is lost, no bucket's pairs are all listed, and there is no cap.
     """
-    members = scratch.keep(_several(entries.select("bucket", "id", "p").dropDuplicates(["bucket", "id"]), "id"), "members0")
-    lead = members.groupBy("bucket").agg(F.min(F.struct("id", "p")).alias("l")).select("bucket", F.col("l.id").alias("lead"), F.col("l.p").alias("q"))
-    led = members.join(lead, "bucket").where("id <> lead")
-    pairs = led.where(near).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    led = members.where("id <> lead")
+    pairs = led.where(f"coalesce({near}, true)").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
     if sketches is not None:
-        pairs = pairs.join(sketches.withColumnRenamed("id", "b"), "b").join(sketches.select(F.col("id").alias("a"), F.col("w").alias("v")), "a").where(closer).select("a", "b")
-    scored = scratch.keep(confirm(pairs), "scored")
-    found = components(scratch, scored.where("ok"), "cc0_")
+        pairs = pairs.join(sketches.withColumnRenamed("id", "b"), "b").join(sketches.select(F.col("id").alias("a"), F.col("w").alias("v")), "a").where(closer).select("a", "b", "n")
+    if best:
+        pairs = scratch.keep(pairs, "pairs")
+        top = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("t")).select(F.col("t.a").alias("a"), "b")
+        scored = scratch.keep(confirm(top), "top")
+        found = components(scratch, scored.where("ok"), "cct_")
+        rest = pairs.select("a", "b").join(scored.select("a", "b"), ["a", "b"], "left_anti")
+        more = scratch.keep(confirm(_apart(rest, found).select("a", "b")), "rest")
+        found = _merged(scratch, found, more.where("ok").select("a", "b"), "r")
+        scored = scored.unionByName(more)
+    else:
+        scored = scratch.keep(confirm(pairs.select("a", "b")), "scored")
+        found = components(scratch, scored.where("ok"), "cc0_")
     first = scored.select(F.col("a").alias("lead"), F.col("b").alias("id"), "d")
-    members = scratch.keep(led.select("bucket", "id", "p", "lead").join(first, ["lead", "id"], "left").drop("lead"), "members1")
+    each = members.select("bucket", "id", "p", "lead").dropDuplicates(["bucket", "id"])
+    members = scratch.keep(each.join(first, ["lead", "id"], "left").select("bucket", "id", "p", "d"), "members1")
     k = 0
     while True:
         k += 1
@@ -94,15 +105,7 @@ def link_buckets(scratch: Scratch, entries: DataFrame, confirm: Callable[[DataFr
         pairs = others.join(leaders, "bucket").where(f"id <> lead AND c <> lc AND coalesce(abs(d - ld) <= {reach} + 1e-9, true) AND {near} AND {closer}")
         pairs = pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
         links = scratch.keep(confirm(pairs).where("ok").select("a", "b"), f"links{k}")
-        if not links.isEmpty():
-            # the new links join components: a graph of components only
-            at = lambda side: found.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))  # noqa: E731, B023
-            joined = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-            over = scratch.keep(components(scratch, joined, f"cc{k}_"), f"over{k}")
-            up = over.select(F.col("id").alias("component"), F.col("component").alias("top"))
-            moved = found.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
-            fresh = over.join(found.select("id"), "id", "left_anti")
-            found = scratch.keep(moved.unionByName(fresh), f"found{k}")
+        found = _merged(scratch, found, links, str(k))
         members = left.drop("c")
         if k > 1:
             open_ = leaders.where(F.col("rest") > LEADERS)
@@ -111,6 +114,24 @@ def link_buckets(scratch: Scratch, entries: DataFrame, confirm: Callable[[DataFr
             members = members.join(open_.select("bucket").distinct(), "bucket").join(open_.select("bucket", F.col("lead").alias("id")), ["bucket", "id"], "left_anti")
 
 
+def _apart(links: DataFrame, found: DataFrame) -> DataFrame:
+    """a, b, ca, cb: the links (a, b) between different components of found (id, component)."""
+    at = lambda side: found.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+    ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left")
+    return ends.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+
+
+def _merged(scratch: Scratch, found: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """found (id, component) with the links (a, b) added: a graph of components only."""
+    joined = scratch.keep(_apart(links, found).select(F.col("ca").alias("a"), F.col("cb").alias("b")), f"joined{name}")
+    if joined.isEmpty():
+        return found
+    over = scratch.keep(components(scratch, joined, f"cc{name}_"), f"over{name}")
+    up = over.select(F.col("id").alias("component"), F.col("component").alias("top"))
+    moved = found.join(up, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    return scratch.keep(moved.unionByName(over.join(found.select("id"), "id", "left_anti")), f"found{name}")
+
+
 def _several(members: DataFrame, what: str) -> DataFrame:
     """The rows of the buckets in which `what` takes several values."""
     mixed = members.groupBy("bucket").agg(F.min(what).alias("_lo"), F.max(what).alias("_hi")).where("_lo <> _hi").select("bucket")

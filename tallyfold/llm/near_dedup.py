@@ -168,10 +168,12 @@ def near_dedup(
         named.join(classes.select("digest", F.col("rep").alias("doc_id")), ["doc_id", "digest"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", F.struct("n_shingles", *odd).alias("w")), "reps"
     )
     entries = reps.select("id", F.col("n").alias("p"), F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
-    entries = scratch.keep(entries.join(shared, "bucket"), "entries")
+    leads = entries.groupBy("bucket").agg(F.min(F.struct("id", "p")).alias("l"), F.max("id").alias("hi")).where("l.id <> hi")
+    leads = scratch.keep(leads.select("bucket", F.col("l.id").alias("lead"), F.col("l.p").alias("q")), "leads")
+    members = scratch.keep(entries.join(leads, "bucket"), "members")
+    scratch.release("leads")
     # full sets only of texts that share a bucket with another text
-    wanted = scratch.keep(entries.select("id").distinct(), "wanted")
+    wanted = scratch.keep(members.select("id").distinct(), "wanted")
     sets = scratch.keep(shingle_sets(docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi"), "doc_id", "_text", size), "sets")
     rounds = count()
     apart = 1 - similarity / 100
@@ -191,7 +193,7 @@ def near_dedup(
     # the payload is the size of the set; J >= s/100 means a difference of at most (100 - s) / (100 + s) of both sizes
     differ = " + ".join(f"bit_count(w.{c} ^ v.{c})" for c in odd)
     closer = f"{100 + similarity} * ({differ}) <= {100 - similarity} * (w.n_shingles + v.n_shingles)"
-    groups = link_buckets(scratch, entries, confirm, apart, f"100 * least(p, q) >= {similarity} * greatest(p, q)", reps.select("id", "w"), closer)
+    groups = link_buckets(scratch, members, confirm, apart, f"100 * least(p, q) >= {similarity} * greatest(p, q)", reps.select("id", "w"), closer)
     # a class and its representative are linked as well: copies of one id may differ in text, so classes can share an id
     tied = by_class.where("doc_id <> rep").select("doc_id", "rep").distinct()
     final = (
