@@ -2,22 +2,25 @@
 
 1. Every window of WINDOW words is assigned the smallest hash of the K-word phrases in it, its
    anchor; consecutive windows with one anchor are a segment (at most 2 * WINDOW - K words). Equal
-   windows have equal anchors, so only segments whose anchor occurs again can hold a repeated window.
-2. Segments that occur again as a whole are repeated as they are. Of anchors with several different
-   segments, one text per segment is fetched and its windows are counted by hash, over all
-   segments: those found twice are candidates, and their maximal runs are the phrases.
-3. The phrases are confirmed and located by Aho-Corasick automata (pyahocorasick), sharded by
-   anchor; the segments of all documents are streamed past the automaton of their anchor. A shard
-   above AUTOMATON_BYTES of phrases is split, and its segments are sent to every part.
-4. The located words are removed from the documents.
-
-Segments meet as hashes, combined on the map side, so a passage in a third of all rows is one row
-per map task; texts are only shuffled by document.
+   windows have equal anchors at the same place, so only segments whose anchor occurs again can hold
+   a repeated window. Segments meet as hashes.
+2. The words of one segment of each kind are fetched. Of an anchor with a single kind the whole
+   segment is a candidate phrase; of one with several, the runs of windows that the same kinds have
+   in common (by hashes of windows).
+3. Phrases go to the parts of the documents in which their segments occur. Each part has an
+   Aho-Corasick automaton (pyahocorasick) of its phrases, and all of its documents, whole, are
+   streamed past it: words are compared, not hashes, and each occurrence is counted.
+4. A phrase that is found twice or more is confirmed, and the words of its occurrences are removed.
+   One that is found once came from a collision of hashes: it is cut into its windows, a single
+   window is dropped, and the documents are streamed again. That is all but never needed.
+
+So no word is removed but by a match of an automaton that the words of another place also gave. A
+part's automaton has PART_WORDS words of phrases at most, or those of a single document: the number
+of parts follows from the phrases that were counted.
 
 Defined results: null texts have no words; fewer words than a window are never removed; the words
 kept are joined by one space; rows that repeat another's id and text count as occurrences of their
-own and get the same result; null ids stay; an empty table gives no rows; other columns are ignored
-(the query) or kept (remove_passages).
+own and get the same result; null ids stay; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,24 +30,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import Scratch, WordHashes, map_texts_many, prefix_sums, span_hashes, table
+from tallyfold.llm.common import Scratch, Words, map_texts_many, pieces, prefix_sums, span_hashes, table
 
 WINDOW, K = 35, 8
-#: The most phrase text in one automaton.
-AUTOMATON_BYTES = 2 << 20
+#: The most words of phrases in the automaton of a part (some 100 bytes each, three letters a word).
+PART_WORDS = 150_000
 
 
-def _segments(words: list[bytes], hashes: WordHashes, window: int, k: int) -> tuple[np.ndarray, ...]:
-    """anchor, segment hash, first window, number of windows of each segment."""
-    n = len(words)
+def _segments(hashes: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
+    """anchor, segment hash, first window, number of windows of each segment of a text (by its words)."""
+    n = len(hashes)
     if n < window:
         z = np.zeros(0, np.int64)
         return z, z, z.astype(np.int32), z.astype(np.int16)
-    sums = prefix_sums(hashes.of(words))
+    sums = prefix_sums(hashes)
     at = np.arange(n - k + 1)
     grams = span_hashes(sums, at, at + k)
-    width = window - k + 1
-    least = np.arange(n - window + 1) + np.lib.stride_tricks.sliding_window_view(grams, width).argmin(1)
+    least = np.arange(n - window + 1) + np.lib.stride_tricks.sliding_window_view(grams, window - k + 1).argmin(1)
     starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     ends = np.append(starts[1:], len(least))
     return grams[least[starts]].view(np.int64), span_hashes(sums, starts, ends - 1 + window).view(np.int64), starts.astype(np.int32), (ends - starts).astype(np.int16)
@@ -53,54 +55,50 @@ def _segments(words: list[bytes], hashes: WordHashes, window: int, k: int) -> tu
 def anchored(docs: DataFrame, window: int, k: int) -> DataFrame:
     """_k, ah, sh, s, n: the segments of every document (of _k, _text)."""
 
-    def make():
-        hashes = WordHashes()
-
-        def work(texts: list[str], _) -> tuple:
-            parts = [_segments(t.encode().split(), hashes, window, k) for t in texts]
-            ah, sh, s, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 4
-            return [len(p[0]) for p in parts], {"ah": ah, "sh": sh, "s": s.astype(np.int32), "n": n.astype(np.int16)}
-
-        return work
+    def run(batches):
+        for batch in batches:
+            key = batch.column(batch.schema.get_field_index("_k"))
+            for at, part in pieces(batch.column(batch.schema.get_field_index("_text"))):
+                words = Words([b"" if t is None else t.encode() for t in part.to_pylist()])
+                found = [_segments(words.hash[a:b], window, k) for a, b in zip(words.at[:-1], words.at[1:], strict=True)]
+                ah, sh, s, n = (np.concatenate(x) for x in zip(*found, strict=True))
+                of = np.repeat(np.arange(len(part)), [len(f[0]) for f in found])
+                yield pa.RecordBatch.from_pydict({"_k": key.slice(at, len(part)).take(pa.array(of)), "ah": ah, "sh": sh, "s": s, "n": n})
 
-    return map_texts_many(docs, "_text", {"_k": "_k"}, "ah long, sh long, s int, n short", make)
+    return docs.select("_k", "_text").mapInArrow(run, "_k long, ah long, sh long, s int, n short")
 
 
 def _texts(docs: DataFrame, window: int) -> DataFrame:
-    """ah, sh, c, run: the words of the segments that _want names."""
+    """ah, sh, kinds, run: the words of the segments that _want names."""
 
     def make():
         def work(texts: list[str], batch: pa.RecordBatch) -> tuple:
             want = batch.column(batch.schema.get_field_index("_in_want")).to_pylist()
             out, counts = [], []
             for t, wanted in zip(texts, want, strict=True):
-                words = t.split(None) if t.isascii() else None
-                if words is None or any(x in t for x in "\x1c\x1d\x1e\x1f"):
-                    words = [w.decode() for w in t.encode().split()]
+                words = t.encode().split()
                 counts.append(len(wanted))
-                out += [(x["ah"], x["sh"], x["c"], " ".join(words[x["s"] : x["s"] + x["n"] - 1 + window])) for x in wanted]
-            ah, sh, c, run = zip(*out, strict=True) if out else ((), (), (), ())
-            return counts, {"ah": pa.array(ah, pa.int64()), "sh": pa.array(sh, pa.int64()), "c": pa.array(c, pa.int64()), "run": pa.array(run, pa.string())}
+                out += [(x["ah"], x["sh"], x["c"], x["kinds"], b" ".join(words[x["s"] : x["s"] + x["n"] - 1 + window])) for x in wanted]
+            ah, sh, c, kinds, run = zip(*out, strict=True) if out else ((),) * 5
+            return counts, {"ah": pa.array(ah, pa.int64()), "sh": pa.array(sh, pa.int64()), "c": pa.array(c, pa.int64()), "kinds": pa.array(kinds, pa.int64()), "run": pa.array(run, pa.binary()).cast(pa.string())}
 
         return work
 
-    return map_texts_many(docs, "_text", {"_in_want": "_want"}, "ah long, sh long, c long, run string", make)
+    return map_texts_many(docs, "_text", {"_in_want": "_want"}, "ah long, sh long, c long, kinds long, run string", make)
 
 
-def _windows(segments: DataFrame, window: int) -> DataFrame:
-    """ah, sh, c, at, wh: the windows of every segment."""
+def _windows(segments: DataFrame, window: int, bits: int) -> DataFrame:
+    """ah, sh, c, at, wh: the windows of every segment, wh of so many bits."""
 
     def make():
-        hashes = WordHashes()
-
         def work(texts: list[str], _) -> tuple:
-            found = []
-            for t in texts:
-                words = t.encode().split(b" ")
-                at = np.arange(len(words) - window + 1)
-                found.append(span_hashes(prefix_sums(hashes.of(words)), at, at + window).view(np.int64))
-            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-            return [len(f) for f in found], {"at": np.concatenate([np.arange(len(f), dtype=np.int32) for f in found]) if found else np.zeros(0, np.int32), "wh": flat}
+            words = Words([t.encode() for t in texts])
+            sums = prefix_sums(words.hash)
+            counts = np.maximum(np.diff(words.at) - window + 1, 0)
+            at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            starts = np.repeat(words.at[:-1], counts) + at
+            wh = span_hashes(sums, starts, starts + window) & np.uint64((1 << bits) - 1)
+            return counts, {"at": at.astype(np.int32), "wh": wh.view(np.int64)}
 
         return work
 
@@ -108,118 +106,187 @@ def _windows(segments: DataFrame, window: int) -> DataFrame:
 
 
 def _phrases(candidates: DataFrame, window: int) -> DataFrame:
-    """ah, phrase: the words of the maximal runs of candidate windows (_at) of every segment."""
+    """ah, sh, phrase: the words of the runs of windows (_at: at, sig) with one signature of every segment."""
 
     def make():
         def work(texts: list[str], batch: pa.RecordBatch) -> tuple:
             counts, out = [], []
-            for t, at in zip(texts, batch.column(batch.schema.get_field_index("_in_at")).to_pylist(), strict=True):
-                words, at = t.split(" "), np.sort(np.array(at))
-                cuts = np.flatnonzero(np.diff(at) > 1) + 1
-                runs = np.split(at, cuts)
-                counts.append(len(runs))
-                out += [" ".join(words[r[0] : r[-1] + window]) for r in runs]
+            for t, rows in zip(texts, batch.column(batch.schema.get_field_index("_in_at")).to_pylist(), strict=True):
+                words, n, first, last, sig = t.split(" "), len(out), None, None, None
+                for x in sorted(rows, key=lambda x: x["at"]):
+                    if first is None or x["at"] != last + 1 or x["sig"] != sig:
+                        if first is not None:
+                            out.append(" ".join(words[first : last + window]))
+                        first, sig = x["at"], x["sig"]
+                    last = x["at"]
+                if first is not None:
+                    out.append(" ".join(words[first : last + window]))
+                counts.append(len(out) - n)
             return counts, {"phrase": pa.array(out, pa.string())}
 
         return work
 
-    return map_texts_many(candidates, "run", {"ah": "ah", "_in_at": "_at"}, "phrase string", make)
-
-
-def _locate(batches):
-    """Streams rows sorted by (ah, part, kind): the phrases of a shard come before its segments."""
-    import ahocorasick
+    return map_texts_many(candidates, "run", {"ah": "ah", "sh": "sh", "_in_at": "_at"}, "phrase string", make)
+
+
+#: Words are spelt in letters of so many kinds for each place, so that a node of the trie has few children.
+_LETTERS = 64
+
+
+class Automaton:
+    """The Aho-Corasick automaton of phrases over words."""
+
+    def __init__(self, phrases: list[bytes]):
+        import ahocorasick
+
+        self.found = [0] * len(phrases)
+        split = [p.split(b" ") for p in phrases]
+        vocabulary = dict.fromkeys(w for p in split for w in p)
+        self.places = 1
+        while _LETTERS**self.places < len(vocabulary):
+            self.places += 1
+        self.spelt = {w: self._spell(i) for i, w in enumerate(vocabulary)}
+        self.other = "\0" * self.places  # no phrase has the letter 0
+        self.trie = ahocorasick.Automaton()
+        for i, p in enumerate(split):
+            self.trie.add_word("".join([self.spelt[w] for w in p]), (i, len(p)))
+        if phrases:
+            self.trie.make_automaton()
+
+    def _spell(self, n: int) -> str:
+        out = ""
+        for k in range(self.places):
+            n, digit = divmod(n, _LETTERS)
+            out += chr(1 + k * _LETTERS + digit)
+        return out
+
+    def stay(self, words: list[bytes]) -> np.ndarray | None:
+        """Which of a document's words no phrase covers; None if nothing was found. Counts what it finds."""
+        if not self.found or len(words) < 2:
+            return None
+        line = "".join([self.spelt.get(w, self.other) for w in words])
+        edges = None
+        for end, (i, n) in self.trie.iter(line):
+            self.found[i] += 1
+            if edges is None:
+                edges = np.zeros(len(words) + 1, np.int64)
+            last = end // self.places + 1
+            edges[last - n] += 1
+            edges[last] -= 1
+        return None if edges is None else np.cumsum(edges[:-1]) == 0
+
+
+def _stream(batches):
+    """Rows sorted by (part, kind): the phrases (kind 0) of a part come before its documents (kind 1).
+
+    Gives kind 1 for a document and, at the end of a part, kind 0 for each phrase and how often it was found.
+    """
+    part, phrases, automaton = None, [], None
+
+    def told():
+        found = automaton.found if automaton else [0] * len(phrases)
+        n = len(phrases)
+        return pa.RecordBatch.from_pydict({"kind": pa.array([0] * n, pa.int32()), "doc_id": pa.nulls(n, id_type), "n_words": pa.array(found, pa.int64()), "n_removed": pa.nulls(n, pa.int64()), "kept": pa.array(phrases, pa.binary()).cast(pa.string())})
 
-    shard, automaton, ready = None, None, False
     for batch in batches:
-        out: list[tuple] = []
-        for ah, part, kind, sh, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (ah, part) != shard:
-                shard, automaton, ready = (ah, part), ahocorasick.Automaton(), False
+        id_type = batch.schema.field("doc_id").type
+        ids = batch.column(batch.schema.get_field_index("doc_id"))
+        rows: list[tuple] = []
+        parts, kinds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        texts = batch.column(batch.schema.get_field_index("text"))
+        for i, (p, kind) in enumerate(zip(parts, kinds, strict=True)):
+            text = texts[i].as_py()
+            if p != part:
+                if phrases:
+                    yield told()
+                part, phrases, automaton = p, [], None
             if kind == 0:
-                automaton.add_word(f" {text} ", text.count(" ") + 1)
+                phrases.append(text.encode())
                 continue
-            if not ready:
-                automaton.make_automaton()
-                ready = True
-            if not len(automaton):
-                continue
-            line = f" {text} "
-            for end, n in automaton.iter(line):
-                last = line.count(" ", 0, end)  # words up to the match's end
-                out.append((ah, sh, last - n, last))
-        ah, sh, a, b = zip(*out, strict=True) if out else ((), (), (), ())
-        yield pa.RecordBatch.from_pydict({"ah": pa.array(ah, pa.int64()), "sh": pa.array(sh, pa.int64()), "a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32())})
-
-
-def locate(phrases: DataFrame, segments: DataFrame, most: int = AUTOMATON_BYTES) -> DataFrame:
-    """ah, sh, a, b: where the phrases (ah, phrase) of an anchor occur in its segments (ah, sh, run)."""
-    parts = phrases.groupBy("ah").agg(F.ceil(F.sum(F.octet_length("phrase")) / F.lit(most)).cast("int").alias("parts"))
-    sized = phrases.join(parts, "ah")
-    left = sized.select("ah", F.pmod(F.xxhash64("phrase"), "parts").cast("int").alias("part"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("sh"), F.col("phrase").alias("text"))
-    right = segments.join(parts, "ah").select("ah", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "sh", F.col("run").alias("text"))
-    rows = left.unionByName(right).repartition("ah", "part").sortWithinPartitions("ah", "part", "kind")
-    return rows.mapInArrow(_locate, "ah long, sh long, a int, b int")
-
-
-def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """_k, spans (array of a, b: words [a, b) are covered by a repeated window) of docs (_k, _text)."""
-    scratch = Scratch(docs.sparkSession, "substring")
+            if automaton is None:
+                automaton = Automaton(phrases)
+            words = (text or "").encode().split()
+            stay = automaton.stay(words)
+            left = words if stay is None else [w for w, s in zip(words, stay.tolist(), strict=True) if s]
+            rows.append((i, len(words), len(words) - len(left), b" ".join(left)))
+        if rows:
+            at, n, gone, kept = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([1] * len(rows), pa.int32()), "doc_id": ids.take(pa.array(at)), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
+    if phrases:
+        yield told()
+
+
+def candidates(scratch: Scratch, docs: DataFrame, window: int, k: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Phrases (ah, sh, phrase) of segments that may be repeated, and where segments occur (_k, ah, sh), of docs (_k, _text)."""
     all_ = scratch.keep(anchored(docs, window, k), "anchored")
-    again = all_.groupBy("ah").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("ah")
+    # written before the join, whose sides Spark can then split where an anchor is hot
+    again = scratch.keep(all_.groupBy("ah").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("ah"), "again")
     rec = scratch.keep(all_.join(again, "ah"), "recurring")
-    scratch.drop("anchored")
+    scratch.release("anchored", "again")
     kinds = scratch.keep(rec.groupBy("ah", "sh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_k", "s", "n")).alias("r")), "kinds")
-    several = kinds.groupBy("ah").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("ah")
-    want = (
-        kinds.join(several, "ah").groupBy(F.col("r._k").alias("_k")).agg(F.collect_list(F.struct("ah", "sh", "c", F.col("r.s").alias("s"), F.col("r.n").alias("n"))).alias("_want"))
-    )
-    segments = scratch.keep(_texts(docs.dropDuplicates(["_k"]).join(want, "_k"), window), "segments")
-    windows = scratch.keep(_windows(segments, window), "windows")
-    twice = windows.groupBy("wh").agg(F.sum("c").alias("c")).where("c > 1").select("wh")
-    at = windows.join(twice, "wh").groupBy("ah", "sh").agg(F.collect_set("at").alias("_at"))
-    phrases = scratch.keep(_phrases(segments.join(at, ["ah", "sh"]), window).distinct(), "phrases")
-    found = locate(phrases, segments).select("ah", "sh", F.struct("a", "b").alias("x"))
-    whole = kinds.where("c > 1").select("ah", "sh", F.expr(f"struct(0 AS a, CAST(r.n - 1 + {window} AS int) AS b)").alias("x"))
-    covered = scratch.keep(found.unionByName(whole).groupBy("ah", "sh").agg(F.collect_set("x").alias("xs")), "covered")
-    spans = rec.join(covered, ["ah", "sh"]).select("_k", F.expr("transform(xs, x -> struct(s + x.a AS a, s + x.b AS b))").alias("xs"))
-    return spans.groupBy("_k").agg(F.flatten(F.collect_list("xs")).alias("spans"))
-
-
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumn("_k", F.xxhash64(F.col(id_col), F.col(text_col)))
-
-
-def _mask(n: int, spans) -> np.ndarray:
-    """Which of n words no span covers."""
-    edges = np.zeros(n + 1, np.int64)
-    for x in spans or ():
-        edges[x["a"]] += 1
-        edges[x["b"]] -= 1
-    return np.cumsum(edges[:n]) == 0
-
-
-def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words left, joined by one space) for every row."""
+    several = scratch.keep(kinds.groupBy("ah").agg(F.count(F.lit(1)).alias("kinds")), "several")
+    one = F.struct("ah", "sh", "c", "kinds", F.col("r.s").alias("s"), F.col("r.n").alias("n"))
+    want = kinds.join(several, "ah").groupBy(F.col("r._k").alias("_k")).agg(F.collect_list(one).alias("_want"))
+    want = scratch.keep(want, "want")
+    scratch.release("kinds", "several")
+    segments = scratch.keep(_texts(docs.join(want, "_k"), window), "segments")
+    scratch.release("want")
+    alone = segments.where("kinds = 1").select("ah", "sh", F.col("run").alias("phrase"))
+    mixed = segments.where("kinds > 1")
+    windows = scratch.keep(_windows(mixed, window, bits), "windows")
+    # bits of the kinds that have a window: runs of windows end where the kinds change
+    twice = windows.groupBy("wh").agg(F.sum("c").alias("c"), F.bit_xor(F.xxhash64("ah", "sh")).alias("sig")).where("c > 1").select("wh", "sig")
+    at = windows.join(scratch.keep(twice, "twice"), "wh").groupBy("ah", "sh").agg(F.collect_set(F.struct("at", "sig")).alias("_at"))
+    phrases = scratch.keep(alone.unionByName(_phrases(mixed.dropDuplicates(["ah", "sh"]).join(at, ["ah", "sh"]), window)), "phrases")
+    scratch.release("windows", "twice", "segments")
+    return phrases, rec.select("_k", "ah", "sh")
+
+
+def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K, bits: int = 64, most: int = PART_WORDS) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the words left, joined by one space) for every row.
+
+    bits: of the hashes of windows; fewer than 64 are for tests of collisions only.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "substring")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    rows = keyed(rows, "doc_id", "_text")
-    joined = rows.join(repeated_spans(rows.select("_k", "_text"), window, k), "_k", "left")
-
-    def make():
-        def work(texts: list[str], batch: pa.RecordBatch) -> tuple:
-            spans = batch.column(batch.schema.get_field_index("_in_spans")).to_pylist()
-            n, gone, kept = [], [], []
-            for t, x in zip(texts, spans, strict=True):
-                words = t.encode().split()
-                stay = _mask(len(words), x)
-                n.append(len(words))
-                gone.append(int(len(words) - stay.sum()))
-                kept.append(b" ".join(w for w, y in zip(words, stay, strict=True) if y) if x else b" ".join(words))
-            return [1] * len(texts), {"n_words": n, "n_removed": gone, "kept": pa.array(kept, pa.binary()).cast(pa.string())}
-
-        return work
-
-    return map_texts_many(joined, "_text", {"doc_id": "doc_id", "_in_spans": "spans"}, "n_words long, n_removed long, kept string", make)
+    rows = rows.withColumn("_k", F.xxhash64("doc_id", "_text"))
+    phrases, places = candidates(scratch, rows.select("_k", "_text"), window, k, bits)
+    kind = dict(rows.dtypes)["doc_id"]
+    tries = 0
+    while True:
+        routed, parts = _routed(scratch, phrases, places, most, f"routed{tries}")
+        left = routed.select("part", F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("doc_id"), F.col("phrase").alias("text"))
+        right = rows.select(_part(parts).alias("part"), F.lit(1).alias("kind"), "doc_id", F.col("_text").alias("text"))
+        both = left.unionByName(right).repartition(parts, "part").sortWithinPartitions("part", "kind")
+        done = scratch.keep(both.mapInArrow(_stream, f"kind int, doc_id {kind}, n_words long, n_removed long, kept string"), f"done{tries}")
+        lone = scratch.keep(done.where("kind = 0").groupBy(F.col("kept").alias("phrase")).agg(F.sum("n_words").alias("n")).where("n < 2").select("phrase"), f"lone{tries}")
+        scratch.release(f"routed{tries}")
+        if lone.isEmpty():
+            return done.where("kind = 1").drop("kind")
+        words = F.split("phrase", " ")
+        cut = phrases.join(lone, "phrase", "left_semi").withColumn("w", words).where(F.size("w") > window)
+        cut = cut.select("ah", "sh", F.explode(F.expr(f"transform(sequence(1, size(w) - {window - 1}), i -> array_join(slice(w, i, {window}), ' '))")).alias("phrase"))
+        phrases = scratch.keep(phrases.join(lone, "phrase", "left_anti").unionByName(cut.select("ah", "sh", "phrase")).distinct(), f"phrases{tries}")
+        scratch.drop(f"done{tries}")
+        tries += 1
+
+
+def _part(parts: int):
+    return F.pmod(F.col("_k"), F.lit(parts)).cast("int")
+
+
+def _routed(scratch: Scratch, phrases: DataFrame, places: DataFrame, most: int, name: str) -> tuple[DataFrame, int]:
+    """part, phrase: each phrase in each part that has one of its segments; and how many parts there are."""
+    parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        routed = places.select(_part(parts).alias("part"), "ah", "sh").distinct().join(phrases, ["ah", "sh"]).select("part", "phrase").distinct()
+        routed = scratch.keep(routed, name)
+        words = routed.groupBy("part").agg(F.sum(F.size(F.split("phrase", " "))).alias("n")).agg(F.max("n").alias("top"), F.sum("n").alias("all")).first()
+        # more parts as long as that helps: a single document may have more phrases
+        if not words["top"] or words["top"] <= most or words["top"] * parts > 8 * words["all"]:
+            return routed, parts
+        parts *= -(-words["top"] // most)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,11 +103,33 @@ def test_substring_against_brute_force(spark, odd, none, monkeypatch):
     assert substring_dedup.remove_passages(odd).count() == odd.count() and substring_dedup.remove_passages(none).count() == 0
 
 
-def test_split_automata_find_the_same(spark):
-    phrases = spark.createDataFrame([(1, f"a b{i} c") for i in range(30)], "ah long, phrase string")
-    segments = spark.createDataFrame([(1, i, f"x a b{i} c y") for i in range(30)], "ah long, sh long, run string")
-    assert rows(substring_dedup.locate(phrases, segments)) == rows(substring_dedup.locate(phrases, segments, most=20))
-    assert substring_dedup.locate(phrases, segments).first()[2:] == (1, 4)
+def test_substring_with_colliding_hashes_and_many_parts(spark):
+    """Hashes of 4 bits make nearly every window a candidate; only what the automata find twice goes."""
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(50)]
+    texts = []
+    for k in range(24):
+        t = [rng.choice("abcdefgh") + str(rng.randint(0, 40)) for _ in range(rng.randint(36, 90))]
+        a = rng.randint(0, 14)
+        t[4:4] = passage[a : a + 36] * rng.choice([0, 1, 2])
+        texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_windows(texts, 35)
+    assert any(n for n, _ in want) and any(not n for n, _ in want)
+    for options in ({"bits": 4}, {"most": 60}):
+        got = {r["doc_id"]: (r["n_removed"], r["kept"]) for r in substring_dedup.remove_passages(df, **options).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_automaton():
+    rng = random.Random(8)
+    words = [f"v{i}".encode() for i in range(5000)]
+    phrases = [b" ".join(rng.choices(words, k=rng.randint(2, 5))) for _ in range(3000)]
+    automaton = substring_dedup.Automaton(phrases)
+    line = [b"x", *phrases[7].split(b" "), b"y", *phrases[9].split(b" ")]
+    assert automaton.stay(line).tolist() == [True, *[False] * len(phrases[7].split(b" ")), True, *[False] * len(phrases[9].split(b" "))]
+    assert automaton.found[7] == 1 and sum(automaton.found) >= 2
+    assert substring_dedup.Automaton([]).stay(line) is None  # without phrases nothing goes
 
 
 def test_quality(spark, odd, none):
