@@ -264,7 +264,7 @@ def map_texts(rows: DataFrame, text_col: str, keep: dict[str, str], schema: str,
 
     keep: output column -> SQL expression of what is passed through untouched. make() is called
     once in each worker and gives a function from a list of texts to the added columns. A batch
-    is handed over in pieces of a few MB, so that long texts don't add up.
+    is handed over in pieces of a MB, so that long texts don't add up.
     """
     given = rows.selectExpr(*(f"{e} AS `{c}`" for c, e in keep.items()), f"`{text_col}` AS _text")
     columns = ", ".join(f"`{c}` {t}" for c, t in given.dtypes if c in keep) + ", " + schema
@@ -275,7 +275,7 @@ def map_texts(rows: DataFrame, text_col: str, keep: dict[str, str], schema: str,
         for batch in batches:
             n = batch.num_rows
             texts = batch.column(batch.schema.get_field_index("_text"))
-            step = max(1, int(n * (4 << 20) / max(1, texts.nbytes)))
+            step = max(1, int(n * (1 << 20) / max(1, texts.nbytes)))
             for at in range(0, n, step):
                 part = batch.slice(at, step)
                 added = work(["" if t is None else t for t in texts.slice(at, step).to_pylist()])
@@ -299,7 +299,7 @@ def map_texts_many(rows: DataFrame, text_col: str, keep: dict[str, str], schema:
         for batch in batches:
             n = batch.num_rows
             texts = batch.column(batch.schema.get_field_index("_text"))
-            step = max(1, int(n * (4 << 20) / max(1, texts.nbytes)))
+            step = max(1, int(n * (1 << 20) / max(1, texts.nbytes)))
             for at in range(0, n, step):
                 part = batch.slice(at, step)
                 counts, added = work(["" if t is None else t for t in texts.slice(at, step).to_pylist()], part)

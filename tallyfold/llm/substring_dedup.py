@@ -7,16 +7,18 @@
 2. The words of one segment of each kind are fetched. Of an anchor with a single kind the whole
    segment is a candidate phrase; of one with several, the runs of windows that the same kinds have
    in common (by hashes of windows).
-3. Phrases go to the parts of the documents in which their segments occur. Each part has an
-   Aho-Corasick automaton (pyahocorasick) of its phrases, and all of its documents, whole, are
-   streamed past it: words are compared, not hashes, and each occurrence is counted.
+3. Documents are dealt to parts by the smallest hash of all their phrases, which documents that are
+   alike share (of a home with many words by the document as well), and phrases go to the parts in
+   which their segments occur. Each part has an Aho-Corasick automaton (pyahocorasick) of its
+   phrases, and all of its documents, whole, are streamed past it: words are compared, not hashes,
+   and each occurrence is counted.
 4. A phrase that is found twice or more is confirmed, and the words of its occurrences are removed.
    One that is found once came from a collision of hashes: it is cut into its windows, a single
    window is dropped, and the documents are streamed again. That is all but never needed.
 
 So no word is removed but by a match of an automaton that the words of another place also gave. A
-part's automaton has PART_WORDS words of phrases at most, or those of a single document: the number
-of parts follows from the phrases that were counted.
+part's automaton has some PART_WORDS words of phrases, or those of a single document: the number of
+parts follows from the words of recurring segments, which are counted.
 
 Defined results: null texts have no words; fewer words than a window are never removed; the words
 kept are joined by one space; rows that repeat another's id and text count as occurrences of their
@@ -30,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import Scratch, Words, map_texts_many, pieces, prefix_sums, span_hashes, table
+from tallyfold.llm.common import Scratch, Words, by_text, map_texts_many, pieces, prefix_sums, span_hashes, table
 
 WINDOW, K = 35, 8
-#: The most words of phrases in the automaton of a part (some 100 bytes each, three letters a word).
-PART_WORDS = 150_000
+#: The words of phrases in the automaton of a part on average (some 300 bytes each).
+PART_WORDS = 40_000
+#: Homes of many words are broadcast up to so many rows of two numbers, which are counted.
+HOT_ROWS = 500_000
 
 
 def _segments(hashes: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
@@ -52,8 +56,34 @@ def _segments(hashes: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]
     return grams[least[starts]].view(np.int64), span_hashes(sums, starts, ends - 1 + window).view(np.int64), starts.astype(np.int32), (ends - starts).astype(np.int16)
 
 
+def _homes(words: Words, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest hash of a phrase of each text, and whether the text has a window at all."""
+    sizes = np.diff(words.at)
+    has, out = sizes >= window, np.zeros(len(sizes), np.int64)
+    if has.any():
+        sums, at = prefix_sums(words.hash), np.arange(len(words.hash))
+        grams = span_hashes(sums, at, np.minimum(at + k, len(at)))
+        ends = np.repeat(words.at[1:], sizes)
+        grams[at + k > ends] = np.uint64((1 << 64) - 1)  # a phrase that would cross into the next text
+        out[has] = np.minimum.reduceat(grams, words.at[:-1][sizes > 0])[has[sizes > 0]].view(np.int64)
+    return out, has
+
+
+def home_of(window: int, k: int):
+    """A column function of a text: its home, null for texts without a window."""
+
+    def make():
+        def work(texts: list[str]) -> pa.Array:
+            out, has = _homes(Words([t.encode() for t in texts]), window, k)
+            return pa.array(out, mask=~has)
+
+        return work
+
+    return by_text(make, "long")
+
+
 def anchored(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """_k, ah, sh, s, n: the segments of every document (of _k, _text)."""
+    """_k, home, ah, sh, s, n: the segments of every document (of _k, _text)."""
 
     def run(batches):
         for batch in batches:
@@ -63,9 +93,10 @@ def anchored(docs: DataFrame, window: int, k: int) -> DataFrame:
                 found = [_segments(words.hash[a:b], window, k) for a, b in zip(words.at[:-1], words.at[1:], strict=True)]
                 ah, sh, s, n = (np.concatenate(x) for x in zip(*found, strict=True))
                 of = np.repeat(np.arange(len(part)), [len(f[0]) for f in found])
-                yield pa.RecordBatch.from_pydict({"_k": key.slice(at, len(part)).take(pa.array(of)), "ah": ah, "sh": sh, "s": s, "n": n})
+                home = np.repeat(_homes(words, window, k)[0], [len(f[0]) for f in found])
+                yield pa.RecordBatch.from_pydict({"_k": key.slice(at, len(part)).take(pa.array(of)), "home": home, "ah": ah, "sh": sh, "s": s, "n": n})
 
-    return docs.select("_k", "_text").mapInArrow(run, "_k long, ah long, sh long, s int, n short")
+    return docs.select("_k", "_text").mapInArrow(run, "_k long, home long, ah long, sh long, s int, n short")
 
 
 def _texts(docs: DataFrame, window: int) -> DataFrame:
@@ -192,6 +223,12 @@ def _stream(batches):
         id_type = batch.schema.field("doc_id").type
         ids = batch.column(batch.schema.get_field_index("doc_id"))
         rows: list[tuple] = []
+        held = 0
+
+        def flush():
+            at, n, gone, kept = zip(*rows, strict=True)  # noqa: B023
+            return pa.RecordBatch.from_pydict({"kind": pa.array([1] * len(at), pa.int32()), "doc_id": ids.take(pa.array(at)), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})  # noqa: B023
+
         parts, kinds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         texts = batch.column(batch.schema.get_field_index("text"))
         for i, (p, kind) in enumerate(zip(parts, kinds, strict=True)):
@@ -209,15 +246,18 @@ def _stream(batches):
             stay = automaton.stay(words)
             left = words if stay is None else [w for w, s in zip(words, stay.tolist(), strict=True) if s]
             rows.append((i, len(words), len(words) - len(left), b" ".join(left)))
+            held += len(rows[-1][-1])
+            if held > 2 << 20:
+                yield flush()
+                rows, held = [], 0
         if rows:
-            at, n, gone, kept = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([1] * len(rows), pa.int32()), "doc_id": ids.take(pa.array(at)), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
+            yield flush()
     if phrases:
         yield told()
 
 
 def candidates(scratch: Scratch, docs: DataFrame, window: int, k: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    """Phrases (ah, sh, phrase) of segments that may be repeated, and where segments occur (_k, ah, sh), of docs (_k, _text)."""
+    """Phrases (ah, sh, phrase) of segments that may be repeated, and the recurring segments, of docs (_k, _text)."""
     all_ = scratch.keep(anchored(docs, window, k), "anchored")
     # written before the join, whose sides Spark can then split where an anchor is hot
     again = scratch.keep(all_.groupBy("ah").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("ah"), "again")
@@ -239,7 +279,7 @@ def candidates(scratch: Scratch, docs: DataFrame, window: int, k: int, bits: int
     at = windows.join(scratch.keep(twice, "twice"), "wh").groupBy("ah", "sh").agg(F.collect_set(F.struct("at", "sig")).alias("_at"))
     phrases = scratch.keep(alone.unionByName(_phrases(mixed.dropDuplicates(["ah", "sh"]).join(at, ["ah", "sh"]), window)), "phrases")
     scratch.release("windows", "twice", "segments")
-    return phrases, rec.select("_k", "ah", "sh")
+    return phrases, rec
 
 
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K, bits: int = 64, most: int = PART_WORDS) -> DataFrame:
@@ -251,14 +291,30 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "substring")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     rows = rows.withColumn("_k", F.xxhash64("doc_id", "_text"))
-    phrases, places = candidates(scratch, rows.select("_k", "_text"), window, k, bits)
+    phrases, rec = candidates(scratch, rows.select("_k", "_text"), window, k, bits)
     kind = dict(rows.dtypes)["doc_id"]
+    # how many parts share the words of recurring segments, and how many sub-parts a home with many of them has
+    words_in = F.sum(F.col("n") + window - 1)
+    total = rec.agg(words_in).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // most))
+    hot = scratch.keep(rec.groupBy("home").agg(F.ceil(words_in * 2 / most).cast("int").alias("subs")).where("subs > 1"), "hot")
+    if hot.count() <= HOT_ROWS:
+        hot = F.broadcast(hot)
+
+    def dealt(df: DataFrame) -> DataFrame:
+        sub = F.pmod(F.col("_k"), F.coalesce("subs", F.lit(1)))
+        return df.join(hot, "home", "left").withColumn("part", F.pmod(F.xxhash64(F.coalesce("home", "_k"), sub), F.lit(parts)).cast("int"))
+
+    places = scratch.keep(dealt(rec).select("part", "ah", "sh").distinct(), "places")
+    docs_ = dealt(rows.withColumn("home", home_of(window, k)(F.col("_text"))))
+    right = docs_.select("part", F.lit(1).alias("kind"), "doc_id", F.col("_text").alias("text"))
+    scratch.release("recurring")
     tries = 0
     while True:
-        routed, parts = _routed(scratch, phrases, places, most, f"routed{tries}")
+        routed = scratch.keep(places.join(phrases, ["ah", "sh"]).select("part", "phrase").distinct(), f"routed{tries}")
+        scratch.release()
         left = routed.select("part", F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("doc_id"), F.col("phrase").alias("text"))
-        right = rows.select(_part(parts).alias("part"), F.lit(1).alias("kind"), "doc_id", F.col("_text").alias("text"))
-        both = left.unionByName(right).repartition(parts, "part").sortWithinPartitions("part", "kind")
+        both = left.unionByName(right).repartition("part").sortWithinPartitions("part", "kind")
         done = scratch.keep(both.mapInArrow(_stream, f"kind int, doc_id {kind}, n_words long, n_removed long, kept string"), f"done{tries}")
         lone = scratch.keep(done.where("kind = 0").groupBy(F.col("kept").alias("phrase")).agg(F.sum("n_words").alias("n")).where("n < 2").select("phrase"), f"lone{tries}")
         scratch.release(f"routed{tries}")
@@ -272,23 +328,6 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tries += 1
 
 
-def _part(parts: int):
-    return F.pmod(F.col("_k"), F.lit(parts)).cast("int")
-
-
-def _routed(scratch: Scratch, phrases: DataFrame, places: DataFrame, most: int, name: str) -> tuple[DataFrame, int]:
-    """part, phrase: each phrase in each part that has one of its segments; and how many parts there are."""
-    parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
-    while True:
-        routed = places.select(_part(parts).alias("part"), "ah", "sh").distinct().join(phrases, ["ah", "sh"]).select("part", "phrase").distinct()
-        routed = scratch.keep(routed, name)
-        words = routed.groupBy("part").agg(F.sum(F.size(F.split("phrase", " "))).alias("n")).agg(F.max("n").alias("top"), F.sum("n").alias("all")).first()
-        # more parts as long as that helps: a single document may have more phrases
-        if not words["top"] or words["top"] <= most or words["top"] * parts > 8 * words["all"]:
-            return routed, parts
-        parts *= -(-words["top"] // most)
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_passages(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
