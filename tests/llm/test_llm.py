@@ -215,6 +215,57 @@ def test_html():
         html_text.main_text(broken, tree)
 
 
+LAYOUT = """<html><head><title>x</title></head><body><nav><a href=1>Home</a><div><a href=2>News</a></div></nav>{open}
+<h1>A heading of some words</h1><p>First paragraph of the article with a <a href=3>link</a> and several words in it, so that it is long.</p>
+<p>Short one.</p><ul><li>an item of a list in the article</li></ul><p>Last paragraph of the article, as long as the first and rather longer than that.</p>{close}
+<div class="comments"><p>I think that this is a very good article, and long words of praise are due to its author.</p></div>
+<aside><p>Other articles that you may want to read one day, or rather not.</p></aside><div class="cookie-notice">We use cookies on this page.</div>
+<form><p>Subscribe to our letters here</p><input></form><footer>Imprint and so on</footer></body></html>"""
+
+
+def test_html_layouts():
+    tree = html_text.grow(html_text.LABELLED)
+    want = ["A heading of some words", "First paragraph of the article with a link and several words in it, so that it is long.", "Short one.", "an item of a list in the article", "Last paragraph of the article, as long as the first and rather longer than that."]
+    for tag in ("article", "main", 'div class="post-content"', 'div id="story"', 'div role="main"'):
+        page = LAYOUT.format(open=f"<{tag}>", close=f"</{tag.split()[0]}>")
+        assert html_text.main_text(page, tree).split("\n\n") == want, tag
+
+
+def test_html_tree_does_without_markup():
+    """With class names and elements that say what is main text taken away, block features decide alike."""
+    import pandas as pd
+
+    tree = html_text.grow(html_text.LABELLED)
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet")
+    same = n = 0
+    for page in pages.html:
+        for x in html_text.features(html_text.blocks_of(page)):
+            same += html_text.predict(tree, x) == html_text.predict(tree, (*x[:7], 0, 0.0))
+            n += 1
+    assert n > 3000 and same >= 0.95 * n
+    assert not isinstance(tree, int) and tree[0] not in html_text.MINOR
+
+
+def test_html_hostile_pages_are_linear():
+    import time
+
+    tree = html_text.grow(html_text.LABELLED)
+    start = time.time()
+    for bad in ("<a " * 300000, "<" * 300000, "<div>" * 100000 + "</p>" * 100000, '<a "' * 200000, "<svg>" * 100000, "<!--" * 100000, "<![CDATA[" * 100000, "<b>" * 100000 + "</i>" * 100000):
+        html_text.main_text(bad, tree)
+    assert time.time() - start < 8
+
+
+def test_html_table(spark):
+    page = LAYOUT.format(open="<article>", close="</article>")
+    schema = "page_id long, url string, html string, text int, _text int, n_chars int"
+    rows_ = [(1, "u", page, 1, 1, 1), (1, "u", page, 1, 1, 1), (2, None, None, 1, 1, 1), (3, "v", "", 1, 1, 1), (None, "w", "<p>" + "long words here " * 20000, 1, 1, 1)]
+    out = html_text.extract(spark.createDataFrame(rows_, schema)).collect()
+    assert out[0] == out[1] and out[0]["n_chars"] == len(out[0]["text"]) > 200
+    assert [(r["text"], r["n_chars"]) for r in out[2:4]] == [("", 0), ("", 0)] and out[4]["n_chars"] > 300000
+    assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.001"])
 def test_pipeline(spark, sf):
     import corpus_pipeline
