@@ -1,15 +1,16 @@
 """Operator 1: a deterministic, sharded WARC writer and its reader.
 
-Records are range-sorted by their key. Each partition writes its own files, rolls them by
-compressed size, gzips every record as a member of its own, and regenerates headers and digests
-from the payload. A file is written under a temporary name that carries the attempt and takes its
+Records are range-sorted by page_id and digest and dealt to shards at bounds that follow from exact
+counts of payload bytes (no sampling), so the shards, and all bytes of the archive, follow from the
+rows alone, whatever the partitions are. Each shard has its own files, rolled by compressed size;
+every record is a gzip member of its own, with headers and digests regenerated from the payload. A file is written under a temporary name that carries the attempt and takes its
 final name when it is whole; a retried or speculative task writes the same bytes to the same final
 name. The manifest (one row per file: name, records, bytes, SHA-256) is written last and is what
 readers go by, so files of a lost attempt are never read.
 
 Defined results: null html is an empty payload; payloads below `least` bytes are never revisits;
-of equal payloads the smallest page_id is the response (null ids sort first in the files and only
-respond when the group has no other); repeated rows with one id and payload are one response and
+of equal payloads the smallest page_id is the response (null ids sort first in the files; rows with
+a null id are all responses when the group has no other id, since nothing can refer to them); repeated rows with one id and payload are one response and
 revisits after it; an empty table gives an empty archive; other columns are ignored.
 """
 
@@ -32,6 +33,8 @@ LEAST = 100
 #: A file is closed once its compressed size reaches this.
 ROLL_BYTES = 64 << 20
 LEVEL = 4
+#: Payload bytes of a shard, and the bins of one step of the search for its bounds.
+SHARD_BYTES, BINS = 256 << 20, 1024
 #: Headers carry a fixed date: the bytes of an archive follow from its input alone.
 DATE = "1970-01-01T00:00:00Z"
 MANIFEST = "file string, first_id long, records long, bytes long, sha256 string"
@@ -76,16 +79,16 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 class _Roller:
-    """The open file of a partition."""
+    """The open file of a shard."""
 
-    def __init__(self, base: str, shard: int, attempt: int, roll_bytes: int):
+    def __init__(self, base: str, shard: str, attempt: int, roll_bytes: int):
         self.fs, self.root = filesystem(base)
         self.shard, self.attempt, self.roll = shard, attempt, roll_bytes
         self.index, self.out = 0, None
 
     def add(self, page_id: int | None, raw: bytes) -> Iterator[tuple]:
         if self.out is None:
-            self.name = f"part-{self.shard:06d}-{self.index:05d}.warc.gz"
+            self.name = f"part-{self.shard}-{self.index:05d}.warc.gz"
             self.temp = f"{self.root}/_tmp-{self.attempt}-{self.name}"
             self.out, self.sha, self.n, self.size, self.first = self.fs.open_output_stream(self.temp, compression=None), hashlib.sha256(), 0, 0, page_id
         z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
@@ -107,11 +110,15 @@ class _Roller:
 def _writer(base: str, roll_bytes: int):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context = TaskContext.get()
-        roller = _Roller(base, context.partitionId(), context.taskAttemptId(), roll_bytes)
+        roller, now = None, None
         done: list[tuple] = []
         mark: tuple | None = None  # (page_id, digest, refers_to) of the marker before its rows
         for batch in batches:
-            for page_id, url, html, digest, refers, kind in batch.itertuples(index=False, name=None):
+            for shard, page_id, url, html, digest, refers, kind in batch.itertuples(index=False, name=None):
+                if shard != now:
+                    if roller is not None:
+                        done += roller.close()
+                    now, roller, mark = shard, _Roller(base, shard, context.taskAttemptId(), roll_bytes), None
                 page_id = None if pd.isna(page_id) else int(page_id)
                 if kind == 0:
                     mark = (page_id, digest, None if pd.isna(refers) else int(refers))
@@ -125,20 +132,75 @@ def _writer(base: str, roll_bytes: int):
                     elif mark[2] is not None and page_id is not None and mark[2] == -1 - page_id:
                         target = page_id
                 done += roller.add(page_id, record(page_id, url, html.encode("utf-8", "surrogatepass") if isinstance(html, str) else b"", target))
-        done += roller.close()
+        if roller is not None:
+            done += roller.close()
         yield pd.DataFrame(done, columns=["file", "first_id", "records", "bytes", "sha256"]).astype({"first_id": "Int64"})
 
     return write
 
 
+def shard_cuts(sizes: DataFrame, shard_bytes: int) -> tuple[int, int, list[list[int]], list[tuple[int | None, int]]]:
+    """lowest id, width of a bin, cuts in each of up to BINS bins, and (id, sub-shards) of ids above a shard's bytes; of sizes (page_id, size).
+
+    Exact counts by bins of ids; bins above the size are counted again in BINS finer ones. What the
+    driver gets is a count for each bin: BINS, and as many again for each bin above a shard's bytes.
+    """
+    known = sizes.where("page_id IS NOT NULL")
+    low, high = known.agg(F.min("page_id"), F.max("page_id")).first()
+    nulls = sizes.where("page_id IS NULL").agg(F.sum("size")).first()[0] or 0
+    hot = [(None, -(-nulls // shard_bytes))] if nulls > shard_bytes else []
+    if low is None:
+        return 0, 1, [[]], hot
+    whole = high - low + 1
+    first = -(-whole // BINS)
+    open_, leaves = [low], {}
+    while open_:
+        width = -(-whole // BINS)
+        starts = "array(" + ", ".join(f"{x}L" for x in sorted(open_)) + ")"
+        within = known.withColumn("s", F.expr(f"get({starts}, size(filter({starts}, x -> x <= page_id)) - 1)").cast("decimal(20,0)"))
+        within = within.where(f"s IS NOT NULL AND CAST(page_id AS decimal(20,0)) - s < {whole}")
+        got = within.groupBy(F.expr(f"CAST(s + floor((CAST(page_id AS decimal(20,0)) - s) / {width}) * {width} AS bigint)").alias("b")).agg(F.sum("size").alias("n")).collect()
+        over = {r[0]: r[1] for r in got if r[1] > shard_bytes}
+        if width == 1:
+            hot += [(k, -(-n // shard_bytes)) for k, n in sorted(over.items())]
+            over = {}
+        leaves |= {r[0]: r[1] for r in got if r[0] not in over}
+        open_, whole = list(over), width
+    cuts: list[list[int]] = [[] for _ in range(-(-(high - low + 1) // first))]
+    held = 0
+    for k, n in sorted(leaves.items()):
+        if held and held + n > shard_bytes:
+            cuts[(k - low) // first].append(k)
+            held = 0
+        held += n
+    return low, first, cuts, hot
+
+
+def shard_of(low: int, width: int, cuts: list[list[int]], hot: list[tuple[int | None, int]]):
+    """The shard of page_id and digest, as text that sorts like the ids; null ids come first."""
+    before, n = [], 1
+    for c in cuts:
+        before.append(n)
+        n += len(c)
+    bins = "array(" + ", ".join("array(" + ", ".join(f"{x}L" for x in c) + ")" if c else "CAST(array() AS array<bigint>)" for c in cuts) + ")"
+    place = f"CAST(floor((CAST(page_id AS decimal(20,0)) - {low}) / {width}) AS int)"
+    number = f"CASE WHEN page_id IS NULL THEN 0 ELSE get(array({', '.join(map(str, before))}), {place}) + size(filter(get({bins}, {place}), c -> c <= page_id)) END"
+    sub = "0"
+    if hot:
+        parts = " ".join(f"WHEN page_id <=> {'NULL' if k is None else f'{k}L'} THEN {min(n, 4096)}" for k, n in hot)
+        sub = f"CAST(floor(CAST(conv(substr(digest, 1, 3), 16, 10) AS int) * (CASE {parts} ELSE 1 END) / 4096) AS int)"
+    return F.expr(f"format_string('%06d-%04d', {number}, {sub})")
+
+
 def write_warc(
-    pages: DataFrame, base: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST, roll_bytes: int = ROLL_BYTES
+    pages: DataFrame, base: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES
 ) -> DataFrame:
     """Writes the archive below base and returns its manifest, which is written there as well.
 
     Only (id, digest) pairs meet in the search for copies; markers of the groups with several rows
-    then travel beside the payloads, which are shuffled once, by range. A hot digest is reduced on
-    the map side and its join can be split by AQE.
+    then travel beside the payloads, which are shuffled once, by shard. A hot digest is reduced on
+    the map side and its join can be split by AQE; an id with more than a shard's bytes is spread by
+    digest.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(payload_col).alias("html"))
@@ -150,11 +212,13 @@ def write_warc(
     full = rows.select("page_id", "url", "html", "digest", F.lit(None).cast("long").alias("refers"), F.lit(1).alias("kind"))
     fs, root = filesystem(base)
     fs.create_dir(root, recursive=True)
+    shard = shard_of(*shard_cuts(rows.select("page_id", (F.coalesce(F.octet_length("html"), F.lit(0)) + 500).cast("long").alias("size")), shard_bytes))
     sorted_rows = (
         marked.unionByName(full)
-        .repartitionByRange(F.col("page_id"), F.col("digest"))
-        .sortWithinPartitions("page_id", "digest", "kind", "url")
-        .select("page_id", "url", "html", "digest", "refers", "kind")
+        .withColumn("shard", shard)
+        .repartition("shard")
+        .sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+        .select("shard", "page_id", "url", "html", "digest", "refers", "kind")
     )
     sorted_rows.mapInPandas(_writer(base, roll_bytes), MANIFEST).write.mode("overwrite").parquet(f"{base}/_manifest")
     return spark.read.schema(MANIFEST).parquet(f"{base}/_manifest")

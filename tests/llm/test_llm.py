@@ -76,6 +76,27 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(spark, warc.write_warc(pages.limit(0), b := Scratch(spark, "t").path) and b).count() == 0
 
 
+def test_warc_is_the_same_from_any_partitions(spark):
+    rng = random.Random(9)
+    data = [(rng.choice((rng.randint(0, 10**6), rng.randint(0, 50), 7, 2**62, None)), f"u{i}", "x" * rng.randint(0, 300) + str(rng.randint(0, 400)), 1, "s") for i in range(4000)]
+    data += data[:50]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string, digest int, shard string")
+
+    def written(df):
+        base = Scratch(spark, "t").path
+        manifest = warc.write_warc(df, base, roll_bytes=20_000, shard_bytes=100_000).collect()
+        return base, sorted((r["file"], r["records"], r["bytes"], r["sha256"]) for r in manifest)
+
+    base, one = written(pages)
+    assert len({f.split("-")[1] for f, *_ in one}) > 5 and one == written(pages.repartition(7))[1] == written(pages.orderBy("html"))[1]
+    rows_ = warc.read_warc(spark, base)
+    assert rows_.count() == len(data) and sum(x[1] for x in one) == len(data)
+    got = Counter((r["page_id"], r["payload_digest"]) for r in rows_.collect())
+    assert got == Counter((p, hashlib.sha256(h.encode()).hexdigest()) for p, _, h, *_ in data)
+    responses = Counter(r["payload_digest"] for r in rows_.where("record_type = 'response' AND payload_bytes >= 100 AND page_id IS NOT NULL").collect())
+    assert max(responses.values()) == 1
+
+
 def brute_windows(texts, w):
     words = [(t or "").encode().split() for t in texts]
     seen = Counter(tuple(x[i : i + w]) for x in words for i in range(len(x) - w + 1))
