@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tallyfold.llm.common import Scratch, ascii_lower, table
 
 WINDOW, K = 10, 5
-#: Broadcasts are only taken for tables counted to have at most so many rows; beyond, joins shuffle.
-BROADCAST_ROWS = 100_000
+#: Only tables whose bytes were summed up to at most so many are broadcast; beyond, joins shuffle.
+BROADCAST_BYTES = 16 << 20
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -52,8 +52,9 @@ def fingerprints(df: DataFrame, window: int, k: int, short: list[int]) -> DataFr
     return df
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame, size: str) -> DataFrame:
+    """df to be broadcast if it is small; size: SQL of the bytes of a row. df is a written table."""
+    return F.broadcast(df) if (df.agg(F.sum(F.expr(f"40 + {size}"))).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def decontaminate(
@@ -82,7 +83,7 @@ def decontaminate(
         items.select("item_id", F.explode(F.expr(f"transform(sequence(1, greatest(size(_w) - {window - 1}, 1)), i -> array_join(slice(_w, i, {window}), ' '))")).alias("_run")).distinct(),
         "windows",
     )
-    runs = windows.select("_run").distinct()
+    runs = scratch.keep(windows.select("_run").distinct(), "runs")
     marks = scratch.keep(
         fingerprints(items, window, k, short)
         # of an item shorter than a window only the hash of all its words counts
@@ -91,20 +92,17 @@ def decontaminate(
         .distinct(),
         "marks",
     )
-    n_marks, n_runs = marks.count(), runs.count()
-
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("_t"), F.col(text_col).alias("_text"))
     hashed = scratch.keep(
         fingerprints(keyed.withColumn("_w", words(F.col("_text"))), window, k, short).select("doc_id", "_t", F.size("_w").cast("long").alias("n_words"), "_fp"), "hashed"
     )
     # explode_outer: the filter that explode implies would compute the arrays again
-    hits = hashed.select("doc_id", "_t", F.explode_outer("_fp").alias("_x")).join(_small(marks, n_marks), "_x")
+    hits = hashed.select("doc_id", "_t", F.explode_outer("_fp").alias("_x")).join(_small(marks, "8"), "_x")
     found = scratch.keep(hits.groupBy("doc_id", "_t").agg(F.collect_set("_x").alias("_xs")), "found")
-    n_found = found.count()
 
     f = found.select(F.col("doc_id").alias("_id"), F.col("_t").alias("_ft"), "_xs")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_ft"))
-    hit_docs = keyed.join(_small(f, n_found), same).withColumn("_w", words(F.col("_text"))).select("doc_id", "_t", "_w", "_xs")
+    hit_docs = keyed.join(_small(f, "8 * size(_xs)"), same).withColumn("_w", words(F.col("_text"))).select("doc_id", "_t", "_w", "_xs")
     around = hit_docs.withColumn("_h", F.expr(_grams(k))).select(
         "doc_id",
         "_t",
@@ -124,12 +122,12 @@ def decontaminate(
     for n in short:
         spans = f"concat({spans}, transform(_s{n}, s -> struct(s AS at, {n} AS len, array_join(slice(_w, s, {n}), ' ') AS run)))"
     spread = around.select("doc_id", "_t", F.explode_outer(F.expr(spans)).alias("_s")).select("doc_id", "_t", "_s.at", "_s.len", F.col("_s.run").alias("_run"))
-    exact = scratch.keep(spread.join(_small(runs, n_runs), "_run").distinct(), "exact")
+    exact = scratch.keep(spread.join(_small(runs, "octet_length(_run)"), "_run").distinct(), "exact")
     covered = exact.select("doc_id", "_t", F.explode(F.expr("sequence(at, at + len - 1)")).alias("_p")).distinct().groupBy("doc_id", "_t").agg(F.count(F.lit(1)).alias("n_hit"))
     named = (
         exact.select("doc_id", "_t", "_run")
         .distinct()
-        .join(_small(windows, n_runs), "_run")
+        .join(_small(windows, "8 + octet_length(_run)"), "_run")
         .groupBy("doc_id", "_t")
         .agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("_items"))
         .select("doc_id", "_t", F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"))
