@@ -2,7 +2,8 @@
 
 Copies are deduplicated locally, then merged in salted groups, then the winners of the salts are
 combined. Every one of the three steps groups by the content itself next to its digest, so equal
-digests alone never merge two texts.
+digests alone never merge two texts. Rows find their group again by digest, length and a second
+hash; whether two contents share all three is counted first, and if any do, by the content too.
 
 Defined results: null text counts as empty, empty texts are equal to each other; of equal texts the
 row with the largest id stays (a null id loses to any other; repeated rows with one id are one
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import map_texts, table
+from tallyfold.llm.common import Scratch, map_texts, table
 
 #: Salts over which one group of copies is spread before its winners meet.
 SALTS = 32
@@ -46,15 +47,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = map_texts(docs, text_col, {"doc_id": f"`{id_col}`"}, "_text binary, text_sha256 string, _len long, _xx long", make)
     content = ["text_sha256", "_len", "_xx", "_text"]
     salted = (
-        keyed.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+        keyed.withColumn("_salt", F.pmod(F.when(F.col("doc_id").isNull(), F.spark_partition_id()).otherwise(F.xxhash64("doc_id")), F.lit(salts)))
         .groupBy("_salt", *content)
         .agg(F.max("doc_id").alias("_id"), F.count(F.lit(1)).alias("_n"))
     )
-    groups = salted.groupBy(*content).agg(F.max("_id").alias("keep_id"), F.sum("_n").alias("group_size")).drop("_text")
+    groups = salted.groupBy(*content).agg(F.max("_id").alias("keep_id"), F.sum("_n").alias("group_size"))
     key = ["text_sha256", "_len", "_xx"]
+    scratch = Scratch(docs.sparkSession, "exact")
+    named = scratch.keep(groups.select(*key, "keep_id", "group_size"), "groups")
+    clash = not named.groupBy(*key).count().where("count > 1").isEmpty()
     return (
-        keyed.select("doc_id", *key)
-        .join(groups, key)
+        keyed.select("doc_id", *key, *(["_text"] if clash else []))
+        .join(groups if clash else named, content if clash else key)
         .select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
     )
 
