@@ -23,10 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfold.llm.common import map_texts, table
+from tallyfold.llm.common import Memo, map_texts, table
 
-#: Pieces of up to this many bytes are remembered, so many at a time.
-SHORT, REMEMBERED = 48, 600_000
+#: Pieces of up to this many characters are remembered.
+SHORT = 48
+#: What a worker remembers of pieces, and of pairs of tokens, in bytes (twice that at most).
+PIECE_BYTES, PAIR_BYTES = 24 << 20, 24 << 20
 
 
 def default_ranks() -> str:
@@ -93,8 +95,8 @@ class Codec:
         self.tokens = {r: b for b, r in ranks.items()}
         self.longest = max(map(len, ranks))
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
-        self.apart: dict[int, bool] = {}  # (token, token) -> they stay two tokens
+        self.known = Memo(PIECE_BYTES, 320)  # piece -> ids
+        self.apart = Memo(PAIR_BYTES, 120)  # (token, token) -> they stay two tokens
         # how each token comes about: a token that merging its own bytes doesn't give back can be no part of a longer piece
         self.halves: dict[int, tuple[int, int] | None] = {}
         for b, r in sorted(ranks.items(), key=lambda x: x[1]):
@@ -138,9 +140,7 @@ class Codec:
         key = a << 20 | b
         got = self.apart.get(key)
         if got is None:
-            if len(self.apart) > 2_000_000:
-                self.apart.clear()
-            got = self.apart[key] = self._apart(a, b)
+            self.apart.put(key, got := self._apart(a, b))
         return got
 
     def _apart(self, a: int, b: int) -> bool:
@@ -159,7 +159,7 @@ class Codec:
 
     def step(self, data: bytes | bytearray, last: list[int], i: int) -> int:
         """The last token of the prefix that ends with byte i."""
-        ranks, halves, apart, end = self.ranks, self.halves, self.apart, i + 1
+        ranks, halves, apart, end = self.ranks, self.halves, self.apart.young, i + 1
         more = self.lengths.get(bytes(data[i - 3 : end]), ()) if i > 2 else ()
         for n in (*more, 3, 2):
             if n <= end and (t := ranks.get(bytes(data[end - n : end]))) is not None and t in halves:
@@ -192,14 +192,15 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         known, out = self.known, []
+        young = known.young
         for p in self.find(text):
-            ids = known.get(p)
+            ids = young.get(p)
             if ids is None:
-                ids = self.piece(p.encode())
-                if len(p) <= SHORT:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[p] = ids
+                if (ids := known.get(p)) is None:
+                    ids = self.piece(p.encode())
+                    if len(p) <= SHORT:
+                        known.put(p, ids)
+                young = known.young
             out += ids
         return out
 

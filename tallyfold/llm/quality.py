@@ -11,7 +11,7 @@ is scored.
 
 Defined results: null and empty texts are scored by their (zero) features; a null id is no held-out
 row and has no label; labels other than 0 and 1 are ignored, of several labels of a document the
-larger counts; without a pair (no labels, or one class) every score is 0.7; repeated rows stay as
+larger counts, of several texts under one labelled id the one with the least features is learnt from; without a pair (no labels, or one class) every score is 0.7; repeated rows stay as
 they are; texts of any length are read whole; other columns are ignored.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import map_texts, table
+from tallyfold.llm.common import by_text, map_texts, table
 
 #: The most labelled rows that the fit sees, and the preference pairs drawn from them.
 SAMPLE, PAIRS = 20_000, 120_000
@@ -134,22 +134,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         return work
 
-    got = map_texts(chosen, "_t", {"_id": "_id", "_y": "_y"}, "x array<float>", make).toArrow().sort_by("_id")
+    # one row for each id, however many rows share it: at most `sample` rows reach the driver
+    each = map_texts(chosen, "_t", {"_id": "_id", "_y": "_y"}, "x array<float>", make).groupBy("_id", "_y").agg(F.min("x").alias("x"))
+    got = each.toArrow().sort_by("_id")
     if not got.num_rows:
         return Model()
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, WIDTH)
-    order = np.lexsort((x[:, 0], got.column("_id").to_numpy()))
-    return fit(x[order], got.column("_y").to_numpy()[order])
+    return fit(x, got.column("_y").to_numpy())
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, str] | None = None) -> DataFrame:
-    """Adds score to the kept columns (doc_id, held_out by default); one pass, no shuffle."""
+def score_of(model: Model):
+    """A column function: the score of a text column."""
 
     def make():
-        return lambda texts: {"score": model.score(_matrix(texts).astype(np.float64))}
+        return lambda texts: pa.array(model.score(_matrix(texts).astype(np.float64)), pa.float64())
 
-    keep = keep or {"doc_id": f"`{id_col}`", "held_out": f"coalesce(crc32(cast(cast(`{id_col}` AS string) AS binary)) % 4 = 2, false)"}
-    return map_texts(docs, text_col, keep, "score double", make)
+    return by_text(make, "double")
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, score for every row; one pass, no shuffle."""
+    return docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), score_of(model)(F.col(text_col)).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

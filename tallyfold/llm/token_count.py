@@ -19,13 +19,15 @@ from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfold.llm.common import map_texts, table
+from tallyfold.llm.common import Memo, map_texts, table
 
 SPACE = "▁"
 OUT = "n_bytes long, n_tokens long, over_limit boolean"
 LIMIT = 4096
-#: Segments of up to this many characters are remembered, so many at a time.
-SHORT, REMEMBERED = 48, 600_000
+#: Segments of up to this many characters are remembered.
+SHORT = 48
+#: What a worker remembers of segments, in bytes (twice that at most).
+SEGMENT_BYTES = 32 << 20
 
 
 def default_model() -> str:
@@ -56,7 +58,7 @@ class Counter:
     def __init__(self, ranks: dict[str, int], lead: bool):
         self.ranks, self.lead = ranks, lead
         self.segments = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        self.known: dict[str, int] = {}
+        self.known = Memo(SEGMENT_BYTES, 200)
 
     def merge(self, text: str) -> int:
         """Initial symbols minus merges for one segment."""
@@ -92,14 +94,15 @@ class Counter:
         if not text:
             return 0
         known, merge, total = self.known, self.merge, 0
+        young = known.young
         for s in self.segments((SPACE if self.lead else "") + text.replace(" ", SPACE)):
-            n = known.get(s)
+            n = young.get(s)
             if n is None:
-                n = merge(s)
-                if len(s) <= SHORT:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[s] = n
+                if (n := known.get(s)) is None:
+                    n = merge(s)
+                    if len(s) <= SHORT:
+                        known.put(s, n)
+                young = known.young
             total += n
         return total
 
