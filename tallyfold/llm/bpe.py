@@ -28,7 +28,7 @@ from tallyfold.llm.common import Memo, map_texts, table
 #: Pieces of up to this many characters are remembered.
 SHORT = 48
 #: What a worker remembers of pieces, and of pairs of tokens, in bytes (twice that at most).
-PIECE_BYTES, PAIR_BYTES = 24 << 20, 24 << 20
+PIECE_BYTES, PAIR_BYTES = 48 << 20, 40 << 20
 
 
 def default_ranks() -> str:
@@ -249,25 +249,27 @@ def decode(encoded: DataFrame, ids_col: str = "ids", ranks: str | None = None) -
     return encoded.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes) + ", decoded binary")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode, decode and digest in one pass."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids): encode, decode and digest in one pass of one worker."""
     path, pat = ranks or default_ranks(), pattern or default_pattern()
 
     def make():
         c = codec(path, pat)
 
         def work(texts: list[str]) -> dict:
-            n, a, b = [], [], []
+            n, a, b, lists = [], [], [], []
             for t in texts:
                 ids = c.encode(t)
                 n.append(len(ids))
                 a.append(hashlib.sha256(",".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest())
                 b.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            return {"n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
+                if with_ids:
+                    lists.append(ids)
+            return {"n_tokens": n, "ids_sha256": a, "decoded_sha256": b} | ({"ids": _offsets(lists)} if with_ids else {})
 
         return work
 
-    return map_texts(docs, text_col, {"doc_id": f"`{id_col}`"}, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return map_texts(docs, text_col, {"doc_id": f"`{id_col}`"}, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, make)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

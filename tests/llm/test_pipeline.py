@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tallyfold.llm import bpe, line_dedup, quality
 
@@ -53,13 +55,37 @@ def without_items(docs, items):
     return {i: t for i, t in docs.items() if not hit(words(t))}
 
 
+def test_stages_keep_columns_of_any_name(spark, odd, none):
+    """Nulls, repeats and columns that are called like inner ones pass through every stage but the last."""
+    names = ("_in", "_text", "score", "n_lines", "_line_t", "row", "gone", "_id", "_t", "component", "kept", "contaminated")
+    line = "one line of seven words that repeats"
+    extra = spark.createDataFrame([(20, f"{line}\nown words of this text are here", 1, "en"), (21, f"{line}\nquite other words are in that one", 1, "en")], odd.schema)
+    for given in (odd.unionByName(extra), none):
+        docs = given.withColumn("n_chars", F.length("text").cast("long"))
+        for k, name in enumerate(names):
+            docs = docs.withColumn(name, F.concat(F.lit(f"{name}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("x"))) if k % 2 else F.lit(k))
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            if name == "byte_bpe":
+                assert out.count() == docs.count()
+                continue
+            assert out.columns == docs.columns, name
+            rows = out.collect()
+            assert all(r["_in"] == 0 and r["_line_t"] == 4 and r["_text"] == f"_text-{'x' if r['doc_id'] is None else r['doc_id']}" for r in rows), name
+            if name == "line_dedup":
+                texts = {r["doc_id"]: r["text"] for r in rows}
+                assert not texts or (texts[20].startswith(line) and not texts[21].startswith(line) and texts[1] is None)
+            if name != "quality_classifier":
+                assert sum(r["doc_id"] is None for r in rows) == docs.where("doc_id IS NULL").count(), name
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 2500")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
-    scores = quality.score(docs, model, keep={"doc_id": "doc_id", "text": "text"}).collect()
+    scores = docs.select("doc_id", "text", quality.score_of(model)("text").alias("score")).collect()
     left = {r["doc_id"]: r["text"] or "" for r in scores if r["score"] >= quality.THRESHOLD}
     sizes, texts = [docs.count(), len(left)], [left]
     items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
