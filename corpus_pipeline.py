@@ -51,7 +51,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as token ids, decoded again: the digest is that of the text."""
-    return bpe.decode(bpe.encode(docs)).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.digests(docs, with_ids=True).select("doc_id", "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [
