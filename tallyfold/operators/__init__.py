@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,11 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataF
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
+def first_by(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
+    """One row per key, the one with the smallest value of a total order; combined on the map side."""
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*(c for c in df.columns if c not in keys)), order).alias("_r")).select(*keys, "_r.*")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of new win over rows of old with the same keys."""
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
@@ -27,15 +33,18 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str], order:
     return old.unionByName(latest(new, keys, order).join(old.select(*keys).distinct(), list(keys), "left_anti"))
 
 
-def replace_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """All rows of old under the keys that new touches go."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+def replace_by_key(old: DataFrame, new: DataFrame, key: str, touched: DataFrame | None = None) -> DataFrame:
+    """All rows of old under the keys that new has, or that `touched` names (with or without new rows), go."""
+    keys = new.select(key) if touched is None else touched.select(key)
+    return old.join(keys.distinct(), key, "left_anti").unionByName(new)
 
 
 def sparse_upsert(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Only supplied (non-null) columns are overwritten; unknown keys are inserted."""
+    """Only supplied (non-null) values of the columns are overwritten, all others stay; unknown keys are inserted, unknown columns raise."""
+    if missing := [c for c in (key, *columns) if c not in old.columns]:
+        raise ValueError(f"no such column: {', '.join(missing)}")
     n = new.select(key, *(F.col(c).alias(f"_n_{c}") for c in columns))
-    return old.join(n, key, "full").select(key, *(F.coalesce(f"_n_{c}", c).alias(c) for c in columns))
+    return old.join(n, key, "full").select(*(F.coalesce(f"_n_{c}", c).alias(c) if c in columns else F.col(c) for c in old.columns))
 
 
 # As-of and top-k
@@ -46,6 +55,27 @@ def preceding_k(df: DataFrame, partition: Sequence[str], order: Sequence[Column]
     return F.collect_list(value).over(Window.partitionBy(*partition).orderBy(*order).rowsBetween(-k, -1))
 
 
+def preceding_with(df: DataFrame, key: str, date: str, has: Column, k: int) -> DataFrame:
+    """key, prior: the keys of the last k rows before each (by date, then key) for which `has` holds, oldest first; rows without a date are left out.
+
+    The whole table is one order, so it isn't partitioned by a key: each day is ordered on its own, and
+    gets the last k keys of the days before from a table of days.
+    """
+    rows = df.where(F.col(date).isNotNull()).select(key, date, F.when(has, F.col(key)).alias("_h"))
+    # one row for each day, with its last k keys; the days are few beside the rows
+    last = F.slice(F.reverse(F.array_sort(F.collect_list("_h"))), 1, k)
+    ranked = rows.where("_h IS NOT NULL").withColumn("_r", F.row_number().over(Window.partitionBy(date).orderBy(F.col(key).desc()))).where(F.col("_r") <= k)
+    days = rows.select(date).distinct().join(ranked.groupBy(date).agg(last.alias("_l")), date, "left").withColumn("_l", F.coalesce("_l", F.array().cast(f"array<{dict(df.dtypes)[key]}>")))
+    before = Window.orderBy(date).rowsBetween(-4 * k, -1)
+    # days without any are skipped by looking at those that have some
+    some = days.where(F.size("_l") > 0)
+    carried = some.withColumn("_p", F.slice(F.flatten(F.reverse(F.collect_list("_l").over(before))), 1, k)).withColumn("_upto", F.slice(F.concat("_l", "_p"), 1, k))
+    asof = days.select(date).join(carried.select(F.col(date).alias("_d"), "_upto"), F.col(date) == F.col("_d"), "left").withColumn("_prev", F.last("_upto", ignorenulls=True).over(Window.orderBy(date).rowsBetween(Window.unboundedPreceding, -1)))
+    own = F.collect_list("_h").over(Window.partitionBy(date).orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
+    within = rows.withColumn("_own", F.slice(F.reverse(own), 1, k)).join(asof.select(date, "_prev"), date)
+    return within.select(key, F.reverse(F.slice(F.concat("_own", F.coalesce("_prev", F.array().cast(f"array<{dict(df.dtypes)[key]}>"))), 1, k)).alias("prior"))
+
+
 def top_k(df: DataFrame, partition: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     w = Window.partitionBy(*partition).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -64,16 +94,21 @@ def merge_turns(df: DataFrame, session: str, order: str, speaker: str, text: str
 
 
 def pack_windows(lengths: Column, budget: int) -> Column:
-    """Greedy packing of an array of lengths: the window number of each, never splitting one."""
-    zero = F.struct(F.array().cast("array<int>").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("used"))
-
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["used"] > 0) & (acc["used"] + x + 1 > budget)
-        n = F.when(full, acc["n"] + 1).otherwise(acc["n"])
-        used = F.when(full, x + 1).otherwise(acc["used"] + x + 1)
-        return F.struct(F.concat(acc["w"], F.array(n)).alias("w"), n.cast("int").alias("n"), used.cast("int").alias("used"))
-
-    return F.aggregate(lengths, zero, step, lambda acc: acc["w"])
+    """Greedy packing of an array of lengths: the window number of each, never splitting one; linear."""
+    def pack(column: pa.Array) -> pa.Array:
+        out = []
+        for sizes in column.to_pylist():
+            n = used = 0
+            row = []
+            for x in sizes or ():
+                if used and used + x + 1 > budget:
+                    n, used = n + 1, 0
+                used += x + 1
+                row.append(n)
+            out.append(row)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return F.arrow_udf(pack, "array<int>")(lengths)
 
 
 # Vectors: profiles, matches, bands
@@ -97,26 +132,30 @@ def profiles(samples: DataFrame) -> DataFrame:
     return arrays.select("person", normalised(F.col("v")).alias("profile"))
 
 
-#: Profiles are broadcast up to this count, which is checked; beyond it they are joined in blocks.
-BROADCAST_PROFILES = 10_000
+#: Profiles are broadcast up to so many bytes, which are counted; beyond it both sides go by blocks.
+BROADCAST_BYTES = 16 << 20
 
 
 def match_top2(pending: DataFrame, prints: DataFrame) -> DataFrame:
-    """best and next profile of every pending vector; ties go to the smaller name.
+    """best and next profile of every pending vector; ties go to the smaller name, without prints there are nulls and 0.
 
-    Profiles form one array of bounded size that each pending row is scored against in place, so
-    no pair is shuffled. Above the bound the profiles go by blocks of that size.
+    A few profiles form one array that each pending row is scored against in place. Above the bound
+    blocks of profiles meet blocks of pending vectors, and each row keeps its two best of each block.
     """
-    n = prints.count()
-    blocks = max(1, -(-n // BROADCAST_PROFILES))
-    packed = prints.withColumn("_b", F.pmod(F.xxhash64("person"), F.lit(blocks))).groupBy("_b").agg(F.collect_list(F.struct("person", "profile")).alias("ps"))
-    scored = pending.select("vec_id", "speech_sec", normalised(F.col("embedding")).alias("v")).join(F.broadcast(packed))
-    ranked = F.array_sort(F.transform("ps", lambda p: F.struct((-F.round(dot(p["profile"], F.col("v")), 6)).alias("s"), p["person"].alias("person"))))
-    best = scored.select("vec_id", "speech_sec", F.slice(ranked, 1, 2).alias("r"))
-    if blocks > 1:
-        best = best.groupBy("vec_id", "speech_sec").agg(F.slice(F.array_sort(F.flatten(F.collect_list("r"))), 1, 2).alias("r"))
+    size = prints.agg(F.sum(8 * F.size("profile"))).first()[0] or 0
+    asked = pending.select("vec_id", "speech_sec", normalised(F.col("embedding")).alias("v"))
     at = lambda i, f: F.get(F.col("r"), i)[f]
-    return best.select("vec_id", "speech_sec", at(0, "person").alias("best"), (-at(0, "s") + 0.0).alias("best_score"), at(1, "person").alias("next"), F.coalesce(-at(1, "s"), F.lit(0.0)).alias("next_score"))
+    if size > BROADCAST_BYTES:
+        from tallyfold.operators.voices import match_blocks
+
+        found = match_blocks(asked.select(F.col("vec_id").alias("id"), "v"), prints.select(F.col("person").alias("id"), F.col("profile").alias("v")))
+        ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "person"))).alias("r")
+        best = asked.select("vec_id", "speech_sec").join(found.groupBy(F.col("id").alias("vec_id")).agg(ranked), "vec_id", "left")
+    else:
+        packed = prints.agg(F.collect_list(F.struct("person", "profile")).alias("ps"))  # one row, an empty array without prints
+        scores = F.transform("ps", lambda p: F.struct((-F.round(dot(p["profile"], F.col("v")), 6)).alias("s"), p["person"].alias("person")))
+        best = asked.join(F.broadcast(packed)).select("vec_id", "speech_sec", F.slice(F.array_sort(scores), 1, 2).alias("r"))
+    return best.select("vec_id", "speech_sec", at(0, "person").alias("best"), F.coalesce(-at(0, "s") + 0.0, F.lit(0.0)).alias("best_score"), at(1, "person").alias("next"), F.coalesce(-at(1, "s"), F.lit(0.0)).alias("next_score"))
 
 
 def leave_one_out(samples: DataFrame) -> DataFrame:
@@ -140,13 +179,24 @@ def leave_one_out(samples: DataFrame) -> DataFrame:
     return found.select("vec_id.person", "vec_id.meeting_id", won.alias("correct"))
 
 
-def band(best: Column, nxt: Column, speech: Column, meetings: Column, auto=0.62, review=0.38, margin=0.12, least_speech=30.0, least_meetings=2) -> Column:
-    """auto, review or new; no best score counts as new."""
-    return (
-        F.when(best.isNull() | (best < review), "new")
-        .when((speech < least_speech) | (meetings < least_meetings) | (best < auto) | (best - nxt < margin), "review")
-        .otherwise("auto")
-    )
+#: What a dial adds to the thresholds auto, review and margin.
+DIALS = {"cautious": (0.06, 0.05, 0.04), "balanced": (0.0, 0.0, 0.0), "confident": (-0.05, -0.04, -0.03)}
+
+
+def thresholds(dial: str = "balanced", auto: float = 0.62, review: float = 0.38, margin: float = 0.12) -> dict[str, float]:
+    """The thresholds of band() at a setting of the dial."""
+    a, r, m = DIALS[dial]
+    return {"auto": round(auto + a, 6), "review": round(review + r, 6), "margin": round(margin + m, 6)}
+
+
+def band(best: Column, nxt: Column, speech: Column, meetings: Column, auto=0.62, review=0.38, margin=0.12, least_speech=30.0, least_meetings=2, over_segmented: Column | None = None, name: Column | None = None, guess: Column | None = None) -> Column:
+    """auto, review or new; no best score counts as new. An over-segmented recording, or a guess that isn't the best name, is for review."""
+    doubt = (speech < least_speech) | (meetings < least_meetings) | (best < auto) | (best - nxt < margin)
+    if over_segmented is not None:
+        doubt = doubt | F.coalesce(over_segmented, F.lit(False))
+    if name is not None and guess is not None:
+        doubt = doubt | F.coalesce(guess != name, F.lit(False))
+    return F.when(best.isNull() | (best < review), "new").when(doubt, "review").otherwise("auto")
 
 
 # Graph

@@ -51,7 +51,7 @@ def graph_edges(spark, d):
 
 def graph_nodes(spark, d):
     e = _edges(spark, d)
-    n = e.select(F.col("src").alias("name"), "meeting_id").unionByName(e.select(F.col("dst").alias("name"), "meeting_id"))
+    n = e.select(F.explode(F.array("src", "dst")).alias("name"), "meeting_id")
     return n.groupBy("name").agg(F.countDistinct("meeting_id").alias("meetings"), F.min("meeting_id").alias("first_meeting"))
 
 
@@ -65,12 +65,12 @@ SC = f"{V}, c AS (SELECT u.vec_id, p.person, round(sum(u.x * p.x), 6) AS score F
 BD = f"{SC}, k2 AS (SELECT person, count(DISTINCT meeting_id) AS n FROM s WHERE NOT pending GROUP BY person), bd AS (SELECT m.vec_id, CASE WHEN best_score IS NULL OR best_score < 0.38 THEN 'new' WHEN s.speech_sec < 30 OR k2.n < 2 OR best_score < 0.62 OR best_score - next_score < 0.12 THEN 'review' ELSE 'auto' END AS band FROM m JOIN s ON s.vec_id = m.vec_id LEFT JOIN k2 ON k2.person = m.best)"
 G = "e AS (SELECT s_name AS src, l_returnflag AS predicate, p_brand AS dst, l_orderkey AS meeting_id FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)"
 QUERIES = {
-    "vector_normalize": (vector_normalize, f"WITH {V} SELECT vec_id, pos, round(x, 4) + 0.0 AS x FROM u WHERE pos < 4"),
+    "vector_normalize": (vector_normalize, f"WITH {V} SELECT vec_id, pos, round(x, 4) + 0.0 AS x FROM u"),
     "voiceprint_weighted": (voiceprint_weighted, f"WITH {V} SELECT person, pos, round(x, 4) + 0.0 AS x FROM p"),
     "match_top2": (match_top2, f"WITH {SC} SELECT vec_id, best, round(best_score, 4) AS best_score, round(next_score, 4) AS next_score FROM m"),
     "band_decision": (band_decision, f"WITH {BD} SELECT vec_id, band FROM bd"),
     "rematch_counts": (rematch_counts, f"WITH {BD} SELECT band, count(*) AS n FROM bd GROUP BY band"),
     "graph_edges": (graph_edges, f"WITH {G} SELECT src, predicate, dst, min(meeting_id) AS meeting_id, src || ' ' || predicate || ' ' || dst AS description FROM e GROUP BY src, predicate, dst"),
     "graph_nodes": (graph_nodes, f"WITH {G} SELECT name, count(DISTINCT meeting_id) AS meetings, min(meeting_id) AS first_meeting FROM (SELECT src AS name, meeting_id FROM e UNION ALL SELECT dst, meeting_id FROM e) GROUP BY name"),
-    "graph_neighbourhood2": (graph_neighbourhood, f"WITH {G}, f AS (SELECT * FROM e WHERE meeting_id % 50 = 0), b AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM f UNION ALL SELECT dst, src FROM f)), h0 AS (SELECT DISTINCT dst AS node FROM f WHERE dst = 'Brand#11'), h1 AS (SELECT DISTINCT dst AS node FROM b JOIN h0 ON src = node), h2 AS (SELECT DISTINCT dst AS node FROM b JOIN h1 ON src = node) SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM (SELECT node, 0 AS hops FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2) GROUP BY node"),
+    "graph_neighbourhood2": (graph_neighbourhood, f"WITH {G}, f AS (SELECT DISTINCT src, dst FROM e), b AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM f UNION ALL SELECT dst, src FROM f)), h0 AS (SELECT DISTINCT dst AS node FROM f WHERE dst = 'Brand#11'), h1 AS (SELECT DISTINCT dst AS node FROM b JOIN h0 ON src = node), h2 AS (SELECT DISTINCT dst AS node FROM b JOIN h1 ON src = node) SELECT node, CAST(min(hops) AS INTEGER) AS hops FROM (SELECT node, 0 AS hops FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2) GROUP BY node"),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tallyfold import functions as X
@@ -15,7 +16,7 @@ def token_estimate(spark, d):
 
 
 def slugs(spark, d):
-    return S.read(spark, d, "part").select("p_partkey", X.slugify(F.concat("p_name", F.lit(" / "), "p_brand")).alias("slug"))
+    return S.read(spark, d, "documents").select("doc_id", X.slugify(F.substring("text", 1, 80)).alias("slug"))
 
 
 def timestamps(spark, d):
@@ -46,14 +47,27 @@ def keywords(spark, d):
     return S.turns(spark, d).where("speaker = 'user'").select("session_id", "turn", F.array_join(X.keywords(F.col("text")), " ").alias("words"))
 
 
-def salient_terms(spark, d):
-    doc = S.read(spark, d, "documents")
-    terms = doc.select("doc_id", F.explode_outer(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9-]{2,}"), F.lit(0))).alias("term")).where("term IS NOT NULL")
-    terms = terms.where(~F.lower("term").isin(*X.STOPWORDS)).withColumn("w", F.when(F.col("term").rlike("^[A-Z]") | F.col("term").contains("-"), 3).otherwise(1))
-    weights = terms.groupBy("doc_id", "term").agg(F.sum("w").alias("weight"))
-    from tallyfold.operators import top_k
+def salient(text, top=12, stop=X.STOPWORDS):
+    """The top terms of each text as array of (term, weight): capitals and hyphens weigh 3; within the row, nothing is shuffled."""
+    kind = pa.list_(pa.struct([("term", pa.string()), ("weight", pa.int64())]))
+
+    def rank(column: pa.Array) -> pa.Array:
+        import re
+        from collections import Counter
 
-    return top_k(weights, ["doc_id"], [F.col("weight").desc(), F.col("term")], 12).select("doc_id", "term", "weight")
+        out = []
+        for t in column.to_pylist():
+            count = Counter(re.findall("[A-Za-z][A-Za-z0-9-]{2,}", t or ""))
+            weight = ((-n * (3 if "A" <= w[0] <= "Z" or "-" in w else 1), w) for w, n in count.items() if w.lower() not in stop)
+            out.append([{"term": w, "weight": -n} for n, w in sorted(weight)[:top]])
+        return pa.array(out, kind)
+
+    return F.arrow_udf(rank, "array<struct<term: string, weight: long>>")(text)
+
+
+def salient_terms(spark, d):
+    found = S.read(spark, d, "documents").select("doc_id", F.explode(salient(F.col("text"))).alias("t"))
+    return found.select("doc_id", "t.term", "t.weight")
 
 
 WORDS = ("ation", "the", "ing")
@@ -75,16 +89,21 @@ def _notes(spark, d):
     return rows.groupBy("l_orderkey").agg(F.concat(F.lit("# Notes\n\n## Action Items\n"), body, F.lit("\n\n## Risks\n- none\n")).alias("doc"))
 
 
+def _parts(pattern, n):
+    """The groups of a pattern in `line`, matched once; null where it doesn't match."""
+    form = F.regexp_replace("line", pattern, "\u0001".join(f"${k}" for k in range(1, n + 1)))
+    parts = F.split(form, "\u0001")
+    return F.when(F.size(parts) == n, parts)
+
+
 def parse_action_items(notes, key):
-    """A row per checkbox line of the Action Items section: owner, text, due date, cite, state."""
+    """A row per checkbox line of the Action Items section: owner, text, due (as written), due_iso, cite, state. Lines without a task are none."""
     lines = notes.select(key, F.explode_outer(F.split(X.section(F.col("doc"), "Action Items"), "\n")).alias("line"))
-    pattern = r"^\s*[-*]\s*\[([ xX])\]\s*\*\*(.+?)\*\*\s*[-:–—]\s*(.*?)((?:\s*\[[^\]]*\])*)\s*$"
-    part = lambda k: F.regexp_extract("line", pattern, k)
-    body = part(3)
-    due = F.regexp_extract(body, r"(?i)\bDue:\s*(.*)$", 1)
-    return lines.where(F.col("line").rlike(pattern)).select(
-        key, part(2).alias("owner"), F.trim(F.regexp_replace(body, r"(?i)\s*\bDue:.*$", "")).alias("text"), X.due_date(due).alias("due_iso"), F.trim(part(4)).alias("cite"), F.when(F.lower(part(1)) == "x", "done").otherwise("open").alias("state")
-    )
+    pattern = r"^\s*[-*]\s*\[([ xX])\]\s*\*\*(.+?)\*\*\s*[-:\u2013\u2014]\s*(.*?)((?:\s*\[[^\]]*\])*)\s*$"
+    rows = lines.withColumn("p", _parts(pattern, 4)).where("p IS NOT NULL").withColumn("body", F.split(F.col("p")[2], r"(?i)\s*\bDue:\s*", 2))
+    due = F.nullif(F.trim(F.regexp_replace(F.get("body", F.lit(1)), r"[.\s]+$", "")), F.lit(""))
+    out = rows.select(key, F.col("p")[1].alias("owner"), F.trim(F.col("body")[0]).alias("text"), due.alias("due"), X.due_date(due).alias("due_iso"), F.trim(F.col("p")[3]).alias("cite"), F.when(F.lower(F.col("p")[0]) == "x", "done").otherwise("open").alias("state"))
+    return out.where("text <> ''")
 
 
 def action_items(spark, d):
@@ -98,21 +117,28 @@ def parse_decisions(notes, key):
     null unless it starts with a capital letter. A rationale ends with its line.
     """
     lines = notes.select(key, F.explode_outer(F.split(X.section(F.col("doc"), "Decisions"), "\n")).alias("line"))
-    pattern = r"^\s*[-*]\s*\*\*(.+?)\*\*\s*(.*?)((?:\s*\[[^\]]*\])*)\s*$"
-    rest = F.regexp_extract("line", pattern, 2)
-    decider = F.regexp_extract(F.regexp_replace(rest, r"(?i)\bRationale:.*$", ""), r"\bby\s+([A-Z][^.,]*)", 1)
-    return lines.where(F.col("line").rlike(pattern)).select(
-        key, F.trim(F.regexp_extract("line", pattern, 1)).alias("text"), F.nullif(F.trim(decider), F.lit("")).alias("decided_by"), F.nullif(F.trim(F.regexp_extract(rest, r"(?i)\bRationale:\s*(.*)$", 1)), F.lit("")).alias("rationale"), F.trim(F.regexp_extract("line", pattern, 3)).alias("cite")
-    )
+    rows = lines.withColumn("p", _parts(r"^\s*[-*]\s*\*\*(.+?)\*\*\s*(.*?)((?:\s*\[[^\]]*\])*)\s*$", 3)).where("p IS NOT NULL")
+    rows = rows.withColumn("r", F.split(F.col("p")[1], r"(?i)\bRationale:", 2))
+    said = F.filter(F.slice(F.split(F.col("r")[0], r"\bby\s+"), 2, 1000), lambda x: x.rlike(r"^\p{Lu}"))
+    decider = F.split(F.get(said, F.lit(0)), "[.,]")[0]
+    none = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return rows.select(key, F.trim(F.col("p")[0]).alias("text"), none(decider).alias("decided_by"), none(F.get("r", F.lit(1))).alias("rationale"), F.trim(F.col("p")[2]).alias("cite"))
+
+
+def question_owner(text):
+    """Who needs to resolve this, it or that: the capitalised words right before the phrase, in its sentence; null without any."""
+    before = F.split(text, r"\s+needs?\s+to\s+resolve\s+(?:this|it|that)\b", 2)
+    sentence = F.element_at(F.split(F.col("_b")[0], r"[.?!;:]\s+"), -1)
+    return before, F.nullif(F.trim(F.regexp_extract(sentence, r"((?:\p{Lu}[\p{L}\p{N}'.\u2019-]*\s*|\p{N}+\s*)+)$", 1)), F.lit(""))
 
 
 def parse_questions(notes, key):
     """A row per bullet of the Open Questions section: text, owner (who needs to resolve it, else null), cite."""
     lines = notes.select(key, F.explode_outer(F.split(X.section(F.col("doc"), "Open Questions"), "\n")).alias("line"))
-    pattern = r"^\s*[-*]\s+(.+?)((?:\s*\[[^\]]*\])*)\s*$"
-    whole = F.regexp_extract("line", pattern, 1)
-    owner = F.regexp_extract(whole, r"([A-Z][\w ]*?)\s+needs?\s+to\s+resolve\s+(?:this|it|that)\b", 1)
-    return lines.where(F.col("line").rlike(pattern)).select(key, F.trim(whole).alias("text"), F.nullif(owner, F.lit("")).alias("owner"), F.trim(F.regexp_extract("line", pattern, 2)).alias("cite"))
+    rows = lines.withColumn("p", _parts(r"^\s*[-*]\s+(.+?)((?:\s*\[[^\]]*\])*)\s*$", 2)).where("p IS NOT NULL")
+    before, owner = question_owner(F.col("p")[0])
+    rows = rows.withColumn("_b", before)
+    return rows.select(key, F.trim(F.col("p")[0]).alias("text"), F.when(F.size("_b") > 1, owner).alias("owner"), F.trim(F.col("p")[1]).alias("cite"))
 
 
 def _minutes(spark, d):
@@ -157,7 +183,7 @@ def entities(spark, d):
 def relations(spark, d):
     lines = _graph_notes(spark, d).select("l_orderkey", F.explode_outer(F.split(X.section(F.col("doc"), "Relations"), "\n")).alias("line"))
     parts = F.transform(F.split(F.regexp_replace("line", r"^\s*[-*]\s*", ""), r"\s*(?:->|→|\|)\s*"), lambda x: F.trim(x))
-    return lines.withColumn("p", parts).where(F.size("p") == 3).select("l_orderkey", F.col("p")[0].alias("subject"), F.col("p")[1].alias("predicate"), F.col("p")[2].alias("object")).distinct()
+    return lines.withColumn("p", parts).where((F.size("p") == 3) & F.forall("p", lambda x: x != "")).select("l_orderkey", F.col("p")[0].alias("subject"), F.col("p")[1].alias("predicate"), F.col("p")[2].alias("object")).distinct()
 
 
 def due_dates(spark, d):
@@ -166,35 +192,47 @@ def due_dates(spark, d):
 
 
 def categories(spark, d):
-    t = F.lower("text")
-    kind = F.when(t.contains("license"), "legal").when(t.rlike("[0-9]{4}") & t.contains("@"), "personal").when(t.rlike(r"\bration"), "review").otherwise("other")
-    return S.read(spark, d, "documents").groupBy(kind.alias("kind"), "lang").agg(F.count(F.lit(1)).alias("n"))
+    from tallyfold.operators import classify
+
+    doc = F.concat(F.when(F.col("doc_id") % 7 == 0, F.lit("---\ncategory: household\n---\n")).when(F.col("doc_id") % 7 == 1, F.lit("---\ncategory: work\ntype: daily\n---\n")).otherwise(F.lit("")), F.coalesce("text", F.lit("")))
+    domain, kind = classify.category(doc, F.concat(F.lit("Note "), "source"), F.col("lang"), strong=("license", "copyright"), weak=("the", "que", "und", "les"), types={"Numbers": ("1", "2"), "Mail": ("@",)})
+    return S.read(spark, d, "documents").select("doc_id", domain.alias("domain"), kind.alias("kind"))
 
 
 def addressed(spark, d):
-    names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?:^|[\n.] ?)([A-Z][a-z]+),"), F.lit(1)))
-    return S.turns(spark, d).select("session_id", "turn", F.array_join(names, " ").alias("names"))
+    from tallyfold.operators import classify
+
+    said = F.concat(F.element_at(F.array(F.lit("Thanks, "), F.lit("So what now, "), F.lit("hey ")), (F.col("turn") % 3 + 1).cast("int")), F.initcap("speaker"), F.when(F.col("turn") % 2 == 0, "?").otherwise(""))
+    return S.turns(spark, d).select("session_id", "turn", F.array_join(classify.addressed(said, no_names=("system",)), " ").alias("names"))
 
 
 W = "len(list_filter(string_split_regex(text, '[ \\t\\n]+'), lambda x: x <> ''))"
 OCC = [f"(length(lower(text)) - length(replace(lower(text), '{w}', ''))) // {len(w)}" for w in WORDS]
+_LOW = "lower('note ' || source || ' ' || lang || ' ' || substring(CASE doc_id % 7 WHEN 0 THEN E'---\\ncategory: household\\n---\\n' WHEN 1 THEN E'---\\ncategory: work\\ntype: daily\\n---\\n' ELSE '' END || coalesce(text, ''), 1, 2000))"
+_HIT = lambda w, t: f"CAST(regexp_matches({t}, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){w}([^\\p{{L}}\\p{{M}}\\p{{N}}_]|$)') AS INT)"
+CATEGORY = f"""
+WITH t AS (SELECT doc_id, doc_id % 7 AS k, {_LOW} AS t FROM documents),
+h AS (SELECT *, {_HIT("license", "t")} + {_HIT("copyright", "t")} > 0 OR {" + ".join(_HIT(w, "t") for w in ("the", "que", "und", "les"))} >= 2 AS guessed FROM t)
+SELECT doc_id, CASE WHEN k = 0 OR (k > 1 AND guessed) THEN 'Personal' ELSE 'Professional' END AS domain,
+  CASE WHEN k = 1 THEN 'Standup' WHEN k > 1 AND guessed THEN 'Personal & Household' WHEN k = 0 THEN 'General' WHEN contains(t, '1') OR contains(t, '2') THEN 'Numbers' WHEN contains(t, '@') THEN 'Mail' ELSE 'General' END AS kind FROM h
+"""
 QUERIES = {
     "token_estimate": (token_estimate, f"SELECT doc_id, length(text) // 4 AS tokens, {W} AS words FROM documents"),
-    "slugify": (slugs, r"SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(lower(trim(p_name || ' / ' || p_brand)), '[^a-z0-9_\s-]', '', 'g'), '[\s_-]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part"),
+    "slugify": (slugs, r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(substring(text, 1, 80), '^\s+|\s+$', '', 'g')), '[^\p{L}\p{M}\p{N}_\s-]', '', 'g'), '[\s_]+', '-', 'g'), '-{2,}', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents"),
     "format_timestamp": (timestamps, "SELECT event_id, CASE WHEN s IS NULL THEN '?:??' WHEN s < 3600 THEN printf('%d:%02d', s // 60, s % 60) ELSE printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) END AS stamp FROM (SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN CAST(floor(value * 60) AS BIGINT) END AS s FROM events)"),
     "datetime_format": (datetimes, "SELECT o_orderkey, strftime(o_orderdate, '%A, %b %d, %Y') AS day FROM orders"),
-    "doc_id_md5": (doc_ids, "SELECT doc_id, 'doc-' || md5(trim(text, ' ')) AS document FROM documents"),
+    "doc_id_md5": (doc_ids, "SELECT doc_id, 'doc-' || md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS document FROM documents"),
     "excerpt": (excerpts, r"SELECT doc_id, CASE WHEN length(t) > 220 THEN substring(t, 1, 220) || '...' ELSE t END AS excerpt FROM (SELECT doc_id, trim(regexp_replace(text, '[ \t\n]+', ' ', 'g'), ' ') AS t FROM documents)"),
     "junk_gate": (junk_gate, f"SELECT doc_id FROM documents WHERE n_chars < 120 OR {W} < 150"),
     "question_keywords": (keywords, f"SELECT conv_id AS session_id, turn, array_to_string(list_filter(list_transform(regexp_extract_all(text, '{X.TOKEN}'), lambda x: lower(x)), lambda x: x NOT IN ({STOP})), ' ') AS words FROM conversations WHERE role = 'user'"),
-    "salient_terms": (salient_terms, f"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9-]{{2,}}')) AS term FROM documents WHERE lang = 'en'), w AS (SELECT doc_id, term, CAST(sum(CASE WHEN regexp_matches(term, '^[A-Z]') OR contains(term, '-') THEN 3 ELSE 1 END) AS BIGINT) AS weight FROM t WHERE lower(term) NOT IN ({STOP}) GROUP BY 1, 2) SELECT doc_id, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS n FROM w) WHERE n <= 12"),
+    "salient_terms": (salient_terms, f"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9-]{{2,}}')) AS term FROM documents), w AS (SELECT doc_id, term, CAST(sum(CASE WHEN regexp_matches(term, '^[A-Z]') OR contains(term, '-') THEN 3 ELSE 1 END) AS BIGINT) AS weight FROM t WHERE lower(term) NOT IN ({STOP}) GROUP BY 1, 2) SELECT doc_id, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS n FROM w) WHERE n <= 12"),
     "keyword_score_topk": (keyword_score_topk, f"SELECT doc_id, {' + '.join(f'CAST({o} > 0 AS BIGINT)' for o in OCC)} AS hit_words, {' + '.join(OCC)} AS total FROM documents WHERE {' + '.join(OCC)} > 0 ORDER BY hit_words DESC, total DESC, doc_id LIMIT 5"),
-    "parse_action_items": (action_items, "SELECT l_orderkey, s_name AS owner, 'ship ' || l_partkey || '.' AS text, CAST(l_shipdate AS DATE) AS due_iso, '[0:0' || l_linenumber || ']' AS cite, CASE l_linestatus WHEN 'F' THEN 'done' ELSE 'open' END AS state FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"),
+    "parse_action_items": (action_items, "SELECT l_orderkey, s_name AS owner, 'ship ' || l_partkey || '.' AS text, 'before ' || strftime(l_shipdate, '%Y-%m-%d') AS due, CAST(l_shipdate AS DATE) AS due_iso, '[0:0' || l_linenumber || ']' AS cite, CASE l_linestatus WHEN 'F' THEN 'done' ELSE 'open' END AS state FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"),
     "parse_decisions": (decisions, "SELECT l_orderkey, 'Ship ' || l_partkey AS text, CASE l_returnflag WHEN 'N' THEN s_name END AS decided_by, CASE l_linestatus WHEN 'F' THEN 'it was late.' END AS rationale, '[0:0' || l_linenumber || ']' AS cite FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"),
     "parse_open_questions": (questions, "SELECT l_orderkey, 'Where is ' || l_partkey || '?' || CASE l_returnflag WHEN 'R' THEN ' Buyer ' || l_linenumber || ' needs to resolve this.' ELSE '' END AS text, CASE l_returnflag WHEN 'R' THEN 'Buyer ' || l_linenumber END AS owner, '[0:0' || l_linenumber || ']' AS cite FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"),
     "parse_entities": (entities, "SELECT l_orderkey, p_brand AS name, lower(p_type) AS kind FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, lower(p_brand) ORDER BY l_linenumber, upper(p_type)) AS n FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE n = 1"),
     "parse_relations": (relations, "SELECT DISTINCT l_orderkey, p_brand AS subject, l_returnflag AS predicate, p_type AS object FROM lineitem JOIN part ON l_partkey = p_partkey"),
     "due_date_iso": (due_dates, "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) END AS due FROM orders"),
-    "category_classify": (categories, r"SELECT CASE WHEN contains(t, 'license') THEN 'legal' WHEN regexp_matches(t, '[0-9]{4}') AND contains(t, '@') THEN 'personal' WHEN regexp_matches(t, '\bration') THEN 'review' ELSE 'other' END AS kind, lang, count(*) AS n FROM (SELECT lower(text) AS t, lang FROM documents) GROUP BY 1, 2"),
-    "direct_address": (addressed, rf"WITH {S.TURNS}, a AS (SELECT session_id, turn, regexp_extract_all(text, '(?:^|[\n.] ?)([A-Z][a-z]+),', 1) AS l FROM turns) SELECT session_id, turn, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS names FROM a"),
+    "category_classify": (categories, CATEGORY),
+    "direct_address": (addressed, f"WITH {S.TURNS} SELECT session_id, turn, CASE WHEN speaker = 'system' THEN '' WHEN turn % 3 = 1 OR turn % 3 IN (0, 2) THEN upper(speaker[1]) || speaker[2:] END AS names FROM turns"),
 }

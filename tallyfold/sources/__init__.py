@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 TODAY = "1995-06-17"
 
 
+def keeper(spark: SparkSession):
+    """Cuts the lineage by checkpoint() in the session's folder; only a session in one process gets a temporary one."""
+    import re
+    import tempfile
+
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not spark.sparkContext.getCheckpointDir():
+        if not given and not re.match(r"local(\[[^-]|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(given or f"file://{tempfile.mkdtemp(prefix='tallyfold-')}")
+    return lambda df: df.checkpoint()
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,13 +35,13 @@ def transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 def notes(spark: SparkSession, path: str) -> DataFrame:
     """Whole markdown files below a folder: path, text."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def files(spark: SparkSession, path: str, suffixes: list[str]) -> DataFrame:
     """A recursive listing with content digests; only files with one of the suffixes."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*{" + ",".join(suffixes) + "}").load(path)
-    return df.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256"))
+    return df.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5")).orderBy("path")
 
 
 def meetings(spark: SparkSession, d: str) -> DataFrame:
