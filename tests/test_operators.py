@@ -19,7 +19,7 @@ def test_timestamp(spark):
 def test_action_items(spark):
     doc = "# T\n\n## Action Items\n- [x] **Dana** - ship it. Due: before 2026-08-17. [0:01] [0:02]\n- [ ] **Kim** — think\nnot a line\n\n## Risks\n- [ ] **No** - one\n"
     got = rows(parse_action_items(spark.createDataFrame([(1, doc)], "k int, doc string"), "k"))
-    assert [(r[1], r[2], str(r[3]), r[4], r[5]) for r in got] == [("Dana", "ship it.", "2026-08-17", "[0:01] [0:02]", "done"), ("Kim", "think", "None", "", "open")]
+    assert [(r[1], r[2], r[3], str(r[4]), r[5], r[6]) for r in got] == [("Dana", "ship it.", "before 2026-08-17", "2026-08-17", "[0:01] [0:02]", "done"), ("Kim", "think", None, "None", "", "open")]
 
 
 def test_decisions_and_questions(spark):
