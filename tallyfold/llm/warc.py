@@ -34,7 +34,7 @@ LEAST = 100
 ROLL_BYTES = 64 << 20
 LEVEL = 4
 #: Payload bytes of a shard, and the bins of one step of the search for its bounds.
-SHARD_BYTES, BINS = 256 << 20, 1024
+SHARD_BYTES, BINS = 32 << 20, 1024
 #: Headers carry a fixed date: the bytes of an archive follow from its input alone.
 DATE = "1970-01-01T00:00:00Z"
 MANIFEST = "file string, first_id long, records long, bytes long, sha256 string"
