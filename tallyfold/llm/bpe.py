@@ -28,7 +28,7 @@ from tallyfold.llm.common import Memo, map_texts, table
 #: Pieces of up to this many characters are remembered.
 SHORT = 48
 #: What a worker remembers of pieces, and of pairs of tokens, in bytes (twice that at most).
-PIECE_BYTES, PAIR_BYTES = 48 << 20, 40 << 20
+PIECE_BYTES, PAIR_BYTES = 96 << 20, 40 << 20
 
 
 def default_ranks() -> str:

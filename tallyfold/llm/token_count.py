@@ -27,7 +27,7 @@ LIMIT = 4096
 #: Segments of up to this many characters are remembered.
 SHORT = 48
 #: What a worker remembers of segments, in bytes (twice that at most).
-SEGMENT_BYTES = 32 << 20
+SEGMENT_BYTES = 64 << 20
 
 
 def default_model() -> str:
