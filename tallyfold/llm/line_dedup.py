@@ -369,8 +369,10 @@ def dedup_lines(
     keyed = rows.withColumn("t", F.xxhash64(text))
     gone = removals(keyed.select(id_.alias("_id"), F.col("t").alias("_t"), text.alias("_text")), min_words, similarity, exact)
     joined = keyed.join(gone, id_.eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")), "left").select("row", "gone")
+    # not to be evaluated again where a caller filters by the text: that would be a second Python worker for each task
+    cut = F.arrow_udf(without, "string").asNondeterministic()
     return joined.select(
-        *(F.arrow_udf(without, "string")(text, F.col("gone")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in added),
+        *(cut(text, F.col("gone")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in added),
         n_lines(text).alias(added[0]),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(added[1]),
     )
