@@ -51,7 +51,8 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as token ids, decoded again: the digest is that of the text."""
-    return bpe.digests(docs, with_ids=True).select("doc_id", "n_tokens", "ids", "decoded_sha256")
+    # its workers share the executor with those of the stages before
+    return bpe.digests(docs, with_ids=True, share=0.25).select("doc_id", "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [

@@ -27,7 +27,8 @@ from tallyfold.llm.common import Memo, map_texts, table
 
 #: Pieces of up to this many characters are remembered.
 SHORT = 48
-#: What a worker remembers of pieces, and of pairs of tokens, in bytes (twice that at most).
+#: What a worker remembers of pieces, and of pairs of tokens, in bytes (twice that at most), where it
+#: has the executor to itself; `share` is the part of it that is taken.
 PIECE_BYTES, PAIR_BYTES = 96 << 20, 40 << 20
 
 
@@ -88,15 +89,15 @@ class Prefixes:
 class Codec:
     """Encoder and decoder for one table of ranks and one split pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, share: float = 1.0):
         import regex
 
         self.ranks = ranks
         self.tokens = {r: b for b, r in ranks.items()}
         self.longest = max(map(len, ranks))
         self.find = regex.compile(pattern).findall
-        self.known = Memo(PIECE_BYTES, 320)  # piece -> ids
-        self.apart = Memo(PAIR_BYTES, 120)  # (token, token) -> they stay two tokens
+        self.known = Memo(int(PIECE_BYTES * share), 320)  # piece -> ids
+        self.apart = Memo(int(PAIR_BYTES * share), 120)  # (token, token) -> they stay two tokens
         # how each token comes about: a token that merging its own bytes doesn't give back can be no part of a longer piece
         self.halves: dict[int, tuple[int, int] | None] = {}
         for b, r in sorted(ranks.items(), key=lambda x: x[1]):
@@ -209,13 +210,13 @@ class Codec:
         return b"".join(map(self.flat.__getitem__, ids))
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple[str, str, float], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(read_ranks(path), pattern)
-    return _codecs[path, pattern]
+def codec(path: str, pattern: str, share: float = 1.0) -> Codec:
+    if (path, pattern, share) not in _codecs:
+        _codecs[path, pattern, share] = Codec(read_ranks(path), pattern, share)
+    return _codecs[path, pattern, share]
 
 
 def _offsets(lists: list[list[int]]) -> pa.Array:
@@ -249,12 +250,15 @@ def decode(encoded: DataFrame, ids_col: str = "ids", ranks: str | None = None) -
     return encoded.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes) + ", decoded binary")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids): encode, decode and digest in one pass of one worker."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str | None = None, with_ids: bool = False, share: float = 1.0) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids): encode, decode and digest in one pass of one worker.
+
+    share: the part of PIECE_BYTES and PAIR_BYTES that each worker may remember.
+    """
     path, pat = ranks or default_ranks(), pattern or default_pattern()
 
     def make():
-        c = codec(path, pat)
+        c = codec(path, pat, share)
 
         def work(texts: list[str]) -> dict:
             n, a, b, lists = [], [], [], []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import re
 import shutil
@@ -10,6 +11,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +124,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@contextmanager
+def task_memory() -> Iterator[None]:
+    """Around the work of a task: what it took and let go of goes back to the system at its end.
+
+    A worker outlives its tasks and waits beside the next stage's workers; without this each keeps
+    the peak of all tasks that it ever ran.
+    """
+    try:
+        yield
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+
 class Memo:
     """A bounded memory of two generations: once the young one holds `bytes_` it becomes the old one.
 
@@ -259,10 +277,11 @@ def by_text(make, kind: str):
 
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        work = make()
-        for col in batches:
-            done = [work(["" if t is None else t for t in part.to_pylist()]) for _, part in pieces(col)]
-            yield pa.concat_arrays(done) if done else work([])
+        with task_memory():
+            work = make()
+            for col in batches:
+                done = [work(["" if t is None else t for t in part.to_pylist()]) for _, part in pieces(col)]
+                yield pa.concat_arrays(done) if done else work([])
 
     return run
 
@@ -279,16 +298,17 @@ def map_texts(rows: DataFrame, text_col: str, keep: dict[str, str], schema: str,
     kept = list(keep)
 
     def run(batches):
-        work = make()
-        for batch in batches:
-            n = batch.num_rows
-            texts = batch.column(batch.schema.get_field_index("_text"))
-            step = max(1, int(n * (1 << 20) / max(1, texts.nbytes)))
-            for at in range(0, n, step):
-                part = batch.slice(at, step)
-                added = work(["" if t is None else t for t in texts.slice(at, step).to_pylist()])
-                out = {c: part.column(part.schema.get_field_index(c)) for c in kept}
-                yield pa.RecordBatch.from_pydict(out | {c: v if isinstance(v, pa.Array) else pa.array(v) for c, v in added.items()})
+        with task_memory():
+            work = make()
+            for batch in batches:
+                n = batch.num_rows
+                texts = batch.column(batch.schema.get_field_index("_text"))
+                step = max(1, int(n * (1 << 20) / max(1, texts.nbytes)))
+                for at in range(0, n, step):
+                    part = batch.slice(at, step)
+                    added = work(["" if t is None else t for t in texts.slice(at, step).to_pylist()])
+                    out = {c: part.column(part.schema.get_field_index(c)) for c in kept}
+                    yield pa.RecordBatch.from_pydict(out | {c: v if isinstance(v, pa.Array) else pa.array(v) for c, v in added.items()})
 
     return given.mapInArrow(run, columns)
 
@@ -303,16 +323,17 @@ def map_texts_many(rows: DataFrame, text_col: str, keep: dict[str, str], schema:
     columns = ", ".join([f"`{c}` {t}" for c, t in given.dtypes if c in kept] + [schema])
 
     def run(batches):
-        work = make()
-        for batch in batches:
-            n = batch.num_rows
-            texts = batch.column(batch.schema.get_field_index("_text"))
-            step = max(1, int(n * (1 << 20) / max(1, texts.nbytes)))
-            for at in range(0, n, step):
-                part = batch.slice(at, step)
-                counts, added = work(["" if t is None else t for t in texts.slice(at, step).to_pylist()], part)
-                index = pa.array(np.repeat(np.arange(part.num_rows), counts))
-                out = {c: part.column(part.schema.get_field_index(c)).take(index) for c in kept}
-                yield pa.RecordBatch.from_pydict(out | {c: v if isinstance(v, pa.Array) else pa.array(v) for c, v in added.items()})
+        with task_memory():
+            work = make()
+            for batch in batches:
+                n = batch.num_rows
+                texts = batch.column(batch.schema.get_field_index("_text"))
+                step = max(1, int(n * (1 << 20) / max(1, texts.nbytes)))
+                for at in range(0, n, step):
+                    part = batch.slice(at, step)
+                    counts, added = work(["" if t is None else t for t in texts.slice(at, step).to_pylist()], part)
+                    index = pa.array(np.repeat(np.arange(part.num_rows), counts))
+                    out = {c: part.column(part.schema.get_field_index(c)).take(index) for c in kept}
+                    yield pa.RecordBatch.from_pydict(out | {c: v if isinstance(v, pa.Array) else pa.array(v) for c, v in added.items()})
 
     return given.mapInArrow(run, columns)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import BASE, Scratch, Words, mix, pieces, prefix_sums, span_hashes, table
+from tallyfold.llm.common import BASE, Scratch, Words, mix, pieces, prefix_sums, span_hashes, table, task_memory
 from tallyfold.llm.linking import link_buckets
 
 MIN_WORDS, SIMILARITY = 5, 0.8
@@ -173,10 +173,11 @@ def _over(docs: DataFrame, schema: str, min_words: int, make) -> DataFrame:
     """make(Lines, piece of the batch) -> columns, over docs (_id, _t, _text)."""
 
     def run(batches):
-        for batch in batches:
-            for at, part in pieces(batch.column(batch.schema.get_field_index("_text"))):
-                texts = ["" if t is None else t for t in part.to_pylist()]
-                yield pa.RecordBatch.from_pydict(make(Lines(texts, min_words), batch.slice(at, len(part))))
+        with task_memory():
+            for batch in batches:
+                for at, part in pieces(batch.column(batch.schema.get_field_index("_text"))):
+                    texts = ["" if t is None else t for t in part.to_pylist()]
+                    yield pa.RecordBatch.from_pydict(make(Lines(texts, min_words), batch.slice(at, len(part))))
 
     return docs.mapInArrow(run, schema)
 
