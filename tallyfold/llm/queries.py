@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tallyfold.llm import bpe, decontaminate, exact_dedup, html_text, line_dedup, near_dedup, quality, substring_dedup, token_count, warc
+from tallyfold.llm import bpe, decontaminate, exact_dedup, fill_in_middle, filter_audit, html_text, line_dedup, near_dedup, personal_data, quality, substring_dedup, token_count, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.query,
@@ -20,6 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": exact_dedup.query,
     "op9_line_dedup": line_dedup.query,
     "op10_html_text": html_text.query,
+    "op11_fill_in_middle": fill_in_middle.query,
+    "op12_personal_data": personal_data.query,
+    "op13_filter_audit": filter_audit.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -29,6 +32,8 @@ SQL: dict[str, str] = {
     "op6_decontaminate": decontaminate.SQL,
     "op7_near_dedup": near_dedup.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
+    "op11_fill_in_middle": fill_in_middle.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
