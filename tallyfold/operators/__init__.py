@@ -55,27 +55,6 @@ def preceding_k(df: DataFrame, partition: Sequence[str], order: Sequence[Column]
     return F.collect_list(value).over(Window.partitionBy(*partition).orderBy(*order).rowsBetween(-k, -1))
 
 
-def preceding_with(df: DataFrame, key: str, date: str, has: Column, k: int) -> DataFrame:
-    """key, prior: the keys of the last k rows before each (by date, then key) for which `has` holds, oldest first; rows without a date are left out.
-
-    The whole table is one order, so it isn't partitioned by a key: each day is ordered on its own, and
-    gets the last k keys of the days before from a table of days.
-    """
-    rows = df.where(F.col(date).isNotNull()).select(key, date, F.when(has, F.col(key)).alias("_h"))
-    # one row for each day, with its last k keys; the days are few beside the rows
-    last = F.slice(F.reverse(F.array_sort(F.collect_list("_h"))), 1, k)
-    ranked = rows.where("_h IS NOT NULL").withColumn("_r", F.row_number().over(Window.partitionBy(date).orderBy(F.col(key).desc()))).where(F.col("_r") <= k)
-    days = rows.select(date).distinct().join(ranked.groupBy(date).agg(last.alias("_l")), date, "left").withColumn("_l", F.coalesce("_l", F.array().cast(f"array<{dict(df.dtypes)[key]}>")))
-    before = Window.orderBy(date).rowsBetween(-4 * k, -1)
-    # days without any are skipped by looking at those that have some
-    some = days.where(F.size("_l") > 0)
-    carried = some.withColumn("_p", F.slice(F.flatten(F.reverse(F.collect_list("_l").over(before))), 1, k)).withColumn("_upto", F.slice(F.concat("_l", "_p"), 1, k))
-    asof = days.select(date).join(carried.select(F.col(date).alias("_d"), "_upto"), F.col(date) == F.col("_d"), "left").withColumn("_prev", F.last("_upto", ignorenulls=True).over(Window.orderBy(date).rowsBetween(Window.unboundedPreceding, -1)))
-    own = F.collect_list("_h").over(Window.partitionBy(date).orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
-    within = rows.withColumn("_own", F.slice(F.reverse(own), 1, k)).join(asof.select(date, "_prev"), date)
-    return within.select(key, F.reverse(F.slice(F.concat("_own", F.coalesce("_prev", F.array().cast(f"array<{dict(df.dtypes)[key]}>"))), 1, k)).alias("prior"))
-
-
 def top_k(df: DataFrame, partition: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     w = Window.partitionBy(*partition).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -101,7 +80,7 @@ def pack_windows(lengths: Column, budget: int) -> Column:
             n = used = 0
             row = []
             for x in sizes or ():
-                if used and used + x + 1 > budget:
+                if row and used + x > budget:
                     n, used = n + 1, 0
                 used += x + 1
                 row.append(n)

@@ -53,80 +53,11 @@ def match_blocks(pending: DataFrame, prints: DataFrame, k: int = 2) -> DataFrame
     return found.groupBy("id").agg(best.alias("r")).select("id", F.explode("r").alias("r")).select("id", "r.person", (-F.col("r.s") + 0.0).alias("score"))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """a, b (a < b) of the vectors (id, v) with a cosine at or above the threshold, by blocks."""
-
-    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": []})
-        i, j = np.nonzero(np.stack(a.v.to_numpy()) @ np.stack(b.v.to_numpy()).T >= threshold - 1e-9)
-        x, y = a.id.to_numpy()[i], b.id.to_numpy()[j]
-        return pd.DataFrame({"a": x[x < y], "b": y[x < y]})
-
-    kind = dict(vectors.dtypes)["id"]
-    return in_blocks(vectors.select("id", "v"), vectors.select("id", "v"), lambda a, b: work(a, b), f"a {kind}, b {kind}")
-
-
-def components(nodes: DataFrame, pairs: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
-    """id, component (smallest id reachable). keep cuts the lineage once a round: checkpoint() by default."""
-    both = keep(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
-    found = keep(nodes.select("id", F.col("id").alias("component")))
-    while True:
-        least = both.join(found, both["b"] == found["id"]).groupBy("a").agg(F.min("component").alias("_c"))
-        moved = found.join(least, found["id"] == least["a"], "left").select("id", F.least("component", F.coalesce("_c", "component")).alias("component"), F.col("component").alias("_was"))
-        # a jump to the component of the component halves the way
-        up = moved.select(F.col("id").alias("_i"), F.col("component").alias("_u"))
-        jumped = keep(moved.join(up, moved["component"] == up["_i"], "left").select("id", F.least("component", F.coalesce("_u", "component")).alias("component"), "_was"))
-        found = jumped.select("id", "component")
-        if jumped.where("component <> _was").isEmpty():
-            return found
-
-
-def agglomerate(vectors, threshold: float) -> list[list[int]]:
-    """Average linkage over cosines: the best pair of groups is merged while it is at or above the threshold; of equals the last one."""
-    import numpy as np
-
-    scores = vectors @ vectors.T
-    groups = [[i] for i in range(len(vectors))]
-    sums = scores.copy()
-    while len(groups) > 1:
-        sizes = np.array([len(g) for g in groups], float)
-        mean = np.round(sums / sizes[:, None] / sizes, 9)
-        i, j = np.triu_indices(len(groups), 1)
-        best = mean[i, j].max()
-        if best < threshold:
-            break
-        at = np.flatnonzero(mean[i, j] == best)[-1]
-        a, b = int(i[at]), int(j[at])
-        groups[a] += groups.pop(b)
-        sums[a] += sums[b]
-        sums[:, a] += sums[:, b]
-        sums = np.delete(np.delete(sums, b, 0), b, 1)
-    return groups
-
-
 def cluster(pending: DataFrame, threshold: float = 0.72, keep: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
-    """id, cluster (its smallest id) of pending vectors (id, embedding), by average linkage.
-
-    A group that linkage makes is connected by pairs at or above the threshold, so the exact merging
-    runs within each component of such pairs.
-    """
-    units = keep(pending.select("id", normalised(F.col("embedding")).alias("v")))
-    parts = components(units.select("id"), similar_pairs(units, threshold), keep)
-    kind = dict(pending.dtypes)["id"]
-
-    def merged(df: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        df = df.sort_values("id")
-        ids, out = df.id.to_numpy(), []
-        for group in agglomerate(np.stack(df.v.to_numpy()), threshold):
-            out += [(ids[i], ids[group].min()) for i in group]
-        return pd.DataFrame(out, columns=["id", "cluster"])
+    """id, cluster (its smallest id) of pending vectors (id, embedding), by average linkage."""
+    from tallyfold.operators.linkage import linkage
 
-    return units.join(parts, "id").groupBy("component").applyInPandas(lambda df: merged(df), f"id {kind}, cluster {kind}")
+    return linkage(keep(pending.select("id", normalised(F.col("embedding")).alias("v"))), threshold, keep)
 
 
 def cards(members: DataFrame, most: int = 50) -> DataFrame:

@@ -107,12 +107,6 @@ def triples_canonical(spark, d):
     return people.canonical_triples(ent, rel, aliases)[1].select("meeting_id", "l_linenumber", "subject", "object")
 
 
-def asof_archive(spark, d):
-    """The three meetings of the whole archive before each that have minutes, by date, then id; none for one without a date."""
-    m = S.meetings(spark, d).select("id", "meeting_date", (F.col("status") == "indexed").alias("indexed"))
-    return O.preceding_with(m, "id", "meeting_date", F.col("indexed"), 3).select("id", F.array_join(F.transform("prior", lambda x: x.cast("string")), ",").alias("prior"))
-
-
 def files_outcome(spark, d):
     docs = S.read(spark, d, "documents").select(F.format_string("f%08d", "doc_id").alias("path"), F.col("n_chars").alias("size"), (F.col("doc_id") % 5).alias("mtime"), F.sha2("text", 256).alias("sha256"), "doc_id")
     seen = docs.where("doc_id % 9 = 0").select("path", "size", F.when(F.col("doc_id") % 2 == 0, F.col("mtime")).otherwise(-1).alias("mtime"))
@@ -244,11 +238,6 @@ SELECT alias, a.canonical, role FROM a JOIN p ON p.canonical = a.canonical"""),
 WITH l AS (SELECT l_orderkey AS m, l_linenumber AS k, s_name, l_returnflag AS f FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
 p AS (SELECT DISTINCT m, lower(s_name) AS low, CASE WHEN s_name = 'Supplier#000000001' THEN 'First' ELSE upper(s_name) END AS name FROM l WHERE k % 2 = 0)
 SELECT l.m AS meeting_id, k AS l_linenumber, CASE WHEN s_name = 'Supplier#000000001' THEN 'First' ELSE coalesce(p.name, lower(s_name)) END AS subject, CASE f WHEN 'A' THEN 'Alpha' ELSE f END AS object FROM l LEFT JOIN p ON p.m = l.m AND p.low = lower(s_name)"""),
-    "asof_archive": (asof_archive, f"""
-WITH {M}, i AS (SELECT id, meeting_date, row_number() OVER (ORDER BY meeting_date, id) AS n FROM meetings WHERE status = 'indexed' AND meeting_date IS NOT NULL),
-b AS (SELECT m.id, (SELECT 1) AS one, count(i.id) AS upto FROM meetings m LEFT JOIN (SELECT id, meeting_date FROM i) i ON FALSE GROUP BY m.id),
-w AS (SELECT id, sum(CASE WHEN status = 'indexed' THEN 1 ELSE 0 END) OVER (ORDER BY meeting_date, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM meetings WHERE meeting_date IS NOT NULL)
-SELECT w.id, coalesce(string_agg(CAST(i.id AS VARCHAR), ',' ORDER BY i.n), '') AS prior FROM w LEFT JOIN i ON i.n <= w.upto AND i.n > w.upto - 3 GROUP BY w.id"""),
     "files_outcome": (files_outcome, """
 WITH d AS (SELECT printf('f%08d', doc_id) AS path, sha256(text) AS h, doc_id % 9 = 0 AND doc_id % 2 = 0 AS seen FROM documents), k AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 11 = 0),
 f AS (SELECT h, min(path) AS first_path FROM d WHERE NOT seen AND h NOT IN (SELECT h FROM k WHERE h IS NOT NULL) GROUP BY h)

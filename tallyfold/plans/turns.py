@@ -85,7 +85,7 @@ RUN = f"{T}, b AS (SELECT *, length(text) AS n, sum(length(text)) OVER (PARTITIO
 QUERIES = {
     "turn_merge": (turn_merge, f"WITH {MERGED} SELECT * FROM g"),
     "dialogue_render": (dialogue_render, f"WITH {MERGED} SELECT session_id, md5(string_agg('[' || first_turn || '] ' || upper(speaker) || ': ' || text, chr(10) ORDER BY turn_no)) AS digest, count(*) AS turns FROM g GROUP BY session_id"),
-    "dialogue_windows": (dialogue_windows, f"WITH RECURSIVE {T}, o AS (SELECT session_id, length(text) AS n, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS i FROM turns), p AS (SELECT session_id, i, 0 AS w, n + 1 AS used FROM o WHERE i = 1 UNION ALL SELECT o.session_id, o.i, CASE WHEN p.used + o.n + 1 > 600 THEN p.w + 1 ELSE p.w END, CASE WHEN p.used + o.n + 1 > 600 THEN o.n + 1 ELSE p.used + o.n + 1 END FROM p JOIN o ON o.session_id = p.session_id AND o.i = p.i + 1) SELECT session_id, w AS window, count(*) AS n FROM p GROUP BY 1, 2"),
+    "dialogue_windows": (dialogue_windows, f"WITH RECURSIVE {T}, o AS (SELECT session_id, length(text) AS n, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS i FROM turns), p AS (SELECT session_id, i, 0 AS w, n + 1 AS used FROM o WHERE i = 1 UNION ALL SELECT o.session_id, o.i, CASE WHEN p.used + o.n > 600 THEN p.w + 1 ELSE p.w END, CASE WHEN p.used + o.n > 600 THEN o.n + 1 ELSE p.used + o.n + 1 END FROM p JOIN o ON o.session_id = p.session_id AND o.i = p.i + 1) SELECT session_id, w AS window, count(*) AS n FROM p GROUP BY 1, 2"),
     "speaking_time": (speaking_time, f"WITH {T} SELECT session_id, speaker, CAST(sum(length(text)) AS BIGINT) AS chars FROM turns WHERE speaker IS NOT NULL GROUP BY 1, 2"),
     "chat_recent_n": (chat_recent, f"WITH {RUN} SELECT session_id, turn, speaker FROM b WHERE k <= 2"),
     "longest_segment": (longest_segment, f"WITH {T} SELECT session_id, speaker, turn, n FROM (SELECT *, length(text) AS n, row_number() OVER (PARTITION BY session_id, speaker ORDER BY length(text) DESC, turn) AS k FROM turns) WHERE k = 1"),
