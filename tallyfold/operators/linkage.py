@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from tallyfold.operators.voices import in_blocks
 
+#: So many groups or fewer are merged to the end in one task.
+LAST = 512
+
 
 def nearest(asked: DataFrame, groups: DataFrame) -> DataFrame:
     """id, best, score: the group (id, v) with the largest product with each asked one (id, v), itself left out; the larger id of equals.
@@ -42,11 +45,35 @@ def nearest(asked: DataFrame, groups: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(F.max(F.struct("score", "best")).alias("m")).select("id", "m.best", "m.score")
 
 
+def _merged(df: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """id, cluster of a few groups (id, n, v): one best pair after the other, of equals that of the larger ids."""
+    import numpy as np
+
+    df = df.sort_values("id")
+    ids, n, v = df.id.to_numpy(), df.n.to_numpy().copy(), np.stack(df.v.to_numpy()).astype(float)
+    into, size = np.arange(len(ids)), len(ids)
+    scores = np.tril(np.round(v @ v.T, 9), -1)
+    scores[np.triu_indices(size)] = -np.inf
+    while True:
+        i, j = divmod(size * size - 1 - int(scores.ravel()[::-1].argmax()), size)
+        if not scores[i, j] >= threshold:
+            return pd.DataFrame({"id": ids, "cluster": ids[into]})
+        v[j] = (n[j] * v[j] + n[i] * v[i]) / (n[j] + n[i])
+        n[j] += n[i]
+        into[into == i] = j
+        scores[i, :] = scores[:, i] = -np.inf
+        row = np.round(v @ v[j], 9)
+        live = np.isin(np.arange(size), into)
+        scores[j, :j] = np.where(live[:j], row[:j], -np.inf)
+        scores[j + 1 :, j] = np.where(live[j + 1 :], row[j + 1 :], -np.inf)
+
+
 def linkage(units: DataFrame, threshold: float, keep: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
     """id, cluster (its smallest id) of unit vectors (id, v): the best pair of groups is merged while its mean cosine is at or above the threshold.
 
     Exactly the groups that merging one best pair after the other gives; of exact ties, the pair of
-    larger ids goes first. keep cuts the lineage once a round: checkpoint() by default.
+    larger ids goes first. Once LAST groups or fewer are left that can still be merged, one task
+    does. keep cuts the lineage once a round: checkpoint() by default.
     """
     kind = dict(units.dtypes)["id"]
     nobody = F.lit(None).cast(kind)
@@ -54,13 +81,18 @@ def linkage(units: DataFrame, threshold: float, keep: Callable[[DataFrame], Data
     labels = units.select("id", F.col("id").alias("cluster"))
     renewed = True  # whether every group has looked at all groups as they are now
     while True:
+        if groups.count() <= LAST:
+            last = groups.select("id", "n", "v", F.lit(0).alias("one")).groupBy("one").applyInPandas(lambda df: _merged(df, threshold), f"id {kind}, cluster {kind}")
+            at = last.select(F.col("id").alias("_i"), F.col("cluster").alias("_c"))
+            return labels.join(at, F.col("cluster") == F.col("_i"), "left").select("id", F.coalesce("_c", "cluster").alias("cluster"))
         looking = groups.where("best IS NULL")
         found = nearest(looking, groups).select(F.col("id").alias("_i"), F.col("best").alias("_b"), F.col("score").alias("_s"))
         rows = groups.join(found, F.col("id") == F.col("_i"), "left").select("id", "n", "v", F.coalesce("best", "_b").alias("best"), F.coalesce("score", "_s").alias("score"))
         # a group without any near one stays as it is, and is nobody's near one either
         groups = keep(rows.where(F.col("score") >= threshold))
         other = groups.select(F.col("id").alias("_i"), F.col("best").alias("_b"), F.col("n").alias("_n"), F.col("v").alias("_v"))
-        pairs = keep(groups.join(other, (F.col("best") == F.col("_i")) & (F.col("id") == F.col("_b")) & (F.col("id") < F.col("_i"))).select(F.col("id").alias("a"), F.col("_i").alias("b"), (F.col("n") + F.col("_n")).alias("n"), F.zip_with(F.transform("v", lambda x: x * F.col("n")), F.transform("_v", lambda x: x * F.col("_n")), lambda x, y: (x + y) / (F.col("n") + F.col("_n"))).alias("v")))
+        # no alias is named as a column of the functions in lambdas: Spark would take the alias there
+        pairs = keep(groups.join(other, (F.col("best") == F.col("_i")) & (F.col("id") == F.col("_b")) & (F.col("id") < F.col("_i"))).select(F.col("id").alias("a"), F.col("_i").alias("b"), (F.col("n") + F.col("_n")).alias("both"), F.zip_with(F.transform("v", lambda x: x * F.col("n")), F.transform("_v", lambda x: x * F.col("_n")), lambda x, y: (x + y) / (F.col("n") + F.col("_n"))).alias("v")))
         if pairs.isEmpty():
             if renewed or groups.isEmpty():
                 return labels
@@ -71,6 +103,6 @@ def linkage(units: DataFrame, threshold: float, keep: Callable[[DataFrame], Data
         left = groups.join(gone, F.col("id") == F.col("_g"), "left_anti").join(gone, F.col("best") == F.col("_g"), "left")
         lost = F.col("_g").isNotNull()
         left = left.select("id", "n", "v", F.when(~lost, F.col("best")).alias("best"), F.when(~lost, F.col("score")).alias("score"))
-        groups = keep(left.unionByName(pairs.select(F.col("a").alias("id"), "n", "v", nobody.alias("best"), F.lit(None).cast("double").alias("score"))))
+        groups = keep(left.unionByName(pairs.select(F.col("a").alias("id"), F.col("both").alias("n"), "v", nobody.alias("best"), F.lit(None).cast("double").alias("score"))))
         labels = keep(labels.join(pairs.select(F.col("a").alias("_a"), F.col("b").alias("_b")), F.col("cluster") == F.col("_b"), "left").select("id", F.coalesce("_a", "cluster").alias("cluster")))
         renewed = False
