@@ -1,88 +1,102 @@
-"""Classifiers and name finders over notes and dialogue; word lists are parameters."""
+"""Classification of notes by a caller's rule table, and names in dialogue. There are no word lists in here: all are given."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that follow a greeting or a comma and are no names; a parameter of the functions below.
-NO_NAMES = ("everyone", "all", "guys", "folks", "team", "again", "okay", "yes", "no", "there", "thanks", "hello", "right", "sure", "well", "meeting", "call", "sync", "weekly", "daily")
-#: Phrases that make a note personal at once, and words of which one in the title or two anywhere do.
-STRONG, WEAK = ("rental agreement", "personal matter", "family trip", "medical appointment"), ("tenant", "mortgage", "landlord", "household", "family", "doctor")
-#: Types of professional notes by words, in the order in which they are tried.
-TYPES = {"Standup": ("standup",), "1:1 Meeting": ("1:1", "one on one", "one-on-one", "check-in"), "Planning & Delivery": ("roadmap", "planning", "sprint"), "Architecture & Discovery": ("architecture", "integration", "discovery"), "Governance & Review": ("review", "audit", "governance")}
+
+class Rule(NamedTuple):
+    """What a term in a field counts for: a bucket fires once its rules of one priority reach 1.
+
+    how: "is" (the whole value), "word" (between word boundaries) or "part" (anywhere).
+    """
+
+    field: str
+    how: str
+    term: str
+    bucket: str
+    priority: int = 0
+    weight: float = 1.0
+
+
+def rules(field: str, how: str, terms: Sequence[str], bucket: str, priority: int = 0, weight: float = 1.0) -> list[Rule]:
+    """A rule for each term."""
+    return [Rule(field, how, t, bucket, priority, weight) for t in terms]
+
+
+def _matches(value: Column, rule: Rule) -> Column:
+    term = rule.term.lower()
+    if rule.how == "is":
+        return value == term
+    if rule.how == "part":
+        return F.contains(value, F.lit(term))
+    if rule.how == "word":
+        return value.rlike(rf"(?U)\b\Q{term}\E\b")
+    raise ValueError(f"no such way to match: {rule.how}")
+
+
+def decide(fields: Mapping[str, Column], table: Sequence[Rule]) -> Column:
+    """bucket and priority of the first bucket that fires, by priority, then by the table's order; null if none does.
+
+    Fields are compared in lower case without regard to space around them; a missing one matches
+    nothing. The table is part of the plan, so it is a caller's short list, not data.
+    """
+    values = {k: F.lower(F.trim(F.coalesce(v, F.lit("")))) for k, v in fields.items()}
+    groups: dict[tuple[int, str], list[Rule]] = {}
+    for rule in table:
+        groups.setdefault((rule.priority, rule.bucket), []).append(rule)
+    ordered = sorted(groups, key=lambda g: g[0])  # stable: the table's order within a priority
+    out = F.lit(None).cast("struct<bucket:string,priority:int>")
+    for group in reversed(ordered):
+        score = sum((F.when(_matches(values[r.field], r), F.lit(float(r.weight))).otherwise(0.0) for r in groups[group]), F.lit(0.0))
+        hit = F.struct(F.lit(group[1]).alias("bucket"), F.lit(group[0]).alias("priority"))
+        out = F.when(score >= 1 - 1e-9, hit).otherwise(out)
+    return out
 
 
 def front_value(doc: Column, key: str) -> Column:
-    """The value of a key in the front matter, lower case, without quotes; null where there is none."""
-    front = F.regexp_extract(doc, r"(?s)\A---(.*?)---", 1)
-    found = F.regexp_extract(front, rf"(?m)^{key}:(.*)$", 1)
-    return F.nullif(F.lower(F.trim(F.regexp_replace(found, r"[\"']", ""))), F.lit(""))
+    """The last value of a key in the front matter, lower case, without quotes; null where there is none."""
+    front = F.regexp_extract(F.coalesce(doc, F.lit("")), r"\A---\s*\n([\s\S]*?)\n---", 1)
+    lines = F.filter(F.split(front, "\n"), lambda x: F.startswith(F.lower(x), F.lit(f"{key}:")))
+    value = F.substr(F.get(lines, F.size(lines) - 1), F.lit(len(key) + 2))
+    return F.nullif(F.lower(F.trim(F.translate(value, "\"'", ""))), F.lit(""))
 
 
-def _any(text: Column, words: Sequence[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(text, F.lit(w))
-    return out
+def note_fields(doc: Column, title: Column, name: Column, head: int = 2000) -> dict[str, Column]:
+    """What rules can look at: category, type and entities of the front matter, title, name, and all of it with the note's beginning."""
+    whole = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(name, F.lit("")), F.substring(F.coalesce(doc, F.lit("")), 1, head))
+    return {"category": front_value(doc, "category"), "type": front_value(doc, "type"), "entities": front_value(doc, "entities"), "title": title, "name": F.concat_ws(" ", F.coalesce(name, F.lit("")), F.coalesce(title, F.lit(""))), "all": whole}
+
+
+def _bare(word: Column) -> Column:
+    return F.regexp_replace(word, r"^\P{L}+|\P{L}+$", "")
+
+
+def addressed(text: Column, no_names: Sequence[str], greetings: Sequence[str]) -> Column:
+    """Names that a line addresses, in order: the word behind a greeting, and a single word behind the last comma.
+
+    A name is a capitalised word of letters that isn't one of no_names; greetings are phrases in lower case.
+    """
+    named = lambda w: w.rlike(r"^\p{Lu}\p{Ll}+$") & ~F.lower(w).isin(*no_names)
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\s,]+"), lambda w: _bare(w) != "")
+    # each word with the two before it
+    shifted = lambda k: F.concat(F.array_repeat(F.lit(""), k), words)
+    beside = F.zip_with(words, F.zip_with(shifted(1), shifted(2), lambda a, b: F.struct(F.lower(_bare(a)).alias("one"), F.lower(F.concat_ws(" ", _bare(b), _bare(a))).alias("two"))), lambda w, p: F.struct(_bare(w).alias("w"), p.alias("p")))
+    greeted = F.transform(F.filter(beside, lambda x: x["w"].isNotNull() & (x["p"]["one"].isin(*greetings) | x["p"]["two"].isin(*greetings))), lambda x: x["w"])
+    clauses = F.split(F.coalesce(text, F.lit("")), ",")
+    last = F.regexp_replace(F.trim(F.element_at(clauses, -1)), "[.?!]$", "")
+    called = F.when(F.size(clauses) > 1, F.array(last)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.filter(F.concat(greeted, called), named))
 
 
-def _hits(text: Column, words: Sequence[str]) -> Column:
-    return sum((text.rlike(rf"(?U)\b(?:{w})\b").cast("int") for w in words), F.lit(0))
-
-
-def category(doc: Column, title: Column, source: Column, strong: Sequence[str] = STRONG, weak: Sequence[str] = WEAK, types: Mapping[str, Sequence[str]] = TYPES) -> tuple[Column, Column]:
-    """domain and type of a note: the front matter's category, else words (whole) in title, source and the first 2,000 characters."""
-    text = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(source, F.lit("")), F.substring(F.coalesce(doc, F.lit("")), 1, 2000)))
-    said, kind = front_value(F.coalesce(doc, F.lit("")), "category"), front_value(F.coalesce(doc, F.lit("")), "type")
-    declared = F.when(said.isin("personal", "household"), "Personal").when(said.isin("professional", "work"), "Professional")
-    given = (
-        F.when(kind.isin("standup", "daily"), "Standup")
-        .when(kind.isin("one-on-one", "1:1", "1-on-1"), "1:1 Meeting")
-        .when(kind.isin("review", "stakeholder"), "Review")
-        .when(kind.isin("planning", "discovery"), "Planning")
-        .when(kind.isin("personal", "household"), "Personal")
-    )
-    guessed = (_hits(text, strong) > 0) | (_hits(F.lower(F.coalesce(title, F.lit(""))), weak) > 0) | (_hits(text, weak) >= 2)
-    personal = F.coalesce(declared.isNull() & guessed, F.lit(False))
-    domain = F.when(personal | F.coalesce(given == "Personal", F.lit(False)), "Personal").otherwise(F.coalesce(declared, F.lit("Professional")))
-    bucket = None
-    for name, words in types.items():
-        bucket = F.when(_any(text, words), name) if bucket is None else bucket.when(_any(text, words), name)
-    bucket = F.lit("General") if bucket is None else F.coalesce(bucket, F.lit("General"))
-    return domain, F.coalesce(given, F.when(personal, "Personal & Household"), F.when(domain == "Professional", bucket), F.lit("General"))
-
-
-def professional(doc: Column, title: Column, name: Column, personal: Sequence[str], work: Sequence[str]) -> tuple[Column, Column]:
-    """Whether a note may be exported, and why: its category, then personal and work words in name and title, then work words among its entities."""
-    said = F.nullif(F.lower(F.regexp_extract(doc, r"(?mi)^category:\s*['\"]?([\w-]+)", 1)), F.lit(""))
-    both = F.lower(F.concat_ws(" ", name, F.coalesce(title, F.lit(""))))
-    entities = F.lower(F.regexp_extract(doc, r"(?mi)^entities:\s*\[(.*?)\]", 1))
-    reason = (
-        F.when(said.isin("personal", "family", "household", "medical", "legal-personal"), "personal category")
-        .when(said.isin("professional", "work", "tech", "career"), "professional category")
-        .when(_any(both, personal), "personal word")
-        .when(_any(both, work), "work word")
-        .when(_any(entities, work), "work entity")
-        .otherwise("unmatched")
-    )
-    return reason.isin("professional category", "work word", "work entity"), reason
-
-
-def addressed(text: Column, no_names: Sequence[str] = NO_NAMES) -> Column:
-    """Names that a line addresses, in order: behind a greeting, and behind the last comma at the end."""
-    line = F.trim(text)
-    greeted = F.regexp_extract(line, r"\b(?:[Tt]hanks|[Tt]hank you|[Hh]ey|[Hh]i)[, ]+([A-Z][a-z]+)\b", 1)
-    last = F.regexp_extract(F.element_at(F.split(line, ","), -1), r"^\s*([A-Z][a-z]+)[.?!]?$", 1)
-    called = F.when(F.contains(line, F.lit(",")), last).otherwise("")
-    return F.array_distinct(F.filter(F.array(greeted, called), lambda x: (x != "") & ~F.lower(x).isin(*no_names)))
-
-
-def file_candidates(hint: Column, owner: Column, labels: Column, no_names: Sequence[str] = NO_NAMES) -> Column:
+def file_candidates(hint: Column, owner: Column, labels: Column, no_names: Sequence[str]) -> Column:
     """Likely names of a call with two speakers or fewer: its owner, then capitalised words of the hint."""
-    found = F.filter(F.regexp_extract_all(F.coalesce(hint, F.lit("")), F.lit(r"\b[A-Z][a-z]+\b"), F.lit(0)), lambda x: ~F.lower(x).isin(*no_names))
+    words = F.transform(F.split(F.coalesce(hint, F.lit("")), r"[\s_-]+"), _bare)
+    found = F.filter(words, lambda x: x.rlike(r"^\p{Lu}\p{Ll}+$") & ~F.lower(x).isin(*no_names))
     own = F.filter(F.array(F.trim(F.coalesce(owner, F.lit("")))), lambda x: x != "")
     return F.when(labels <= 2, F.array_distinct(F.concat(own, found))).otherwise(F.array().cast("array<string>"))
 

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The first three letters of the months, in order.
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+#: The months, in order.
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+#: Words that are no part of a subject hint; a parameter of parse_file_name.
+NOISE = ("at", "on", "rec", "recording", "audio", "meeting")
 
 _SEPARATOR = r"\s*(?:,|&|/|\band\b)\s*"
-_MONTH = "(" + "|".join(MONTHS) + ")[a-z]*"
-_ISO = r"(?<![A-Za-z0-9])(20\d{2})[-_.]?(0[1-9]|1[0-2])[-_.]?(0[1-9]|[12]\d|3[01])(?!\d)"
-_MONTH_DAY = rf"(?i)(?<![A-Za-z0-9]){_MONTH}[ _-]+(\d{{1,2}})(?![A-Za-z0-9:])"
-_DAY_MONTH = rf"(?i)(?<![A-Za-z0-9])(\d{{1,2}})[ _-]+{_MONTH}(?![A-Za-z0-9])"
-_CLOCK = r"(?i)(?<![A-Za-z0-9])at[ _]+(\d{1,2})(?:[-:](\d{1,2}))?[ _]*([ap])\.?m\.?"
-_COMPACT = r"^[T_](\d{2})(\d{2})(?!\d)"
 
 
 def canonical_compound(df: DataFrame, key: str, column: str, aliases: DataFrame, out: str) -> DataFrame:
@@ -62,32 +60,65 @@ def resolve_title(doc: Column, path: Column, hint: Column) -> Column:
     return F.coalesce(_some(F.regexp_extract(head, r"(?m)^title:[ \t]*(.+)$", 1)), _some(F.regexp_extract(head, r"(?m)^#[ \t]+(.+)$", 1)), _some(F.initcap(F.replace(slug, F.lit("-"), F.lit(" ")))), plausible, F.lit("Untitled Meeting"))
 
 
-def parse_file_name(df: DataFrame, name: str, year: Column) -> DataFrame:
+def _class(token: Column) -> Column:
+    """One character for a token of a file name: what a date or a time can be made of."""
+    low = F.lower(token)
+    month = F.exists(F.array(*map(F.lit, MONTHS)), lambda m: F.startswith(m, low))
+    number = F.when(F.length(token) <= 2, "d").when(F.length(token) == 4, F.when(F.startswith(token, F.lit("20")), "Y").otherwise("q")).when((F.length(token) == 8) & F.startswith(token, F.lit("20")), "D").otherwise("n")
+    word = F.when(low == "at", "a").when(low == "t", "t").when(low.isin("am", "pm"), "X").when(low.isin("a", "p"), "x").when(low == "m", "z").when((F.length(token) >= 3) & month, "M").otherwise("w")
+    return F.when(token.rlike("^[0-9]"), number).when(token.rlike("^[A-Za-z]"), word).when(token.isin(" ", "_"), "s").when(token.isin("-", "\u2013"), "h").when(token == ".", "p").when(token == ":", "c").otherwise("o")
+
+
+#: Over classes: a written date, a date with a month's name, a time with a.m. or p.m., four digits behind the date, hours and minutes.
+_WRITTEN, _NAMED, _CLOCK, _COMPACT, _PLAIN = "D|Y[hps]d[hps]d|Y[hps]q", "M[sh]+d(?!c)|d[sh]+M", "(?:a[sh]+)?d(?:[hc]d)?[sh]*(?:X|xp?z)p?", "(?<=-)[tsh][Yq]", "dcd"
+
+
+def parse_file_name(df: DataFrame, name: str, year: Column, mtime: Column | None = None, noise: Sequence[str] = NOISE) -> DataFrame:
     """df with file_date, file_time (HH:MM) and file_hint of a file name; year is that of the file's time.
 
-    A date is ISO-like, else a month's name and a day in either order; its span is masked. A time
-    is "at H[-MM] a.m./p.m." (one digit after the hour is the end of a range), else four digits
-    right after the date, else H:MM. The hint is what is left; each part is null where there is none.
+    The name without its suffix is cut into runs of letters, runs of digits and single signs; each
+    gets a class, and dates and times are looked for in the string of classes. A month's name needs
+    a day; one digit behind an hour is the end of a range of hours. What is left without noise words
+    is the hint. A missing date or time is that of mtime, if it is given, else null.
     """
     base = F.regexp_replace(F.col(name), r"\.[A-Za-z0-9]{2,4}$", "")
-    iso, md, dm = (F.regexp_extract(base, p, 0) for p in (_ISO, _MONTH_DAY, _DAY_MONTH))
-    month = lambda m: F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(m))
-    date = lambda y, m, d: F.try_to_date(F.format_string("%04d-%02d-%02d", y.cast("int"), m.cast("int"), d.cast("int")), "yyyy-MM-dd")
-    at = lambda p, n: F.nullif(F.regexp_extract(base, p, n), F.lit(""))
-    day = F.when(iso != "", date(at(_ISO, 1), at(_ISO, 2), at(_ISO, 3))).when(md != "", date(year, month(at(_MONTH_DAY, 1)), at(_MONTH_DAY, 2))).when(dm != "", date(year, month(at(_DAY_MONTH, 2)), at(_DAY_MONTH, 1)))
-    span = F.when(iso != "", iso).when(md != "", md).otherwise(dm)
-    rest = F.when(span == "", base).otherwise(F.concat(F.substr(base, F.lit(1), F.position(span, base) - 1), F.lit("\u0001"), F.substr(base, F.position(span, base) + F.length(span))))
-    out = df.withColumn("file_date", day).withColumn("_rest", rest).withColumn("_tail", F.regexp_extract("_rest", "\u0001(.*)$", 1))
-    of = lambda c, p, n: F.nullif(F.regexp_extract(c, p, n), F.lit(""))
-    hour = of("_rest", _CLOCK, 1).cast("int")
-    clock = F.when(F.lower(of("_rest", _CLOCK, 3)) == "p", hour % 12 + 12).otherwise(hour % 12)
-    tail = of("_rest", _CLOCK, 2)
+    df = df.withColumn("_tok", F.regexp_extract_all(base, F.lit(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]"), F.lit(0)))
+    df = df.withColumn("_cls", F.array_join(F.transform("_tok", _class), ""))
+    span = lambda at, n: F.slice("_tok", F.greatest(at, F.lit(1)), n)
+    where = lambda text, pattern: (F.regexp_instr(F.col(text), F.lit(pattern)), F.length(F.regexp_extract(text, pattern, 0)))
+
+    at, n = where("_cls", _WRITTEN)
+    digits = F.array_join(F.filter(span(at, n), lambda t: t.rlike("^[0-9]")), "")
+    written = F.when((at > 0) & (F.length(digits) == 8), F.try_to_date(digits, "yyyyMMdd"))
+    at2, n2 = where("_cls", _NAMED)
+    part = lambda test: F.get(F.filter(span(at2, n2), lambda t: t.rlike(test)), F.lit(0))
+    month = F.array_position(F.transform(F.array(*map(F.lit, MONTHS)), lambda m: F.startswith(m, F.lower(part("^[A-Za-z]")))), True)
+    spelled = F.when(at2 > 0, F.try_to_date(F.format_string("%04d-%02d-%02d", year.cast("int"), month.cast("int"), part("^[0-9]").cast("int")), "yyyy-MM-dd"))
+    df = df.withColumn("_d", F.coalesce(written, spelled)).withColumn("_p", F.when(written.isNotNull(), F.struct(at.alias("at"), n.alias("n"))).when(spelled.isNotNull(), F.struct(at2.alias("at"), n2.alias("n"))))
+    masked = lambda text: F.when(F.col("_p").isNull(), F.col(text)).otherwise(F.concat(F.substr(F.col(text), F.lit(1), F.col("_p.at") - 1), F.repeat(F.lit("-"), F.col("_p.n")), F.substr(F.col(text), F.col("_p.at") + F.col("_p.n"))))
+    df = df.withColumn("_cls", masked("_cls"))
+
+    at3, n3 = where("_cls", _CLOCK)
+    numbers = F.filter(span(at3, n3), lambda t: t.rlike("^[0-9]"))
+    hour, tail = F.get(numbers, F.lit(0)).cast("int"), F.get(numbers, F.lit(1))
+    half = F.lower(F.substring(F.get(F.filter(span(at3, n3), lambda t: F.lower(t).isin("a", "p", "am", "pm")), F.lit(0)), 1, 1))
     minute = F.when(F.length(tail) == 2, tail.cast("int")).otherwise(0)
-    compact = F.when(of("_tail", _COMPACT, 1).isNotNull(), F.concat(of("_tail", _COMPACT, 1), F.lit(":"), of("_tail", _COMPACT, 2)))
-    plain = F.lpad(of("_rest", r"(?<!\d)(\d{1,2}:\d{2})(?!\d)", 1), 5, "0")
-    time = F.coalesce(F.when(hour.isNotNull(), F.format_string("%02d:%02d", clock, minute)), compact, plain)
-    left = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("_rest", _CLOCK, " "), "\u0001[T_]\\d{4}(?!\\d)", " "), r"(?<!\d)\d{1,2}:\d{2}(?!\d)", " "), "[\u0001 _-]+", " ")
-    return out.withColumn("file_time", time).withColumn("file_hint", _some(left)).drop("_rest", "_tail")
+    clock = F.when((at3 > 0) & hour.between(1, 12) & (minute < 60), F.format_string("%02d:%02d", hour % 12 + F.when(half == "p", 12).otherwise(0), minute))
+    at4, n4 = where("_cls", _COMPACT)
+    four = F.get("_tok", at4)
+    compact = F.when((at4 > 0) & four.rlike("^(?:[01][0-9]|2[0-3])[0-5][0-9]$"), F.concat(F.substring(four, 1, 2), F.lit(":"), F.substring(four, 3, 2)))
+    at5, n5 = where("_cls", _PLAIN)
+    plain = F.when((at5 > 0) & (F.get("_tok", at5 - 1).cast("int") < 24) & F.get("_tok", at5 + 1).rlike("^[0-5][0-9]$"), F.concat(F.lpad(F.get("_tok", at5 - 1), 2, "0"), F.lit(":"), F.get("_tok", at5 + 1)))
+    spot = lambda a, b: F.struct(a.alias("at"), b.alias("n"))
+    df = df.withColumn("_t", F.coalesce(clock, compact, plain)).withColumn("_p", F.when(clock.isNotNull(), spot(at3, n3)).when(compact.isNotNull(), spot(at4, n4)).when(plain.isNotNull(), spot(at5, n5)))
+    df = df.withColumn("_cls", masked("_cls"))
+
+    kept = F.zip_with("_tok", F.split("_cls", ""), lambda t, c: F.when((c == "-") | c.isin("s", "h") | F.lower(t).isin(*noise), " ").otherwise(t))
+    hint = F.regexp_replace(F.regexp_replace(F.array_join(kept, ""), " +", " "), "^[ .,]+|[ .,]+$", "")
+    out = df.withColumns({"file_date": F.col("_d"), "file_time": F.col("_t"), "file_hint": _some(hint)})
+    if mtime is not None:
+        out = out.withColumns({"file_date": F.coalesce("file_date", F.to_date(mtime)), "file_time": F.coalesce("file_time", F.date_format(mtime, "HH:mm"))})
+    return out.drop("_tok", "_cls", "_d", "_t", "_p")
 
 
 def set_category(doc: Column, category: Column) -> Column:

@@ -150,9 +150,17 @@ def names_resolved(spark, d):
 def professional_filter(spark, d):
     p = S.read(spark, d, "part")
     k = F.col("p_partkey") % 5
-    doc = F.when(k == 0, F.concat(F.lit("---\ncategory: "), F.element_at(F.array(F.lit("family"), F.lit("'Work'"), F.lit("misc")), (F.col("p_partkey") % 3 + 1).cast("int")), F.lit("\n---\n"))).when(k == 1, F.concat(F.lit("entities: ["), "p_type", F.lit("]\n"))).otherwise(F.lit("text"))
-    ok, why = classify.professional(doc, F.col("p_name"), F.concat("p_brand", F.lit(".md")), ("red",), ("#1", "economy"))
-    return p.select("p_partkey", ok.alias("ok"), why.alias("why"))
+    doc = F.when(k == 0, F.concat(F.lit("---\ncategory: "), F.element_at(F.array(F.lit("family"), F.lit("'Work'"), F.lit("misc")), (F.col("p_partkey") % 3 + 1).cast("int")), F.lit("\n---\n"))).when(k == 1, F.concat(F.lit("---\nentities: ["), "p_type", F.lit("]\n---\n"))).otherwise(F.lit("text"))
+    work = ("#1", "economy")
+    table = [
+        *classify.rules("category", "is", ("family", "household"), "personal category", 0),
+        *classify.rules("category", "is", ("work", "career"), "professional category", 1),
+        *classify.rules("name", "part", ("red",), "personal word", 2),
+        *classify.rules("name", "part", work, "work word", 3),
+        *classify.rules("entities", "part", work, "work entity", 4),
+    ]
+    why = F.coalesce(classify.decide(classify.note_fields(doc, F.col("p_name"), F.concat("p_brand", F.lit(".md"))), table)["bucket"], F.lit("unmatched"))
+    return p.select("p_partkey", why.isin("professional category", "work word", "work entity").alias("ok"), why.alias("why"))
 
 
 def _pending(spark, d):

@@ -35,8 +35,8 @@ def title_resolve(spark, d):
 def filename_parse(spark, d):
     o, k, t = S.read(spark, d, "orders"), F.col("o_orderkey") % 3, F.to_timestamp("o_orderdate")
     name = F.when(k == 0, F.concat(F.date_format(F.add_months(t, 360), "yyyy-MM-dd"), F.lit("T1130_plan_"), "o_orderstatus", F.lit(".m4a")))
-    name = name.when(k == 1, F.concat(F.lit("Kim_"), F.date_format(t, "MMM_d"), F.lit("_at_2-45_p.m..m4a"))).otherwise("untitled.wav")
-    return N.parse_file_name(o.select("o_orderkey", name.alias("name"), F.year(t).alias("y")), "name", F.col("y")).drop("name", "y")
+    name = name.when(k == 1, F.concat(F.lit("Kim_recording_"), F.date_format(t, "MMM_d"), F.lit("_at_2-45_p.m..m4a"))).otherwise("untitled.wav")
+    return N.parse_file_name(o.select("o_orderkey", name.alias("name"), F.year(t).alias("y"), t.alias("t")), "name", F.col("y"), F.col("t")).drop("name", "y", "t")
 
 
 def frontmatter_edit(spark, d):
@@ -60,7 +60,7 @@ QUERIES = {
     "compound_canonicalize": (compound_canonicalize, "SELECT s_suppkey, s_name || ' and ' || CASE WHEN n_regionkey <> 1 THEN 'N-' ELSE '' END || n_name AS owners FROM supplier JOIN nation ON s_nationkey = n_nationkey"),
     "first_name_fold": (first_name_fold, "WITH g AS (SELECT DISTINCT unnest([split_part(p_name, ' ', 1), p_name || ' ' || lower(p_type)]) AS name FROM part), k AS (SELECT p_name AS full_, count(*) AS n FROM part GROUP BY 1), f AS (SELECT name, full_, n, starts_with(full_ || ' ', name || ' ') AS ext FROM g JOIN k ON starts_with(full_ || ' ', name || ' ') OR starts_with(name || ' ', full_ || ' ')), a AS (SELECT DISTINCT x.name FROM f x JOIN f y ON x.name = y.name AND x.ext AND y.ext AND NOT starts_with(x.full_ || ' ', y.full_ || ' ') AND NOT starts_with(y.full_ || ' ', x.full_ || ' ')), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, full_) AS i FROM f WHERE name NOT IN (SELECT name FROM a)) SELECT g.name, coalesce(full_, g.name) AS folded FROM g LEFT JOIN r ON r.name = g.name AND i = 1"),
     "title_resolve": (title_resolve, "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Order ' || o_orderkey WHEN 1 THEN 'Plan ' || o_orderkey WHEN 2 THEN 'Big Plan ' || o_custkey ELSE CASE WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE 'Untitled Meeting' END END AS title FROM orders"),
-    "filename_parse": (filename_parse, "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) + INTERVAL 30 YEAR AS DATE) WHEN 1 THEN CAST(o_orderdate AS DATE) END AS file_date, CASE o_orderkey % 3 WHEN 0 THEN '11:30' WHEN 1 THEN '14:45' END AS file_time, CASE o_orderkey % 3 WHEN 0 THEN 'plan ' || o_orderstatus WHEN 1 THEN 'Kim' ELSE 'untitled' END AS file_hint FROM orders"),
+    "filename_parse": (filename_parse, "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) + INTERVAL 30 YEAR AS DATE) ELSE CAST(o_orderdate AS DATE) END AS file_date, CASE o_orderkey % 3 WHEN 0 THEN '11:30' WHEN 1 THEN '14:45' ELSE strftime(o_orderdate, '%H:%M') END AS file_time, CASE o_orderkey % 3 WHEN 0 THEN 'plan ' || o_orderstatus WHEN 1 THEN 'Kim' ELSE 'untitled' END AS file_hint FROM orders"),
     "frontmatter_edit": (frontmatter_edit, "SELECT o_orderkey, replace(replace(CASE o_orderkey % 3 WHEN 0 THEN '---;title: a;category: ?;x: 1;---;body' WHEN 1 THEN '---;category: ?;title: a;---;body;category: text' ELSE '---;category: ?;---;body' END, ';', chr(10)), '?', o_orderpriority) AS note FROM orders"),
     "file_backup_plan": (file_backup_plan, "SELECT doc_id AS path, CASE WHEN n_chars <= 300 OR doc_id % 3 = 0 OR doc_id % 5 = 0 THEN 'copy' ELSE 'keep' END AS action FROM documents"),
     "leave_one_out": (leave_one_out, None),

@@ -195,7 +195,14 @@ def categories(spark, d):
     from tallyfold.operators import classify
 
     doc = F.concat(F.when(F.col("doc_id") % 7 == 0, F.lit("---\ncategory: household\n---\n")).when(F.col("doc_id") % 7 == 1, F.lit("---\ncategory: work\ntype: daily\n---\n")).otherwise(F.lit("")), F.coalesce("text", F.lit("")))
-    domain, kind = classify.category(doc, F.concat(F.lit("Note "), "source"), F.col("lang"), strong=("license", "copyright"), weak=("the", "que", "und", "les"), types={"Numbers": ("1", "2"), "Mail": ("@",)})
+    fields = classify.note_fields(doc, F.concat(F.lit("Note "), "source"), F.col("lang"))
+    declared = [*classify.rules("category", "is", ("household",), "Personal"), *classify.rules("category", "is", ("work",), "Professional")]
+    words = [*classify.rules("all", "word", ("license", "copyright"), "Personal", 1), *classify.rules("all", "word", ("the", "que", "und", "les"), "Personal", 1, 0.5)]
+    found = classify.decide(fields, declared + words)
+    domain = F.coalesce(found["bucket"], F.lit("Professional"))
+    given = classify.decide(fields, classify.rules("type", "is", ("daily",), "Standup"))["bucket"]
+    topic = classify.decide(fields, [*classify.rules("all", "part", ("1", "2"), "Numbers"), *classify.rules("all", "part", ("@",), "Mail", 1)])["bucket"]
+    kind = F.coalesce(given, F.when(found["priority"] == 1, "Personal & Household"), F.when(domain == "Professional", topic), F.lit("General"))
     return S.read(spark, d, "documents").select("doc_id", domain.alias("domain"), kind.alias("kind"))
 
 
@@ -203,7 +210,7 @@ def addressed(spark, d):
     from tallyfold.operators import classify
 
     said = F.concat(F.element_at(F.array(F.lit("Thanks, "), F.lit("So what now, "), F.lit("hey ")), (F.col("turn") % 3 + 1).cast("int")), F.initcap("speaker"), F.when(F.col("turn") % 2 == 0, "?").otherwise(""))
-    return S.turns(spark, d).select("session_id", "turn", F.array_join(classify.addressed(said, no_names=("system",)), " ").alias("names"))
+    return S.turns(spark, d).select("session_id", "turn", F.array_join(classify.addressed(said, ("system",), ("thanks", "hey")), " ").alias("names"))
 
 
 W = "len(list_filter(string_split_regex(text, '[ \\t\\n]+'), lambda x: x <> ''))"

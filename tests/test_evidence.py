@@ -38,13 +38,20 @@ def test_scalars(spark):
 
 
 def test_names_in_dialogue(spark):
-    said = {"Thanks, Ruth": ["Ruth"], "what do you think, Paul?": ["Paul"], "Paul, what do you think": [], "hey Kim, over to you, Kim.": ["Kim"], "Hi Team": [], "well, Okay": []}
+    said = {"Thanks, Ruth": ["Ruth"], "what do you think, Paul?": ["Paul"], "Paul, what do you think": [], "hey Kim, over to you, Kim.": ["Kim"], "Hi Team": [], "well, Okay": [], "Thank you Ana": ["Ana"]}
     for text, names in said.items():
-        assert one(spark, classify.addressed(F.col("t")), t=text) == names, text
-    found = lambda n: one(spark, classify.file_candidates(F.col("t"), F.lit(" Ana Roe "), F.lit(n)), t="Weekly with Kim and Lee at 3")
+        assert one(spark, classify.addressed(F.col("t"), ("team", "okay"), ("thanks", "thank you", "hey", "hi")), t=text) == names, text
+    found = lambda n: one(spark, classify.file_candidates(F.col("t"), F.lit(" Ana Roe "), F.lit(n), ("weekly",)), t="Weekly with Kim and Lee at 3")
     assert found(2) == ["Ana Roe", "Kim", "Lee"] and found(3) == []
 
 
+def test_rules_decide_by_priority_and_weight(spark):
+    table = [classify.Rule("category", "is", "home", "Home"), classify.Rule("all", "word", "rent", "Home", 1, 0.5), classify.Rule("all", "word", "lease", "Home", 1, 0.5), classify.Rule("title", "part", "c++", "Code", 2)]
+    said = lambda doc, title: one(spark, classify.decide(classify.note_fields(F.col("d"), F.col("t"), F.lit("n.md")), table), d=doc, t=title)
+    assert said("---\ncategory: work\ncategory: 'Home'\n---\nx", "C++")["bucket"] == "Home"  # the last line of the key counts
+    assert said("rent and lease", "x") == ("Home", 1) and said("rent, parental release", "about C++ ") == ("Code", 2) and said(None, "x") is None
+
+
 def test_notes(spark):
     note = "## Action Items\n- [x] **Dana** — ship it. Due: before 2026-08-17. [0:01] [0:02]\n- [ ] **Kim** - Due: soon\n- [ ] **Lee** - call\n## Decisions\n- **Use A** — done by hand, decided jointly by Dana Roe and Kim. Rationale: cheap. [1:02]\n## Open Questions\n- Who pays? Mary-Ann needs to resolve this. [2:00]\n- We ask whether Kim Roe need to resolve it\n- Nothing else\n"
     df = spark.createDataFrame([(1, note)], "id long, doc string")
@@ -59,6 +66,10 @@ def test_file_names(spark):
     df = spark.createDataFrame([("12340511_call_ab.m4a",), ("20260511_call.m4a",), ("Kim_Aug_10_at_11-31_a.m..m4a",), ("x at 2-3 pm.m4a",)], "name string")
     got = [(str(r["file_date"]), r["file_time"]) for r in naming.parse_file_name(df, "name", F.lit(2026)).collect()]
     assert got == [("None", None), ("2026-05-11", None), ("2026-08-10", "11:31"), ("None", "14:00")]
+    names = {"call20260811.m4a": ("2026-08-11", "14:30", "call"), "Kim Mar 13 at 8-40 p.m..m4a": ("2026-03-13", "20:40", "Kim"), "9xYz-aBc_6_Ana_Aug_11_at_5-11_p.m..m4a": ("2026-08-11", "17:11", "9xYz aBc 6 Ana"), "2026-08-10T1100_plan-review.m4a": ("2026-08-10", "11:00", "plan review"), "20260810_1430_daily.m4a": ("2026-08-10", "14:30", "daily"), "late Jan 5 at 12-1 a.m..m4a": ("2026-01-05", "00:00", "late"), "noon Jan 5 at 12-1 p.m..m4a": ("2026-01-05", "12:00", "noon"), "voice 0042.m4a": ("2026-08-10", "14:30", "voice 0042"), "Meeting recording.m4a": ("2026-08-10", "14:30", None), "2026-13-40 x.wav": ("2026-08-10", "14:30", "2026 13 40 x")}
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    found = naming.parse_file_name(df, "name", F.lit(2026), F.lit("2026-08-10 14:30:00").cast("timestamp")).collect()
+    assert {r["name"]: (str(r["file_date"]), r["file_time"], r["file_hint"]) for r in found} == names
 
 
 def test_retrieval(spark):
