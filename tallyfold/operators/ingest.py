@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfold import sources as S
+
 #: The stages of a meeting in order; failed stands beside them.
 LADDER = ("discovered", "transcribed", "speakers_resolved", "minutes_compiled", "indexed")
 FAILED = "failed"
@@ -32,6 +34,19 @@ def file_outcomes(files: DataFrame, seen: DataFrame, known: DataFrame) -> DataFr
     return rows.select("path", F.when(F.col("_p").isNotNull(), "skipped").when(F.col("_h").isNull() & (F.col("path") == F.col("_first")), "ingested").otherwise("duplicate").alias("outcome"))
 
 
+def ingest_folder(spark, folder: str, suffixes: Sequence[str], seen: DataFrame, known: DataFrame, out: str) -> DataFrame:
+    """path, outcome of every file below a folder: what was seen is skipped by path, size and time before any content is read.
+
+    seen: path, size, mtime; known: sha256; `out` is a folder for the digests of the others.
+    """
+    listed = S.listing(spark, folder, list(suffixes))
+    fresh = S.digests(spark, S.unseen(listed, seen), out)
+    first = fresh.join(known.select("sha256").distinct(), "sha256", "left_anti").groupBy("sha256").agg(F.min("path").alias("_first"))
+    read = fresh.join(first, "sha256", "left").select("path", F.when(F.col("path") == F.col("_first"), "ingested").otherwise("duplicate").alias("outcome"))
+    skipped = listed.join(fresh.select("path"), "path", "left_anti").select("path", F.lit("skipped").alias("outcome"))
+    return read.unionByName(skipped)
+
+
 def eligibility(suffix: Column, handled: Column, failed: Column, recorded: Column, cutoff: Column, suffixes: Sequence[str]) -> Column:
     """What becomes of a listed file: ignored, handled, ambiguous (no date), eligible or excluded."""
     return (
@@ -180,15 +195,3 @@ def resolve(old: DataFrame, inferred: DataFrame, confirmed: DataFrame, aliases:
     a = aliases.select(F.col("alias").alias("_a"), F.col("canonical").alias("_n"))
     named = rows.join(a, F.lower(F.trim("_given")) == F.col("_a"), "left").select("meeting_id", "label", F.coalesce("_n", F.trim("_given")).alias("name"), "confidence")
     return merge_names(old, named)
-
-
-def run_all(stages: Mapping[str, Callable[[], object]]) -> dict[str, str | None]:
-    """Runs the stages in order; a stage that fails doesn't keep the others from running. Gives each one's error, or none."""
-    out: dict[str, str | None] = {}
-    for name, stage in stages.items():
-        try:
-            stage()
-            out[name] = None
-        except Exception as e:  # noqa: BLE001
-            out[name] = str(e)[:4000]
-    return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfold import functions as X
 from tallyfold import sources as S
+from tallyfold.operators import notes
 
 STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
 
@@ -89,56 +90,8 @@ def _notes(spark, d):
     return rows.groupBy("l_orderkey").agg(F.concat(F.lit("# Notes\n\n## Action Items\n"), body, F.lit("\n\n## Risks\n- none\n")).alias("doc"))
 
 
-def _parts(pattern, n):
-    """The groups of a pattern in `line`, matched once; null where it doesn't match."""
-    form = F.regexp_replace("line", pattern, "\u0001".join(f"${k}" for k in range(1, n + 1)))
-    parts = F.split(form, "\u0001")
-    return F.when(F.size(parts) == n, parts)
-
-
-def parse_action_items(notes, key):
-    """A row per checkbox line of the Action Items section: owner, text, due (as written), due_iso, cite, state. Lines without a task are none."""
-    lines = notes.select(key, F.explode_outer(F.split(X.section(F.col("doc"), "Action Items"), "\n")).alias("line"))
-    pattern = r"^\s*[-*]\s*\[([ xX])\]\s*\*\*(.+?)\*\*\s*[-:\u2013\u2014]\s*(.*?)((?:\s*\[[^\]]*\])*)\s*$"
-    rows = lines.withColumn("p", _parts(pattern, 4)).where("p IS NOT NULL").withColumn("body", F.split(F.col("p")[2], r"(?i)\s*\bDue:\s*", 2))
-    due = F.nullif(F.trim(F.regexp_replace(F.get("body", F.lit(1)), r"[.\s]+$", "")), F.lit(""))
-    out = rows.select(key, F.col("p")[1].alias("owner"), F.trim(F.col("body")[0]).alias("text"), due.alias("due"), X.due_date(due).alias("due_iso"), F.trim(F.col("p")[3]).alias("cite"), F.when(F.lower(F.col("p")[0]) == "x", "done").otherwise("open").alias("state"))
-    return out.where("text <> ''")
-
-
 def action_items(spark, d):
-    return parse_action_items(_notes(spark, d), "l_orderkey")
-
-
-def parse_decisions(notes, key):
-    """A row per bullet of the Decisions section with a bold text: text, decided_by, rationale, cite.
-
-    The decider stands after "by" and before a full stop or comma, in front of the rationale; it is
-    null unless it starts with a capital letter. A rationale ends with its line.
-    """
-    lines = notes.select(key, F.explode_outer(F.split(X.section(F.col("doc"), "Decisions"), "\n")).alias("line"))
-    rows = lines.withColumn("p", _parts(r"^\s*[-*]\s*\*\*(.+?)\*\*\s*(.*?)((?:\s*\[[^\]]*\])*)\s*$", 3)).where("p IS NOT NULL")
-    rows = rows.withColumn("r", F.split(F.col("p")[1], r"(?i)\bRationale:", 2))
-    said = F.filter(F.slice(F.split(F.col("r")[0], r"\bby\s+"), 2, 1000), lambda x: x.rlike(r"^\p{Lu}"))
-    decider = F.split(F.get(said, F.lit(0)), "[.,]")[0]
-    none = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return rows.select(key, F.trim(F.col("p")[0]).alias("text"), none(decider).alias("decided_by"), none(F.get("r", F.lit(1))).alias("rationale"), F.trim(F.col("p")[2]).alias("cite"))
-
-
-def question_owner(text):
-    """Who needs to resolve this, it or that: the capitalised words right before the phrase, in its sentence; null without any."""
-    before = F.split(text, r"\s+needs?\s+to\s+resolve\s+(?:this|it|that)\b", 2)
-    sentence = F.element_at(F.split(F.col("_b")[0], r"[.?!;:]\s+"), -1)
-    return before, F.nullif(F.trim(F.regexp_extract(sentence, r"((?:\p{Lu}[\p{L}\p{N}'.\u2019-]*\s*|\p{N}+\s*)+)$", 1)), F.lit(""))
-
-
-def parse_questions(notes, key):
-    """A row per bullet of the Open Questions section: text, owner (who needs to resolve it, else null), cite."""
-    lines = notes.select(key, F.explode_outer(F.split(X.section(F.col("doc"), "Open Questions"), "\n")).alias("line"))
-    rows = lines.withColumn("p", _parts(r"^\s*[-*]\s+(.+?)((?:\s*\[[^\]]*\])*)\s*$", 2)).where("p IS NOT NULL")
-    before, owner = question_owner(F.col("p")[0])
-    rows = rows.withColumn("_b", before)
-    return rows.select(key, F.trim(F.col("p")[0]).alias("text"), F.when(F.size("_b") > 1, owner).alias("owner"), F.trim(F.col("p")[1]).alias("cite"))
+    return notes.parse_action_items(_notes(spark, d), "l_orderkey")
 
 
 def _minutes(spark, d):
@@ -154,11 +107,11 @@ def _minutes(spark, d):
 
 
 def decisions(spark, d):
-    return parse_decisions(_minutes(spark, d), "l_orderkey")
+    return notes.parse_decisions(_minutes(spark, d), "l_orderkey")
 
 
 def questions(spark, d):
-    return parse_questions(_minutes(spark, d), "l_orderkey")
+    return notes.parse_questions(_minutes(spark, d), "l_orderkey")
 
 
 def _graph_notes(spark, d):

@@ -44,6 +44,32 @@ def files(spark: SparkSession, path: str, suffixes: list[str]) -> DataFrame:
     return df.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5")).orderBy("path")
 
 
+def listing(spark: SparkSession, path: str, suffixes: list[str]) -> DataFrame:
+    """path, size, mtime of the files with one of the suffixes below a folder: no content is read."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*{" + ",".join(suffixes) + "}").load(path)
+    return df.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+
+
+def unseen(listed: DataFrame, seen: DataFrame) -> DataFrame:
+    """Listed files without an entry of the same path, size and mtime."""
+    return listed.join(seen.select("path", "size", "mtime").distinct(), ["path", "size", "mtime"], "left_anti")
+
+
+def digests(spark: SparkSession, paths: DataFrame, out: str, batch: int = 10_000) -> DataFrame:
+    """path, size, mtime, sha256, md5 of the files in paths (path), whose contents alone are read; written to the folder `out`.
+
+    Names come to the driver in batches of a bounded number, contents never do.
+    """
+    from itertools import batched
+
+    schema = "path string, size long, mtime timestamp, sha256 string, md5 string"
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(out)
+    for some in batched((r["path"] for r in paths.select("path").toLocalIterator()), batch):
+        df = spark.read.format("binaryFile").load(list(some))
+        df.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5")).write.mode("append").parquet(out)
+    return spark.read.schema(schema).parquet(out)
+
+
 def meetings(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "orders")
     status = F.when(F.col("o_orderstatus") == "P", "discovered").when(F.col("o_orderstatus") == "O", "indexed").otherwise("failed")

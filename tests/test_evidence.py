@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from tallyfold import functions as X
 from tallyfold import operators as O
 from tallyfold import sources as S
-from tallyfold.operators import classify, ingest, naming, people, retrieval, voices
-from tallyfold.plans import texts
+from tallyfold.operators import classify, graph, ingest, naming, notes, people, retrieval, voices
 
 
 def one(spark, column, **values):
@@ -55,11 +54,11 @@ def test_rules_decide_by_priority_and_weight(spark):
 def test_notes(spark):
     note = "## Action Items\n- [x] **Dana** — ship it. Due: before 2026-08-17. [0:01] [0:02]\n- [ ] **Kim** - Due: soon\n- [ ] **Lee** - call\n## Decisions\n- **Use A** — done by hand, decided jointly by Dana Roe and Kim. Rationale: cheap. [1:02]\n## Open Questions\n- Who pays? Mary-Ann needs to resolve this. [2:00]\n- We ask whether Kim Roe need to resolve it\n- Nothing else\n"
     df = spark.createDataFrame([(1, note)], "id long, doc string")
-    got = [tuple(r)[1:] for r in texts.parse_action_items(df, "id").collect()]
+    got = [tuple(r)[1:] for r in notes.parse_action_items(df, "id").collect()]
     assert got[0][:3] == ("Dana", "ship it.", "before 2026-08-17") and str(got[0][3]) == "2026-08-17" and got[0][4:] == ("[0:01] [0:02]", "done")
     assert [g[0] for g in got] == ["Dana", "Lee"] and got[1][2] is None  # a line without a task is none
-    assert [tuple(r)[1:] for r in texts.parse_decisions(df, "id").collect()] == [("Use A", "Dana Roe and Kim", "cheap.", "[1:02]")]
-    assert [(r["owner"], r["cite"]) for r in texts.parse_questions(df, "id").collect()] == [("Mary-Ann", "[2:00]"), ("Kim Roe", ""), (None, "")]
+    assert [tuple(r)[1:] for r in notes.parse_decisions(df, "id").collect()] == [("Use A", "Dana Roe and Kim", "cheap.", "[1:02]")]
+    assert [(r["owner"], r["cite"]) for r in notes.parse_questions(df, "id").collect()] == [("Mary-Ann", "[2:00]"), ("Kim Roe", ""), (None, "")]
 
 
 def test_file_names(spark):
@@ -78,10 +77,10 @@ def test_retrieval(spark):
     assert got == [("c", 1, 3), ("d", 3, 2)]
     assert retrieval.register_context(reg, "the and", stop=("the", "and")).count() == 0
     assert {r["row_id"] for r in retrieval.register_context(reg, "access").collect()} == {1, 3, 4}
-    notes = spark.createDataFrame([(f"2026-{i:02d}", "alpha " * i) for i in range(1, 8)], "name string, text string")
-    assert [r["name"] for r in retrieval.scan_notes(notes, "alpha").collect()] == ["2026-07", "2026-06", "2026-05", "2026-04", "2026-03"]
-    assert sorted(r["name"] for r in retrieval.scan_notes(notes, "nothing").collect()) == ["2026-05", "2026-06", "2026-07"]
-    assert {r["score"] for r in retrieval.scan_notes(notes, "the", stop=("the",)).collect()} == {1}
+    some = spark.createDataFrame([(f"2026-{i:02d}", "alpha " * i) for i in range(1, 8)], "name string, text string")
+    assert [r["name"] for r in retrieval.scan_notes(some, "alpha").collect()] == ["2026-07", "2026-06", "2026-05", "2026-04", "2026-03"]
+    assert sorted(r["name"] for r in retrieval.scan_notes(some, "nothing").collect()) == ["2026-05", "2026-06", "2026-07"]
+    assert {r["score"] for r in retrieval.scan_notes(some, "the", stop=("the",)).collect()} == {1}
     labels = spark.createDataFrame([("Data-Lake",), ("Lakehouse",), ("Other",)], "label string")
     assert [tuple(r) for r in retrieval.match_labels(labels, "Where is the lake?").collect()] == [("Data-Lake", 1, 1), ("Lakehouse", 0, 1)]
     edges = spark.createDataFrame([("a", "p", "b"), ("b", "p", "c"), ("c", "p", "d"), ("b", "p", "c")], "src string, predicate string, dst string")
@@ -127,8 +126,6 @@ def test_versions_runs_and_gate(spark):
         ingest.same_version(asked, asked.where("id = 1")).collect()
     events = spark.createDataFrame([(1, "start", "2026-01-01 00:00:00", 7, "asr", None), (1, "finish", "2026-01-01 00:00:09", 7, "asr", True), (2, "start", "2026-01-01 00:00:00", 7, "asr", None)], "run_id long, kind string, at string, meeting_id long, stage string, ok boolean").withColumn("at", F.to_timestamp("at"))
     assert sorted((r["run_id"], r["seconds"], r["ok"]) for r in ingest.paired_runs(events).collect()) == [(1, 9.0, True), (2, None, None)]
-    told = ingest.run_all({"a": lambda: 1, "b": lambda: 1 / 0, "c": lambda: None})
-    assert list(told) == ["a", "b", "c"] and told["a"] is None and "division" in told["b"]
 
 
 def test_transcripts_and_glossaries(spark, tmp_path):

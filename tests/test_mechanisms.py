@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfold import sources as S
-from tallyfold.operators import asof, intervals, linkage, windows
+from tallyfold.operators import asof, graph, ingest, intervals, linkage, notes, windows
 from tallyfold.streaming import claims
 
 
@@ -164,3 +164,59 @@ def test_claim_steps():
     assert run((0, "claim", "a"), (1, "discovered", None), (2, "claim", "a"), (3, "claim", "b"), (4, "done", "b"), (5, "done", "a")) == [("refused", None, 0), ("discovered", "discovered", 0), ("granted", "discovered", 1), ("refused", "discovered", 1), ("ignored", "discovered", 1), ("advanced", "transcribed", 0)]
     assert run((0, "discovered", None), (1, "claim", "a"), (11, "claim", "b"), (12, "done", "a"), (13, "failed", "b"), (14, "claim", "a"), (15, "retry", None)) == [("discovered", "discovered", 0), ("granted", "discovered", 1), ("expired", "discovered", 1), ("granted", "discovered", 2), ("ignored", "discovered", 2), ("failed", "failed", 2), ("refused", "failed", 2), ("requeued", "discovered", 2)]
     assert run((5, "discovered", None), (4, "claim", "a"))[1][0] == "late"
+
+
+def test_graph_folds_in_order(spark):
+    ent = spark.createDataFrame([(2, 2, "Kim", None, " b "), (1, 1, " Kim ", "other", "a"), (3, 3, "SPEAKER_01", "person", "b"), (3, 4, "speaker_02", "person", "lost"), (4, 5, "Kim", "team", "c"), (5, 6, "X", None, ""), (6, 7, " ", "team", "z")], "meeting_id long, o long, name string, kind string, description string")
+    speakers = spark.createDataFrame([(3, "SPEAKER_01", " Kim "), (3, "SPEAKER_02", "")], "meeting_id long, label string, name string")
+    rows = graph.resolved(ent, ["name"], speakers)
+    found, sources = graph.nodes(rows, F.col("o"))
+    assert sorted(map(tuple, found.collect())) == [("Kim", "person", "a b c", 4), ("X", "other", "other mentioned in the meeting record", 1)]
+    assert sorted(r["source_id"] for r in graph.payloads(found, sources).collect()) == ["1|2|3|4", "5"]
+    rel = spark.createDataFrame([(2, 2, "Kim", "has", "X"), (1, 1, "Kim", " has", "X"), (1, 3, "Kim", "is", "Kim"), (1, 4, "Kim", "", "X"), (1, 5, "Kim", "has", "Nobody"), (3, 6, "X", "of", "SPEAKER_01"), (4, 7, "X", "of", "SPEAKER_01")], "meeting_id long, o long, subject string, predicate string, object string")
+    got = graph.edges(graph.resolved(rel, ["subject", "object"], speakers), found, F.col("o")).collect()
+    assert sorted((r["source"], r["predicate"], r["target"], r["meeting_id"], r["description"]) for r in got) == [("Kim", "has", "X", 1, "Kim has X"), ("X", "of", "Kim", 3, "X of Kim")]
+    many = spark.createDataFrame([(1, i, "N", None, f"{i:04d}" + "y" * 20) for i in range(300)], ent.schema)
+    whole = " ".join(f"{i:04d}" + "y" * 20 for i in range(300))
+    assert graph.nodes(many, F.col("o"))[0].first()["description"] == whole[:2000]
+
+
+def test_write_new_counts_in_the_same_pass(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, v long")
+    out = str(tmp_path / "nodes")
+    assert graph.write_new(rows, rows.where("k = 'b'"), ["k"], out) == {"written": 2, "skipped": 1}
+    assert graph.write_new(rows, spark.read.parquet(out), ["k"], out) == {"written": 1, "skipped": 2}
+    assert sorted(r["k"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_files_seen_before_are_not_read(spark, tmp_path):
+    folder = tmp_path / "in"
+    (folder / "sub").mkdir(parents=True)
+    for name, data in {"a.wav": b"one", "b.wav": b"two", "sub/c.wav": b"one", "d.wav": b"three", "e.txt": b"no"}.items():
+        (folder / name).write_bytes(data)
+    listed = S.listing(spark, str(folder), [".wav"])
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[-1] and "ReadSchema" in plan and listed.count() == 4
+    seen = listed.where("path LIKE '%/b.wav'").unionByName(listed.where("path LIKE '%/d.wav'").withColumn("size", F.col("size") + 1))
+    # a file that is skipped may even be unreadable
+    (folder / "b.wav").chmod(0)
+    known = spark.createDataFrame([], "sha256 string")
+    got = {r["path"].split("/")[-1]: r["outcome"] for r in ingest.ingest_folder(spark, str(folder), [".wav"], seen, known, str(tmp_path / "out")).collect()}
+    assert got == {"a.wav": "ingested", "c.wav": "duplicate", "b.wav": "skipped", "d.wav": "ingested"}
+    small = S.digests(spark, listed.where("path NOT LIKE '%/b.wav'"), str(tmp_path / "out2"), batch=2)
+    assert small.count() == 3 and small.where(F.length("sha256") == 64).count() == 3
+
+
+def test_backfill_reads_the_notes_once(spark):
+    doc = "# T\n## Action Items\n- [ ] **Kim** - call. Due: 2026-01-02\n- [ ] **Lee** - \n## Decisions\n- **Go** - decided by Ana.\n## Decisions\n- **Not this** - by B.\n## Open Questions\n- Who?\n- Why?\n"
+    df = spark.createDataFrame([(1, doc), (2, "# none"), (3, None), (4, doc.replace("\n## Decisions\n- **Not", "\n## Other\n- **Not"))], "id long, doc string")
+    kept = []
+
+    def keep(frame):
+        kept.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return S.keeper(spark)(frame)
+
+    tables, counts = notes.backfill(df, "id", keep)
+    assert counts == {"meetings": 4, "commitments": 2, "decisions": 2, "open_questions": 4}
+    assert {k: t.count() for k, t in tables.items()} == {"commitments": 2, "decisions": 2, "open_questions": 4}
+    assert sum("doc" in p for p in kept) == 1  # the later tables come from the lines

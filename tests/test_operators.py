@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tallyfold import functions as X
 from tallyfold import operators as O
 from tallyfold.plans import registry
-from tallyfold.plans.texts import parse_action_items, parse_decisions, parse_questions
+from tallyfold.operators.notes import parse_action_items, parse_decisions, parse_questions
 
 
 def rows(df):
