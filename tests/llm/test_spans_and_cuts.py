@@ -78,7 +78,7 @@ def test_base_spans_are_those_of_the_plain_patterns(spark, odd, none):
     rng = random.Random(12)
     tokens = ["a@b.c", "x.y@z", "_q@e.f.", "@", "..", "+", "1.2.3.4", "001.0000255.9.8", "300.1.1.1", "0.0.0.0", "4111 1111 1111 1111", "4111-1111-1111-1112", "12", " ", "-", "+1 (415) 555-1234", "+49 30 12", "é", "日本", "😀", "\n", "5", "7.", "abc", "%"]
     texts = ["".join(rng.choice(tokens) for _ in range(rng.randint(0, 40))) for _ in range(400)]
-    texts += ["a" * 60_000, "1" * 60_000, "x@y" + ".z" * 20_000, "+1" + "(" * 60_000, "1.2.3.4 " * 2_000, "1 " * 30_000, "\x01a@b.c\x02" * 3]
+    texts += ["a" * 4_000, "1" * 4_000, "x@y" + ".z" * 5_000, "+1" + "(" * 4_000, "1.2.3.4 " * 2_000, "1 " * 5_000, "\x01a@b.c\x02" * 3]
     made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"found": F.lit(1), "base": F.lit(2), "_more": F.lit(3)})
     rows = [*made.select("doc_id", "text").collect(), *odd.select("doc_id", "text").collect()]
     got = personal_data.summary(personal_data.find_personal_data(made)).collect() + personal_data.summary(personal_data.find_personal_data(odd)).collect()
