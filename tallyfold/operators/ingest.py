@@ -74,11 +74,12 @@ def reconcile(sources: DataFrame, meetings: DataFrame) -> DataFrame:
 
 
 def same_version(asked: DataFrame, current: DataFrame) -> DataFrame:
-    """id, version of those asked for whose current version (id, version) is the one asked for; others raise when read."""
+    """id, version of those asked for; any action on them raises if an id's current version (id, version) is another one."""
+    from tallyfold.operators.keys import required
+
     c = current.select(F.col("id").alias("_id"), F.col("version").alias("_v"))
     rows = asked.join(c, F.col("id") == F.col("_id"), "left")
-    checked = F.when(F.col("version").eqNullSafe(F.col("_v")), F.col("version")).otherwise(F.raise_error(F.concat(F.lit("another version of "), F.col("id").cast("string"))).cast("string").cast(dict(asked.dtypes)["version"]))
-    return rows.select("id", checked.alias("version"))
+    return rows.where(required(F.col("version").eqNullSafe(F.col("_v")), F.concat(F.lit("another version of "), F.col("id").cast("string")))).select("id", "version")
 
 
 def unfinished(sources: DataFrame, done: Sequence[str] = ("ingested", "excluded")) -> DataFrame:

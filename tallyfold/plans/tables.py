@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyfold import operators as O
 from tallyfold import sources as S
+from tallyfold.operators import keys
 
 
 def _rows(spark, d):
@@ -103,6 +104,18 @@ def chat_append_index(spark, d):
     return S.turns(spark, d).groupBy("session_id").agg((F.coalesce(F.max("turn") + 1, F.lit(0))).cast("long").alias("next_index"))
 
 
+def insert_checked(spark, d):
+    """Customers and as many new ones under keys of their own; an existing key would raise."""
+    r = _rows(spark, d)
+    return keys.insert_checked(r, r.select((-F.col("k") - 1).alias("k"), F.lit("new").alias("v"), "w"), ["k"])
+
+
+def chat_append(spark, d):
+    """Every session with its users' turns asked once more, numbered on."""
+    t = S.turns(spark, d)
+    return keys.append_indexed(t, t.where("speaker = 'user'").withColumnRenamed("turn", "at"), "session_id", "turn", [F.col("at")]).select("session_id", "turn", F.md5("text").alias("digest"))
+
+
 R = "r AS (SELECT c_custkey AS k, c_mktsegment AS v, CAST(c_nationkey AS BIGINT) AS w FROM customer)"
 L = "l AS (SELECT l_orderkey AS m, l_linenumber AS pos, l_returnflag AS t FROM lineitem)"
 QUERIES = {
@@ -121,5 +134,7 @@ QUERIES = {
     "drive_eligibility": (file_eligibility, "SELECT CASE WHEN lang = 'fr' THEN 'ignored' WHEN n_chars < 600 THEN 'ambiguous' WHEN doc_id >= 300 THEN 'eligible' ELSE 'excluded' END AS state, count(*) AS n FROM documents GROUP BY 1"),
     "merge_identity": (merge_identity, f"WITH {S.COMMITMENTS} SELECT owner, count(*) AS meetings FROM (SELECT DISTINCT meeting_id, CASE owner WHEN 'Supplier#000000002' THEN 'Supplier#000000001' ELSE owner END AS owner FROM commitments) GROUP BY owner"),
     "alias_canonicalize": (alias_canonicalize, "SELECT s_suppkey, CASE WHEN length(n_name) > 6 THEN 'N-' || n_name ELSE n_name END AS canonical FROM supplier JOIN nation ON s_nationkey = n_nationkey"),
+    "insert_checked": (insert_checked, f"WITH {R} SELECT k, v, w FROM r UNION ALL SELECT -k - 1, 'new', w FROM r"),
+    "chat_append": (chat_append, f"WITH {S.TURNS}, l AS (SELECT session_id, max(turn) AS last FROM turns GROUP BY 1) SELECT session_id, turn, md5(text) AS digest FROM turns UNION ALL SELECT t.session_id, last + row_number() OVER (PARTITION BY t.session_id ORDER BY turn), md5(text) FROM turns t JOIN l ON l.session_id = t.session_id WHERE speaker = 'user'"),
     "chat_append_index": (chat_append_index, "SELECT conv_id AS session_id, max(turn) + 1 AS next_index FROM conversations GROUP BY conv_id"),
 }

@@ -124,6 +124,8 @@ def test_versions_runs_and_gate(spark):
     assert ingest.same_version(asked, asked).count() == 2
     with pytest.raises(Exception, match="another version of 2"):
         ingest.same_version(asked, asked.where("id = 1")).collect()
+    with pytest.raises(Exception, match="another version of 2"):
+        ingest.same_version(asked, asked.where("id = 1")).count()  # nothing prunes the check away
     events = spark.createDataFrame([(1, "start", "2026-01-01 00:00:00", 7, "asr", None), (1, "finish", "2026-01-01 00:00:09", 7, "asr", True), (2, "start", "2026-01-01 00:00:00", 7, "asr", None)], "run_id long, kind string, at string, meeting_id long, stage string, ok boolean").withColumn("at", F.to_timestamp("at"))
     assert sorted((r["run_id"], r["seconds"], r["ok"]) for r in ingest.paired_runs(events).collect()) == [(1, 9.0, True), (2, None, None)]
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfold import sources as S
-from tallyfold.operators import asof, graph, ingest, intervals, linkage, notes, windows
+from tallyfold.operators import asof, graph, ingest, intervals, keys, linkage, notes, windows
 from tallyfold.streaming import claims
 
 
@@ -220,3 +220,22 @@ def test_backfill_reads_the_notes_once(spark):
     assert counts == {"meetings": 4, "commitments": 2, "decisions": 2, "open_questions": 4}
     assert {k: t.count() for k, t in tables.items()} == {"commitments": 2, "decisions": 2, "open_questions": 4}
     assert sum("doc" in p for p in kept) == 1  # the later tables come from the lines
+
+
+def test_keys_are_enforced_by_every_action(spark, tmp_path):
+    old = spark.createDataFrame([(1, "a", None), (2, "b", 5)], "k long, v string, w long")
+    more = lambda *rows: spark.createDataFrame(list(rows), old.schema)
+    assert sorted(map(str, keys.insert_checked(old, more((3, None, 7), (4, "d", 8)), ["k"]).collect())) == sorted(map(str, [*old.collect(), *more((3, None, 7), (4, "d", 8)).collect()]))
+    for i, (bad, said) in enumerate([((2, "x", 1), "key exists: 2"), ((None, "x", 1), "key exists: null")]):
+        wrong = keys.insert_checked(old, more((9, "y", 1), bad), ["k"])
+        for action in (lambda: wrong.count(), lambda: wrong.select("w").collect(), lambda: wrong.write.parquet(str(tmp_path / f"out{i}"))):
+            with pytest.raises(Exception, match=said):
+                action()
+    with pytest.raises(Exception, match="key exists: 7"):
+        keys.insert_checked(old, more((7, "x", 1), (7, "x", 1)), ["k"]).count()
+    turns = spark.createDataFrame([("s", 0, "a"), ("s", 4, "b")], "session string, turn long, text string")
+    new = spark.createDataFrame([("s", 2, "d"), ("s", 1, "c"), ("t", 1, "e")], "session string, at long, text string")
+    got = keys.append_indexed(turns, new, "session", "turn", [F.col("at")])
+    assert sorted((r["session"], r["turn"], r["text"]) for r in got.collect()) == [("s", 0, "a"), ("s", 4, "b"), ("s", 5, "c"), ("s", 6, "d"), ("t", 0, "e")]
+    with pytest.raises(Exception, match="key exists: s, "):
+        keys.append_indexed(turns.union(turns), new, "session", "turn", [F.col("at")]).count()
