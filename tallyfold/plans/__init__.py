@@ -4,10 +4,10 @@ from __future__ import annotations
 
 
 def registry() -> dict:
-    from tallyfold.plans import evidence, identity, mechanisms, naming, registers, retrieval, tables, texts, turns
+    from tallyfold.plans import contexts, evidence, identity, mechanisms, naming, registers, retrieval, tables, texts, turns
 
     out: dict = {}
-    for module in (registers, tables, texts, turns, identity, retrieval, naming, evidence, mechanisms):
+    for module in (registers, tables, texts, turns, identity, retrieval, naming, evidence, mechanisms, contexts):
         for name, pair in module.QUERIES.items():
             if name in out:
                 raise ValueError(f"two queries are named {name}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfold import operators as O
 from tallyfold import sources as S
+from tallyfold.operators import context as C
 
 
 def turn_merge(spark, d):
@@ -40,33 +41,27 @@ def longest_segment(spark, d):
     return O.latest(t, ["session_id", "speaker"], [F.col("n").desc(), F.col("turn")]).select("session_id", "speaker", "turn", "n")
 
 
-def _budget(spark, d, order, most):
-    w = Window.partitionBy("session_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    t = S.turns(spark, d).withColumn("n", F.length("text").cast("long")).withColumn("used", F.sum("n").over(w)).withColumn("k", F.row_number().over(Window.partitionBy("session_id").orderBy(order)))
-    return t, most
+def _sized(spark, d):
+    return S.turns(spark, d).withColumn("n", F.length("text").cast("long"))
 
 
 def history_trim(spark, d):
-    t, most = _budget(spark, d, F.col("turn").desc(), 500)
-    return t.where((F.col("used") <= most) | (F.col("k") == 1)).select("session_id", "turn")
+    return C.spend(_sized(spark, d), ["session_id"], [F.col("turn").desc()], F.col("n"), 500, first=True).select("session_id", "turn")
 
 
 def glossary_budget(spark, d):
-    t, most = _budget(spark, d, F.col("turn"), 900)
-    return t.where(F.col("used") <= most).select("session_id", "turn", "used")
+    kept = C.spend(_sized(spark, d), ["session_id"], [F.col("turn")], F.col("n"), 900)
+    return kept.select("session_id", "turn", F.sum("n").over(Window.partitionBy("session_id").orderBy("turn")).alias("used"))
 
 
 def region_cap(spark, d):
-    t, most = _budget(spark, d, F.col("turn"), 700)
-    left = F.greatest(F.lit(0), F.least(F.col("n"), F.lit(most) - (F.col("used") - F.col("n"))))
-    return t.select("session_id", "turn", left.cast("long").alias("kept")).where("kept > 0")
+    cut = C.cut(S.turns(spark, d), ["session_id"], [F.col("turn")], "text", 700)
+    return cut.select("session_id", "turn", F.length("text").cast("long").alias("kept")).where("kept > 0")
 
 
 def dialogue_sample(spark, d):
-    w = Window.partitionBy("session_id")
-    t = S.turns(spark, d).withColumn("k", F.row_number().over(w.orderBy("turn"))).withColumn("c", F.count(F.lit(1)).over(w))
-    keep = (F.col("c") <= 4) | (F.col("k") <= 2) | (F.abs(F.col("k") - F.floor(F.col("c") / 2)) <= 0) | (F.col("k") > F.col("c") - 1)
-    return t.where(keep).select("session_id", "turn")
+    t = S.turns(spark, d).select(F.col("session_id").alias("id"), F.col("turn").alias("pos"), (F.col("turn") * 100.0).alias("start"))
+    return C.sample(t, whole=4, opening_sec=50.0, opening=2, around=1, ending=1).select(F.col("id").alias("session_id"), F.col("pos").alias("turn"))
 
 
 def word_coverage(spark, d):
@@ -92,6 +87,6 @@ QUERIES = {
     "history_trim": (history_trim, f"WITH {RUN} SELECT session_id, turn FROM b WHERE back <= 500 OR k = 1"),
     "glossary_budget": (glossary_budget, f"WITH {RUN} SELECT session_id, turn, CAST(used AS BIGINT) AS used FROM b WHERE used <= 900"),
     "region_cap": (region_cap, f"WITH {RUN} SELECT session_id, turn, CAST(greatest(0, least(n, 700 - (used - n))) AS BIGINT) AS kept FROM b WHERE greatest(0, least(n, 700 - (used - n))) > 0"),
-    "dialogue_sample": (dialogue_sample, f"WITH {RUN} SELECT session_id, turn FROM b WHERE c <= 4 OR i <= 2 OR i = c // 2 OR i > c - 1"),
+    "dialogue_sample": (dialogue_sample, f"WITH {RUN} SELECT session_id, turn FROM b WHERE c <= 4 OR i <= 2 OR i = c // 2 OR i = c // 2 + 1 OR i > c - 1"),
     "word_coverage": (word_coverage, f"WITH {T}, w AS (SELECT session_id, length(text) / 15.0::DOUBLE AS n, sum(length(text) / 15.0::DOUBLE) OVER (PARTITION BY session_id ORDER BY turn) AS e FROM turns), s AS (SELECT session_id, e - n AS s, e - n / 2 AS e FROM w), p AS (SELECT *, unnest(range(CAST(floor(s / 6) AS BIGINT), CAST(floor(e / 6) AS BIGINT) + 1)) AS b FROM s) SELECT session_id, b, round(least(1.0::DOUBLE, sum(greatest(0.0::DOUBLE, least(e, (b + 1) * 6.0::DOUBLE) - greatest(s, b * 6.0::DOUBLE))) / 6), 3) + 0.0 AS coverage FROM p GROUP BY session_id, b"),
 }
