@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyfold import functions as X
 from tallyfold import sources as S
-from tallyfold.operators import context, graph, retrieval
+from tallyfold.operators import context, graph, publish, retrieval
 from tallyfold.plans import mechanisms
 
 QUESTION = "What is Kim doing about returned parts?"
@@ -67,10 +68,28 @@ def question_context(spark, d):
     return context.question_context([context.register_text(best), graph_text(spark, d), context.notes_text(found)])
 
 
+def _group_notes(spark, d, rows):
+    """A note of figures for each of 200 groups of documents; the title has the first source, so it can change with the rows."""
+    g = S.read(spark, d, "documents").where(rows).groupBy((F.col("doc_id") % 200).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("c"), F.min("source").alias("s"))
+    content = F.concat(F.lit("# Group "), F.col("k").cast("string"), F.lit("\n\ndocuments: "), F.col("n").cast("string"), F.lit("\ncharacters: "), F.coalesce("c", F.lit(0)).cast("string"), F.lit("\n"))
+    return g.select(F.col("k").cast("string").alias("key"), F.concat_ws("-", "s", F.lit("k"), F.col("k").cast("string")).alias("stem"), content.alias("content")).select("key", F.concat(X.slugify(F.col("stem")), F.lit(".md")).alias("name"), "content")
+
+
+def notes_published(spark, d):
+    """What a second publication does to the files of a first, which knew a part of the documents, and some groups that are gone since."""
+    import uuid
+
+    S.keeper(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/notes-{uuid.uuid4().hex}"
+    publish.publish(_group_notes(spark, d, "doc_id % 200 < 150 AND (doc_id % 3 <> 0 OR doc_id % 200 > 100)"), base)
+    return publish.publish(_group_notes(spark, d, "doc_id % 200 >= 30"), base).select("key", "name", "sha256", "size", "outcome")
+
+
 N = """n AS (SELECT doc_id AS id, CASE WHEN doc_id % 37 <> 0 THEN DATE '2026-01-01' + CAST(doc_id % 90 AS INT) END AS d, coalesce(CASE WHEN doc_id % 5 = 1 THEN '' WHEN doc_id % 5 >= 2 THEN printf('%02d:15', doc_id % 9 + 8) END, '') AS t, doc_id % 5 >= 1 AS timed,
   CASE WHEN doc_id % 7 <> 0 THEN source END AS title, text, source FROM documents)"""
 H = """c AS (SELECT doc_id % 60 AS session, doc_id AS turn, concat_ws(' ', source, lang, doc_id) AS question, CASE WHEN length(text) > 1200 THEN substring(text, 1, 1200) || '... [truncated]' ELSE coalesce(text, '') END AS answer, row_number() OVER (PARTITION BY doc_id % 60 ORDER BY doc_id DESC) AS k FROM documents),
 h AS (SELECT * FROM (SELECT *, sum(length(question) + length(answer)) OVER (PARTITION BY session ORDER BY turn DESC) AS used FROM c WHERE k <= 6) WHERE used <= 3000 OR k = 1)"""
+FILES = "SELECT CAST(doc_id % 200 AS VARCHAR) AS key, regexp_replace(regexp_replace(lower(concat_ws('-', min(source), 'k', doc_id % 200)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '.md' AS name, '# Group ' || doc_id % 200 || chr(10) || chr(10) || 'documents: ' || count(*) || chr(10) || 'characters: ' || coalesce(sum(length(text)), 0) || chr(10) AS content FROM documents WHERE {} GROUP BY doc_id % 200"
 QUERIES = {
     "prior_context": (prior_context, f"""
 WITH {N}, o AS (SELECT *, row_number() OVER (ORDER BY d, t, timed, id) AS i FROM n WHERE d IS NOT NULL),
@@ -93,4 +112,9 @@ ties AS (SELECT a, p, b, min(x.i) AS i FROM ed JOIN near x ON x.n = a JOIN near
 SELECT substring('## Knowledge graph (matched: ' || (SELECT string_agg(label, ', ' ORDER BY i) FROM lab) || ')' || chr(10) || chr(10) || '### Entities' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY w, n) FROM lines) ||
  coalesce(chr(10) || chr(10) || '### Relationships' || chr(10) || (SELECT string_agg('- ' || a || ' ' || p || ' ' || b, chr(10) ORDER BY i, a, p, b) FROM ties), ''), 1, 6000) AS context WHERE EXISTS (SELECT 1 FROM lab)"""),
     "question_context": (question_context, None),
+    "notes_published": (notes_published, f"""
+WITH a AS ({FILES.format("doc_id % 200 < 150 AND (doc_id % 3 <> 0 OR doc_id % 200 > 100)")}), b AS ({FILES.format("doc_id % 200 >= 30")}),
+r AS (SELECT coalesce(b.key, a.key) AS key, coalesce(b.name, a.name) AS name, coalesce(b.content, a.content) AS content, CASE WHEN b.key IS NULL THEN 'kept' WHEN a.name = b.name AND a.content = b.content THEN 'same' ELSE 'written' END AS outcome FROM a FULL JOIN b ON a.key = b.key
+ UNION ALL SELECT a.key, a.name, a.content, 'superseded' FROM a JOIN b ON a.key = b.key WHERE a.name <> b.name)
+SELECT key, name, sha256(content) AS sha256, CAST(strlen(content) AS BIGINT) AS size, outcome FROM r"""),
 }
