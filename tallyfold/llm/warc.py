@@ -30,11 +30,13 @@ from tallyfold.llm.common import Scratch, table
 
 #: Payloads of fewer bytes are always written out.
 LEAST = 100
-#: A file is closed once its compressed size reaches this.
-ROLL_BYTES = 64 << 20
 LEVEL = 4
-#: Payload bytes of a shard, and the bins of one step of the search for its bounds.
-SHARD_BYTES, BINS = 32 << 20, 1024
+#: A table has about SPREAD shards, each of between the two sizes in payload bytes, until SHARDS of the larger don't hold it.
+SPREAD, LEAST_SHARD, SHARD_BYTES, SHARDS = 64, 1 << 20, 64 << 20, 16_384
+#: A file is closed once its compressed size reaches this part of its shard's payload bytes, but not below the least.
+ROLLS, LEAST_ROLL = 16, 64 << 10
+#: Bins of one step of the search for the shards' bounds.
+BINS = 1024
 #: Headers carry a fixed date: the bytes of an archive follow from its input alone.
 DATE = "1970-01-01T00:00:00Z"
 MANIFEST = "file string, first_id long, records long, bytes long, sha256 string"
@@ -176,31 +178,41 @@ def shard_cuts(sizes: DataFrame, shard_bytes: int) -> tuple[int, int, list[list[
     return low, first, cuts, hot
 
 
-def shard_of(low: int, width: int, cuts: list[list[int]], hot: list[tuple[int | None, int]]):
-    """The shard of page_id and digest, as text that sorts like the ids; null ids come first."""
+def sizes_for(total: int) -> tuple[int, int]:
+    """Payload bytes of a shard and compressed bytes of a file, of a table's payload bytes alone: nothing of the cluster enters."""
+    shard = max(min(SHARD_BYTES, max(LEAST_SHARD, total // SPREAD)), -(-total // SHARDS))
+    return shard, max(LEAST_ROLL, shard // ROLLS)
+
+
+def with_shard(rows: DataFrame, low: int, width: int, cuts: list[list[int]], hot: list[tuple[int | None, int]]) -> DataFrame:
+    """rows with their shard, as text that sorts like the ids; null ids come first.
+
+    The bounds are a table of at most BINS rows, one for each bin with its cuts, the ids with
+    several shards another; both hold about SHARDS numbers at most and are broadcast.
+    """
+    spark = rows.sparkSession
     before, n = [], 1
     for c in cuts:
         before.append(n)
         n += len(c)
-    bins = "array(" + ", ".join("array(" + ", ".join(f"{x}L" for x in c) + ")" if c else "CAST(array() AS array<bigint>)" for c in cuts) + ")"
-    place = f"CAST(floor((CAST(page_id AS decimal(20,0)) - {low}) / {width}) AS int)"
-    number = f"CASE WHEN page_id IS NULL THEN 0 ELSE get(array({', '.join(map(str, before))}), {place}) + size(filter(get({bins}, {place}), c -> c <= page_id)) END"
-    sub = "0"
-    if hot:
-        parts = " ".join(f"WHEN page_id <=> {'NULL' if k is None else f'{k}L'} THEN {min(n, 4096)}" for k, n in hot)
-        sub = f"CAST(floor(CAST(conv(substr(digest, 1, 3), 16, 10) AS int) * (CASE {parts} ELSE 1 END) / 4096) AS int)"
-    return F.expr(f"format_string('%06d-%04d', {number}, {sub})")
+    bounds = spark.createDataFrame(list(zip(range(len(cuts)), before, cuts, strict=True)), "_bin int, _before int, _cuts array<bigint>")
+    crowded = spark.createDataFrame([(k, min(m, 4096)) for k, m in hot], "_hot long, _parts int")
+    place = F.expr(f"CAST(floor((CAST(page_id AS decimal(20,0)) - {low}) / {width}) AS int)")
+    placed = rows.join(F.broadcast(bounds), place == F.col("_bin"), "left").join(F.broadcast(crowded), F.col("page_id").eqNullSafe(F.col("_hot")) & F.col("_parts").isNotNull(), "left")
+    number = F.expr("CASE WHEN page_id IS NULL THEN 0 ELSE _before + size(filter(_cuts, c -> c <= page_id)) END")
+    sub = F.expr("CAST(floor(CAST(conv(substr(digest, 1, 3), 16, 10) AS int) * coalesce(_parts, 1) / 4096) AS int)")
+    return placed.withColumn("shard", F.format_string("%06d-%04d", number, sub)).select(*rows.columns, "shard")
 
 
 def write_warc(
-    pages: DataFrame, base: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES
+    pages: DataFrame, base: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST, roll_bytes: int | None = None, shard_bytes: int | None = None
 ) -> DataFrame:
     """Writes the archive below base and returns its manifest, which is written there as well.
 
     Only (id, digest) pairs meet in the search for copies; markers of the groups with several rows
     then travel beside the payloads, which are shuffled once, by shard. A hot digest is reduced on
     the map side and its join can be split by AQE; an id with more than a shard's bytes is spread by
-    digest.
+    digest. Sizes that aren't given follow from the table's bytes. There are as many tasks as shards.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(payload_col).alias("html"))
@@ -212,11 +224,14 @@ def write_warc(
     full = rows.select("page_id", "url", "html", "digest", F.lit(None).cast("long").alias("refers"), F.lit(1).alias("kind"))
     fs, root = filesystem(base)
     fs.create_dir(root, recursive=True)
-    shard = shard_of(*shard_cuts(rows.select("page_id", (F.coalesce(F.octet_length("html"), F.lit(0)) + 500).cast("long").alias("size")), shard_bytes))
+    sizes = rows.select("page_id", (F.coalesce(F.octet_length("html"), F.lit(0)) + 500).cast("long").alias("size"))
+    own = sizes_for(sizes.agg(F.sum("size")).first()[0] or 0)
+    shard_bytes, roll_bytes = shard_bytes or own[0], roll_bytes or own[1]
+    low, width, cuts, hot = shard_cuts(sizes, shard_bytes)
+    tasks = min(SHARDS, 1 + sum(map(len, cuts)) + sum(min(m, 4096) for _, m in hot))
     sorted_rows = (
-        marked.unionByName(full)
-        .withColumn("shard", shard)
-        .repartition("shard")
+        with_shard(marked.unionByName(full), low, width, cuts, hot)
+        .repartition(tasks, "shard")
         .sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
         .select("shard", "page_id", "url", "html", "digest", "refers", "kind")
     )

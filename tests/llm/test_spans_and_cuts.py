@@ -208,3 +208,19 @@ def test_parity_sums_invert_to_cells(spark):
     rows = [(rng.randint(0, 7), rng.randint(1, 5)) for _ in range(100)]
     cells = filter_audit.invert(filter_audit.parity_sums(spark.createDataFrame(rows, "mask int, n long"), [], 3), 3).first()["cells"]
     assert cells == [sum(n for m, n in rows if m == k) for k in range(8)]
+
+
+def test_warc_sizes_follow_from_the_table_and_files_roll(spark):
+    import random
+
+    from tallyfold.llm import warc
+    from tallyfold.llm.common import Scratch
+
+    assert warc.sizes_for(0) == (1 << 20, 64 << 10) and warc.sizes_for(1 << 30) == (16 << 20, 1 << 20)
+    for total in (10**7, 10**9, 10**12, 10**14):
+        shard, roll = warc.sizes_for(total)
+        assert total / shard <= warc.SHARDS and roll < shard / 4
+    rng = random.Random(4)
+    pages = spark.createDataFrame([(i, "u", "".join(chr(rng.randint(97, 122)) for _ in range(9000))) for i in range(400)], "page_id long, url string, html string")
+    files = [r["file"].split("-") for r in warc.write_warc(pages, Scratch(spark, "t").path).collect()]
+    assert len({f[1] for f in files}) >= 3 and max(int(f[3].split(".")[0]) for f in files) >= 3
