@@ -86,7 +86,7 @@ def _notes(spark, d):
     line, sup = S.read(spark, d, "lineitem"), S.read(spark, d, "supplier")
     rows = line.join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
     action = F.concat(F.lit("- ["), F.when(F.col("l_linestatus") == "F", "x").otherwise(" "), F.lit("] **"), "s_name", F.lit("** - ship "), F.col("l_partkey").cast("string"), F.lit(". Due: before "), F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit(". [0:0"), F.col("l_linenumber").cast("string"), F.lit("]"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", action.alias("line")))), lambda x: x["line"]), "\n")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", action.alias("line")))), lambda x: x["line"]), "\n")
     return rows.groupBy("l_orderkey").agg(F.concat(F.lit("# Notes\n\n## Action Items\n"), body, F.lit("\n\n## Risks\n- none\n")).alias("doc"))
 
 
@@ -102,7 +102,7 @@ def _minutes(spark, d):
     said = F.when(F.col("l_returnflag") == "N", F.concat(F.lit("decided by "), "s_name", F.lit(". "))).otherwise("agreed. ")
     decision = F.concat(F.lit("- **Ship "), part, F.lit("** - "), said, F.when(F.col("l_linestatus") == "F", "Rationale: it was late. ").otherwise(""), F.lit("[0:0"), n, F.lit("]"))
     question = F.concat(F.lit("- Where is "), part, F.lit("? "), F.when(F.col("l_returnflag") == "R", F.concat(F.lit("Buyer "), n, F.lit(" needs to resolve this. "))).otherwise(""), F.lit("[0:0"), n, F.lit("]"))
-    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", c.alias("line")))), lambda x: x["line"]), "\n")
+    text = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", c.alias("line")))), lambda x: x["line"]), "\n")
     return rows.groupBy("l_orderkey").agg(F.concat(F.lit("# Notes\n\n## Decisions\n"), text(decision), F.lit("\n\n## Open Questions\n"), text(question), F.lit("\n\n## Risks\n- none\n")).alias("doc"))
 
 
