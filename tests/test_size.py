@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from tallyfold.operators import notes
+from tallyfold.operators import notes, retrieval
 
 
 def plan(df) -> str:
@@ -30,3 +30,10 @@ def test_odd_note_lines(spark):
     doc = "# Decisions\n- **T** by them, by Kim Roe, and so. rationale: by X [1] y [2]\n- **U** [z Rationale: q]\n- **V** standby Me\n"
     got = [tuple(r)[1:] for r in notes.parse_decisions(spark.createDataFrame([(1, doc)], "k long, doc string"), "k").collect()]
     assert got == [("T", "Kim Roe", "by X [1] y", "[2]"), ("U", None, None, "[z Rationale: q]"), ("V", None, None, "")]
+
+
+def test_register_rows_meet_without_a_shuffle_of_texts(spark):
+    rows = spark.createDataFrame([("r", 1, "alpha beta", None), ("r", 2, "none", " Mary  Ann "), ("s", 3, "alpha", "Rosemary B"), ("s", 4, "beta alpha alpha", "")], "register string, row_id long, text string, owner string")
+    found = retrieval.register_context(rows, "alpha beta mary")
+    assert " Join" not in plan(found) and plan(found).count("Aggregate") == 0
+    assert {tuple(r) for r in found.collect()} == {("r", 2, 3, 0, 1), ("r", 1, 2, 2, 2), ("s", 4, 2, 3, 1)}
