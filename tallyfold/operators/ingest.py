@@ -160,10 +160,23 @@ def stage_rank(status: Column) -> Column:
     return F.when(status == FAILED, F.lit(0).cast("long")).when(at > 0, at)
 
 
+#: So many failed meetings are broadcast to fetch their errors.
+FEW = 1_000_000
+
+
 def advance(log: DataFrame, cut: int = 4000) -> DataFrame:
-    """id, status, error of a log of transitions (id, at, status, error): the last known status, the error (cut) only if it failed."""
-    last = log.where(stage_rank(F.col("status")).isNotNull()).groupBy("id").agg(F.max_by(F.struct("status", "error"), "at").alias("l"))
-    return last.select("id", "l.status", F.when(F.col("l.status") == FAILED, F.substring("l.error", 1, cut)).alias("error"))
+    """id, status, error of a log of transitions (id, at, status, error): the last known status, the error (cut) only if it failed.
+
+    Of one moment the larger status counts, of its errors the largest. Errors are long: the last
+    status is found without them, and only those of meetings that failed last are sorted.
+    """
+    known = log.where(stage_rank(F.col("status")).isNotNull())
+    last = known.groupBy("id").agg(F.max(F.when(F.col("at").isNotNull(), F.struct("at", "status"))).alias("l"))
+    failed = last.where(F.col("l.status") == FAILED).select(F.col("id").alias("_i"), F.col("l.at").alias("_at"))
+    failed = F.broadcast(failed) if failed.count() <= FEW else failed.hint("shuffle_hash")
+    said = known.where(F.col("status") == FAILED).join(failed, F.col("id").eqNullSafe(F.col("_i")) & (F.col("at") == F.col("_at")))
+    errors = said.groupBy(F.col("id").alias("_i")).agg(F.max(F.substring("error", 1, cut)).alias("error"))
+    return last.join(errors, F.col("id").eqNullSafe(F.col("_i")), "left").select("id", "l.status", "error")
 
 
 def claim(meetings: DataFrame, status: str, limit: int | None = None) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from tallyfold.operators import notes, retrieval
+import pytest
+from tallyfold.operators import ingest, notes, retrieval
 
 
 def plan(df) -> str:
@@ -37,3 +38,14 @@ def test_register_rows_meet_without_a_shuffle_of_texts(spark):
     found = retrieval.register_context(rows, "alpha beta mary")
     assert " Join" not in plan(found) and plan(found).count("Aggregate") == 0
     assert {tuple(r) for r in found.collect()} == {("r", 2, 3, 0, 1), ("r", 1, 2, 2, 2), ("s", 4, 2, 3, 1)}
+
+
+def test_errors_are_fetched_for_meetings_that_failed_last(spark):
+    log = spark.createDataFrame([(1, 1, "failed", "old"), (1, 2, "failed", "abcdef"), (1, 3, "nonsense", "x"), (2, 1, "failed", "gone"), (2, 2, "indexed", "y"), (None, 1, "failed", "none"), (3, None, "failed", "z"), (4, 1, "failed", None)], "id long, at long, status string, error string")
+    for few in (ingest.FEW, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(ingest, "FEW", few)
+            out = ingest.advance(log, cut=4)
+        assert {tuple(r) for r in out.collect()} == {(1, "failed", "abcd"), (2, "indexed", None), (None, "failed", "none"), (3, None, None), (4, "failed", None)}
+    assert all("error" not in m for m in re.findall(r"max\w*\(.*\bat\b.*", plan(out)))
+    assert "max_by" not in plan(out)
