@@ -18,16 +18,19 @@ def resolved(rows: DataFrame, columns: Sequence[str], speakers: DataFrame) -> Da
     have the same labels. speakers: meeting_id, label, name; of several names of a label the largest.
     """
     known = speakers.where("trim(coalesce(name, '')) <> ''").groupBy(F.col("meeting_id").alias("_m"), F.col("label").alias("_l")).agg(F.max(F.trim("name")).alias("_name"))
+    label = lambda c: F.startswith(F.upper(c), F.lit("SPEAKER_"))
+    some = F.lit(False)
     for column in columns:
-        name = F.trim(column)
-        label = F.startswith(F.upper(name), F.lit("SPEAKER_"))
-        # names that are no labels don't meet the speakers: their key is null, and spread by their own text
-        key = F.when(label, name)
-        at = known.select(*(F.col(c).alias(f"{c}_{column}") for c in known.columns))
-        rows = rows.join(at, (F.col("meeting_id") == F.col(f"_m_{column}")) & (key == F.col(f"_l_{column}")), "left")
-        rows = rows.withColumn(column, F.when(label, F.col(f"_name_{column}")).otherwise(F.nullif(name, F.lit("")))).drop(*at.columns)
-        rows = rows.where(F.col(column).isNotNull())
-    return rows
+        # by explode, so that a name's expression isn't copied into each filter below
+        rows = rows.withColumn(column, F.explode(F.filter(F.array(F.trim(column)), lambda x: x != "")))
+        some = some | label(column)
+    # only rows with labels are shuffled to meet the speakers; the others stay where they are
+    found = rows.where(some)
+    for column in columns:
+        on = (F.col("meeting_id") == F.col("_m")) & (F.when(label(column), F.col(column)) == F.col("_l"))
+        found = found.join(known, on, "left").withColumn(column, F.when(label(column), F.col("_name")).otherwise(F.col(column)))
+        found = found.where(F.col(column).isNotNull()).select(*rows.columns)
+    return rows.where(~some).unionByName(found)
 
 
 def nodes(entities: DataFrame, order: Column) -> tuple[DataFrame, DataFrame]:

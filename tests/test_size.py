@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
-from tallyfold.operators import ingest, notes, retrieval
+from tallyfold.operators import graph, ingest, notes, retrieval
 
 
 def plan(df) -> str:
@@ -49,3 +49,12 @@ def test_errors_are_fetched_for_meetings_that_failed_last(spark):
         assert {tuple(r) for r in out.collect()} == {(1, "failed", "abcd"), (2, "indexed", None), (None, "failed", "none"), (3, None, None), (4, "failed", None)}
     assert all("error" not in m for m in re.findall(r"max\w*\(.*\bat\b.*", plan(out)))
     assert "max_by" not in plan(out)
+
+
+def test_only_labels_meet_the_speakers(spark):
+    rows = spark.createDataFrame([(1, " SPEAKER_0 ", "A"), (1, "speaker_0", "B"), (2, "SPEAKER_0", "C"), (2, "D", " Speaker_1"), (2, " ", "E"), (2, None, "F"), (2, "Speaker_1", "SPEAKER_2"), (3, " G ", "H")], "meeting_id long, subject string, object string")
+    speakers = spark.createDataFrame([(1, "SPEAKER_0", " Kim "), (1, "SPEAKER_0", "Jo"), (2, "Speaker_1", "Lee"), (2, "SPEAKER_2", " "), (3, "G", "Z")], "meeting_id long, label string, name string")
+    found = graph.resolved(rows, ["subject", "object"], speakers)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "Kim", "A"), (2, "D", "Lee"), (3, "G", "H")]
+    stays, joined = plan(found).split("Union")[1].split("Join", 1)
+    assert "Join" in joined and "SPEAKER_" in stays and plan(found).index("Union") < plan(found).index("Join")
