@@ -15,10 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.operators import voices
 from tallyfold.operators.voices import in_blocks
 
 #: So many groups or fewer are merged to the end in one task.
 LAST = 512
+#: Vectors of one side of a block at most (an eighth of all, unless those are few), and so many are compared with the other side at once.
+BLOCK, ROWS = 16384, 512
 
 
 def nearest(asked: DataFrame, groups: DataFrame) -> DataFrame:
@@ -27,21 +30,27 @@ def nearest(asked: DataFrame, groups: DataFrame) -> DataFrame:
     Both sides meet block by block, and of each block only the best of every row is kept.
     """
 
+    rows = ROWS
+
     def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "best": [], "score": []})
         b = b.sort_values("id", ascending=False)
-        scores = np.round(np.stack(a.v.to_numpy()) @ np.stack(b.v.to_numpy()).T, 9)
-        scores[a.id.to_numpy()[:, None] == b.id.to_numpy()[None, :]] = -np.inf
-        top = scores.argmax(1)
-        score = scores[np.arange(len(a)), top]
-        some = score > -np.inf
-        return pd.DataFrame({"id": a.id.to_numpy()[some], "best": b.id.to_numpy()[top[some]], "score": score[some]})
+        ids, others, found = b.id.to_numpy(), np.stack(b.v.to_numpy()).T, []
+        for at in range(0, len(a), rows):
+            part = a.iloc[at : at + rows]
+            scores = np.round(np.stack(part.v.to_numpy()) @ others, 9)
+            scores[part.id.to_numpy()[:, None] == ids[None, :]] = -np.inf
+            top = scores.argmax(1)
+            score = scores[np.arange(len(part)), top]
+            some = score > -np.inf
+            found.append(pd.DataFrame({"id": part.id.to_numpy()[some], "best": ids[top[some]], "score": score[some]}))
+        return pd.concat(found)
 
     kind = dict(groups.dtypes)["id"]
-    found = in_blocks(asked.select("id", "v"), groups.select("id", "v"), lambda a, b: work(a, b), f"id {kind}, best {kind}, score double")
+    found = in_blocks(asked.select("id", "v"), groups.select("id", "v"), lambda a, b: work(a, b), f"id {kind}, best {kind}, score double", min(BLOCK, max(voices.BLOCK, groups.count() // 8)))
     return found.groupBy("id").agg(F.max(F.struct("score", "best")).alias("m")).select("id", "m.best", "m.score")
 
 

@@ -19,13 +19,14 @@ def _blocks(df: DataFrame, key: str, salt: int, name: str, vectors: int = BLOCK)
     return df.withColumn(name, F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(n)).cast("int")), n
 
 
-def in_blocks(left: DataFrame, right: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+def in_blocks(left: DataFrame, right: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], Iterator[pd.DataFrame]], schema: str, vectors: int = BLOCK) -> DataFrame:
     """Every block of left (id, v) beside every block of right (id, v): no side is broadcast, no pair of rows is listed.
 
-    work gets two frames of some BLOCK rows and gives what it keeps of their matrix product.
+    work gets two frames of some `vectors` rows and gives what it keeps of their matrix product. Each
+    row is shuffled once for every block of the other side: fewer blocks, fewer copies.
     """
-    a, n_a = _blocks(left, "id", 1, "x")
-    b, n_b = _blocks(right, "id", 2, "y")
+    a, n_a = _blocks(left, "id", 1, "x", vectors)
+    b, n_b = _blocks(right, "id", 2, "y", vectors)
     a = a.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1))))
     # other names, so that a table can be compared with itself
     b = b.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(n_a - 1)))).select(F.col("id").alias("id_"), F.col("v").alias("v_"), F.col("x").alias("x_"), F.col("y").alias("y_"))

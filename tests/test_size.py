@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
-from tallyfold.operators import graph, ingest, notes, retrieval
+from tallyfold.operators import graph, ingest, linkage, notes, retrieval
 
 
 def plan(df) -> str:
@@ -58,3 +58,16 @@ def test_only_labels_meet_the_speakers(spark):
     assert sorted(tuple(r) for r in found.collect()) == [(1, "Kim", "A"), (2, "D", "Lee"), (3, "G", "H")]
     stays, joined = plan(found).split("Union")[1].split("Join", 1)
     assert "Join" in joined and "SPEAKER_" in stays and plan(found).index("Union") < plan(found).index("Join")
+
+
+def test_nearest_by_large_blocks_and_few_rows_at_once(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(linkage, "BLOCK", 40)
+    monkeypatch.setattr(linkage, "ROWS", 7)
+    v = np.random.default_rng(3).normal(size=(90, 5)).round(1)
+    groups = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.vstack([v, v[:9]]))], "id long, v array<double>")
+    scores = np.round(np.vstack([v, v[:9]]) @ np.vstack([v, v[:9]]).T, 9)
+    np.fill_diagonal(scores, -np.inf)
+    want = {(i, max(np.flatnonzero(s == s.max())), s.max()) for i, s in enumerate(scores)}
+    assert {tuple(r) for r in linkage.nearest(groups, groups).collect()} == want
