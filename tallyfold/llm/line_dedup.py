@@ -4,7 +4,8 @@ Lines are normalised (lower case, digits as 0, white space as one space); of lin
 words or more, those with equal normal forms (128 bits of them) are one class. A class has BANDS
 keys, each of the ROWS smallest words under as many hash functions, where long words weigh more, as
 the common short ones are in most lines. Classes that share a key, whose lengths allow it and which
-agree in a third of all smallest words are confirmed by edit similarity of the whole normal forms, and groups are the components of confirmed links. Of each group the first
+agree in a third of all smallest words are confirmed by edit similarity of the whole normal forms, and groups are the components of confirmed links: each
+class is compared with the smallest of its key first, then with all those of the key that are not in its component yet. Of each group the first
 occurrence by (id, line number) stays. `exact` takes other candidates, which lose no link at all:
 two forms of a and b characters within k edits share max(a, b) - 1 - 2 k pairs of neighbouring
 characters at least, so they share one of the first few of their pairs in any fixed order. That is
@@ -16,8 +17,9 @@ have a key in common with probability 1 - (1 - j**ROWS)**BANDS: 0.985 for j = 2/
 word in five replaced.
 
 The texts are read twice (places and keys, then normal forms), as arrays over the bytes; what is
-shuffled is a few numbers for each line and key, the normal forms of lines that share a key, and,
-last, the texts once.
+shuffled is a few numbers for each line and key, the normal forms of lines that share a key (and some
+more, where the filter of WANTED_BITS is full), and, last, the texts once. Forms are compared many pairs
+at a time; a key's pairs are not listed, its members meet in blocks of BLOCK.
 
 Defined results: null and empty texts have no lines to remove; lines below MIN_WORDS words always
 stay; rows that repeat another's id and text are one occurrence (they keep and lose the same
@@ -31,23 +33,31 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import BASE, Scratch, Words, mix, pieces, prefix_sums, span_hashes, table, task_memory
-from tallyfold.llm.linking import link_buckets
+from tallyfold.llm.linking import components, merged
 
 MIN_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, LONG, RICH = 12, 3, 5, 6
 #: Of the BANDS * ROWS smallest words, of which a byte each is kept, two forms that share a key must
 #: agree in so many to be compared (a share of common words of a third).
 AGREE = 12
+#: Bits of the filter for classes that share a key with another.
+WANTED_BITS = 1 << 25
+#: Members of a bucket are compared in blocks of about so many by so many.
+BLOCK = 256
+#: After so many pairs the components are brought up to date.
+TRIED = 1 << 13
 
 _ZERO = bytes.maketrans(b"0123456789", b"0000000000")
 _SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 #: Weights as powers of two, by a word's bytes.
 _SHIFT = np.array([0, 0, 0, 0, 1, 2, 3, 4], np.uint64)
 _SKETCH = -(-BANDS * ROWS // 8)
+_SKETCHES = [f"s{i}" for i in range(_SKETCH)]
 _BASE, _OTHER = np.uint64(BASE), np.uint64(0xA0761D6478BD642F)
 
 
@@ -201,17 +211,32 @@ def places_of(docs: DataFrame, min_words: int) -> DataFrame:
     return _over(docs, f"_id {kinds['_id']}, _t long, lh long, lg long, line int, p int, bands array<long>", min_words, make)
 
 
-def forms_of(docs: DataFrame, min_words: int) -> DataFrame:
-    """lh, lg (class), norm, s0 ... (sketch); classes may come more than once."""
+def forms_of(docs: DataFrame, min_words: int, wanted: Broadcast | None = None) -> DataFrame:
+    """lh, lg (class), norm, s0 ... (sketch); classes may come more than once.
+
+    wanted: a bitmap, if given; what is not in it is left out, what is in it need not be meant.
+    """
 
     def make(lines: Lines, batch: pa.RecordBatch) -> dict:
         which = lines.distinct()
+        if wanted is not None:
+            at = lines.lh[which] & np.uint64(WANTED_BITS - 1)
+            which = which[(np.frombuffer(wanted.value, np.uint64)[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)) > 0]
         sketch = lines.sketches(which)
         return {"lh": _signed(lines.lh[which]), "lg": _signed(lines.lg[which]), "norm": lines.forms(which)} | {f"s{i}": np.ascontiguousarray(sketch[:, i]) for i in range(_SKETCH)}
 
     return _over(docs, "lh long, lg long, norm string, " + ", ".join(f"s{i} long" for i in range(_SKETCH)), min_words, make)
 
 
+def _bitmap(ids: DataFrame) -> Broadcast:
+    """A bit for the low bits of each id: of the same few MB for any table, less selective for larger ones."""
+    low = F.col("id").bitwiseAND(F.lit(WANTED_BITS - 1))
+    words = ids.groupBy(F.shiftright(low, 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(id & 63 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(WANTED_BITS // 64, np.int64)
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy()
+    return ids.sparkSession.sparkContext.broadcast(out.tobytes())
+
+
 def exact_entries(forms: DataFrame, similarity: float) -> DataFrame:
     """bucket, id, p: keys of which two forms within the similarity share one, for certain."""
 
@@ -276,15 +301,223 @@ def is_similar(a: str, b: str, similarity: float) -> bool:
     return edit_distance(" ".join(x), " ".join(y), most) <= most
 
 
+#: Fewer pairs than this are compared one by one.
+TOGETHER = 32
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """The texts' characters as small numbers one after another, their lengths, and how many numbers there are."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds, codes = np.unique(points, return_inverse=True)
+    return codes.astype(np.int32), np.array([len(t) for t in texts]), len(kinds)
+
+
+def _grid(codes: np.ndarray, size: np.ndarray, fill: int) -> np.ndarray:
+    """A row for each text, filled up behind it."""
+    out = np.full((len(size), int(size.max(initial=0))), fill, np.int32)
+    out[np.arange(out.shape[1]) < size[:, None]] = codes
+    return out
+
+
+def _within(short: list[str], i: np.ndarray, long: list[str], j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether short[i] and long[j] are at most `most` edits apart, for many pairs at once.
+
+    Myers' bit vectors in blocks of 64 rows, a block of all pairs at a time, and only blocks near the
+    diagonal: beyond it distances are taken from above, by steps to the side, which no path within
+    `most` edits takes. No short[i] may be longer than long[j] or shorter by more than `most`.
+    """
+    codes, size, kinds = _codes([*short, *long])
+    cut = int(size[: len(short)].sum())
+    m, n = size[: len(short)], size[len(short) :]
+    order = np.argsort(-n[j], kind="stable")
+    i, j, most = i[order], j[order], most[order].astype(np.int64)
+    rows, blocks = m[i], -(-int(m.max()) // 64)
+    grid = np.full((len(m), 64 * blocks), -1, np.int32)
+    grid[:, : int(m.max())] = _grid(codes[:cut], m, -1)
+    # eq[block][text * kinds + code]: the places of a code within a block
+    eq = np.empty((blocks, len(m), kinds), np.uint64)
+    for k in range(kinds):
+        eq[:, :, k] = np.packbits(grid == k, axis=1, bitorder="little").view(np.uint64).T
+    eq = eq.reshape(blocks, -1)
+    text = np.ascontiguousarray(_grid(codes[cut:], n, 0)[j].T)
+    base, steps = i.astype(np.int64) * kinds, n[j]
+    plus, minus = np.full((blocks, len(i)), ~np.uint64(0)), np.zeros((blocks, len(i)), np.uint64)
+    score, ok = np.zeros(len(i), np.int64), np.zeros(len(i), bool)
+    one, top, reach = np.uint64(1), np.uint64(63), int(most.max())
+    high, live = 0, len(i)
+    for c in range(int(steps[0])):
+        while live and steps[live - 1] <= c:
+            live -= 1
+        low = max(0, c - reach) // 64
+        want = min(blocks, (c + reach) // 64 + 1)
+        score[:live] += 64 * (want - high)
+        high = want
+        at = base[:live] + text[c, :live]
+        up, down = np.full(live, one), np.zeros(live, np.uint64)
+        for b in range(low, high):
+            p, q = plus[b, :live], minus[b, :live]
+            e = eq[b].take(at)
+            v = e | q
+            e |= down
+            h = e & p
+            h += p
+            h ^= p
+            h |= e
+            e = h | p
+            np.invert(e, out=e)
+            e |= q
+            h &= p
+            up_out, down_out = e >> top, h >> top
+            e <<= one
+            e |= up
+            h <<= one
+            h |= down
+            np.bitwise_and(e, v, out=q)
+            v |= e
+            np.invert(v, out=v)
+            np.bitwise_or(v, h, out=p)
+            up, down = up_out, down_out
+        score[:live] += up.view(np.int64)
+        score[:live] -= down.view(np.int64)
+        first = int(np.searchsorted(-steps[:live], -(c + 1)))
+        if first < live:
+            done = slice(first, live)
+            value = score[done].copy()
+            for b in range(int(rows[done].min()) // 64, high):  # from the last row of the last block back to that of the text
+                behind = np.clip(rows[done] - 64 * b, 0, 64).astype(np.uint64)
+                mask = np.where(behind < 64, ~np.uint64(0) << (behind & top), np.uint64(0))
+                value -= np.bitwise_count(plus[b, done] & mask).astype(np.int64) - np.bitwise_count(minus[b, done] & mask)
+            ok[done] = value <= most[done]
+    out = np.empty(len(i), bool)
+    out[order] = ok
+    return out
+
+
+def similar_pairs(texts: list[str], a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """is_similar(texts[a], texts[b]) for many pairs; those of like lengths are compared at once."""
+    size = np.array([len(t) for t in texts], np.int64)
+    swap = size[a] > size[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    most = ((1 - similarity) * size[b] + 1e-9).astype(np.int64)
+    out = np.zeros(len(a), bool)
+    out[size[b] == 0] = True
+    open_ = np.flatnonzero((size[b] - size[a] <= most) & (size[a] > 0))
+    open_ = open_[np.lexsort((a[open_], size[b][open_]))]
+    at = 0
+    while at < len(open_):
+        # of a length up to an eighth more, so many that their arrays take a few MB
+        n = int(size[b[open_[at]]])
+        to = min(int(np.searchsorted(size[b[open_]], n + n // 8 + 8, "right")), at + max(TOGETHER, min(2048, (1 << 21) // n)))
+        part = open_[at:to]
+        at = to
+        if len(part) < TOGETHER:
+            out[part] = [is_similar(texts[x], texts[y], similarity) for x, y in zip(a[part], b[part], strict=True)]
+            continue
+        (x, i), (y, j) = (np.unique(side[part], return_inverse=True) for side in (a, b))
+        out[part] = _within([texts[k] for k in x], i, [texts[k] for k in y], j, most[part])
+    return out
+
+
 def _similar(similarity: float):
+    """a, b of the rows (a, b, na, nb) whose texts are similar."""
+
     def run(batches):
-        for batch in batches:
-            ok = [is_similar(s, t, similarity) for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1), "d": pa.nulls(len(ok), pa.float64()), "ok": pa.array(ok, pa.bool_())})
+        with task_memory():
+            for batch in batches:
+                n = batch.num_rows
+                ok = similar_pairs(batch.column(2).to_pylist() + batch.column(3).to_pylist(), np.arange(n), np.arange(n, 2 * n), similarity)
+                yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
+def _in_blocks(similarity: float, agree: int):
+    """a, b of the similar rows of each block; rows come in the order of their blocks.
+
+    A pair is compared if its components differ, its lengths allow a link and its sketches agree. What was
+    linked before in the same rows is one component from then on.
+    """
+
+    def links(rows: pa.RecordBatch):
+        number = {c: rows.column(c).to_numpy() for c in ("bucket", "lo", "hi", "x", "id", "p", "c")}
+        texts = rows.column("norm").to_pylist()
+        sketch = np.stack([rows.column(f"s{k}").to_numpy() for k in range(_SKETCH)], 1).view(np.uint8)[:, : BANDS * ROWS] if agree else None
+        starts = _starts(number)
+        last = np.append(starts[1:], len(texts))[np.cumsum(np.isin(np.arange(len(texts)), starts)) - 1]
+        own = np.unique(number["c"], return_inverse=True)[1]
+        root, at = np.arange(own.max() + 1), own
+        left, right, held = [], [], 0
+
+        def compared():
+            nonlocal at
+            a, b = np.concatenate(left), np.concatenate(right)
+            ok = similar_pairs(texts, a, b, similarity)
+            a, b = a[ok], b[ok]
+            for x, y in zip(own[a].tolist(), own[b].tolist(), strict=True):
+                while root[x] != x:
+                    x = root[x]
+                while root[y] != y:
+                    y = root[y]
+                root[max(x, y)] = min(x, y)
+            while len(a) and (root[root] != root).any():
+                root[:] = root[root]
+            at = root[own]
+            return pa.RecordBatch.from_pydict({"a": number["id"][a], "b": number["id"][b]})
+
+        alive, step = np.arange(len(texts)), 0
+        while len(alive):
+            step += 1
+            alive = alive[alive + step < last[alive]]
+            i, j = alive, alive + step
+            longest = np.maximum(number["p"][i], number["p"][j])
+            fits = (at[i] != at[j]) & ((number["lo"][i] == number["hi"][i]) | (number["x"][i] != number["x"][j]))
+            fits &= np.abs(number["p"][i] - number["p"][j]) <= (1 - similarity) * longest + 1e-9
+            i, j = i[fits], j[fits]
+            if agree and len(i):
+                fits = (sketch[i] == sketch[j]).sum(1) >= agree
+                i, j = i[fits], j[fits]
+            if len(i):
+                left.append(i)
+                right.append(j)
+                held += len(i)
+                if held > TRIED:
+                    yield compared()
+                    left, right, held = [], [], 0
+        if held:
+            yield compared()
+
+    def run(batches):
+        with task_memory():
+            held: list[pa.RecordBatch] = []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                held.append(batch)
+                starts = _starts({c: batch.column(c).to_numpy() for c in ("bucket", "lo", "hi")})
+                cut = int(starts[-1])
+                if not cut and _same(held[0], batch):
+                    continue
+                rows = pa.Table.from_batches([*held[:-1], batch.slice(0, cut)]).combine_chunks().to_batches()
+                held = [batch.slice(cut)]
+                for part in rows:
+                    yield from links(part)
+            for part in pa.Table.from_batches(held).combine_chunks().to_batches() if held else []:
+                yield from links(part)
 
     return run
 
 
+def _starts(number: dict) -> np.ndarray:
+    """Where blocks begin."""
+    new = np.ones(len(number["bucket"]), bool)
+    new[1:] = np.any([number[c][1:] != number[c][:-1] for c in ("bucket", "lo", "hi")], axis=0)
+    return np.flatnonzero(new)
+
+
+def _same(x: pa.RecordBatch, y: pa.RecordBatch) -> bool:
+    return all(x.column(c)[0] == y.column(c)[0] for c in ("bucket", "lo", "hi"))
+
+
 def _agreeing() -> str:
     """SQL: w and v (structs of longs) agree in AGREE bytes or more."""
     differ = []
@@ -296,39 +529,49 @@ def _agreeing() -> str:
     return f"{' + '.join(differ)} <= {BANDS * ROWS - AGREE}"
 
 
+def _groups(scratch: Scratch, members: DataFrame, norms: DataFrame, similarity: float, agree: int) -> DataFrame:
+    """id, component of the classes that are linked, of members (bucket, id, p, lead) and norms (lh, norm, s0 ...).
+
+    Each member is compared with the smallest of its buckets first. Then all pairs of a bucket that
+    are still in different components are compared, in blocks that are spread over tasks: what is
+    shuffled is a bucket's members, a few times if they are many, and what comes back the links.
+    """
+    side = lambda s, w: norms.select(F.col("lh").alias(s), F.col("norm").alias(f"n{s}"), F.struct(*_SKETCHES).alias(w))
+    led = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    both = led.join(side("b", "w"), "b").join(side("a", "v"), "a").withColumn("p", F.length("na")).withColumn("q", F.length("nb"))
+    close = both.where(_near(similarity)).where(_agreeing() if agree else "true").select("a", "b", "na", "nb")
+    found = components(scratch, scratch.keep(close.mapInArrow(_similar(similarity), "a long, b long"), "links"), "cc0_")
+    key = Window.partitionBy("bucket")
+    named = members.join(found, "id", "left").select("bucket", "id", "p", F.coalesce("component", "id").alias("c"))
+    mixed = named.select("*", F.min("c").over(key).alias("c0"), F.max("c").over(key).alias("c1"), F.count(F.lit(1)).over(key).alias("n")).where("c0 <> c1")
+    left = scratch.keep(mixed.select("bucket", "id", "p", "c", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "left")
+    dealt = left.join(norms.select(F.col("lh").alias("id"), "norm", *_SKETCHES), "id").withColumn("x", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("y", F.explode(F.expr("sequence(0, parts - 1)"))).select("bucket", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "x", "id", "p", "c", "norm", *_SKETCHES)
+    blocks = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    links = scratch.keep(blocks.mapInArrow(_in_blocks(similarity, agree), "a long, b long"), "links2")
+    return merged(scratch, found, links.distinct(), "2")
+
+
 def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, exact: bool = False) -> DataFrame:
     """_id, _t, gone (array of line numbers) of docs (_id, _t, _text)."""
     scratch = Scratch(docs.sparkSession, "lines")
     lines = scratch.keep(places_of(docs, min_words), "lines")
     place = F.struct("_id", "_t", "line")
-    classes = scratch.keep(lines.groupBy("lh", "lg").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
-    scratch.release()
-    sketch = F.struct(*(f"s{i}" for i in range(_SKETCH))).alias("w")
-    once = lambda forms: forms.groupBy("lh").agg(F.min(F.struct("lg", "norm", sketch)).alias("f")).select("lh", "f.*")
+    once = lambda forms: forms.groupBy("lh").agg(F.min(F.struct("lg", "norm", *_SKETCHES)).alias("f")).select("lh", "f.*")
     if exact:
         norms = scratch.keep(once(forms_of(docs, min_words)), "norms")
         entries = scratch.keep(exact_entries(norms, similarity), "entries")
     else:
         entries = lines.where("bands IS NOT NULL").select(F.explode("bands").alias("bucket"), F.col("lh").alias("id"), "p")
-    # the smallest class of each key that several classes have; combined on the map side
-    leads = entries.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("hi")).where("lead <> hi")
-    leads = scratch.keep(leads.select("bucket", "lead"), "leads")
+    # the classes of each key that several have, once, and the smallest of them: one shuffle
+    key = Window.partitionBy("bucket")
+    several = entries.withColumn("lead", F.min("id").over(key)).withColumn("hi", F.max("id").over(key)).where("lead <> hi")
+    members = scratch.keep(several.select("bucket", "id", "p", "lead").distinct(), "members")
     scratch.release()
-    members = scratch.keep(entries.join(leads.hint("shuffle_hash"), "bucket").withColumn("q", F.lit(None).cast("int")), "members")
-    scratch.release("leads")
     if not exact:
-        wanted = scratch.keep(members.select(F.col("id").alias("lh")).distinct(), "wanted")
-        norms = scratch.keep(once(forms_of(docs, min_words).join(wanted, "lh", "left_semi")), "norms")
-        scratch.release("wanted")
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        side = lambda s: norms.select(F.col("lh").alias(s), F.col("norm").alias(f"n{s}"))
-        both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb")
-        return both.mapInArrow(_similar(similarity), "a long, b long, d double, ok boolean")
-
-    # the payload is the length, which bounds the edit distance from below; no distance rules pairs out
-    sketches = None if exact else norms.select(F.col("lh").alias("id"), "w")
-    groups = link_buckets(scratch, members, confirm, 0, _near(similarity), sketches, "true" if exact else _agreeing(), best=True)
+        norms = scratch.keep(once(forms_of(docs, min_words, _bitmap(members.select("id")))), "norms")
+    groups = _groups(scratch, members, norms, similarity, 0 if exact else AGREE)
+    classes = scratch.keep(lines.groupBy("lh", "lg").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
     # a link holds for the class whose form was compared; every class with copies or in a group has a first occurrence, all others of it go
     linked = groups.select(F.col("id").alias("lh"), "component").join(norms.select("lh", "lg"), "lh")
     named = classes.join(linked, ["lh", "lg"], "left")

@@ -74,7 +74,7 @@ def link_buckets(scratch: Scratch, members: DataFrame, confirm: Callable[[DataFr
         found = components(scratch, scored.where("ok"), "cct_")
         rest = pairs.select("a", "b").join(scored.select("a", "b"), ["a", "b"], "left_anti")
         more = scratch.keep(confirm(_apart(rest, found).select("a", "b")), "rest")
-        found = _merged(scratch, found, more.where("ok").select("a", "b"), "r")
+        found = merged(scratch, found, more.where("ok").select("a", "b"), "r")
         scored = scored.unionByName(more)
     else:
         scored = scratch.keep(confirm(pairs.select("a", "b")), "scored")
@@ -105,7 +105,7 @@ def link_buckets(scratch: Scratch, members: DataFrame, confirm: Callable[[DataFr
         pairs = others.join(leaders, "bucket").where(f"id <> lead AND c <> lc AND coalesce(abs(d - ld) <= {reach} + 1e-9, true) AND {near} AND {closer}")
         pairs = pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
         links = scratch.keep(confirm(pairs).where("ok").select("a", "b"), f"links{k}")
-        found = _merged(scratch, found, links, str(k))
+        found = merged(scratch, found, links, str(k))
         members = left.drop("c")
         if k > 1:
             open_ = leaders.where(F.col("rest") > LEADERS)
@@ -121,7 +121,7 @@ def _apart(links: DataFrame, found: DataFrame) -> DataFrame:
     return ends.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
 
 
-def _merged(scratch: Scratch, found: DataFrame, links: DataFrame, name: str) -> DataFrame:
+def merged(scratch: Scratch, found: DataFrame, links: DataFrame, name: str) -> DataFrame:
     """found (id, component) with the links (a, b) added: a graph of components only."""
     joined = scratch.keep(_apart(links, found).select(F.col("ca").alias("a"), F.col("cb").alias("b")), f"joined{name}")
     if joined.isEmpty():

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from tallyfold.llm import line_dedup
 
 
@@ -51,3 +52,55 @@ def test_bigrams_rule_out_no_similar_line():
         b = "".join(x for x in a if rng.random() < 0.8) + "".join(rng.choice("ab ") for _ in range(rng.randint(0, 4)))
         most = rng.randint(0, 8)
         assert line_dedup.may_be_similar(a, b, most) or line_dedup.edit_distance(a, b, 99) > most
+
+
+def noisy(rng, text, share):
+    return "".join(("" if rng.random() < 0.3 else rng.choice("xyzéß漢") * rng.randint(1, 2)) if rng.random() < share else c for c in text)
+
+
+def test_many_pairs_at_once_as_one_by_one():
+    """Around the borders of blocks of 64 rows, empty texts, lengths too far apart."""
+    rng = random.Random(5)
+    for n in (1, 63, 64, 65, 129, 400):
+        texts = ["", "a"]
+        for _ in range(60):
+            text = "".join(rng.choice("abcde漢 ") for _ in range(rng.randint(max(1, n - 3), n + 3)))
+            texts += [text, noisy(rng, text, rng.random() * 0.35)]
+        a = np.array([*range(2, len(texts), 2), 0, 0, 1, 5])
+        b = np.array([*range(3, len(texts), 2), 0, 1, 0, 2])
+        want = [similar(texts[i], texts[j]) for i, j in zip(a, b, strict=True)]
+        assert line_dedup.similar_pairs(texts, a, b, 0.8).tolist() == want
+        assert n == 1 or 5 < sum(want) < 58
+
+
+def test_noisy_copies_meet_in_blocks(spark, monkeypatch):
+    """A key of many copies just below and above the similarity: in small blocks the groups are those of brute force."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(5, 9))) for _ in range(12)]
+    texts = sorted({" ".join(w if rng.random() > 0.17 else noisy(rng, w, 0.9) + "q" for w in words) for _ in range(90)})
+    root = list(range(len(texts)))
+    for _ in range(len(texts)):
+        for i in range(len(texts)):
+            for j in range(i):
+                if root[i] != root[j] and similar(texts[i], texts[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = None
+    for block in (256, 7):
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        got = {r["doc_id"] for r in line_dedup.dedup_lines(df, exact=block == 7).where("n_removed_lines > 0").collect()}
+        want = {i for i in range(len(texts)) if root[i] != i}
+        assert got <= want and len(got) >= 0.97 * len(want) > 20, (block, len(got), len(want))
+
+
+def test_pairs_of_a_key_are_no_rows(spark, monkeypatch):
+    """What is shuffled for a key are its members; only links come back."""
+    blocks = []
+    run = line_dedup._in_blocks
+    monkeypatch.setattr(line_dedup, "_in_blocks", lambda *a: blocks.append(a) or run(*a))
+    joined = []
+    keep = line_dedup.Scratch.keep
+    monkeypatch.setattr(line_dedup.Scratch, "keep", lambda self, df, name: joined.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or keep(self, df, name))
+    df = spark.createDataFrame([(i, f"alpha beta gamma delta epsilon {x}zeta{x}") for i, x in enumerate("abcdefgh")], "doc_id long, text string")
+    assert line_dedup.dedup_lines(df).where("n_removed_lines > 0").count() == 7 and blocks
+    assert not any("Join" in part and "bucket" in part.split("\n")[0] for name, plan in joined for part in plan.split("Join ")[1:] if name != "links2")
