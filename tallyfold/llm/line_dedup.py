@@ -405,9 +405,9 @@ def similar_pairs(texts: list[str], a: np.ndarray, b: np.ndarray, similarity: fl
     open_ = open_[np.lexsort((a[open_], size[b][open_]))]
     at = 0
     while at < len(open_):
-        # of a length up to an eighth more, so many that their arrays take a few MB
+        # of a length up to a third more, so many that their arrays take a few MB
         n = int(size[b[open_[at]]])
-        to = min(int(np.searchsorted(size[b[open_]], n + n // 8 + 8, "right")), at + max(TOGETHER, min(2048, (1 << 21) // n)))
+        to = min(int(np.searchsorted(size[b[open_]], n + n // 3 + 16, "right")), at + max(TOGETHER, min(2048, (1 << 21) // n)))
         part = open_[at:to]
         at = to
         if len(part) < TOGETHER:
@@ -418,12 +418,26 @@ def similar_pairs(texts: list[str], a: np.ndarray, b: np.ndarray, similarity: fl
     return out
 
 
+def _larger(batches, size: int = 12 << 20):
+    """The same rows in fewer batches, of about `size` bytes or one batch each: the more pairs, the cheaper each."""
+    held, bytes_ = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            bytes_ += batch.nbytes
+        if bytes_ >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, bytes_ = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _similar(similarity: float):
     """a, b of the rows (a, b, na, nb) whose texts are similar."""
 
     def run(batches):
         with task_memory():
-            for batch in batches:
+            for batch in _larger(batches):
                 n = batch.num_rows
                 ok = similar_pairs(batch.column(2).to_pylist() + batch.column(3).to_pylist(), np.arange(n), np.arange(n, 2 * n), similarity)
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
@@ -489,9 +503,7 @@ def _in_blocks(similarity: float, agree: int):
     def run(batches):
         with task_memory():
             held: list[pa.RecordBatch] = []
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in _larger(batches):
                 held.append(batch)
                 starts = _starts({c: batch.column(c).to_numpy() for c in ("bucket", "lo", "hi")})
                 cut = int(starts[-1])
