@@ -47,6 +47,8 @@ BANDS, ROWS, LONG, RICH = 12, 3, 5, 6
 AGREE = 12
 #: Bits of the filter for classes that share a key with another.
 WANTED_BITS = 1 << 25
+#: Keys are dealt over so many parts at least, more if there are more than PART for each.
+PARTS, PART = 256, 1 << 20
 #: Members of a bucket are compared in blocks of about so many by so many.
 BLOCK = 256
 #: After so many pairs the components are brought up to date.
@@ -237,13 +239,63 @@ def _bitmap(ids: DataFrame) -> Broadcast:
     return ids.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
+def _dealt(parts: int):
+    """part, and the bucket, id, p of the keys that fall on it, as arrays, of rows (lh, p, bands): a few rows instead of one for each key."""
+
+    def run(batches):
+        for batch in _larger(batches):
+            size = batch.column("bands").value_lengths().to_numpy()
+            bucket = batch.column("bands").flatten().to_numpy()
+            part = (bucket.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)
+            order = np.argsort(part.astype(np.uint16 if parts < 1 << 16 else np.uint32), kind="stable")
+            which, counts = np.unique(part[order], return_counts=True)
+            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            flat = {"bucket": bucket, "id": np.repeat(batch.column("lh").to_numpy(), size), "p": np.repeat(batch.column("p").to_numpy(), size)}
+            yield pa.RecordBatch.from_pydict({"part": which.astype(np.int32)} | {c: pa.ListArray.from_arrays(ends, x[order]) for c, x in flat.items()})
+
+    return run
+
+
+def _shared(batches):
+    """bucket, id, p, lead (the smallest id) of the buckets with several ids, each once, of rows in the order of their parts."""
+
+    def members(chunks):
+        rows = {c: np.concatenate([chunk[c] for chunk in chunks]) for c in ("bucket", "id", "p")}
+        order = np.argsort(rows["bucket"])
+        near = np.diff(rows["bucket"][order]) == 0
+        order = order[np.append(near, False) | np.append(False, near)]
+        order = order[np.lexsort((rows["id"][order], rows["bucket"][order]))]
+        bucket, id_, p = (rows[c][order] for c in ("bucket", "id", "p"))
+        first = np.append(True, np.diff(bucket) != 0)[: len(order)]
+        once = first | np.append(True, np.diff(id_) != 0)[: len(order)]
+        bucket, id_, p, first = bucket[once], id_[once], p[once], first[once]
+        starts = np.flatnonzero(first)
+        size = np.diff(np.append(starts, len(id_)))
+        out = np.repeat(size > 1, size)
+        return pa.RecordBatch.from_pydict({"bucket": bucket[out], "id": id_[out], "p": p[out], "lead": np.repeat(id_[starts], size)[out]})
+
+    with task_memory():
+        held, of = [], None
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))[: len(part)]
+            for at, to in zip(starts, np.append(starts[1:], len(part)), strict=True):
+                if held and of != part[at]:
+                    yield members(held)
+                    held = []
+                held.append({c: batch.column(c).slice(at, to - at).flatten().to_numpy() for c in ("bucket", "id", "p")})
+                of = part[at]
+        if held:
+            yield members(held)
+
+
 def exact_entries(forms: DataFrame, similarity: float) -> DataFrame:
-    """bucket, id, p: keys of which two forms within the similarity share one, for certain."""
+    """lh, p, bands: keys of which two forms within the similarity share one, for certain."""
 
     def run(batches):
         for batch in batches:
-            ids, size, bucket = [], [], []
-            for lh, norm in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            size, bands = [], []
+            for norm in batch.column(1).to_pylist():
                 seen: Counter = Counter()
                 grams = []
                 for g in zip(norm, norm[1:], strict=False):
@@ -252,14 +304,11 @@ def exact_entries(forms: DataFrame, similarity: float) -> DataFrame:
                 # of n - 1 pairs, those of a form within k edits miss 2 k at most
                 n = len(norm)
                 first = min(len(grams), 2 * int((1 - similarity) / similarity * n + 1) + 1)
-                order = np.sort(mix(np.array(grams, np.uint64)))[:first] if grams else np.zeros(1, np.uint64)
-                ids += [lh] * len(order)
-                size += [n] * len(order)
-                bucket.append(order)
-            flat = np.concatenate(bucket) if bucket else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_pydict({"bucket": _signed(flat), "id": pa.array(ids, pa.int64()), "p": pa.array(size, pa.int32())})
+                bands.append(_signed(np.sort(mix(np.array(grams, np.uint64)))[:first] if grams else np.zeros(1, np.uint64)))
+                size.append(n)
+            yield pa.RecordBatch.from_pydict({"lh": batch.column(0), "p": pa.array(size, pa.int32()), "bands": pa.array(bands, pa.list_(pa.int64()))})
 
-    return forms.select("lh", "lg", "norm").mapInArrow(run, "bucket long, id long, p int")
+    return forms.select("lh", "norm").mapInArrow(run, "lh long, p int, bands array<long>")
 
 
 _GRAM = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
@@ -285,12 +334,11 @@ def is_similar(a: str, b: str, similarity: float) -> bool:
     most = int((1 - similarity) * longest + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
-    x, y = a.split(" "), b.split(" ")
-    # words replaced in place: an upper bound of the distance
-    if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y, strict=True) if v != w) <= most:
+    if _same_places(a, b, most):
         return True
     if not may_be_similar(a, b, most):
         return False
+    x, y = a.split(" "), b.split(" ")
     head = 0
     while head < len(x) and head < len(y) and x[head] == y[head]:
         head += 1
@@ -302,14 +350,18 @@ def is_similar(a: str, b: str, similarity: float) -> bool:
 
 
 #: Fewer pairs than this are compared one by one.
-TOGETHER = 32
+TOGETHER = 8
+#: So many are compared at once whatever their lengths are.
+FEW = 256
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
     """The texts' characters as small numbers one after another, their lengths, and how many numbers there are."""
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    kinds, codes = np.unique(points, return_inverse=True)
-    return codes.astype(np.int32), np.array([len(t) for t in texts]), len(kinds)
+    seen = np.zeros(int(points.max(initial=0)) + 1, bool)
+    seen[points] = True
+    number = np.cumsum(seen, dtype=np.int32) - 1
+    return number[points], np.array([len(t) for t in texts]), int(seen.sum())
 
 
 def _grid(codes: np.ndarray, size: np.ndarray, fill: int) -> np.ndarray:
@@ -322,77 +374,98 @@ def _grid(codes: np.ndarray, size: np.ndarray, fill: int) -> np.ndarray:
 def _within(short: list[str], i: np.ndarray, long: list[str], j: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Whether short[i] and long[j] are at most `most` edits apart, for many pairs at once.
 
-    Myers' bit vectors in blocks of 64 rows, a block of all pairs at a time, and only blocks near the
-    diagonal: beyond it distances are taken from above, by steps to the side, which no path within
-    `most` edits takes. No short[i] may be longer than long[j] or shorter by more than `most`.
+    Pairs that have too few characters in common, wherever they stand, are out. The others go through Myers'
+    bit vectors in blocks of 64 rows: block b of all pairs is at column t - b in step t, so that all
+    blocks go on at once, and only blocks near the diagonal: beyond it distances are taken from above, by
+    steps to the side, which no path within `most` edits takes. No short[i] may be longer than long[j] or
+    shorter by more than `most`.
     """
     codes, size, kinds = _codes([*short, *long])
-    cut = int(size[: len(short)].sum())
+    every = np.bincount(np.repeat(np.arange(len(size)) * kinds, size) + codes, minlength=len(size) * kinds).astype(np.int32).reshape(-1, kinds)
     m, n = size[: len(short)], size[len(short) :]
-    order = np.argsort(-n[j], kind="stable")
+    out = np.zeros(len(i), bool)
+    step = max(1, (1 << 20) // kinds)
+    order = np.concatenate([at + np.flatnonzero(n[j[at : at + step]] - np.minimum(every[i[at : at + step]], every[len(m) + j[at : at + step]]).sum(1) <= most[at : at + step]) for at in range(0, len(i), step)])
+    if not len(order):
+        return out
+    order = order[np.argsort(-n[j[order]], kind="stable")]
     i, j, most = i[order], j[order], most[order].astype(np.int64)
-    rows, blocks = m[i], -(-int(m.max()) // 64)
-    grid = np.full((len(m), 64 * blocks), -1, np.int32)
-    grid[:, : int(m.max())] = _grid(codes[:cut], m, -1)
-    # eq[block][text * kinds + code]: the places of a code within a block
-    eq = np.empty((blocks, len(m), kinds), np.uint64)
-    for k in range(kinds):
-        eq[:, :, k] = np.packbits(grid == k, axis=1, bitorder="little").view(np.uint64).T
-    eq = eq.reshape(blocks, -1)
-    text = np.ascontiguousarray(_grid(codes[cut:], n, 0)[j].T)
-    base, steps = i.astype(np.int64) * kinds, n[j]
+    rows, columns, blocks = m[i], n[j], -(-int(m.max()) // 64)
+    cut, stride = int(m.sum()), len(m) * kinds
+    # eq[block * stride + text * kinds + code]: the places of a code within a block
+    eq = np.zeros(blocks * stride, np.uint64)
+    place = np.arange(cut) - np.repeat(np.cumsum(m) - m, m)
+    np.add.at(eq, (place >> 6) * stride + np.repeat(np.arange(len(m)) * kinds, m) + codes[:cut], np.uint64(1) << (place & 63).astype(np.uint64))
+    # the columns from the last to the first, as block b is b columns behind
+    text = np.zeros((int(columns[0]) + blocks, len(i)), np.int64)
+    text[: int(n.max())] = _grid(codes[cut:], n, 0)[j].T[: len(text)]
+    text += i * kinds
+    text = text[::-1]
+    shift = np.arange(blocks)[:, None] * stride
     plus, minus = np.full((blocks, len(i)), ~np.uint64(0)), np.zeros((blocks, len(i)), np.uint64)
-    score, ok = np.zeros(len(i), np.int64), np.zeros(len(i), bool)
+    up, down = np.ones((blocks + 1, len(i)), np.uint64), np.zeros((blocks + 1, len(i)), np.uint64)
+    score = np.zeros((blocks, len(i)), np.int64)  # the distance at each block's lower edge
+    ok = np.zeros(len(i), bool)
+    last = (rows - 1) // 64
+    due = columns - 1 + last  # the step that a pair's last cell is in
+    ends = {int(t): np.flatnonzero(due == t) for t in np.unique(due)}
+    until = np.maximum.accumulate(due[::-1])[::-1]
     one, top, reach = np.uint64(1), np.uint64(63), int(most.max())
-    high, live = 0, len(i)
-    for c in range(int(steps[0])):
-        while live and steps[live - 1] <= c:
+    live, had = len(i), 0
+    for t in range(int(until[0]) + 1):
+        while until[live - 1] < t:
             live -= 1
-        low = max(0, c - reach) // 64
-        want = min(blocks, (c + reach) // 64 + 1)
-        score[:live] += 64 * (want - high)
-        high = want
-        at = base[:live] + text[c, :live]
-        up, down = np.full(live, one), np.zeros(live, np.uint64)
-        for b in range(low, high):
-            p, q = plus[b, :live], minus[b, :live]
-            e = eq[b].take(at)
-            v = e | q
-            e |= down
-            h = e & p
-            h += p
-            h ^= p
-            h |= e
-            e = h | p
-            np.invert(e, out=e)
-            e |= q
-            h &= p
-            up_out, down_out = e >> top, h >> top
-            e <<= one
-            e |= up
-            h <<= one
-            h |= down
-            np.bitwise_and(e, v, out=q)
-            v |= e
-            np.invert(v, out=v)
-            np.bitwise_or(v, h, out=p)
-            up, down = up_out, down_out
-        score[:live] += up.view(np.int64)
-        score[:live] -= down.view(np.int64)
-        first = int(np.searchsorted(-steps[:live], -(c + 1)))
-        if first < live:
-            done = slice(first, live)
-            value = score[done].copy()
-            for b in range(int(rows[done].min()) // 64, high):  # from the last row of the last block back to that of the text
-                behind = np.clip(rows[done] - 64 * b, 0, 64).astype(np.uint64)
-                mask = np.where(behind < 64, ~np.uint64(0) << (behind & top), np.uint64(0))
-                value -= np.bitwise_count(plus[b, done] & mask).astype(np.int64) - np.bitwise_count(minus[b, done] & mask)
+        low, high = max(0, -((63 + reach - t) // 65)), min(blocks, (t + reach) // 65 + 1, t + 1)
+        if not low or t >= 65 * low + reach:  # nothing is above, or it has ended
+            up[low, :live], down[low, :live] = one, 0
+        if high > had:
+            # before its first column a block's lower edge is 64 more than that of the block above
+            score[had, :live] = 64 * (had + 1) if t == had else score[had - 1, :live] + 64 - up[had, :live].view(np.int64) + down[had, :live].view(np.int64)
+            had = high
+        p, q = plus[low:high, :live], minus[low:high, :live]
+        first = len(text) - 1 - t
+        e = eq.take(text[first + low : first + high, :live] + shift[low:high])
+        v = e | q
+        e |= down[low:high, :live]
+        h = e & p
+        h += p
+        h ^= p
+        h |= e
+        e = h | p
+        np.invert(e, out=e)
+        e |= q
+        h &= p
+        up_out, down_out = e >> top, h >> top
+        e <<= one
+        e |= up[low:high, :live]
+        h <<= one
+        h |= down[low:high, :live]
+        np.bitwise_and(e, v, out=q)
+        v |= e
+        np.invert(v, out=v)
+        np.bitwise_or(v, h, out=p)
+        up[low + 1 : high + 1, :live], down[low + 1 : high + 1, :live] = up_out, down_out
+        edge = score[low:high, :live]
+        edge += up_out.view(np.int64)
+        edge -= down_out.view(np.int64)
+        if t in ends:
+            # from the last row of a text's last block back to that of the text
+            done = ends[t]
+            b = last[done]
+            behind = (rows[done] - 64 * b).astype(np.uint64)
+            mask = np.where(behind < 64, ~np.uint64(0) << (behind & top), np.uint64(0))
+            value = score[b, done] - np.bitwise_count(plus[b, done] & mask).astype(np.int64) + np.bitwise_count(minus[b, done] & mask)
             ok[done] = value <= most[done]
-    out = np.empty(len(i), bool)
     out[order] = ok
     return out
 
 
+def _same_places(a: str, b: str, most: int) -> bool:
+    """Whether as many words, those that differ replaced in place, take at most `most` edits: an upper bound of the distance."""
+    x, y = a.split(" "), b.split(" ")
+    return len(x) == len(y) and sum([max(len(v), len(w)) for v, w in zip(x, y, strict=True) if v != w]) <= most
+
+
 def similar_pairs(texts: list[str], a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     """is_similar(texts[a], texts[b]) for many pairs; those of like lengths are compared at once."""
     size = np.array([len(t) for t in texts], np.int64)
@@ -400,14 +473,16 @@ def similar_pairs(texts: list[str], a: np.ndarray, b: np.ndarray, similarity: fl
     a, b = np.where(swap, b, a), np.where(swap, a, b)
     most = ((1 - similarity) * size[b] + 1e-9).astype(np.int64)
     out = np.zeros(len(a), bool)
-    out[size[b] == 0] = True
-    open_ = np.flatnonzero((size[b] - size[a] <= most) & (size[a] > 0))
+    open_ = np.flatnonzero(size[b] - size[a] <= most)
+    out[open_] = [_same_places(texts[x], texts[y], k) for x, y, k in zip(a[open_].tolist(), b[open_].tolist(), most[open_].tolist(), strict=True)]
+    open_ = open_[~out[open_] & (size[a[open_]] > 0)]
     open_ = open_[np.lexsort((a[open_], size[b][open_]))]
-    at = 0
+    long, at = size[b][open_], 0
     while at < len(open_):
-        # of a length up to a third more, so many that their arrays take a few MB
-        n = int(size[b[open_[at]]])
-        to = min(int(np.searchsorted(size[b[open_]], n + n // 3 + 16, "right")), at + max(TOGETHER, min(2048, (1 << 21) // n)))
+        # of a length up to a third more, or three times as long if they are few, so many that their arrays take a few MB
+        n = int(long[at])
+        like, few = (int(np.searchsorted(long, k, "right")) for k in (n + n // 3 + 16, 3 * n))
+        to = min(max(like, min(few, at + FEW)), at + max(TOGETHER, min(2048, (1 << 21) // n)))
         part = open_[at:to]
         at = to
         if len(part) < TOGETHER:
@@ -572,27 +647,30 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
     once = lambda forms: forms.groupBy("lh").agg(F.min(F.struct("lg", "norm", *_SKETCHES)).alias("f")).select("lh", "f.*")
     if exact:
         norms = scratch.keep(once(forms_of(docs, min_words)), "norms")
-        entries = scratch.keep(exact_entries(norms, similarity), "entries")
+        keyed = scratch.keep(exact_entries(norms, similarity), "entries")
     else:
-        entries = lines.where("bands IS NOT NULL").select(F.explode("bands").alias("bucket"), F.col("lh").alias("id"), "p")
+        keyed = lines.where("bands IS NOT NULL").select("lh", "p", "bands")
     # the classes of each key that several have, once, and the smallest of them: one shuffle
-    key = Window.partitionBy("bucket")
-    several = entries.withColumn("lead", F.min("id").over(key)).withColumn("hi", F.max("id").over(key)).where("lead <> hi")
-    members = scratch.keep(several.select("bucket", "id", "p", "lead").distinct(), "members")
+    parts = max(PARTS, BANDS * lines.count() // PART)
+    dealt = keyed.mapInArrow(_dealt(parts), "part int, bucket array<long>, id array<long>, p array<int>")
+    members = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_shared, "bucket long, id long, p int, lead long")
+    members = scratch.keep(members, "members")
     scratch.release()
     if not exact:
         norms = scratch.keep(once(forms_of(docs, min_words, _bitmap(members.select("id")))), "norms")
     groups = _groups(scratch, members, norms, similarity, 0 if exact else AGREE)
-    classes = scratch.keep(lines.groupBy("lh", "lg").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
-    # a link holds for the class whose form was compared; every class with copies or in a group has a first occurrence, all others of it go
-    linked = groups.select(F.col("id").alias("lh"), "component").join(norms.select("lh", "lg"), "lh")
-    named = classes.join(linked, ["lh", "lg"], "left")
-    heads = named.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("head"))
-    known = scratch.keep(named.where("n > 1 OR component IS NOT NULL").join(heads, "component", "left").select("lh", "lg", F.coalesce("head", "first").alias("head")), "known")
-    others = lines.join(known, ["lh", "lg"]).where(~F.struct("_id", "_t", "line").eqNullSafe(F.col("head"))).select("_id", "_t", "line")
+    # only classes with copies or in a group lose lines; a link holds for the class whose form was compared
+    linked = groups.select(F.col("id").alias("lh"), "component").join(norms.select("lh", "lg"), "lh").select("lh", "lg", "component")
+    copied = lines.groupBy("lh", "lg").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("lh", "lg", F.lit(None).cast("long").alias("component"))
+    known = scratch.keep(linked.unionByName(copied).groupBy("lh", "lg").agg(F.max("component").alias("component")), "known")
+    group = (F.coalesce("component", "lh").alias("g"), F.when(F.col("component").isNull(), F.col("lg")).alias("h"))
+    places = scratch.keep(lines.select("_id", "_t", "line", "lh", "lg").join(known, ["lh", "lg"]).select("_id", "_t", "line", *group), "places")
+    heads = places.groupBy("g", "h").agg(F.min(place).alias("head")).select(F.col("g").alias("g_"), F.col("h").alias("h_"), "head")
+    # every group has a first occurrence, all others of it go
+    others = places.join(heads, (F.col("g") == F.col("g_")) & F.col("h").eqNullSafe(F.col("h_"))).where(~place.eqNullSafe(F.col("head"))).select("_id", "_t", "line")
     # written, so that Spark knows its size when it joins the texts with it: they needn't be shuffled if it is small
     gone = scratch.keep(others.groupBy("_id", "_t").agg(F.collect_set("line").alias("gone")), "gone")
-    scratch.release("known", "lines", "classes", "norms", "members")
+    scratch.release("known", "lines", "places", "norms", "members")
     return gone
 
 
@@ -628,7 +706,8 @@ def dedup_lines(
     # not to be evaluated again where a caller filters by the text: that would be a second Python worker for each task
     cut = F.arrow_udf(without, "string").asNondeterministic()
     return joined.select(
-        *(cut(text, F.col("gone")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in added),
+        # a text that stays as it is doesn't go to Python
+        *(F.when(F.col("gone").isNull(), text).otherwise(cut(F.when(F.col("gone").isNotNull(), text), F.col("gone"))).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in added),
         n_lines(text).alias(added[0]),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(added[1]),
     )

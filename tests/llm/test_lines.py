@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from tallyfold.llm import line_dedup
 
 
@@ -104,3 +105,48 @@ def test_pairs_of_a_key_are_no_rows(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"alpha beta gamma delta epsilon {x}zeta{x}") for i, x in enumerate("abcdefgh")], "doc_id long, text string")
     assert line_dedup.dedup_lines(df).where("n_removed_lines > 0").count() == 7 and blocks
     assert not any("Join" in part and "bucket" in part.split("\n")[0] for name, plan in joined for part in plan.split("Join ")[1:] if name != "links2")
+
+
+def test_keys_are_dealt_as_arrays(spark, monkeypatch):
+    """The members of keys that several classes have, whatever the batches and parts; a key is no row of its own."""
+    rng = random.Random(9)
+    for parts in (1, 3, 70_000):
+        for _ in range(60):
+            rows = [(rng.randint(-9, 9) if k else -(2**63), rng.randint(1, 9), [rng.randint(-4, 4) * 2**50 for _ in range(rng.randint(0, 5))]) for k in range(rng.randint(1, 30))]
+            batch = pa.RecordBatch.from_pylist([{"lh": i, "p": p, "bands": b} for i, p, b in rows], pa.schema({"lh": pa.int64(), "p": pa.int32(), "bands": pa.list_(pa.int64())}))
+            dealt = pa.Table.from_batches(line_dedup._dealt(parts)([batch.slice(0, 7), batch.slice(7)])).sort_by("part")
+            got = [tuple(r.values()) for b in line_dedup._shared(dealt.to_batches(rng.randint(1, 5))) for r in b.to_pylist()]
+            by = {}
+            for i, _, bands in rows:
+                for b in bands:
+                    by.setdefault(b, set()).add(i)
+            assert sorted((b, i, low) for b, i, _, low in got) == sorted((b, i, min(ids)) for b, ids in by.items() if len(ids) > 1 for i in ids)
+    plans = {}
+    keep = line_dedup.Scratch.keep
+    monkeypatch.setattr(line_dedup.Scratch, "keep", lambda self, df, name: plans.__setitem__(name, df._jdf.queryExecution().optimizedPlan().toString()) or keep(self, df, name))
+    df = spark.createDataFrame([(i, f"alpha beta gamma delta epsilon {x}zeta{x}\nsome quite other line {x * 9}") for i, x in enumerate("abcdefgh")], "doc_id long, text string")
+    assert line_dedup.dedup_lines(df).where("n_removed_lines > 0").count() == 7
+    assert "Generate" not in plans["members"] and "Window" not in plans["members"]
+    # first places are looked for in classes with copies or links only
+    assert "classes" not in plans and "Join" in plans["places"]
+
+
+def test_few_and_long_pairs_are_compared_at_once(monkeypatch):
+    """Few pairs, lengths far apart, bands of many blocks; words replaced in place need no table of edits."""
+    rng = random.Random(6)
+    texts, widths = [], []
+    for n in (90, 700, 1500, 2500):
+        for share in (0.02, 0.1, 0.16, 0.2, 0.24, 0.3, 0.9):
+            text = "".join(rng.choice("abcde漢 ") for _ in range(n))
+            texts += [text, noisy(rng, text, share)]
+    a, b = np.arange(0, len(texts), 2), np.arange(1, len(texts), 2)
+    want = [similar(texts[i], texts[j]) for i, j in zip(a, b, strict=True)]
+    alone = []
+    monkeypatch.setattr(line_dedup, "is_similar", lambda x, y, s: alone.append(x) or similar(x, y))
+    run = line_dedup._within
+    monkeypatch.setattr(line_dedup, "_within", lambda short, *rest: widths.append(len(short)) or run(short, *rest))
+    assert line_dedup.similar_pairs(texts, a, b, 0.8).tolist() == want and 8 < sum(want) < 24
+    assert len(alone) <= 14 <= sum(widths)
+    widths.clear()
+    words = [f"{'w' * 30} word{k} other words of this line" for k in range(40)]
+    assert line_dedup.similar_pairs(words, np.arange(39), np.arange(1, 40), 0.8).all() and not widths
