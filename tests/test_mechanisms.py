@@ -42,6 +42,16 @@ def test_intervals_are_the_inequality_join(spark):
         assert cover[i] == pytest.approx(min(1, total / (e - s)) if real(s, e) and k else 0, abs=1e-6)
 
 
+def test_short_intervals_dont_meet_in_wide_buckets(spark):
+    """One long interval on each side: the short ones meet those, not each other's copies at the wide level."""
+    rows = lambda odd: [(i, "a", 8.0 * i + odd, 8.0 * i + odd + 1) for i in range(200)] + [(999, "a", 3.0, 1500.0)]
+    a, b = (spark.createDataFrame(rows(odd), "n long, k string, start double, end double") for odd in (0, 4))
+    x, y, same = intervals.candidates(a, b, ["k"], "start", "end")
+    got = {(r["l"]["n"], r["r"]["n"]) for r in intervals.overlaps(a, b, ["k"]).collect()}
+    assert got == {(i, j) for i, _, s, e in rows(0) for j, _, t, f in rows(4) if s < f and t < e} and len(got) > 300
+    assert x.join(y, same).count() < 1500
+
+
 def plain_linkage(u, threshold):
     """One best pair after the other, over the matrix of summed cosines."""
     n = len(u)
