@@ -410,13 +410,15 @@ def _within(short: list[str], i: np.ndarray, long: list[str], j: np.ndarray, mos
     due = columns - 1 + last  # the step that a pair's last cell is in
     ends = {int(t): np.flatnonzero(due == t) for t in np.unique(due)}
     until = np.maximum.accumulate(due[::-1])[::-1]
-    one, top, reach = np.uint64(1), np.uint64(63), int(most.max())
+    one, top = np.uint64(1), np.uint64(63)
+    # a path goes to the side and down so many times at most, as the texts' lengths differ
+    aside, below = (int((most + d).max()) // 2 for d in (columns - rows, rows - columns))
     live, had = len(i), 0
     for t in range(int(until[0]) + 1):
         while until[live - 1] < t:
             live -= 1
-        low, high = max(0, -((63 + reach - t) // 65)), min(blocks, (t + reach) // 65 + 1, t + 1)
-        if not low or t >= 65 * low + reach:  # nothing is above, or it has ended
+        low, high = max(0, -((63 + aside - t) // 65)), min(blocks, (t + below) // 65 + 1, t + 1)
+        if not low or t >= 65 * low + aside:  # nothing is above, or it has ended
             up[low, :live], down[low, :live] = one, 0
         if high > had:
             # before its first column a block's lower edge is 64 more than that of the block above
