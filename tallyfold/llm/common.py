@@ -57,10 +57,11 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """A folder of its own below the shared folder for the written tables of one run.
 
-    What a lazy result still reads stays until the driver ends, then the folder goes.
+    What a lazy result still reads stays until the driver ends, then the folder goes. options: of Parquet's writer.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, **options: str):
+        self.options = {"compression": "zstd"} | options
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._at(self.path, "deleteOnExit")
 
@@ -71,7 +72,7 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Cuts the lineage: df is written as Parquet and read again."""
         path = f"{self.path}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").options(**self.options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -118,10 +119,11 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, elementwise."""
     x = x ^ (x >> np.uint64(30))
-    x = x * _MIX1
-    x = x ^ (x >> np.uint64(27))
-    x = x * _MIX2
-    return x ^ (x >> np.uint64(31))
+    x *= _MIX1
+    x ^= x >> np.uint64(27)
+    x *= _MIX2
+    x ^= x >> np.uint64(31)
+    return x
 
 
 @contextmanager
@@ -211,13 +213,12 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(BASE))
 
 
-#: What parts words: space, tab, line feed, vertical tab, form feed, carriage return.
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: The low n bytes of eight, by n.
 _LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Longer words are hashed one by one.
 _LONG = 64
+#: What a word's hash begins with, by its size.
+_SIZED = mix(np.arange(1 << 12, dtype=np.uint64) * np.uint64(BASE) + np.uint64(1))
 
 
 class Words:
@@ -232,20 +233,22 @@ class Words:
         whole = b"\n".join([*texts, b""])
         self.data = data = np.frombuffer(whole, np.uint8)
         self.offset = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
-        gaps = np.flatnonzero(_SPACE[data])
+        # space, tab, line feed, vertical tab, form feed, carriage return part words
+        gaps = np.flatnonzero((data == 32) | (data - np.uint8(9) < 5))
         start = np.concatenate([[0], gaps[:-1] + 1]) if len(gaps) else gaps
         solid = gaps > start
         self.start, self.end = start[solid], gaps[solid]
-        feeds = data[gaps] == 10
+        feeds = np.flatnonzero(data[gaps] == 10)
         self.breaks = gaps[feeds]
-        self.line = (np.cumsum(feeds) - feeds)[solid]
+        # the words up to each line feed belong to its line
+        self.line = np.repeat(np.arange(len(feeds)), np.diff(np.cumsum(solid)[feeds], prepend=0))
         self.at = np.searchsorted(self.start, self.offset)
         self.hash = self._hash(whole)
 
     def _hash(self, whole: bytes) -> np.ndarray:
         eight = np.ndarray((len(whole),), "<u8", whole + bytes(8), 0, (1,))  # the eight bytes from each place on
         size = self.end - self.start
-        out = mix(size.astype(np.uint64) * np.uint64(BASE) + np.uint64(1))
+        out = _SIZED[size] if size.max(initial=0) < len(_SIZED) else mix(size.astype(np.uint64) * np.uint64(BASE) + np.uint64(1))
         at, left, which = self.start, np.where(size > _LONG, 0, size), slice(None)
         for _ in range(_LONG // 8):
             out[which] = mix(out[which] * np.uint64(BASE) ^ (eight[at] & _LOW[np.minimum(left, 8)]))

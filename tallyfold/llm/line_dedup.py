@@ -19,7 +19,7 @@ word in five replaced.
 The texts are read twice (places and keys, then normal forms), as arrays over the bytes; what is
 shuffled is a few numbers for each line and key, the normal forms of lines that share a key (and some
 more, where the filter of WANTED_BITS is full), and, last, the texts once. Forms are compared many pairs
-at a time; a key's pairs are not listed, its members meet in blocks of BLOCK.
+at a time; a key's pairs are not listed, its members meet in blocks of BLOCK, and a pair of several keys is compared in the first of them.
 
 Defined results: null and empty texts have no lines to remove; lines below MIN_WORDS words always
 stay; rows that repeat another's id and text are one occurrence (they keep and lose the same
@@ -30,6 +30,7 @@ are called, but those of the names given as `added`, which are overwritten.
 from __future__ import annotations
 
 from collections import Counter
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -77,9 +78,11 @@ class Lines:
         self.first, self.count = first[good], count[good]
         self.text = np.searchsorted(w.offset, w.start[self.first], "right") - 1
         self.number = w.line[self.first] - np.searchsorted(w.breaks, w.offset[:-1])[self.text]
-        ends = self.first + self.count
-        self.lh = span_hashes(prefix_sums(w.hash), self.first, ends)
-        self.lg = span_hashes(prefix_sums(mix(w.hash ^ _OTHER)), self.first, ends)
+        self.lh = span_hashes(prefix_sums(w.hash), self.first, self.first + self.count)
+
+    @cached_property
+    def lg(self) -> np.ndarray:
+        return span_hashes(prefix_sums(mix(self.words.hash ^ _OTHER)), self.first, self.first + self.count)
 
     def distinct(self) -> np.ndarray:
         """One line of each class, in order."""
@@ -88,9 +91,10 @@ class Lines:
     def chars(self) -> np.ndarray:
         """The length of each normal form in characters."""
         w = self.words
-        rest = np.flatnonzero((w.data & 0xC0) == 0x80)  # what is no first byte of a character
-        of = np.concatenate([[0], np.cumsum((w.end - w.start) - (np.searchsorted(rest, w.end) - np.searchsorted(rest, w.start)))])
-        return of[self.first + self.count] - of[self.first] + self.count - 1
+        begins = (w.data > 32) | (w.data < 9) | ((w.data > 13) & (w.data < 32))  # what is no white space
+        begins &= (w.data & 0xC0) != 0x80  # and no further byte of a character
+        of = np.cumsum(begins, dtype=np.int32)  # what a word ends before is white space
+        return (of[w.end[self.first + self.count - 1]] - of[w.start[self.first]] + self.count).astype(np.int64)
 
     def _inside(self, which: np.ndarray) -> np.ndarray:
         """Which words are in the given lines."""
@@ -115,23 +119,27 @@ class Lines:
         hashes, shift = w.hash[mine], _SHIFT[np.minimum(size[mine], len(_SHIFT) - 1)]
         counts = np.where(rich, n_long, self.count[which])
         starts = np.cumsum(counts) - counts
-        out = np.empty((len(which), len(_SALTS)), np.uint64)
+        out = np.empty((len(_SALTS), len(which)), np.uint64)
         if len(which):
-            for i, salt in enumerate(_SALTS):
-                out[:, i] = np.minimum.reduceat(hashes * salt >> shift, starts)
-        return out
+            salted = np.empty_like(hashes)
+            for salt, least in zip(_SALTS, out, strict=True):
+                np.multiply(hashes, salt, out=salted)
+                np.right_shift(salted, shift, out=salted)
+                np.minimum.reduceat(salted, starts, out=least)
+        return out.T
 
     def key_lists(self) -> pa.Array:
-        """The BANDS keys of the first line of each class, null for the others."""
+        """The BANDS keys of the first line of each class as bytes, null for the others."""
         at = self.distinct()
-        least = self.minima(at).reshape(-1, BANDS, ROWS)
-        keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(at), BANDS)).copy()
+        least = self.minima(at).T.reshape(BANDS, ROWS, -1)
+        keys = np.arange(1, BANDS + 1, dtype=np.uint64)[:, None]
         for r in range(ROWS):
-            keys = mix(keys * _BASE + least[:, :, r])
+            keys = mix(keys * _BASE + least[:, r])
         has = np.zeros(len(self.first), bool)
         has[at] = True
-        ends = np.concatenate([[0], np.cumsum(has) * BANDS]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~has, False)), pa.array(_signed(keys).ravel()))
+        ends = np.concatenate([[0], np.cumsum(has) * BANDS * 8]).astype(np.int32)
+        valid = pa.py_buffer(np.packbits(has, bitorder="little").tobytes())
+        return pa.Array.from_buffers(pa.binary(), len(has), [valid, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(keys.T).tobytes())])
 
     def sketches(self, which: np.ndarray) -> np.ndarray:
         """_SKETCH longs of each line: a byte of each of its smallest words."""
@@ -201,7 +209,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def places_of(docs: DataFrame, min_words: int) -> DataFrame:
     """_id, _t, lh, lg (class), line (number), p (characters) of the lines that count, of docs (_id, _t, _text).
 
-    bands: the keys, at least once for each class, else null.
+    bands: the keys, one after another as bytes, at least once for each class, else null.
     """
     kinds = dict(docs.dtypes)
 
@@ -210,7 +218,7 @@ def places_of(docs: DataFrame, min_words: int) -> DataFrame:
         given = {c: batch.column(batch.schema.get_field_index(c)).take(at) for c in ("_id", "_t")}
         return given | {"lh": _signed(lines.lh), "lg": _signed(lines.lg), "line": lines.number.astype(np.int32), "p": lines.chars().astype(np.int32), "bands": lines.key_lists()}
 
-    return _over(docs, f"_id {kinds['_id']}, _t long, lh long, lg long, line int, p int, bands array<long>", min_words, make)
+    return _over(docs, f"_id {kinds['_id']}, _t long, lh long, lg long, line int, p int, bands binary", min_words, make)
 
 
 def forms_of(docs: DataFrame, min_words: int, wanted: Broadcast | None = None) -> DataFrame:
@@ -240,12 +248,21 @@ def _bitmap(ids: DataFrame) -> Broadcast:
 
 
 def _dealt(parts: int):
-    """part, and the bucket, id, p of the keys that fall on it, as arrays, of rows (lh, p, bands): a few rows instead of one for each key."""
+    """part, and the bucket, id, p of the keys that fall on it, as arrays, of rows (lh, p, bands): a few rows instead of one for each key.
+
+    bands: an array of longs, or their bytes.
+    """
 
     def run(batches):
         for batch in _larger(batches):
-            size = batch.column("bands").value_lengths().to_numpy()
-            bucket = batch.column("bands").flatten().to_numpy()
+            bands = batch.column("bands")
+            if not pa.types.is_nested(bands.type):
+                bands = bands.cast(pa.binary())
+                ends = np.frombuffer(bands.buffers()[1], np.int32, len(bands) + 1, 4 * bands.offset)
+                size = np.diff(ends) // 8
+                bucket = np.frombuffer(bands.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.int64)
+            else:
+                size, bucket = bands.value_lengths().to_numpy(), bands.flatten().to_numpy()
             part = (bucket.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)
             order = np.argsort(part.astype(np.uint16 if parts < 1 << 16 else np.uint32), kind="stable")
             which, counts = np.unique(part[order], return_counts=True)
@@ -526,12 +543,14 @@ def _in_blocks(similarity: float, agree: int):
     """a, b of the similar rows of each block; rows come in the order of their blocks.
 
     A pair is compared if its components differ, its lengths allow a link and its sketches agree. What was
-    linked before in the same rows is one component from then on.
+    linked before in the same rows is one component from then on. A pair that shares several buckets is
+    compared in the first of them, and not with the bucket's smallest id (lead), as that was done before.
     """
 
     def links(rows: pa.RecordBatch):
-        number = {c: rows.column(c).to_numpy() for c in ("bucket", "lo", "hi", "x", "id", "p", "c")}
+        number = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "lo", "hi", "x", "id", "p", "c", "led")}
         texts = rows.column("norm").to_pylist()
+        before = _grid_of(rows.column("before"))
         sketch = np.stack([rows.column(f"s{k}").to_numpy() for k in range(_SKETCH)], 1).view(np.uint8)[:, : BANDS * ROWS] if agree else None
         starts = _starts(number)
         last = np.append(starts[1:], len(texts))[np.cumsum(np.isin(np.arange(len(texts)), starts)) - 1]
@@ -561,12 +580,15 @@ def _in_blocks(similarity: float, agree: int):
             alive = alive[alive + step < last[alive]]
             i, j = alive, alive + step
             longest = np.maximum(number["p"][i], number["p"][j])
-            fits = (at[i] != at[j]) & ((number["lo"][i] == number["hi"][i]) | (number["x"][i] != number["x"][j]))
+            fits = (at[i] != at[j]) & ((number["lo"][i] == number["hi"][i]) | (number["x"][i] != number["x"][j])) & number["led"][i] & number["led"][j]
             fits &= np.abs(number["p"][i] - number["p"][j]) <= (1 - similarity) * longest + 1e-9
             i, j = i[fits], j[fits]
             if agree and len(i):
                 fits = (sketch[i] == sketch[j]).sum(1) >= agree
                 i, j = i[fits], j[fits]
+            if before.shape[1] and len(i):
+                fits = ~_meet(before, i, j)
+                i, j = i[fits], j[fits]
             if len(i):
                 left.append(i)
                 right.append(j)
@@ -596,6 +618,21 @@ def _in_blocks(similarity: float, agree: int):
     return run
 
 
+def _grid_of(lists: pa.Array) -> np.ndarray:
+    """A row for each list of longs; behind its end the last is repeated, an empty one has numbers of its own."""
+    size = lists.value_lengths().to_numpy()
+    out = np.repeat(np.arange(len(size))[:, None], int(size.max(initial=0)), 1)
+    flat, ends = lists.flatten().to_numpy(), np.cumsum(size)
+    some = np.flatnonzero(size)
+    out[some] = flat[(ends - size)[some, None] + np.minimum(np.arange(out.shape[1]), size[some, None] - 1)]
+    return out
+
+
+def _meet(lists: np.ndarray, i: np.ndarray, j: np.ndarray, step: int = 1 << 13) -> np.ndarray:
+    """Whether rows i and j have a number in common, for many pairs at once."""
+    return np.concatenate([(lists[i[at : at + step], :, None] == lists[j[at : at + step], None, :]).any((1, 2)) for at in range(0, len(i), step)])
+
+
 def _starts(number: dict) -> np.ndarray:
     """Where blocks begin."""
     new = np.ones(len(number["bucket"]), bool)
@@ -631,11 +668,13 @@ def _groups(scratch: Scratch, members: DataFrame, norms: DataFrame, similarity:
     close = both.where(_near(similarity)).where(_agreeing() if agree else "true").select("a", "b", "na", "nb")
     found = components(scratch, scratch.keep(close.mapInArrow(_similar(similarity), "a long, b long"), "links"), "cc0_")
     key = Window.partitionBy("bucket")
-    named = members.join(found, "id", "left").select("bucket", "id", "p", F.coalesce("component", "id").alias("c"))
+    named = members.join(found.hint("shuffle_hash"), "id", "left").select("bucket", "id", "p", F.coalesce("component", "id").alias("c"), (F.col("id") != F.col("lead")).alias("led"))
     mixed = named.select("*", F.min("c").over(key).alias("c0"), F.max("c").over(key).alias("c1"), F.count(F.lit(1)).over(key).alias("n")).where("c0 <> c1")
-    left = scratch.keep(mixed.select("bucket", "id", "p", "c", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "left")
-    dealt = left.join(norms.select(F.col("lh").alias("id"), "norm", *_SKETCHES), "id").withColumn("x", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("y", F.explode(F.expr("sequence(0, parts - 1)"))).select("bucket", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "x", "id", "p", "c", "norm", *_SKETCHES)
+    left = scratch.keep(mixed.select("bucket", "id", "p", "c", "led", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "left")
+    # the smaller buckets of each id; an exact table has too many
+    smaller = F.collect_list("bucket").over(Window.partitionBy("id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)) if agree else F.expr("CAST(array() AS array<bigint>)")
+    dealt = left.withColumn("before", smaller).join(norms.select(F.col("lh").alias("id"), "norm", *_SKETCHES), "id").withColumn("x", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("y", F.explode(F.expr("sequence(0, parts - 1)"))).select("bucket", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "x", "id", "p", "c", "led", "before", "norm", *_SKETCHES)
     blocks = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
     links = scratch.keep(blocks.mapInArrow(_in_blocks(similarity, agree), "a long, b long"), "links2")
     return merged(scratch, found, links.distinct(), "2")
@@ -643,7 +682,8 @@ def _groups(scratch: Scratch, members: DataFrame, norms: DataFrame, similarity:
 
 def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, exact: bool = False) -> DataFrame:
     """_id, _t, gone (array of line numbers) of docs (_id, _t, _text)."""
-    scratch = Scratch(docs.sparkSession, "lines")
+    # of hashes no dictionary is worth its while
+    scratch = Scratch(docs.sparkSession, "lines", compression="snappy", **{f"parquet.enable.dictionary#{c}": "false" for c in ("lh", "lg", "bands", "norm", *_SKETCHES)})
     lines = scratch.keep(places_of(docs, min_words), "lines")
     place = F.struct("_id", "_t", "line")
     once = lambda forms: forms.groupBy("lh").agg(F.min(F.struct("lg", "norm", *_SKETCHES)).alias("f")).select("lh", "f.*")
@@ -666,10 +706,10 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
     copied = lines.groupBy("lh", "lg").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("lh", "lg", F.lit(None).cast("long").alias("component"))
     known = scratch.keep(linked.unionByName(copied).groupBy("lh", "lg").agg(F.max("component").alias("component")), "known")
     group = (F.coalesce("component", "lh").alias("g"), F.when(F.col("component").isNull(), F.col("lg")).alias("h"))
-    places = scratch.keep(lines.select("_id", "_t", "line", "lh", "lg").join(known, ["lh", "lg"]).select("_id", "_t", "line", *group), "places")
+    places = scratch.keep(lines.select("_id", "_t", "line", "lh", "lg").join(known.hint("shuffle_hash"), ["lh", "lg"]).select("_id", "_t", "line", *group), "places")
     heads = places.groupBy("g", "h").agg(F.min(place).alias("head")).select(F.col("g").alias("g_"), F.col("h").alias("h_"), "head")
     # every group has a first occurrence, all others of it go
-    others = places.join(heads, (F.col("g") == F.col("g_")) & F.col("h").eqNullSafe(F.col("h_"))).where(~place.eqNullSafe(F.col("head"))).select("_id", "_t", "line")
+    others = places.join(heads.hint("shuffle_hash"), (F.col("g") == F.col("g_")) & F.col("h").eqNullSafe(F.col("h_"))).where(~place.eqNullSafe(F.col("head"))).select("_id", "_t", "line")
     # written, so that Spark knows its size when it joins the texts with it: they needn't be shuffled if it is small
     gone = scratch.keep(others.groupBy("_id", "_t").agg(F.collect_set("line").alias("gone")), "gone")
     scratch.release("known", "lines", "places", "norms", "members")
@@ -692,7 +732,7 @@ def without(text: pa.Array, gone: pa.Array) -> pa.Array:
 
 
 def n_lines(text: Column) -> Column:
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    return F.when(F.coalesce(F.octet_length(text), F.lit(0)) == 0, 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
 
 
 def dedup_lines(
@@ -704,7 +744,8 @@ def dedup_lines(
     id_, text = F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")
     keyed = rows.withColumn("t", F.xxhash64(text))
     gone = removals(keyed.select(id_.alias("_id"), F.col("t").alias("_t"), text.alias("_text")), min_words, similarity, exact)
-    joined = keyed.join(gone, id_.eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")), "left").select("row", "gone")
+    # the side with a row for each text that loses lines is held, so that the texts needn't be sorted
+    joined = keyed.join(gone.hint("shuffle_hash"), id_.eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")), "left").select("row", "gone")
     # not to be evaluated again where a caller filters by the text: that would be a second Python worker for each task
     cut = F.arrow_udf(without, "string").asNondeterministic()
     return joined.select(

@@ -150,3 +150,41 @@ def test_few_and_long_pairs_are_compared_at_once(monkeypatch):
     widths.clear()
     words = [f"{'w' * 30} word{k} other words of this line" for k in range(40)]
     assert line_dedup.similar_pairs(words, np.arange(39), np.arange(1, 40), 0.8).all() and not widths
+
+
+def test_a_pair_of_several_keys_is_compared_once(monkeypatch):
+    """In the first key that both have, and not with a key's smallest id, which was compared before; the links are the same."""
+    rng = random.Random(8)
+    ids, buckets = range(10, 40), {b: sorted(rng.sample(range(10, 40), 12)) for b in (-7, -1, 7000, 8000, 2**40)}
+    words = [f"word{k}" for k in range(9)]
+    norm = {i: " ".join(w if rng.random() > 0.15 else f"else{i}" for w in words) + f" own{i}" for i in ids}
+    whose = {text: i for i, text in norm.items()}
+    rows = []
+    for b, some in buckets.items():
+        for i in some:
+            before = sorted(o for o in buckets if o < b and i in buckets[o])
+            rows.append({"bucket": b, "lo": 0, "hi": 0, "x": 0, "id": i, "p": len(norm[i]), "c": i, "led": i != some[0], "before": before, "norm": norm[i]} | {s: 0 for s in line_dedup._SKETCHES})
+    schema = pa.schema([(c, pa.int64()) for c in ("bucket", "lo", "hi", "x", "id", "p", "c")] + [("led", pa.bool_()), ("before", pa.list_(pa.int64())), ("norm", pa.string())] + [(s, pa.int64()) for s in line_dedup._SKETCHES])
+    met, run = [], line_dedup.similar_pairs
+    monkeypatch.setattr(line_dedup, "similar_pairs", lambda texts, a, b, s: met.extend((whose[texts[x]], whose[texts[y]]) for x, y in zip(a, b, strict=True)) or run(texts, a, b, s))
+    batch = pa.RecordBatch.from_pylist(rows, schema)
+    got = {(r["a"], r["b"]) for out in line_dedup._in_blocks(0.8, line_dedup.AGREE)([batch]) for r in out.to_pylist()}
+    near = {(i, j) for some in buckets.values() for i in some for j in some if i < j and abs(len(norm[i]) - len(norm[j])) <= 0.2 * max(len(norm[i]), len(norm[j])) + 1e-9}
+    first = {(i, j): min(b for b in buckets if i in buckets[b] and j in buckets[b]) for i, j in near}
+    want = {(i, j) for (i, j), b in first.items() if buckets[b][0] != i}
+    assert len(met) == len(set(met)) and set(met) == want and len(near) > len(want)
+    assert got == {(i, j) for i, j in want if similar(norm[i], norm[j])} and 5 < len(got) < len(want)
+
+
+def test_keys_are_kept_as_bytes():
+    """A class's keys are one value of the written table, and dealt as arrays of longs are."""
+    lines = line_dedup.Lines(["one two three four five six\nfewer words\none two three four five six\nöne twö three four five   seven 7", ""], line_dedup.MIN_WORDS)
+    assert lines.chars().tolist() == [27, 27, 31]
+    keys = lines.key_lists()
+    assert keys.type == pa.binary() and [k and len(k) for k in keys.to_pylist()] == [8 * line_dedup.BANDS, None, 8 * line_dedup.BANDS]
+    longs = pa.array([np.frombuffer(k, np.int64) for k in keys.drop_null().to_pylist()], pa.list_(pa.int64()))
+    dealt = [
+        pa.Table.from_batches(line_dedup._dealt(5)([batch.slice(0, 1), batch.slice(1)])).to_pylist()
+        for batch in (pa.RecordBatch.from_pydict({"lh": pa.array([3, 4]), "p": pa.array([27, 31], pa.int32()), "bands": b}) for b in (keys.drop_null(), longs))
+    ]
+    assert dealt[0] == dealt[1] and sum(len(r["id"]) for r in dealt[0]) == 2 * line_dedup.BANDS
