@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
+from tallyfold import sources as S
 from tallyfold.operators import graph, ingest, linkage, notes, retrieval
 
 
@@ -71,3 +72,45 @@ def test_nearest_by_large_blocks_and_few_rows_at_once(spark, monkeypatch):
     np.fill_diagonal(scores, -np.inf)
     want = {(i, max(np.flatnonzero(s == s.max())), s.max()) for i, s in enumerate(scores)}
     assert {tuple(r) for r in linkage.nearest(groups, groups).collect()} == want
+
+
+def turned(degrees):
+    import numpy as np
+
+    return [(i, [float(np.cos(np.radians(x))), float(np.sin(np.radians(x)))]) for i, x in enumerate(degrees)]
+
+
+def test_the_size_of_kept_groups_does_not_grow_by_rounds(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "LAST", 0)
+    digits = []
+
+    def keep(df):
+        digits.append(len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+        return S.keeper(spark)(df)
+
+    # each is nearest to the one before it, so that one pair is merged in a round
+    units = spark.createDataFrame(turned([0, 1, 3, 6, 10, 15, 180]), "id long, v array<double>")
+    got = {tuple(r) for r in linkage.linkage(units, 0.9, keep=keep).collect()}
+    assert got == {(i, 0 if i < 6 else 6) for i in range(7)} and len(digits) > 15
+    assert max(digits) < 400, digits
+
+
+def test_equal_vectors_take_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "LAST", 0)
+    kept = []
+
+    def keep(df):
+        kept.append(S.keeper(spark)(df))
+        return kept[-1]
+
+    units = spark.createDataFrame(turned([90] * 30 + [91] + [0] * 3) + [(i, [0.0, 0.0]) for i in (40, 41)], "id long, v array<double>")
+    got = {tuple(r) for r in linkage.linkage(units, 0.9, keep=keep).collect()}
+    assert got == {(i, 0 if i < 31 else 31 if i < 34 else i) for i in (*range(34), 40, 41)}
+    assert len(kept) < 12
+
+
+def test_nearest_of_scores_that_differ_after_nine_digits(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.5 - 1e-12, 0.3]), (3, [0.5 - 3e-9, 0.0]), (4, [-1.0, 0.0])]
+    groups = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {r["id"]: (r["best"], r["score"]) for r in linkage.nearest(groups.where("id in (0, 4)"), groups, 0.4).collect()}
+    assert got == {0: (2, 0.5)}
