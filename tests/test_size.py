@@ -6,7 +6,7 @@ import re
 
 import pytest
 from tallyfold import sources as S
-from tallyfold.operators import graph, ingest, linkage, notes, retrieval
+from tallyfold.operators import graph, ingest, intervals, linkage, notes, retrieval
 
 
 def plan(df) -> str:
@@ -114,3 +114,14 @@ def test_nearest_of_scores_that_differ_after_nine_digits(spark):
     groups = spark.createDataFrame(rows, "id long, v array<double>")
     got = {r["id"]: (r["best"], r["score"]) for r in linkage.nearest(groups.where("id in (0, 4)"), groups, 0.4).collect()}
     assert got == {0: (2, 0.5)}
+
+
+def test_intervals_are_copied_to_few_buckets(spark):
+    # 40 lengths from 1 to 20000 seconds: what is shuffled is each interval once for every bucket
+    rows = [(1, i, float(i * 7 % 501), i * 7 % 501 + 1.0 + (i % 40) ** 3 / 3) for i in range(400)]
+    a, b = (spark.createDataFrame(rows[k::2], "k long, n long, start double, end double") for k in (0, 1))
+    x, y, _ = intervals.candidates(a, b, ["k"], "start", "end")
+    copies = x.count() + y.count()
+    got = {(r["l"]["n"], r["r"]["n"]) for r in intervals.overlaps(a, b, ["k"]).collect()}
+    assert got == {(i, j) for _, i, s, e in rows[::2] for _, j, t, f in rows[1::2] if s < f and t < e}
+    assert copies < 2000, copies
